@@ -1,0 +1,32 @@
+"""Small state tables that grow by one version per micro-batch.
+
+A batch that is run again after a failure writes its own version again, so results do not change.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
+    """The newest version written by an earlier batch."""
+    system, path = _files(spark, folder)
+    if not system.exists(path):
+        return None
+    names = [status.getPath().getName() for status in system.listStatus(path)]
+    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
+    earlier = [n for n in numbers if n < batch_id]
+    return spark.read.parquet(f"{folder}/version={max(earlier)}") if earlier else None
+
+
+def write(rows: DataFrame, folder: str, batch_id: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+
+
+def newest(spark: SparkSession, folder: str) -> DataFrame | None:
+    return before(spark, folder, 1 << 62)
