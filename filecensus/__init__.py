@@ -1 +1,8 @@
 """File-estate analytics on Spark: catalog, diff, verify, deduplicate, propose, route, purge-plan."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

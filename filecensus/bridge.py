@@ -132,14 +132,14 @@ FROM {region} r JOIN (
          CASE o_orderpriority WHEN '1-URGENT' THEN 'application/vnd.google-apps.document'
                               WHEN '2-HIGH' THEN 'application/vnd.google-apps.form'
                               WHEN '3-MEDIUM' THEN 'application/vnd.google-apps.spreadsheet' ELSE 'application/pdf' END,
-         concat('c', CAST(o_custkey AS STRING)), CAST(CAST(o_totalprice AS BIGINT) AS STRING), '2021-01-01T00:00:00Z',
+         concat('c', CAST(o_custkey AS STRING)), CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '2021-01-01T00:00:00Z',
          CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 'elsewhere' ELSE NULL END
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
 ) t ON r_regionkey = rk
 UNION ALL
 SELECT 2, '', 'Shared with me', TRUE, CAST(NULL AS INT), o_orderkey * 4 + 3, concat('o', CAST(o_orderkey AS STRING)),
        concat('ord:', CAST(o_orderkey AS STRING), '?.pdf'), 'application/pdf', NULL,
-       CAST(CAST(o_totalprice AS BIGINT) AS STRING), '2021-01-01T00:00:00Z', NULL
+       CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '2021-01-01T00:00:00Z', NULL
 FROM {orders} WHERE o_totalprice > 400000 OR o_orderpriority = '2-HIGH'
 """,
     # Heartbeats and transfers: each user is an account.
@@ -159,7 +159,7 @@ FROM {events}
 SELECT CAST(c_custkey AS STRING) AS account, CAST(100 + c_custkey % 50 AS BIGINT) AS count,
        CAST(c_custkey % 120 AS BIGINT) AS done,
        CAST(CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 130 END AS BIGINT) AS expected_total,
-       CAST(abs(c_acctbal) * 100 AS BIGINT) AS total_bytes,
+       CAST(floor(abs(c_acctbal) * 100) AS BIGINT) AS total_bytes,
        CAST(CASE WHEN c_nationkey % 2 = 0 THEN 0 ELSE 1000000 END AS BIGINT) AS expected_bytes
 FROM {customer}
 """,

@@ -15,6 +15,7 @@ NATIVE_RESERVE = 10 * 1024 * 1024
 def coerce_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Catalog rows with nulls and text sizes settled, and the rows whose size is no whole number."""
     texts = [c for c in ENTRY_COLUMNS if c not in ("ordinal", "size", "status")]
+    others = [c for c in rows.columns if c not in ENTRY_COLUMNS]
     size_text = F.trim(F.col("size").cast("string"))
     size = F.when(size_text.rlike(r"^[+-]?[0-9]+$"), size_text.try_cast("bigint"))
     empty = F.coalesce(size_text, F.lit("")) == ""
@@ -25,8 +26,9 @@ def coerce_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in texts],
         F.col("_size").cast("bigint").alias("size"),
         or_default(F.col("status"), "pending").alias("status"),
+        *others,
     )
-    return good.select(*ENTRY_COLUMNS), bad
+    return good.select(*ENTRY_COLUMNS, *others), bad
 
 
 def upsert(log: DataFrame, key: str = "file_id") -> DataFrame:

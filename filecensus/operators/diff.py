@@ -23,7 +23,7 @@ def incremental_diff(listing: DataFrame, entries: DataFrame, previous: DataFrame
     same_size = rules.is_native(F.col("mime_type")) | (F.col("_size") == F.col("size"))
     same = rules.is_done(F.col("_status")) & (F.col("_modified") == F.col("modified_time")) & same_size
     unchanged = F.coalesce(same, F.lit(False))
-    outcome = F.when("_done", "done").when(unchanged, "import").otherwise("fetch")
+    outcome = F.when(F.col("_done"), "done").when(unchanged, "import").otherwise("fetch")
     imports = outcome == "import"
     return joined.select(
         *listing.columns, outcome.alias("outcome"),

@@ -30,11 +30,13 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
     When no row loses and no block is lifted, each row holds a name of its own and every name it
     passed over is held by an earlier row or taken: exactly what choosing one by one gives.
     """
-    state = cut_lineage(_place(rows, path, tag, taken, hot_rows, chunk_rows))
-    used = None
+    used = blocks = None
     if taken is not None:
-        used = taken.select(text.fold_case(F.col(taken.columns[0])).alias("_key")).distinct()
-    blocks = None if used is None else _blocks_of_taken(used, state)
+        used = cut_lineage(taken.select(text.fold_case(F.col(taken.columns[0])).alias("_key")).distinct())
+    state = cut_lineage(_place(rows, path, tag, used, hot_rows, chunk_rows))
+    if used is not None:
+        blocks = _blocks_of_taken(used, state)
+        blocks = None if blocks.isEmpty() else blocks
     for _ in range(MAX_ROUNDS):
         proposals = _propose(state, blocks, path, tag, name, chunk_rows)
         claims = proposals.select("_key", "ordinal")
@@ -62,7 +64,7 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
     raise RuntimeError(f"names not settled after {MAX_ROUNDS} rounds")
 
 
-def _place(rows, path, tag, taken, hot_rows, chunk_rows):
+def _place(rows, path, tag, used, hot_rows, chunk_rows):
     """Rank of every row within its group, and the first index the group may use.
 
     The plain path is index 0. Only the group of the path's first row may try it, and only if it is
@@ -71,11 +73,10 @@ def _place(rows, path, tag, taken, hot_rows, chunk_rows):
     keyed = rows.withColumn("_base", text.fold_case(F.col(path))).withColumn("_tag", text.fold_case(F.col(tag)))
     bases = keyed.groupBy("_base").agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("_tag", "ordinal").alias("_lead"))
-    if taken is not None:
-        used = taken.select(text.fold_case(F.col(taken.columns[0])).alias("_base")).distinct()
-        used = used.withColumn("_used", F.lit(True))
+    if used is not None:
+        plain = used.select(F.col("_key").alias("_base"), F.lit(True).alias("_used"))
         lead = F.when(F.col("_used").isNull(), F.col("_lead"))
-        bases = bases.join(used, "_base", "left").select("_base", "_n", lead.alias("_lead"))
+        bases = bases.join(plain, "_base", "left").select("_base", "_n", lead.alias("_lead"))
     placed = lookup(keyed, bases, ["_base"], "_n", F.col("ordinal"), hot_rows)
     start = F.when(F.col("_lead") == F.col("_tag"), 0).otherwise(1).cast("bigint")
     ready = placed.withColumn("_start", start).drop("_n", "_lead")

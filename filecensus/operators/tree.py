@@ -29,7 +29,7 @@ def _inner_nodes(items: DataFrame) -> DataFrame:
     known = nodes.select("source_ordinal", F.col("id").alias("up"), F.lit(True).alias("_known"))
     linked = nodes.join(known, ["source_ordinal", "up"], "left")
     return linked.select(
-        "source_ordinal", "id", F.when("_known", F.col("up")).alias("up"), F.col("name"))
+        "source_ordinal", "id", F.when(F.col("_known"), F.col("up")).alias("up"), F.col("name"))
 
 
 def _weighted(facts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -227,7 +227,7 @@ SELECT account, ts, (bytes_written - lag(bytes_written) OVER w) / (epoch_us(ts)
 FROM {heartbeats} WINDOW w AS (PARTITION BY account ORDER BY ts)"""
 _RUNNING = f"""
 SELECT account, max(ts) AS last_ts,
-       CASE WHEN epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) < {LIVE_SECONDS} * 1000000 THEN 'live' ELSE 'idle' END AS state
+       CASE WHEN epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) < {LIVE_SECONDS * 1_000_000} THEN 'live' ELSE 'idle' END AS state
 FROM {{heartbeats}} GROUP BY account"""
 _RUNS = """
 SELECT account, count(*) AS run_length, min(ordinal) AS first_ordinal, max(ordinal) AS last_ordinal
@@ -450,9 +450,9 @@ FROM {attempts} GROUP BY account""",
     "error_samples": "SELECT ordinal, file_id, error FROM {attempts} WHERE outcome = 'error' ORDER BY ordinal LIMIT 10",
     "failure_runs": _RUNS,
     "progress_snapshot": _described(_SNAPSHOT),
-    "progress_rate": f"SELECT account, ts, round_even(rate_bps, 3) AS rate_bps FROM ({_RATES})",
+    "progress_rate": f"SELECT account, ts, round_even(rate_bps, 3) + 0.0 AS rate_bps FROM ({_RATES})",
     "rate_history": f"""
-SELECT account, ts, round_even(mb, 6) AS mb_s, round_even(greatest(max(mb) OVER (PARTITION BY account ORDER BY ts
+SELECT account, ts, round_even(mb, 6) + 0.0 AS mb_s, round_even(greatest(max(mb) OVER (PARTITION BY account ORDER BY ts
        ROWS BETWEEN 79 PRECEDING AND CURRENT ROW), 0.1), 6) AS scale
 FROM (SELECT account, ts, coalesce(rate_bps, 0) / 1e6 AS mb FROM ({_RATES}))""",
     "running_state": _RUNNING,

@@ -14,7 +14,7 @@ def classify(entries: DataFrame, elect_among_clean: bool = False, hot_rows: int
     """Done entries with their junk reason, duplicate flag and verdict; junk wins over duplicate."""
     elected = with_election(entries, elect_among_clean, hot_rows)
     flagged = elected.withColumn("junk", rules.junk_reason(F.col("rel_path"), F.col("size")))
-    verdict = F.when(F.col("junk").isNotNull(), "junk").when("is_duplicate", "duplicate").otherwise("clean")
+    verdict = F.when(F.col("junk").isNotNull(), "junk").when(F.col("is_duplicate"), "duplicate").otherwise("clean")
     return flagged.withColumn("verdict", verdict)
 
 

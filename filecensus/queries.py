@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filecensus.bridge import spark_view
 from filecensus.functions import rules, text
+from filecensus.operators.scale import cut_lineage
 from filecensus.operators import catalog, diff, duplicates, failures, naming, near, progress, tree, verify
 from filecensus.plans import funnel, layout, proposal, purge
 from filecensus.streaming import replay
@@ -56,7 +57,9 @@ def _classified(spark, folder):
 
 
 def _edited_plan(spark, folder):
-    return spark_view(spark, folder, EDITED_PLAN, plan=proposal.default_plan(_classified(spark, folder)))
+    """A plan is a stored table by the time it is applied."""
+    return cut_lineage(
+        spark_view(spark, folder, EDITED_PLAN, plan=proposal.default_plan(_classified(spark, folder))))
 
 
 def _items(spark, folder):
@@ -177,7 +180,7 @@ def build_paths(spark, folder):
 def expand_folders(spark, folder):
     items = _items(spark, folder)
     roots = items.filter("size(parents) = 0 AND NOT shared_with_me")
-    children = items.filter("size(parents) > 0").withColumn("folder_id", F.col("parents")[0])
+    children = items.filter("size(parents) > 0").withColumn("folder_id", F.get("parents", F.lit(0)))
     return tree.expand_folders(roots, children).select("id", "folder_id", F.size("visit").alias("depth"))
 
 
