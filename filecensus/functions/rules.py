@@ -86,10 +86,8 @@ def is_failed(status: Column) -> Column:
 
 def category(rel_path: Column) -> Column:
     extension = F.lower(text.suffix(text.base_name(rel_path)))
-    cases = F.when(extension == "", "Other")
-    for name, extensions in CATEGORIES.items():
-        cases = cases.when(extension.isin(extensions), name)
-    return cases.otherwise("Other")
+    pairs = [F.lit(v) for name, extensions in CATEGORIES.items() for e in extensions for v in (e, name)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), extension), F.lit("Other"))
 
 
 def junk_reason(rel_path: Column, size: Column) -> Column:

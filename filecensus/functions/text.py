@@ -45,16 +45,16 @@ def suffix(name: Column) -> Column:
 
 
 def stem(name: Column) -> Column:
-    return F.left(name, F.length(name) - F.length(suffix(name)))
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+\z", "")
 
 
 def parent(path: Column) -> Column:
     """Everything before the last component, with its closing slash, or the empty string."""
-    return F.left(path, F.length(path) - F.length(base_name(path)))
+    return F.regexp_replace(path, r"[^/]*\z", "")
 
 
 def depth(path: Column) -> Column:
-    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+    return F.length(F.regexp_replace(path, "[^/]+", ""))
 
 
 def fold_case(text: Column) -> Column:

@@ -33,7 +33,9 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
     used = blocks = None
     if taken is not None:
         used = cut_lineage(taken.select(text.fold_case(F.col(taken.columns[0])).alias("_key")).distinct())
-    state = cut_lineage(_place(rows, path, tag, used, hot_rows, chunk_rows))
+    keyed = rows.withColumn("_base", text.fold_case(F.col(path))).withColumn("_tag", text.fold_case(F.col(tag)))
+    keyed = cut_lineage(keyed)
+    state = cut_lineage(_place(keyed, used, keyed.count(), hot_rows, chunk_rows))
     if used is not None:
         blocks = _blocks_of_taken(used, state)
         blocks = None if blocks.isEmpty() else blocks
@@ -64,23 +66,23 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
     raise RuntimeError(f"names not settled after {MAX_ROUNDS} rounds")
 
 
-def _place(rows, path, tag, used, hot_rows, chunk_rows):
+def _place(keyed, used, total, hot_rows, chunk_rows):
     """Rank of every row within its group, and the first index the group may use.
 
     The plain path is index 0. Only the group of the path's first row may try it, and only if it is
     not taken.
     """
-    keyed = rows.withColumn("_base", text.fold_case(F.col(path))).withColumn("_tag", text.fold_case(F.col(tag)))
     bases = keyed.groupBy("_base").agg(
         F.count(F.lit(1)).alias("_n"), F.min_by("_tag", "ordinal").alias("_lead"))
     if used is not None:
         plain = used.select(F.col("_key").alias("_base"), F.lit(True).alias("_used"))
         lead = F.when(F.col("_used").isNull(), F.col("_lead"))
         bases = bases.join(plain, "_base", "left").select("_base", "_n", lead.alias("_lead"))
-    placed = lookup(keyed, bases, ["_base"], "_n", F.col("ordinal"), hot_rows)
+    placed = lookup(keyed, bases, ["_base"], "_n", F.col("ordinal"), hot_rows, total)
     start = F.when(F.col("_lead") == F.col("_tag"), 0).otherwise(1).cast("bigint")
     ready = placed.withColumn("_start", start).drop("_n", "_lead")
-    return ranked(ready, _GROUP, ["ordinal"], ordinal_chunk("ordinal", chunk_rows), "_rank")
+    chunk = None if total < chunk_rows else ordinal_chunk("ordinal", chunk_rows)
+    return ranked(ready, _GROUP, ["ordinal"], chunk, "_rank")
 
 
 def _blocks_of_taken(used, state):

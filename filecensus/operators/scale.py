@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -27,22 +28,27 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
-    """Write the rows to reliable storage and go on from there; outlives lost executors."""
-    spark = frame.sparkSession
-    folder = checkpoint_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return frame.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there.
+
+    It outlives lost executors, later passes read only the columns they need, and its true size
+    lets joins with it be planned from the start.
+    """
+    table = f"{checkpoint_folder(frame.sparkSession)}/filecensus-{uuid.uuid4().hex}"
+    frame.write.parquet(table)
+    return frame.sparkSession.read.schema(frame.schema).parquet(table)
 
 
 def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread: Column,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+           hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
     """Left join `rows` to one-row-per-key `facts` without gathering a hot key's rows in one task.
 
     `weight` is the facts column that counts the key's rows. The heaviest keys, at most HOT_KEYS of
     them, are broadcast and matched where the rows are. Their rows then pass the ordinary join on a
-    scattered salt that no fact carries; every other key joins as usual.
+    scattered salt that no fact carries; every other key joins as usual. `total` may state a bound
+    on the rows: below `hot_rows` no key can be hot.
     """
+    if total is not None and total < hot_rows:
+        return rows.join(facts, keys, "left").select(*rows.columns, *[c for c in facts.columns if c not in keys])
     values = [c for c in facts.columns if c not in keys]
     hot = (
         facts.filter(F.col(weight) >= hot_rows)
@@ -50,7 +56,10 @@ def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spre
         .limit(HOT_KEYS)
         .select(*keys, F.struct(*values).alias("_hot"))
     )
-    cold = facts.select(*keys, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    # Always 0, but not a literal: the optimizer would move a literal out of the join keys, and the
+    # shuffle would go by the bare key again.
+    unsalted = F.when(F.col(weight) < 0, 1).otherwise(0)
+    cold = facts.select(*keys, unsalted.alias("_salt"), F.struct(*values).alias("_cold"))
     salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0)
     joined = (
         rows.join(F.broadcast(hot), keys, "left")
@@ -61,6 +70,15 @@ def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spre
     return joined.select(*kept, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
 
 
+def lookup_unweighted(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, hot_rows: int,
+                      total: int) -> DataFrame:
+    """`lookup` for facts that do not know how many rows will ask for them."""
+    if total < hot_rows:
+        return rows.join(facts, keys, "left").select(*rows.columns, *[c for c in facts.columns if c not in keys])
+    asked = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
+    return lookup(rows, facts.join(asked, keys), keys, "_asked", spread, hot_rows).drop("_asked")
+
+
 def running_totals(rows: DataFrame, keys: list[str], order: list[str], chunk: Column,
                    measures: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums per key in `order`, chunk by chunk.
@@ -82,8 +100,11 @@ def running_totals(rows: DataFrame, keys: list[str], order: list[str], chunk: Co
     return joined.select(*rows.columns, *totals)
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str) -> DataFrame:
-    """Zero-based place of every row within its key."""
+def ranked(rows: DataFrame, keys: list[str], order: list[str], chunk: Column | None, name: str) -> DataFrame:
+    """Zero-based place of every row within its key; without a chunk, keys are known to be small."""
+    if chunk is None:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return rows.withColumn(name, place.cast("bigint") - 1)
     counted = running_totals(rows, keys, order, chunk, {name: F.lit(1).cast("bigint")})
     return counted.withColumn(name, F.col(name) - 1)
 

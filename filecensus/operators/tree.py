@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.functions import rules, text
 from filecensus.operators.catalog import first_seen
-from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup, numbered
+from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup_unweighted, numbered
 
 MAX_ROUNDS = 10_000
 
@@ -32,12 +32,6 @@ def _inner_nodes(items: DataFrame) -> DataFrame:
         "source_ordinal", "id", F.when(F.col("_known"), F.col("up")).alias("up"), F.col("name"))
 
 
-def _weighted(facts: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Facts with the number of rows that will ask for each."""
-    asked = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
-    return facts.join(asked, keys, "inner")
-
-
 def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(source_ordinal, id, segments, ids): every inner node's chain of names, root first.
 
@@ -53,7 +47,7 @@ def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         ahead = state.select("source_ordinal", F.col("id").alias("up"), F.col("up").alias("_up"),
                              F.col("segments").alias("_segments"), F.col("ids").alias("_ids"))
         unfinished = state.filter("up IS NOT NULL")
-        joined = lookup(unfinished, _weighted(ahead, unfinished, keys), keys, "_asked", F.col("id"), hot_rows)
+        joined = lookup_unweighted(unfinished, ahead, keys, F.col("id"), hot_rows, open_nodes)
         doubled = joined.select("source_ordinal", "id", F.col("_up").alias("up"),
                                 F.concat("_segments", "segments").alias("segments"),
                                 F.concat("_ids", "ids").alias("ids"))
@@ -83,9 +77,10 @@ def _walk_up(starts: DataFrame, nodes: DataFrame, hot_rows: int) -> DataFrame:
         stopped = state.filter(~F.coalesce(moving, F.lit(False))).drop("up")
         finished = stopped if finished is None else finished.unionByName(stopped)
         unfinished = state.filter(moving)
-        if unfinished.isEmpty():
+        left = unfinished.count()
+        if not left:
             return finished
-        joined = lookup(unfinished, _weighted(parents, unfinished, keys), keys, "_asked", F.col("id"), hot_rows)
+        joined = lookup_unweighted(unfinished, parents, keys, F.col("id"), hot_rows, left)
         known = F.col("_name").isNotNull()
         state = cut_lineage(joined.select(
             *[c for c in state.columns if c not in ("up", "segments", "ids")],
@@ -96,7 +91,8 @@ def _walk_up(starts: DataFrame, nodes: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def build_paths(rows: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add `rel_path` to listing rows: drive name and parent chain, resolved inside the same source.
+    """Add `rel_path` to `rows` of the listing `items`: drive name and parent chain, resolved inside the
+    same source.
 
     Only inner nodes are chained; every other row is its parent's path plus its own name.
     """
@@ -105,7 +101,7 @@ def build_paths(rows: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) ->
     keys = ["source_ordinal", "up"]
     above = chains.select("source_ordinal", F.col("id").alias("up"), F.col("segments").alias("_segments"),
                           F.col("ids").alias("_ids"))
-    joined = lookup(own, _weighted(above, own, keys), keys, "_asked", F.col("id"), hot_rows)
+    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows, items.count())
     # A row that is met again on its parents' chain stops there: its chain ends below itself.
     again = F.coalesce(F.array_position("_ids", F.col("id")), F.lit(0)).cast("int")
     below = F.slice("_segments", again + 1, F.size("_segments"))
@@ -134,12 +130,8 @@ def expand_folders(roots: DataFrame, children: DataFrame, hot_rows: int = HOT_RO
         fresh = found.groupBy("folder_id").agg(F.min("visit").alias("visit"))
         frontier = cut_lineage(fresh.join(seen.select("folder_id"), "folder_id", "left_anti"))
         seen = seen.unionByName(frontier)
-    opened = _weighted(seen, children, ["folder_id"])
-    return (
-        lookup(children, opened, ["folder_id"], "_asked", F.col("id"), hot_rows)
-        .filter("visit IS NOT NULL")
-        .drop("_asked")
-    )
+    found = lookup_unweighted(children, seen, ["folder_id"], F.col("id"), hot_rows, children.count())
+    return found.filter("visit IS NOT NULL")
 
 
 def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_ROWS) -> DataFrame:

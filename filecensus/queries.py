@@ -63,9 +63,11 @@ def _edited_plan(spark, folder):
 
 
 def _items(spark, folder):
+    """A listing is a stored table by the time it is walked."""
     rows = spark_view(spark, folder, "items")
     parents = F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>"))
-    return rows.withColumn("parents", parents).withColumn("owners", F.array().cast("array<string>")).drop("parent", "rk")
+    listed = rows.withColumn("parents", parents).withColumn("owners", F.array().cast("array<string>"))
+    return cut_lineage(listed.drop("parent", "rk"))
 
 
 def _heartbeats(spark, folder):

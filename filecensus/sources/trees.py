@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import shutil
 import uuid
@@ -10,22 +11,58 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from filecensus.operators.scale import cut_lineage
 
 CHUNK = 1024 * 1024
+# Rows a folder scan hands on at a time, folders one task should scan.
+SCAN_ROWS = 10_000
+FOLDERS_PER_TASK = 1000
 # Bytes of files one task should handle.
 TASK_BYTES = 1024 ** 3
 
 
-def _relative(root: str):
-    """Path below `root`, without the scheme of the file URL."""
-    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
-    return F.substring(plain, F.lit(len(root.rstrip("/")) + 2), F.length(plain)).alias("rel_path")
-
-
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """(rel_path, size, modified) of every file. The content column is pruned: nothing is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(_relative(root), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    """(rel_path, size, modified) of every file below `root`, which all executors mount.
+
+    Spark's own file sources pass over empty files and names that start with a dot or underscore,
+    which are just what junk rules and quarantine are about. So tasks scan the folders, one level of
+    the tree per round, and hand on what they find as they read it. A file whose size cannot be
+    asked has none.
+    """
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["rel_path"]:
+                found = _scan_folder(root, folder)
+                while rows := list(itertools.islice(found, SCAN_ROWS)):
+                    yield pd.DataFrame(rows, columns=["rel_path", "is_folder", "size", "modified"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    folders = spark.createDataFrame([("",)], "rel_path string")
+    files = None
+    while not folders.isEmpty():
+        level = cut_lineage(folders.repartition(tasks, "rel_path").mapInPandas(
+            scan, "rel_path string, is_folder boolean, size bigint, modified double"))
+        here = level.filter("NOT is_folder").select("rel_path", "size", F.timestamp_seconds("modified").alias("modified"))
+        files = here if files is None else files.unionByName(here)
+        folders = level.filter("is_folder").select("rel_path")
+        tasks = max(tasks, min(100_000, folders.count() // FOLDERS_PER_TASK))
+    return files
+
+
+def _scan_folder(root: str, folder: str) -> Iterator[tuple]:
+    with os.scandir(os.path.join(root, folder)) as entries:
+        for entry in entries:
+            path = f"{folder}/{entry.name}" if folder else entry.name
+            if entry.is_dir(follow_symlinks=False):
+                yield path, True, None, None
+            elif entry.is_file():
+                try:
+                    stat = entry.stat()
+                    yield path, False, stat.st_size, stat.st_mtime
+                except OSError:
+                    yield path, False, None, None
 
 
 def hash_tree(spark: SparkSession, root: str, paths: DataFrame | None = None) -> DataFrame:
@@ -65,16 +102,23 @@ def _sha256(path: str) -> str | None:
     return state.hexdigest()
 
 
-def read_texts(spark: SparkSession, root: str, candidates: DataFrame) -> DataFrame:
+def read_texts(candidates: DataFrame, root: str) -> DataFrame:
     """Candidates found below `root` with their `text`; bytes that are no UTF-8 are dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    content = files.select(_relative(root), "content")
+    schema = StructType([*candidates.schema.fields, StructField("text", StringType())])
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(text=[_text(os.path.join(root, p)) for p in frame["rel_path"]])
+
+    return _spread(candidates, "rel_path").mapInPandas(load, schema).filter("text IS NOT NULL")
 
-    @F.pandas_udf("string")
-    def decode(data: pd.Series) -> pd.Series:
-        return data.map(lambda raw: bytes(raw).decode("utf-8", errors="ignore"))
 
-    return candidates.join(content, "rel_path").withColumn("text", decode("content")).drop("content")
+def _text(path: str) -> str | None:
+    try:
+        with open(path, encoding="utf-8", errors="ignore", newline=None) as source:
+            return source.read()
+    except OSError:
+        return None
 
 
 def apply_copies(routing: DataFrame, source: str, target: str) -> DataFrame:
