@@ -22,17 +22,25 @@ def _trim_tail(text: Column) -> Column:
     return F.regexp_replace(text, r"[ .]+\z", "")
 
 
-def safe_component(name: Column) -> Column:
-    """One path component every target file system accepts."""
-    cleaned = _trim_tail(strip(F.regexp_replace(name, UNSAFE, "_")))
-    has_dot = F.contains(cleaned, F.lit("."))
-    tail = F.substring_index(cleaned, ".", -1)
-    stem = F.left(cleaned, F.length(cleaned) - F.length(tail) - F.lit(1))
+def _shorten(name: Column) -> Column:
+    """At most MAX_COMPONENT characters, keeping a short extension."""
+    tail = F.substring_index(name, ".", -1)
+    has_dot = F.contains(name, F.lit("."))
     extension = F.when(has_dot & (F.length(tail) <= MAX_EXTENSION), F.concat(F.lit("."), tail)).otherwise("")
-    body = F.when(has_dot & (F.length(stem) > 0), stem).otherwise(cleaned)
+    before = F.left(name, F.length(name) - F.length(tail) - F.lit(1))
+    body = F.when(has_dot & (F.length(before) > 0), before).otherwise(name)
     cut = _trim_tail(strip(F.left(body, F.lit(MAX_COMPONENT) - F.length(extension))))
-    short = F.when(F.length(cleaned) > MAX_COMPONENT, F.concat(cut, extension)).otherwise(cleaned)
-    return F.when(F.length(short) > 0, short).otherwise("unnamed")
+    return F.when(F.length(name) > MAX_COMPONENT, F.concat(cut, extension)).otherwise(name)
+
+
+def safe_component(name: Column) -> Column:
+    """One path component every target file system accepts."""
+    # Most names pass as they are after one look; only the others are rewritten. The one-element
+    # arrays give a rewritten name a variable, so that each step is computed once.
+    suspect = F.rlike(name, F.lit(rf"{UNSAFE}|\A[{WHITESPACE}]|[{WHITESPACE}.]\z|\A\z"))
+    cleaned = F.array(_trim_tail(strip(F.regexp_replace(name, UNSAFE, "_"))))
+    rewritten = F.get(F.transform(F.transform(cleaned, _shorten), lambda n: _or(n, "unnamed")), F.lit(0))
+    return F.when(suspect | (F.length(name) > MAX_COMPONENT), rewritten).otherwise(name)
 
 
 def base_name(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from filecensus.functions import text
 from filecensus.operators.scale import (
-    CHUNK_ROWS, HOT_ROWS, cut_lineage, lookup, ordinal_chunk, ranked, running_totals)
+    CHUNK_ROWS, HOT_ROWS, cut_lineage, lookup, lookup_unweighted, ordinal_chunk, ranked, running_totals)
 
 MAX_ROUNDS = 1000
 _GROUP = ["_base", "_tag"]
@@ -35,12 +35,13 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
         used = cut_lineage(taken.select(text.fold_case(F.col(taken.columns[0])).alias("_key")).distinct())
     keyed = rows.withColumn("_base", text.fold_case(F.col(path))).withColumn("_tag", text.fold_case(F.col(tag)))
     keyed = cut_lineage(keyed)
-    state = cut_lineage(_place(keyed, used, keyed.count(), hot_rows, chunk_rows))
+    total = keyed.count()
+    state = cut_lineage(_place(keyed, used, total, hot_rows, chunk_rows))
     if used is not None:
-        blocks = _blocks_of_taken(used, state)
+        blocks = _blocks_of_taken(used, state, hot_rows)
         blocks = None if blocks.isEmpty() else blocks
     for _ in range(MAX_ROUNDS):
-        proposals = _propose(state, blocks, path, tag, name, chunk_rows)
+        proposals = _propose(state, blocks, path, tag, name, total, hot_rows, chunk_rows)
         claims = proposals.select("_key", "ordinal")
         if used is not None:
             claims = claims.unionByName(used.withColumn("ordinal", F.lit(-1).cast("bigint")))
@@ -85,7 +86,7 @@ def _place(keyed, used, total, hot_rows, chunk_rows):
     return ranked(ready, _GROUP, ["ordinal"], chunk, "_rank")
 
 
-def _blocks_of_taken(used, state):
+def _blocks_of_taken(used, state, hot_rows):
     """Blocks that taken names such as `stem__tag.ext` or `stem__tag_n.ext` put on existing groups.
 
     Reading them off the names only saves rounds: a taken name that is not recognised here is met
@@ -103,7 +104,9 @@ def _blocks_of_taken(used, state):
     readings = F.when(counter != "", F.array(plain, counted)).otherwise(F.array(plain))
     read = used.filter(rest != "").select(
         "_key", F.concat(text.parent(F.col("_key")), body, text.suffix(file)).alias("_base"), F.inline(readings))
-    return cut_lineage(read.join(groups, _GROUP).select(*_GROUP, "_start", "_index", "_key"))
+    # Copies of one file may have left a long run of names for one group.
+    matched = lookup_unweighted(read, groups, _GROUP, F.col("_key"), hot_rows, used.count())
+    return cut_lineage(matched.filter("_start IS NOT NULL").select(*_GROUP, "_start", "_index", "_key"))
 
 
 def _free_before(blocks, chunk_rows):
@@ -112,26 +115,28 @@ def _free_before(blocks, chunk_rows):
     return numbered.withColumn("_before", F.col("_index") - F.col("_start") - F.col("_nth"))
 
 
-def _propose(state, blocks, path, tag, name, chunk_rows):
+def _propose(state, blocks, path, tag, name, total, hot_rows, chunk_rows):
     """Every row's current name: the free name of its group at the row's rank."""
     if blocks is None:
         indexed = state.withColumn("_index", F.col("_start") + F.col("_rank"))
     else:
-        held = blocks.select(*_GROUP).distinct()
+        held = blocks.select(*_GROUP).distinct().withColumn("_held", F.lit(True))
+        flagged = lookup_unweighted(state, held, _GROUP, F.col("ordinal"), hot_rows, total)
         steps = (
             _free_before(blocks, chunk_rows)
             .groupBy(*_GROUP, F.col("_before").alias("_rank"))
             .agg(F.count(F.lit(1)).alias("_skip"))
             .withColumn("_is_row", F.lit(0))
         )
-        affected = state.join(held, _GROUP, "left_semi").withColumn("_is_row", F.lit(1))
+        affected = flagged.filter("_held").drop("_held").withColumn("_is_row", F.lit(1))
         merged = affected.unionByName(steps, allowMissingColumns=True)
         skipped = running_totals(
             merged, _GROUP, ["_rank", "_is_row"], F.floor(F.col("_rank") / chunk_rows).cast("bigint"),
             {"_skipped": F.coalesce(F.col("_skip"), F.lit(0))})
         moved = skipped.filter("_is_row = 1").withColumn(
             "_index", F.col("_start") + F.col("_rank") + F.col("_skipped"))
-        untouched = state.join(held, _GROUP, "left_anti").withColumn("_index", F.col("_start") + F.col("_rank"))
+        untouched = flagged.filter("_held IS NULL").drop("_held").withColumn(
+            "_index", F.col("_start") + F.col("_rank"))
         indexed = untouched.unionByName(moved.select(*untouched.columns))
     candidate = text.candidate_path(F.col(path), F.col(tag), F.col("_index"))
     return indexed.withColumn(name, candidate).withColumn("_key", text.fold_case(F.col(name)))

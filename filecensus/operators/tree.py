@@ -15,21 +15,21 @@ def _component() -> Column:
     return text.safe_component(F.coalesce(F.col("name"), F.col("id")))
 
 
-def _parents(items: DataFrame) -> DataFrame:
-    """(source_ordinal, id, up, name): what an id stands for as a parent; its last listing counts."""
-    last = F.max_by(F.struct(F.get("parents", F.lit(0)).alias("up"), _component().alias("name")), F.col("position"))
-    return items.groupBy("source_ordinal", "id").agg(last.alias("_v")).select(
-        "source_ordinal", "id", F.col("_v.up").alias("up"), F.col("_v.name").alias("name"))
-
-
 def _inner_nodes(items: DataFrame) -> DataFrame:
-    """The ids that are somebody's parent, without links that leave the source."""
-    used = items.select("source_ordinal", F.get("parents", F.lit(0)).alias("id")).filter("id IS NOT NULL").distinct()
-    nodes = _parents(items).join(used, ["source_ordinal", "id"], "left_semi")
+    """(source_ordinal, id, up, name) of the ids that are somebody's parent.
+
+    An id listed twice in a source is what its last listing says; links that leave the source are
+    dropped.
+    """
+    links = items.select("source_ordinal", "id", F.get("parents", F.lit(0)).alias("up"), "name", "position")
+    used = links.filter("up IS NOT NULL").select("source_ordinal", F.col("up").alias("id")).distinct()
+    last = F.max_by(F.struct("up", F.coalesce("name", "id").alias("name")), "position").alias("_last")
+    nodes = links.join(used, ["source_ordinal", "id"], "left_semi").groupBy("source_ordinal", "id").agg(last)
     known = nodes.select("source_ordinal", F.col("id").alias("up"), F.lit(True).alias("_known"))
-    linked = nodes.join(known, ["source_ordinal", "up"], "left")
+    linked = nodes.select("source_ordinal", "id", "_last.*").join(known, ["source_ordinal", "up"], "left")
     return linked.select(
-        "source_ordinal", "id", F.when(F.col("_known"), F.col("up")).alias("up"), F.col("name"))
+        "source_ordinal", "id", F.when(F.col("_known"), F.col("up")).alias("up"),
+        text.safe_component(F.col("name")).alias("name"))
 
 
 def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from filecensus.functions import measures, rules, text
 from filecensus.operators.naming import unique_paths
+from filecensus.operators.scale import HOT_ROWS, lookup
 
 ACTIONS = ["keep", "quarantine", "skip"]
 _ROUTED = ["ordinal", "src_rel", "dest_rel", "kind", "size"]
@@ -47,9 +48,8 @@ def plan_action(action) -> F.Column:
 def _last_rows(plan: DataFrame) -> DataFrame:
     """The plan row that counts for each source: the last one."""
     last = F.max_by(F.struct("action", "dest_rel"), "plan_ordinal").alias("_row")
-    return plan.groupBy(F.coalesce("src_rel", F.lit("")).alias("src_rel")).agg(
-        last, F.max("plan_ordinal").alias("plan_ordinal")
-    ).select("src_rel", "plan_ordinal", plan_action(F.col("_row.action")).alias("action"),
+    return plan.groupBy(F.coalesce("src_rel", F.lit("")).alias("src_rel")).agg(last).select(
+        "src_rel", plan_action(F.col("_row.action")).alias("action"),
              F.col("_row.dest_rel").alias("plan_dest"))
 
 
@@ -63,7 +63,7 @@ def bad_destination(path) -> F.Column:
     return F.startswith(path, F.lit("/")) | climbs | (text.strip(path) == "")
 
 
-def plan_validation(plan: DataFrame, entries: DataFrame) -> DataFrame:
+def plan_validation(plan: DataFrame, entries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every plan row with its first problem, if any, and its warnings.
 
     An unknown action is a problem in any row. A destination is checked where it would be used: in
@@ -74,9 +74,11 @@ def plan_validation(plan: DataFrame, entries: DataFrame) -> DataFrame:
     rows = plan.select(
         "plan_ordinal", F.coalesce("src_rel", F.lit("")).alias("src_rel"),
         plan_action(F.col("action")).alias("action"), F.coalesce("dest_rel", F.lit("")).alias("dest_rel"))
-    counts = _last_rows(plan).select("plan_ordinal", F.lit(True).alias("_counts"))
-    joined = rows.join(counts, "plan_ordinal", "left").join(done, "src_rel", "left")
-    used = F.col("_counts") & F.col("_matched") & F.col("action").isin("keep", "quarantine")
+    # Any number of rows may share a source, above all the empty one.
+    sources = rows.groupBy("src_rel").agg(F.count(F.lit(1)).alias("_n"), F.max("plan_ordinal").alias("_last"))
+    joined = lookup(rows, sources.join(done, "src_rel", "left"), ["src_rel"], "_n", F.col("plan_ordinal"), hot_rows)
+    counts = F.col("_last") == F.col("plan_ordinal")
+    used = counts & F.col("_matched") & F.col("action").isin("keep", "quarantine")
     outside = used & (F.col("dest_rel") != "") & bad_destination(F.col("dest_rel"))
     known = F.col("action").isin(ACTIONS)
     target = text.normal_path(F.col("dest_rel"))
@@ -86,7 +88,7 @@ def plan_validation(plan: DataFrame, entries: DataFrame) -> DataFrame:
         F.when(~known, "unknown_action").when(outside, "bad_destination").alias("problem"),
         other_case.alias("warn_case"),
         (F.col("src_rel") == "").alias("empty_source"),
-        F.col("_counts").isNull().alias("superseded"),
+        (~counts).alias("superseded"),
         F.col("_matched").isNull().alias("no_file"),
     )
 

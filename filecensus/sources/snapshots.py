@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filecensus.operators.catalog import coerce_entries, status_counts, upsert
-from filecensus.schemas import ENTRY_COLUMNS, SNAPSHOT_DOCUMENT
+from filecensus.schemas import ENTRY, ENTRY_COLUMNS, SNAPSHOT_DOCUMENT
 
 _KEYS = ["account", "snapshot"]
-HEADER_COLUMNS = [*_KEYS, "expected_total", "expected_bytes", "count", "done", "total_bytes"]
+HEADER = "expected_total bigint, expected_bytes bigint, count bigint, done bigint, total_bytes bigint"
 
 
 def write_snapshot(entries: DataFrame, account: str, snapshot: str, expected_total: int, expected_bytes: int,
@@ -29,17 +29,16 @@ def write_snapshot(entries: DataFrame, account: str, snapshot: str, expected_tot
 
 
 def read_entries(spark: SparkSession, root: str, account: str | None = None, snapshot: str | None = None) -> DataFrame:
-    return _read(spark, f"{root}/entries", account, snapshot)
+    return _read(spark, f"{root}/entries", ENTRY, account, snapshot)
 
 
 def read_headers(spark: SparkSession, root: str, account: str | None = None, snapshot: str | None = None) -> DataFrame:
-    return _read(spark, f"{root}/headers", account, snapshot)
+    return _read(spark, f"{root}/headers", HEADER, account, snapshot)
 
 
-def _read(spark, folder, account, snapshot):
-    # Without inference, names such as 20240101_000000 stay text.
-    rows = spark.read.option("basePath", folder).parquet(folder)
-    rows = rows.withColumns({name: F.col(name).cast("string") for name in _KEYS})
+def _read(spark, folder, columns, account, snapshot):
+    # The stated schema keeps partition names text: accounts may look like numbers.
+    rows = spark.read.schema(f"{columns}, account string, snapshot string").parquet(folder)
     if account is not None:
         rows = rows.filter(F.col("account") == account)
     return rows if snapshot is None else rows.filter(F.col("snapshot") == snapshot)
@@ -69,7 +68,7 @@ def document_entries(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def document_headers(documents: DataFrame) -> DataFrame:
     """Header scalars without the entries."""
-    numbers = ["expected_total", "expected_bytes", "count", "done", "total_bytes"]
+    numbers = [field.split()[0] for field in HEADER.split(", ")]
     return documents.select(
         *_KEYS, *[F.coalesce(F.col(n).try_cast("bigint"), F.lit(0)).alias(n) for n in numbers])
 

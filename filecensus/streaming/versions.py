@@ -7,25 +7,35 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+KEPT = 10
+
 
 def _files(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
 
+def _versions(system, path) -> list[tuple[str, int]]:
+    names = [status.getPath().getName() for status in system.listStatus(path)]
+    return [(n, int(n.split("=")[1])) for n in names if n.startswith("version=")]
+
+
 def before(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
     """The newest version written by an earlier batch."""
     system, path = _files(spark, folder)
     if not system.exists(path):
         return None
-    names = [status.getPath().getName() for status in system.listStatus(path)]
-    numbers = [int(n.split("=")[1]) for n in names if n.startswith("version=")]
-    earlier = [n for n in numbers if n < batch_id]
+    earlier = [number for _, number in _versions(system, path) if number < batch_id]
     return spark.read.parquet(f"{folder}/version={max(earlier)}") if earlier else None
 
 
 def write(rows: DataFrame, folder: str, batch_id: int) -> None:
+    """Write a version. Only the few last ones can be asked for again; older ones go."""
     rows.write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+    system, path = _files(rows.sparkSession, folder)
+    for name, number in _versions(system, path):
+        if number < batch_id - KEPT:
+            system.delete(rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path, name), True)
 
 
 def newest(spark: SparkSession, folder: str) -> DataFrame | None:
