@@ -7,6 +7,7 @@ import os
 import sys
 import time
 
+from filecensus.operators.scale import release
 from filecensus.queries import QUERIES
 from filecensus.session import local_session
 
@@ -33,6 +34,7 @@ def main() -> None:
     for name in names:
         run(spark, folder, name)
         times[name] = round(min(run(spark, folder, name) for _ in range(2)), 3)
+    release(spark)
     print(json.dumps({
         "metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": folder.rstrip("/").rsplit("sf", 1)[-1],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,6 +16,11 @@ HOT_KEYS = 4096
 CHUNK_ROWS = 1_000_000
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="filecensus-")
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the session names; a local session without one gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,9 +28,18 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="filecensus-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{checkpoint_folder(spark)}/filecensus-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; frames built on them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
@@ -33,7 +48,7 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     It outlives lost executors, later passes read only the columns they need, and its true size
     lets joins with it be planned from the start.
     """
-    table = f"{checkpoint_folder(frame.sparkSession)}/filecensus-{uuid.uuid4().hex}"
+    table = f"{run_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
     frame.write.parquet(table)
     return frame.sparkSession.read.schema(frame.schema).parquet(table)
 

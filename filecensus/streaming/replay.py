@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filecensus.bridge import spark_view
-from filecensus.operators.scale import checkpoint_folder
+from filecensus.operators.scale import run_folder
 from filecensus.streaming import breaker, live, upserts
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _stream(spark: SparkSession, folder: str, view: str) -> DataFrame:

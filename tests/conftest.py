@@ -6,6 +6,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
+from filecensus.operators.scale import release  # noqa: E402
 from filecensus.session import local_session  # noqa: E402
 
 
@@ -13,4 +14,18 @@ from filecensus.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     session = local_session("tests", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    release(session)
+
+
+@pytest.fixture
+def interpreted(spark):
+    """Many tiny jobs spend their time compiling; property tests run them interpreted."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+                "spark.sql.shuffle.partitions": "2"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)

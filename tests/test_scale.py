@@ -63,3 +63,27 @@ def test_context_blocks(spark):
     assert own == {i: i // 10 for i in range(100)}
     assert sorted((r["place"], r["block"]) for r in got if r["context"]) == sorted(
         (i, i // 10 + 1) for i in range(100) if i % 10 >= 7)
+
+
+def test_tables_go_to_the_shared_folder(monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            folder = None
+
+            @classmethod
+            def get(cls, name, default):
+                assert name == "spark.checkpoint.dir"
+                return cls.folder or default
+
+    with pytest.raises(RuntimeError):
+        scale.checkpoint_folder(Session)
+    Session.conf.folder = "hdfs://shared/checkpoints"
+    assert scale.run_folder(Session) == "hdfs://shared/checkpoints/filecensus-app-1"
+    Session.conf.folder = None
+    Session.sparkContext.master = "local[2]"
+    assert scale.checkpoint_folder(Session) == scale.checkpoint_folder(Session)

@@ -113,3 +113,21 @@ def test_failure_class(spark):
     frame = spark.createDataFrame(rows, "s int, r string, e int, x string, want string")
     got = frame.select(rules.failure_class(F.col("s"), F.col("r"), F.col("e"), F.col("x")).alias("got"), "want").collect()
     assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
+def test_measures(spark):
+    from filecensus.functions import measures
+
+    def value(column):
+        return spark.range(1).select(column).first()[0]
+
+    lit = F.lit
+    assert value(measures.run_rate(lit(None).cast("double"), lit(700), lit(10.0))) == 70.0
+    assert value(measures.run_rate(lit(None).cast("double"), lit(700), lit(0.0))) == 0.0
+    assert value(measures.resumed_rate(lit(900), lit(400), lit(10.0))) == 50.0
+    assert value(measures.resumed_rate(lit(300), lit(400), lit(10.0))) == 0.0
+    assert value(measures.remaining_bytes(lit(0), lit(0), lit(300), lit(3), lit(10))) == 700.0
+    assert value(measures.percent_bytes(lit(43), lit(0), lit(3), lit(10))) == 30.0
+    assert value(measures.in_units(lit(5 * 1024 ** 3 // 2), measures.GIB, 0)) == 2.0
+    for remaining, rate, text_ in [(7265.0, 1.0, "2h01m"), (125.0, 1.0, "2m05s"), (9.9, 1.0, "9s"), (5.0, 0.0, "?")]:
+        assert value(measures.eta_text(lit(remaining), lit(rate))) == text_

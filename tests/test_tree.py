@@ -12,6 +12,8 @@ ITEM = ("source_ordinal int, drive_id string, drive_name string, shared_with_me
         "shortcut_target string")
 DOC = "application/vnd.google-apps.document"
 
+pytestmark = pytest.mark.usefixtures("interpreted")
+
 
 def item(source, position, id, name, parent=None, mime="text/plain", drive="My Drive", shared=False, size="1", target=None):
     parents = [parent] if parent else []
