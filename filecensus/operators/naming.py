@@ -45,28 +45,29 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
         claims = proposals.select("_key", "ordinal")
         if used is not None:
             claims = claims.unionByName(used.withColumn("ordinal", F.lit(-1).cast("bigint")))
-        contested = (
-            claims.groupBy("_key")
-            .agg(F.min("ordinal").alias("_holder"), F.count(F.lit(1)).alias("_claims"))
-            .filter("_claims > 1")
-        )
-        lost = cut_lineage(
-            proposals.select(*_GROUP, "_start", "_index", "_key", "ordinal")
-            .join(contested, "_key")
-            .filter("ordinal > _holder")
-            .select(*_GROUP, "_start", "_index", "_key")
-        )
+        lost = _lost(proposals, claims)
         lifted = None if blocks is None else cut_lineage(_unjustified(blocks, state, claims, chunk_rows))
-        if lost.isEmpty() and (lifted is None or lifted.isEmpty()):
+        if lost is None and (lifted is None or lifted.isEmpty()):
             return proposals.select(*rows.columns, name)
         if blocks is None:
             blocks = lost
         else:
             kept = blocks.join(lifted, [*_GROUP, "_index"], "left_anti")
-            blocks = cut_lineage(kept.unionByName(lost).dropDuplicates([*_GROUP, "_index"]))
+            grown = kept if lost is None else kept.unionByName(lost).dropDuplicates([*_GROUP, "_index"])
+            blocks = cut_lineage(grown)
     raise RuntimeError(f"names not settled after {MAX_ROUNDS} rounds")
 
 
+def _lost(proposals, claims):
+    """Names that rows propose although an earlier claim holds them; None when there are none."""
+    held = claims.groupBy("_key").agg(F.min("ordinal").alias("_holder"), F.count(F.lit(1)).alias("_claims"))
+    contested = cut_lineage(held.filter("_claims > 1").drop("_claims"))
+    if contested.isEmpty():
+        return None
+    lost = proposals.join(contested, "_key").filter("ordinal > _holder")
+    return cut_lineage(lost.select(*_GROUP, "_start", "_index", "_key"))
+
+
 def _place(keyed, used, total, hot_rows, chunk_rows):
     """Rank of every row within its group, and the first index the group may use.
 

@@ -13,9 +13,12 @@ from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup
 # Default threshold, and how much of a text is compared.
 THRESHOLD = 0.95
 TEXT_CHARS = 8000
-# Bounds of one round's anchors, which are sent to every task.
-BATCH_ROWS = 4096
+# Bound of one round's batch, whose anchors are sent to every task, and the least rows worth a round.
 BATCH_BYTES = 32 * 1024 * 1024
+BATCH_ROWS = 1024
+# Rows and anchors multiplied at a time: a block of similarities takes 16 MB.
+BLOCK = 1024
+TILE = 2048
 
 
 def embed_texts(files: DataFrame, embed) -> DataFrame:
@@ -24,7 +27,7 @@ def embed_texts(files: DataFrame, embed) -> DataFrame:
         "embedding IS NOT NULL AND size(embedding) > 0").drop("text")
 
 
-def near_members(vectors: DataFrame, threshold: float = THRESHOLD, batch_rows: int = BATCH_ROWS,
+def near_members(vectors: DataFrame, threshold: float = THRESHOLD, batch_rows: int | None = None,
                  hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every row that repeats an earlier one: its anchor and their similarity.
 
@@ -66,24 +69,37 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
+def _tiles(anchors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    for begin in range(0, len(anchors), TILE):
+        yield begin, anchors[begin:begin + TILE]
+
+
 def _choose_anchors(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Anchors among a batch in ordinal order; rows of different length never match."""
     kept = []
     for _, same in batch.groupby(batch["embedding"].map(len)):
         units = _unit(same["embedding"])
-        free = np.ones(len(same), dtype=bool)
-        for i in range(len(same)):
-            if free[i]:
-                free[i + 1:] &= units[i + 1:] @ units[i] < threshold
-        kept.append(same[free])
+        chosen = np.empty(0, dtype=np.int64)
+        for begin in range(0, len(units), BLOCK):
+            block = units[begin:begin + BLOCK]
+            free = np.ones(len(block), dtype=bool)
+            for _, tile in _tiles(units[chosen]):
+                free &= ~(block @ tile.T >= threshold).any(axis=1)
+            close = block @ block.T >= threshold
+            for i in range(len(block)):
+                if free[i]:
+                    free[i + 1:] &= ~close[i, i + 1:]
+            chosen = np.concatenate([chosen, begin + np.flatnonzero(free)])
+        kept.append(same.iloc[chosen])
     return pd.concat(kept).sort_values("head")
 
 
-def _leaders(classes: DataFrame, threshold: float, batch_rows: int) -> DataFrame:
+def _leaders(classes: DataFrame, threshold: float, batch_rows: int | None) -> DataFrame:
     """(head, anchor, anchor_path, similarity) of every class, in rounds of bounded batches."""
     context = classes.sparkSession.sparkContext
-    width = classes.agg(F.max(F.size("embedding"))).first()[0] or 1
-    limit = max(1, min(batch_rows, BATCH_BYTES // (8 * width)))
+    rows, width = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    wanted = batch_rows or max(BATCH_ROWS, rows // 16)
+    limit = max(1, min(wanted, BATCH_BYTES // (8 * (width or 1))))
     undecided = classes.select("head", "path", "embedding")
     schema = "head bigint, path string, embedding array<double>, anchor bigint, anchor_path string, similarity double"
     parts = []
@@ -115,20 +131,23 @@ def _leaders(classes: DataFrame, threshold: float, batch_rows: int) -> DataFrame
 
 def _nearest_first(frame: pd.DataFrame, anchors, threshold: float) -> pd.DataFrame:
     """Mark each row with the first anchor at or above the threshold; an anchor marks itself."""
-    frame = frame.copy()
-    frame["anchor"] = pd.array([pd.NA] * len(frame), dtype="Int64")
-    frame["anchor_path"] = None
-    frame["similarity"] = np.nan
-    if anchors is None:
-        return frame
-    units, heads, paths = anchors
-    similarity = _unit(frame["embedding"]) @ units.T
-    own = frame["head"].to_numpy()
-    close = (similarity >= threshold) & (heads[None, :] < own[:, None])
-    close |= heads[None, :] == own[:, None]
-    hit = close.any(axis=1)
-    first = close.argmax(axis=1)
-    frame.loc[hit, "anchor"] = heads[first[hit]]
-    frame.loc[hit, "anchor_path"] = paths[first[hit]]
-    frame.loc[hit, "similarity"] = similarity[np.flatnonzero(hit), first[hit]]
-    return frame
+    place = np.full(len(frame), -1, dtype=np.int64)
+    similarity = np.full(len(frame), np.nan)
+    if anchors is not None:
+        units, heads, paths = anchors
+        vectors, own = _unit(frame["embedding"]), frame["head"].to_numpy()
+        for rows in np.array_split(np.arange(len(frame)), len(frame) // BLOCK + 1):
+            for begin, tile in _tiles(units):
+                rows = rows[place[rows] < 0]
+                products = vectors[rows] @ tile.T
+                before = heads[None, begin:begin + TILE]
+                close = ((products >= threshold) & (before < own[rows, None])) | (before == own[rows, None])
+                hit, first = close.any(axis=1), close.argmax(axis=1)
+                place[rows[hit]] = begin + first[hit]
+                similarity[rows[hit]] = products[hit, first[hit]]
+    found = place >= 0
+    marked = frame.assign(similarity=similarity, anchor=pd.array([pd.NA] * len(frame), dtype="Int64"), anchor_path=None)
+    if found.any():
+        marked.loc[found, "anchor"] = heads[place[found]]
+        marked.loc[found, "anchor_path"] = paths[place[found]]
+    return marked
