@@ -74,17 +74,16 @@ def _place(keyed, used, total, hot_rows, chunk_rows):
     The plain path is index 0. Only the group of the path's first row may try it, and only if it is
     not taken.
     """
-    bases = keyed.groupBy("_base").agg(
-        F.count(F.lit(1)).alias("_n"), F.min_by("_tag", "ordinal").alias("_lead"))
+    bases = keyed.groupBy("_base").agg(F.count(F.lit(1)).alias("_n"), F.min("ordinal").alias("_first"))
     if used is not None:
         plain = used.select(F.col("_key").alias("_base"), F.lit(True).alias("_used"))
-        lead = F.when(F.col("_used").isNull(), F.col("_lead"))
-        bases = bases.join(plain, "_base", "left").select("_base", "_n", lead.alias("_lead"))
+        free = F.when(F.col("_used").isNull(), F.col("_first"))
+        bases = bases.join(plain, "_base", "left").select("_base", "_n", free.alias("_first"))
     placed = lookup(keyed, bases, ["_base"], "_n", F.col("ordinal"), hot_rows, total)
-    start = F.when(F.col("_lead") == F.col("_tag"), 0).otherwise(1).cast("bigint")
-    ready = placed.withColumn("_start", start).drop("_n", "_lead")
     chunk = None if total < chunk_rows else ordinal_chunk("ordinal", chunk_rows)
-    return ranked(ready, _GROUP, ["ordinal"], chunk, "_rank")
+    numbered = ranked(placed.drop("_n"), _GROUP, ["ordinal"], chunk, "_rank", "_lead")
+    start = F.when(F.col("_lead") == F.col("_first"), 0).otherwise(1).cast("bigint")
+    return numbered.withColumn("_start", start).drop("_lead", "_first")
 
 
 def _blocks_of_taken(used, state, hot_rows):

@@ -115,13 +115,29 @@ def running_totals(rows: DataFrame, keys: list[str], order: list[str], chunk: Co
     return joined.select(*rows.columns, *totals)
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str], chunk: Column | None, name: str) -> DataFrame:
-    """Zero-based place of every row within its key; without a chunk, keys are known to be small."""
+def ranked(rows: DataFrame, keys: list[str], order: list[str], chunk: Column | None, name: str,
+           first: str | None = None) -> DataFrame:
+    """Zero-based place of every row within its key, and as `first` the key's smallest `order[0]`.
+
+    Without a chunk, keys are known to be small.
+    """
+    firsts = {} if first is None else {first: order[0]}
+    chunked = rows.withColumn("_chunk", F.lit(0) if chunk is None else chunk)
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    local = chunked.select(
+        "*", (F.row_number().over(inside).cast("bigint") - 1).alias(name),
+        *[F.first(source).over(inside).alias(out) for out, source in firsts.items()])
     if chunk is None:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return rows.withColumn(name, place.cast("bigint") - 1)
-    counted = running_totals(rows, keys, order, chunk, {name: F.lit(1).cast("bigint")})
-    return counted.withColumn(name, F.col(name) - 1)
+        return local.drop("_chunk")
+    counts = chunked.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"), *[F.min(source).alias(f"_{out}") for out, source in firsts.items()])
+    across = Window.partitionBy(*keys).orderBy("_chunk")
+    later = counts.select(
+        *keys, "_chunk", F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        *[F.first(f"_{out}").over(across).alias(f"_{out}") for out in firsts]).filter("_before > 0")
+    place = (F.col(name) + F.coalesce("_before", F.lit(0))).alias(name)
+    heads = [F.coalesce(f"_{out}", out).alias(out) for out in firsts]
+    return local.join(later, [*keys, "_chunk"], "left").select(*rows.columns, place, *heads)
 
 
 def ordinal_chunk(ordinal: str = "ordinal", chunk_rows: int = CHUNK_ROWS) -> Column:
@@ -135,6 +151,8 @@ def with_context(rows: DataFrame, place: str, before: int, block_rows: int) -> D
     A window over (key, `block`) that looks back at most `before` rows is then exact for the rows
     whose `context` is false.
     """
+    if before > block_rows:
+        raise ValueError("a block must hold at least the rows looked back on")
     block = F.floor(F.col(place) / block_rows).cast("bigint")
     own = F.struct(block.alias("block"), F.lit(False).alias("context"))
     ahead = F.struct((block + 1).alias("block"), F.lit(True).alias("context"))

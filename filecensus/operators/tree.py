@@ -146,6 +146,7 @@ def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_RO
     emitted = build_paths(first_seen(files, "id", ["source_ordinal", "position"]), items, hot_rows)
     extension = F.coalesce(F.col("_export.extension"), F.lit(""))
     return emitted.select(
+        # Sources stay below 2^20 and positions below 2^42, so this orders rows as they were listed.
         (F.col("source_ordinal").cast("bigint") * F.lit(1 << 42) + F.col("position")).alias("ordinal"),
         F.col("id").alias("file_id"),
         F.coalesce(F.col("name"), F.col("id")).alias("name"),

@@ -14,7 +14,8 @@ _ROUTED = ["ordinal", "src_rel", "dest_rel", "kind", "size"]
 
 def _settle(wanted: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Make the wanted destinations unique; equal names are told apart by content hash."""
-    tagged = wanted.withColumn("_hash_tag", text.hash_tag(F.col("sha256")))
+    tagged = wanted.select(
+        "ordinal", "src_rel", "wanted", "kind", "size", text.hash_tag(F.col("sha256")).alias("_hash_tag"))
     return unique_paths(tagged, "wanted", "_hash_tag", existing, "dest_rel").select(*_ROUTED)
 
 

@@ -27,7 +27,6 @@ LISTING_ITEM = (
 LISTING_PAGE = f"nextPageToken string, files array<{LISTING_ITEM}>"
 DRIVES_PAGE = "nextPageToken string, drives array<struct<id: string, name: string>>"
 
-PLAN = "action string, src_rel string, dest_rel string, reason string"
 PLAN_COLUMNS = ["action", "src_rel", "dest_rel", "reason"]
 
 HEARTBEAT = (

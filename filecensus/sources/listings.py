@@ -9,6 +9,9 @@ from filecensus.schemas import DRIVES_PAGE, LISTING_PAGE
 # Names of the two sources every account has.
 MY_DRIVE = "My Drive"
 SHARED_WITH_ME = "Shared with me"
+# Place of the shared items: behind every shared drive, and small enough for ordinals to stay bigints.
+SHARED_ORDINAL = 1_000_000
+DRIVES_PER_PAGE = 100
 _PAGE_SHIFT = 1 << 20
 
 
@@ -20,11 +23,11 @@ def read_sources(spark: SparkSession, drives: str) -> DataFrame:
     pages = spark.read.schema(DRIVES_PAGE).option("multiLine", True).json(drives)
     listed = pages.select(_page_number().alias("page"), F.posexplode("drives").alias("pos", "drive"))
     shared = listed.select(
-        (F.lit(1) + F.col("page") * 1000 + F.col("pos")).cast("int").alias("source_ordinal"),
+        (F.lit(1) + F.col("page") * DRIVES_PER_PAGE + F.col("pos")).cast("int").alias("source_ordinal"),
         F.col("drive.id").alias("drive_id"), F.coalesce("drive.name", "drive.id").alias("drive_name"),
         F.lit(False).alias("shared_with_me"))
     ends = spark.createDataFrame(
-        [(0, "", MY_DRIVE, False), (2_000_000_000, "", SHARED_WITH_ME, True)],
+        [(0, "", MY_DRIVE, False), (SHARED_ORDINAL, "", SHARED_WITH_ME, True)],
         "source_ordinal int, drive_id string, drive_name string, shared_with_me boolean")
     return ends.unionByName(shared)
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.schemas import PLAN, PLAN_COLUMNS
+from filecensus.operators.scale import numbered
+from filecensus.schemas import PLAN_COLUMNS
 
 
 def write_plan(plan: DataFrame, folder: str) -> None:
@@ -25,13 +26,7 @@ def read_plan(spark: SparkSession, path: str) -> DataFrame:
     texts = [F.coalesce(col.cast("string"), F.lit("")).alias(c) for col, c in zip(wanted, PLAN_COLUMNS)]
     # A quoted field may span lines, so a file is one split; file names order the parts.
     place = F.struct(F.col("_metadata.file_name"), F.monotonically_increasing_id())
-    return _ordered(rows.select(*texts, place.alias("_place")))
-
-
-def _ordered(rows: DataFrame) -> DataFrame:
-    from filecensus.operators.scale import numbered
-
-    return numbered(rows, ["_place"], "plan_ordinal").drop("_place")
+    return numbered(rows.select(*texts, place.alias("_place")), ["_place"], "plan_ordinal").drop("_place")
 
 
 def write_report(row: DataFrame, path: str, details: DataFrame | None = None) -> None:
@@ -39,6 +34,3 @@ def write_report(row: DataFrame, path: str, details: DataFrame | None = None) ->
     row.write.mode("overwrite").json(f"{path}/summary")
     if details is not None:
         details.write.mode("overwrite").json(f"{path}/details")
-
-
-__all__ = ["PLAN", "read_plan", "write_plan", "write_report"]

@@ -5,11 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from filecensus.functions import text
-from filecensus.operators import catalog, diff, duplicates, failures, progress, verify
+from filecensus.operators import catalog, diff, duplicates, failures, progress, tree, verify
 from filecensus.plans import funnel, layout, proposal, purge
 from filecensus.schemas import ENTRY
-from filecensus.sources import heartbeats, listings, plans, snapshots
+from filecensus.sources import listings, plans, snapshots
 
 TREE = "rel_path string, size bigint, sha256 string, readable boolean"
 
@@ -312,6 +311,12 @@ def test_listing_pages(spark, tmp_path):
     assert [(r["id"], r["size"], r["shortcut_target"], r["drive_name"]) for r in items] == [
         ("b", "5", None, "My Drive"), ("c", None, "b", "My Drive")]
     assert items[1]["owners"] == ["m"] and items[0]["position"] < items[1]["position"]
+    last = tmp_path / "pages" / f"source_ordinal={listings.SHARED_ORDINAL}"
+    last.mkdir()
+    (last / "page-4000000.json").write_text(json.dumps({"files": [{"id": "b", "name": "again"}, {"id": "d", "name": "d:1"}]}))
+    files = tree.walk(listings.read_listing(spark, str(tmp_path / "pages"), sources)).orderBy("ordinal").collect()
+    assert [(r["file_id"], r["rel_path"], r["size"]) for r in files] == [
+        ("b", "My Drive/b", 5), ("d", "Shared with me/d_1", 0)]
 
 
 def test_plan_csv(spark, tmp_path):

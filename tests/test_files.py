@@ -3,7 +3,6 @@
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from filecensus.operators import verify
 from filecensus.sources import trees
