@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup
+from filecensus.operators.scale import HOT_ROWS, cut_lineage, drop, lookup, new_table
 
 # Default threshold, and how much of a text is compared.
 THRESHOLD = 0.95
@@ -94,20 +95,23 @@ def _choose_anchors(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.concat(kept).sort_values("head")
 
 
+_OPEN = "head bigint, path string, embedding array<double>"
+_DECIDED = "head bigint, anchor bigint, anchor_path string, similarity double"
+
+
 def _leaders(classes: DataFrame, threshold: float, batch_rows: int | None) -> DataFrame:
     """(head, anchor, anchor_path, similarity) of every class, in rounds of bounded batches."""
-    context = classes.sparkSession.sparkContext
+    spark = classes.sparkSession
     rows, width = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     wanted = batch_rows or max(BATCH_ROWS, rows // 16)
     limit = max(1, min(wanted, BATCH_BYTES // (8 * (width or 1))))
     undecided = classes.select("head", "path", "embedding")
-    schema = "head bigint, path string, embedding array<double>, anchor bigint, anchor_path string, similarity double"
-    parts = []
-    while True:
+    table, places = new_table(spark), "round int, open boolean"
+    for number in itertools.count():
         batch = undecided.orderBy("head").limit(limit).toPandas()
         if batch.empty:
             break
-        anchors = context.broadcast(_choose_anchors(batch, threshold))
+        anchors = spark.sparkContext.broadcast(_choose_anchors(batch, threshold))
 
         def match(frames: Iterator[pd.DataFrame], anchors=anchors) -> Iterator[pd.DataFrame]:
             by_width = {
@@ -118,15 +122,19 @@ def _leaders(classes: DataFrame, threshold: float, batch_rows: int | None) -> Da
                 for width, same in frame.groupby(frame["embedding"].map(len)):
                     yield _nearest_first(same, by_width.get(width), threshold)
 
-        marked = cut_lineage(undecided.mapInPandas(match, schema))
-        parts.append(marked.filter("anchor IS NOT NULL").select("head", "anchor", "anchor_path", "similarity"))
-        undecided = marked.filter("anchor IS NULL").select("head", "path", "embedding")
-    if not parts:
-        return classes.sparkSession.createDataFrame([], "head bigint, anchor bigint, anchor_path string, similarity double")
-    decided = parts[0]
-    for part in parts[1:]:
-        decided = decided.unionByName(part)
-    return decided
+        # One pass writes decisions and the rows still open side by side; open rows of the round
+        # before are then no longer needed.
+        marked = undecided.mapInPandas(match, f"{_OPEN}, anchor bigint, anchor_path string, similarity double")
+        split = marked.withColumns({
+            "open": F.col("anchor").isNull(), "embedding": F.when(F.col("anchor").isNull(), F.col("embedding"))})
+        split.write.partitionBy("open").parquet(f"{table}/round={number}")
+        anchors.destroy()
+        drop(spark, f"{table}/round={number - 1}/open=true")
+        here = spark.read.schema(f"{_OPEN}, {places}").option("basePath", table).parquet(f"{table}/round={number}")
+        undecided = here.filter("open").select("head", "path", "embedding")
+    if not number:
+        return spark.createDataFrame([], _DECIDED)
+    return spark.read.schema(f"{_DECIDED}, {places}").parquet(table).filter("NOT open").drop("open", "round")
 
 
 def _nearest_first(frame: pd.DataFrame, anchors, threshold: float) -> pd.DataFrame:

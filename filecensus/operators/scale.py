@@ -36,10 +36,18 @@ def run_folder(spark: SparkSession) -> str:
     return f"{checkpoint_folder(spark)}/filecensus-{spark.sparkContext.applicationId}"
 
 
+def new_table(spark: SparkSession) -> str:
+    return f"{run_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables of this application; frames built on them end with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    drop(spark, run_folder(spark))
 
 
 def cut_lineage(frame: DataFrame) -> DataFrame:
@@ -48,7 +56,7 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     It outlives lost executors, later passes read only the columns they need, and its true size
     lets joins with it be planned from the start.
     """
-    table = f"{run_folder(frame.sparkSession)}/{uuid.uuid4().hex}"
+    table = new_table(frame.sparkSession)
     frame.write.parquet(table)
     return frame.sparkSession.read.schema(frame.schema).parquet(table)
 
