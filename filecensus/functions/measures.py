@@ -8,9 +8,15 @@ GIB = 1024 ** 3
 MIB = 1024 ** 2
 
 
+def round_even(value: Column, digits: int) -> Column:
+    """Round half to even on the binary value, without a detour over decimals; never minus zero."""
+    scale = F.lit(float(10 ** digits))
+    return F.rint(value * scale) / scale + F.lit(0.0)
+
+
 def in_units(size: Column, unit: int, digits: int) -> Column:
     """Bytes in a larger unit, rounded half to even."""
-    return F.bround(size.cast("double") / F.lit(float(unit)), digits)
+    return round_even(size.cast("double") / F.lit(float(unit)), digits)
 
 
 def percent(part: Column, whole: Column) -> Column:

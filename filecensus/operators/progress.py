@@ -35,11 +35,11 @@ def describe(states: DataFrame) -> DataFrame:
         col("expected_bytes"), effective, col("bytes_written"), col("done"), col("expected"))
     by_bytes = measures.percent_bytes(effective, col("expected_bytes"), col("done"), col("expected"))
     return states.select(
-        "account", *_STATE, F.bround("rate_bps", 3).alias("rate_bps"), "source",
+        "account", *_STATE, measures.round_even(F.col("rate_bps"), 3).alias("rate_bps"), "source",
         effective.alias("effective_bytes"),
-        F.bround(measures.percent(col("done"), col("expected")), 2).alias("pct"),
-        F.bround(by_bytes, 2).alias("pct_bytes"),
-        F.bround(remaining, 3).alias("remaining_bytes"),
+        measures.round_even(measures.percent(col("done"), col("expected")), 2).alias("pct"),
+        measures.round_even(by_bytes, 2).alias("pct_bytes"),
+        measures.round_even(remaining, 3).alias("remaining_bytes"),
         measures.eta_text(remaining, col("rate_bps")).alias("eta"),
         ((col("expected") > 0) & (col("done") + col("errors") >= col("expected"))).alias("finished"),
     )
@@ -90,7 +90,7 @@ def _with_rate(polls: DataFrame) -> DataFrame:
 def progress_rate(heartbeats: DataFrame, block_rows: int = BLOCK_ROWS, chunk: Column | None = None) -> DataFrame:
     """Rate between consecutive heartbeats of an account."""
     rates = _with_rate(_polls(heartbeats, 1, block_rows, chunk)).filter("NOT context")
-    return rates.select("account", "ts", F.bround("rate_bps", 3).alias("rate_bps"))
+    return rates.select("account", "ts", measures.round_even(F.col("rate_bps"), 3).alias("rate_bps"))
 
 
 def rate_history(heartbeats: DataFrame, points: int = HISTORY, block_rows: int = BLOCK_ROWS,
@@ -102,7 +102,7 @@ def rate_history(heartbeats: DataFrame, points: int = HISTORY, block_rows: int =
     scaled = rates.withColumn("mb_s", speed).withColumn(
         "scale", F.greatest(F.max("mb_s").over(recent), F.lit(SCALE_FLOOR)))
     return scaled.filter("NOT context").select(
-        "account", "ts", F.bround("mb_s", 6).alias("mb_s"), F.bround("scale", 6).alias("scale"))
+        "account", "ts", measures.round_even(F.col("mb_s"), 6).alias("mb_s"), measures.round_even(F.col("scale"), 6).alias("scale"))
 
 
 def running_state(heartbeats: DataFrame, as_of: Column, seconds: int = RUNNING_SECONDS) -> DataFrame:

@@ -199,9 +199,9 @@ WHERE status = 'done' AND c.size <= 200000 AND lower({_suffix(_name('c.rel_path'
 def _described(states: str) -> str:
     return f"""
 SELECT account, done, expected, errors, bytes_written, expected_bytes, bytes_inflight,
-       round_even(rate_bps, 3) AS rate_bps, source, effective_bytes, round_even(pct, 2) AS pct,
-       round_even(CASE WHEN expected_bytes <> 0 THEN 100.0::DOUBLE * effective_bytes / expected_bytes ELSE pct END, 2) AS pct_bytes,
-       round_even(remaining, 3) AS remaining_bytes,
+       round_even((rate_bps) * 1e3, 0) / 1e3 + 0.0 AS rate_bps, source, effective_bytes, round_even((pct) * 1e2, 0) / 1e2 + 0.0 AS pct,
+       round_even((CASE WHEN expected_bytes <> 0 THEN 100.0::DOUBLE * effective_bytes / expected_bytes ELSE pct END) * 1e2, 0) / 1e2 + 0.0 AS pct_bytes,
+       round_even((remaining) * 1e3, 0) / 1e3 + 0.0 AS remaining_bytes,
        CASE WHEN rate_bps <= 0 THEN '?' WHEN secs >= 3600 THEN printf('%dh%02dm', secs // 3600, secs % 3600 // 60)
             WHEN secs >= 60 THEN printf('%dm%02ds', secs // 60, secs % 60) ELSE printf('%ds', secs) END AS eta,
        expected > 0 AND done + errors >= expected AS finished
@@ -254,9 +254,9 @@ def _contains_answer(name: str) -> str:
 
 
 _SUMMARY = f"""
-SELECT *, round_even(CASE WHEN total_bytes <> 0 THEN 100.0::DOUBLE * clean_bytes / total_bytes ELSE 0 END, 4) AS kept_pct,
-       round_even(total_bytes::DOUBLE / 1073741824, 2) AS total_gb, round_even(clean_bytes::DOUBLE / 1073741824, 2) AS clean_gb,
-       round_even(dupe_reclaim::DOUBLE / 1073741824, 2) AS dupe_reclaim_gb, round_even(junk_bytes::DOUBLE / 1048576, 1) AS junk_mb
+SELECT *, round_even((CASE WHEN total_bytes <> 0 THEN 100.0::DOUBLE * clean_bytes / total_bytes ELSE 0 END) * 1e4, 0) / 1e4 + 0.0 AS kept_pct,
+       round_even((total_bytes::DOUBLE / 1073741824) * 1e2, 0) / 1e2 + 0.0 AS total_gb, round_even((clean_bytes::DOUBLE / 1073741824) * 1e2, 0) / 1e2 + 0.0 AS clean_gb,
+       round_even((dupe_reclaim::DOUBLE / 1073741824) * 1e2, 0) / 1e2 + 0.0 AS dupe_reclaim_gb, round_even((junk_bytes::DOUBLE / 1048576) * 1e1, 0) / 1e1 + 0.0 AS junk_mb
 FROM (SELECT count(*) AS total_files, CAST(sum(size) AS BIGINT) AS total_bytes,
              count(*) FILTER (verdict = 'clean') AS clean_files, CAST(coalesce(sum(size) FILTER (verdict = 'clean'), 0) AS BIGINT) AS clean_bytes,
              count(*) FILTER (verdict = 'duplicate') AS dupe_files, CAST(coalesce(sum(size) FILTER (verdict = 'duplicate'), 0) AS BIGINT) AS dupe_reclaim,
@@ -269,7 +269,7 @@ SELECT 'category' AS dimension, category AS key, count(*) AS n, CAST(sum(size) A
 UNION ALL SELECT 'source', source, count(*), CAST(sum(size) AS BIGINT) FROM clean GROUP BY source
 UNION ALL SELECT 'year', year, count(*), CAST(sum(size) AS BIGINT) FROM clean GROUP BY year"""
 _ROUTING_SUMMARY = f"""
-SELECT *, round_even(bytes_copied::DOUBLE / 1073741824, 3) AS gb FROM (
+SELECT *, round_even((bytes_copied::DOUBLE / 1073741824) * 1e3, 0) / 1e3 + 0.0 AS gb FROM (
 SELECT count(*) FILTER (kind = 'copied') AS copied, count(*) FILTER (kind = 'duplicate') AS quarantined_dup,
        count(*) FILTER (kind = 'junk') AS quarantined_junk,
        CAST(coalesce(sum(size) FILTER (kind = 'copied'), 0) AS BIGINT) AS bytes_copied,
@@ -450,10 +450,10 @@ FROM {attempts} GROUP BY account""",
     "error_samples": "SELECT ordinal, file_id, error FROM {attempts} WHERE outcome = 'error' ORDER BY ordinal LIMIT 10",
     "failure_runs": _RUNS,
     "progress_snapshot": _described(_SNAPSHOT),
-    "progress_rate": f"SELECT account, ts, round_even(rate_bps, 3) + 0.0 AS rate_bps FROM ({_RATES})",
+    "progress_rate": f"SELECT account, ts, round_even((rate_bps) * 1e3, 0) / 1e3 + 0.0 AS rate_bps FROM ({_RATES})",
     "rate_history": f"""
-SELECT account, ts, round_even(mb, 6) + 0.0 AS mb_s, round_even(greatest(max(mb) OVER (PARTITION BY account ORDER BY ts
-       ROWS BETWEEN 79 PRECEDING AND CURRENT ROW), 0.1), 6) AS scale
+SELECT account, ts, round_even((mb) * 1e6, 0) / 1e6 + 0.0 AS mb_s, round_even((greatest(max(mb) OVER (PARTITION BY account ORDER BY ts
+       ROWS BETWEEN 79 PRECEDING AND CURRENT ROW), 0.1)) * 1e6, 0) / 1e6 + 0.0 AS scale
 FROM (SELECT account, ts, coalesce(rate_bps, 0) / 1e6 AS mb FROM ({_RATES}))""",
     "running_state": _RUNNING,
     "throughput_windows": _THROUGHPUT,

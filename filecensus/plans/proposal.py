@@ -48,7 +48,7 @@ def proposal_summary(classified: DataFrame) -> DataFrame:
     )
     return totals.select(
         "*",
-        F.bround(measures.percent(F.col("clean_bytes"), F.col("total_bytes")), 4).alias("kept_pct"),
+        measures.round_even(measures.percent(F.col("clean_bytes"), F.col("total_bytes")), 4).alias("kept_pct"),
         measures.in_units(F.col("total_bytes"), measures.GIB, 2).alias("total_gb"),
         measures.in_units(F.col("clean_bytes"), measures.GIB, 2).alias("clean_gb"),
         measures.in_units(F.col("dupe_reclaim"), measures.GIB, 2).alias("dupe_reclaim_gb"),
