@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -16,19 +14,12 @@ HOT_KEYS = 4096
 CHUNK_ROWS = 1_000_000
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="filecensus-")
-
-
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local session without one gets a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return _local_folder()
+    """The shared folder of the session: its checkpoint folder, else one below its warehouse."""
+    set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or (set_by_call.get() if set_by_call.isDefined() else None)
+            or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
 
 
 def run_folder(spark: SparkSession) -> str:
