@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import sharding
+from filecensus.llm import byte_bpe, sharding, token_counts, token_files
+from filecensus.operators.scale import new_table
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_transducer_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.count_tokens(_read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, folder, "documents"), shards=8)
 
 
+def op6_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = _read(spark, folder, "documents")
+    ids = docs.select("doc_id", byte_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
+    return ids.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        byte_bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
+        F.sha2(byte_bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    table = new_table(spark)
+    token_files.write(_read(spark, folder, "documents"), table, public_tokenizers.path("byte_bpe_50k.json"),
+                      public_tokenizers.PATTERN)
+    read = token_files.read_tokens(spark, table)
+    return read.select("doc_id", "start", "n_tokens", token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
+
+
 QUERIES = {
+    "op1_transducer_token_counts": op1_transducer_token_counts,
     "op2_hash_tree_shards": op2_hash_tree_shards,
+    "op6_segment_tree_bpe": op6_segment_tree_bpe,
+    "op9_token_files": op9_token_files,
 }
 # Checksums, hash draws, tokenizers and models have no counterpart in SQL.
 ORACLES: dict[str, str] = {}
