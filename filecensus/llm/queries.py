@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, sharding, token_counts, token_files
+from filecensus.llm import byte_bpe, decontaminate, sharding, token_counts, token_files
 from filecensus.operators.scale import new_table
 
 
@@ -39,11 +39,17 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
 
 
+def op10_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.contamination(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+    return found.drop("row_key")
+
+
 QUERIES = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
     "op2_hash_tree_shards": op2_hash_tree_shards,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op9_token_files": op9_token_files,
+    "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }
 # Checksums, hash draws, tokenizers and models have no counterpart in SQL.
 ORACLES: dict[str, str] = {}
