@@ -219,11 +219,25 @@ def decode(ids: Column, path: str) -> Column:
     return text(ids)
 
 
-def ids_sha256(ids: Column) -> Column:
-    """Hex sha256 of the decimal ids joined by one space."""
-    @F.arrow_udf("string")
-    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lists in batches:
-            yield pa.array([hashlib.sha256(" ".join(map(str, row)).encode()).hexdigest() for row in rows_of(lists)])
+def digests(text: Column, path: str, pattern: str) -> Column:
+    """struct<n_tokens, ids_sha256, decoded_sha256> of the ids of a text and of the bytes they decode to.
 
-    return digest(ids)
+    Hex sha256 of the decimal ids joined by one space, and of the decoded bytes. Null counts as empty.
+    """
+    @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
+    def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, tokens = _encoder(path, pattern), ranks(path).tokens
+        for texts in batches:
+            sizes, of_ids, of_bytes = [], [], []
+            for some in steps(texts):
+                values, counts = encoder.encode(some)
+                for ids in np.split(values, np.cumsum(counts)[:-1]):
+                    row = ids.tolist()
+                    sizes.append(len(row))
+                    of_ids.append(hashlib.sha256(" ".join(map(str, row)).encode()).hexdigest())
+                    of_bytes.append(hashlib.sha256(b"".join(map(tokens.__getitem__, row))).hexdigest())
+            yield pa.StructArray.from_arrays(
+                [pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                names=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return digest(text.cast("string"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, decontaminate, sharding, token_counts, token_files
+from filecensus.llm import byte_bpe, decontaminate, pii, quality, sharding, token_counts, token_files
 from filecensus.operators.scale import new_table
 
 
@@ -24,11 +24,9 @@ def op2_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
 def op6_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = _read(spark, folder, "documents")
-    ids = docs.select("doc_id", byte_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
-    return ids.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        byte_bpe.ids_sha256(F.col("ids")).alias("ids_sha256"),
-        F.sha2(byte_bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return docs.select(
+        "doc_id", byte_bpe.digests(F.col("text"), path, public_tokenizers.PATTERN).alias("found")
+    ).select("doc_id", "found.*")
 
 
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,10 +42,28 @@ def op10_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFram
     return found.drop("row_key")
 
 
+def op5_semi_markov_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.detect(_read(spark, folder, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    added = F.size(F.filter("spans", lambda x: ~x["base"])).cast("bigint").alias("n_added")
+    return found.select(
+        "doc_id", *counts, F.sha2(pii.shown(base).cast("binary"), 256).alias("base_sha256"),
+        pii.shown(F.col("spans")).alias("spans"), added)
+
+
+def op7_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
     "op2_hash_tree_shards": op2_hash_tree_shards,
+    "op5_semi_markov_pii": op5_semi_markov_pii,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
+    "op7_weak_label_quality": op7_weak_label_quality,
     "op9_token_files": op9_token_files,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }

@@ -63,22 +63,34 @@ class Remembered(dict):
         self.sizes = _put(self.sizes, self.known, sizes)
         self.known, self.used, self.new = self.known + len(sizes), self.used + len(values), []
 
-    def look_up(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
-        """The integers of all pieces of all rows in one array, and how many each row has."""
+    def number(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all pieces of all rows in one array, and how many each row has."""
+        if len(self) > self.room or self.used > VALUES:
+            self._start_anew()
         lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
         numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), dtype=np.int64,
                               count=int(lengths.sum()))
         if self.new:
             self._learn()
+        return numbers, lengths
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The integers of numbered pieces in one array, and how many each piece has."""
         sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        at = np.repeat(self.starts[numbers] - np.cumsum(sizes) + sizes, sizes)
         at += np.arange(len(at))
-        values = self.values[at]
-        sums = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])]
-        if len(self) > self.room or self.used > VALUES:
-            self._start_anew()
-        return values, np.diff(sums)
+        return self.values[at], sizes
+
+    def look_up(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
+        """The integers of all pieces of all rows in one array, and how many each row has."""
+        numbers, lengths = self.number(rows)
+        values, sizes = self.gather(numbers)
+        return values, row_sums(sizes, lengths)
+
+
+def row_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of a flat array over rows of these lengths."""
+    return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(lengths)])])
 
 
 def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
