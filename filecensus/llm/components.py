@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.operators.scale import drop, new_table
 
 
+TILE = "node bigint, links bigint, other bigint"
+
+
+def tile_result(nodes: np.ndarray, copies: np.ndarray, x: np.ndarray, y: np.ndarray) -> pa.Table:
+    """What a tile of links between nodes[x] and nodes[y] comes down to, for each linked node.
+
+    links: copies of the nodes it is linked to; other: the smallest node of the piece it is in. Nodes are sorted.
+    """
+    links = np.zeros(len(nodes), dtype=np.int64)
+    np.add.at(links, x, copies[y])
+    np.add.at(links, y, copies[x])
+    least, before = np.arange(len(nodes)), None
+    while before is None or (before != least).any():
+        before = least.copy()
+        np.minimum.at(least, x, least[y])
+        np.minimum.at(least, y, least[x])
+        least = least[least]
+    some = links > 0
+    return pa.table({"node": nodes[some], "links": links[some], "other": nodes[least][some]})
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node and component (smallest node reachable) of every node of an edge table with columns a and b (long).
 

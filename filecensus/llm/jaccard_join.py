@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filecensus.llm.components import connected
+from filecensus.llm.components import TILE, connected, tile_result
 from filecensus.llm.words import Remembered, steps
 from filecensus.operators.scale import cut_lineage
 
@@ -133,7 +133,6 @@ def _grams(gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 _CANDIDATE = ["node", "copies", "component", "blocks", "bands"]
-_TILE = "node bigint, links bigint, other bigint"
 
 
 def _similar(left: list[np.ndarray], right: list[np.ndarray], wanted: np.ndarray, threshold: float) -> np.ndarray:
@@ -184,21 +183,7 @@ def _tile(threshold: float, i: int, j: int, table: pa.Table) -> pa.Table:
         wanted &= a[:, None] < b[None]
     linked = _similar([sets[x] for x in a], [sets[x] for x in b], wanted, threshold)
     x, y = np.nonzero(linked)
-    x, y = a[x], b[y]
-    links = np.zeros(len(nodes), dtype=np.int64)
-    np.add.at(links, x, copies[y])
-    np.add.at(links, y, copies[x])
-    # The smallest class of the piece that each class is in, as nodes are sorted.
-    least = np.arange(len(nodes))
-    while len(x):
-        before = least.copy()
-        np.minimum.at(least, x, least[y])
-        np.minimum.at(least, y, least[x])
-        least = least[least]
-        if (before == least).all():
-            break
-    some = links > 0
-    return pa.table({"node": nodes[some], "links": links[some], "other": nodes[least][some]})
+    return tile_result(nodes, copies, a[x], b[y])
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL,
@@ -266,7 +251,7 @@ def _solve(source: DataFrame, row: Column, threshold: float, gram: int, recall:
     def tile(key: tuple, table: pa.Table) -> pa.Table:
         return _tile(threshold, key[1].as_py(), key[2].as_py(), table)
 
-    verified = cut_lineage(tiles.groupBy("component", "i", "j").applyInArrow(tile, _TILE))
+    verified = cut_lineage(tiles.groupBy("component", "i", "j").applyInArrow(tile, TILE))
 
     linked = connected(verified.select(F.col("node").alias("a"), F.col("other").alias("b")))
     totals = verified.groupBy("node").agg(F.sum("links").alias("links"))

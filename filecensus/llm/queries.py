@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, decontaminate, jaccard_join, pii, quality, sharding, token_counts, token_files
+from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, pii, quality, sharding, token_counts, token_files
 from filecensus.operators.scale import new_table
 
 
@@ -42,6 +42,10 @@ def op10_winnowing_decontamination(spark: SparkSession, folder: str) -> DataFram
     return found.drop("row_key")
 
 
+def op3_pivot_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_read(spark, folder, "embeddings"))
+
+
 def op4_minhash_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.near_duplicates(_read(spark, folder, "documents"))
 
@@ -65,6 +69,7 @@ def op7_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
     "op2_hash_tree_shards": op2_hash_tree_shards,
+    "op3_pivot_near_vectors": op3_pivot_near_vectors,
     "op4_minhash_jaccard_join": op4_minhash_jaccard_join,
     "op5_semi_markov_pii": op5_semi_markov_pii,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
