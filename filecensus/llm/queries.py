@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, pii, quality, sharding, token_counts, token_files
+from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, pii, quality, sharding, suffix_dedup, token_counts, token_files
 from filecensus.operators.scale import new_table
 
 
@@ -29,6 +29,11 @@ def op6_segment_tree_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ).select("doc_id", "found.*")
 
 
+def op8_prefix_doubling_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(_read(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     table = new_table(spark)
     token_files.write(_read(spark, folder, "documents"), table, public_tokenizers.path("byte_bpe_50k.json"),
@@ -74,6 +79,7 @@ QUERIES = {
     "op5_semi_markov_pii": op5_semi_markov_pii,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op7_weak_label_quality": op7_weak_label_quality,
+    "op8_prefix_doubling_dedup": op8_prefix_doubling_dedup,
     "op9_token_files": op9_token_files,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }
