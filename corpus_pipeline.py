@@ -1,17 +1,61 @@
-"""A training-data pipeline over `documents`, stage by stage."""
+"""A training-data pipeline over `documents`: quality, near duplicates, decontamination, personal data, token ids.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of `documents`. Empty results, null ids and null texts pass through
+all stages; a row is only ever dropped by the rule of its stage.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from filecensus.llm import byte_bpe, decontaminate, jaccard_join, pii, quality
 from filecensus.operators.scale import cut_lineage
 
-STAGES: list = []
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that the weak-label classifier finds poor or toxic."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the one of smallest doc_id, of each group of near duplicates."""
+    return jaccard_join.drop_near_duplicates(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents of which a twentieth or more stands in windows of benchmark items."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Put the kind of data in place of personal data."""
+    return pii.redact(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add the token ids of each text, their number, and whether they decode to the text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = docs.withColumn("ids", byte_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN))
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return encoded.withColumns({
+        "n_tokens": F.size("ids").cast("bigint"), "round_trip": byte_bpe.decode(F.col("ids"), path) == text})
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark),
+    ("pii", without_personal_data),
+    ("byte_bpe", token_ids),
+]
+# Models, signatures and tokenizers have no counterpart in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written as Parquet and read again by the next."""
+    """All stages over `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
