@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from filecensus.llm.joins import small_side
 from filecensus.operators.scale import cut_lineage
 
 WINDOW = 13
@@ -107,7 +108,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     matched = cut_lineage(
         table.select("row_key", F.explode("prints").alias("print")).join(known, "print", "left_semi")
         .groupBy("row_key").agg(F.collect_set("print").alias("matched")))
-    again = source.select(_key("doc_id").alias("row_key"), words(F.col("text")).alias("list")).join(matched, "row_key")
+    # Texts are cut into words after the join: words would be twice as much to move.
+    again = source.select(_key("doc_id").alias("row_key"), "text").join(
+        small_side(matched, 64, "matched", 8), "row_key").select(
+        "row_key", words(F.col("text")).alias("list"), "matched")
     runs = again.select("row_key", F.inline(_runs(F.col("list"), lengths or [window], F.col("matched"), gram)))
     hits = cut_lineage(runs.join(windows, ["print", "length", "words"]).select("row_key", "start", "length", "set"))
 
@@ -131,6 +135,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of `docs`, with all their columns, that are not contaminated."""
-    bad = contamination(docs, benchmark, **settings).filter("contaminated").select("row_key").distinct()
+    bad = contamination(docs, benchmark, **settings).filter("contaminated").select(
+        F.col("row_key").alias("_row_key")).distinct()
     return docs.withColumn("_row_key", _key("doc_id")).join(
-        bad.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti").drop("_row_key")
+        small_side(cut_lineage(bad), 64), "_row_key", "left_anti").drop("_row_key")

@@ -20,6 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.llm.components import TILE, connected, tile_result
+from filecensus.llm.joins import small_side
 from filecensus.llm.words import Remembered, steps
 from filecensus.operators.scale import cut_lineage
 
@@ -208,8 +209,9 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: in
     """One row of each group of `near_duplicates`, with all columns of `docs`, which is written once for it."""
     numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
     source = numbered.select("doc_id", F.col("text").cast("string"), F.col("_row").alias("read_key"))
-    kept = _solve(source, F.col("read_key"), threshold, gram, recall, rows).filter("kept")
-    return numbered.join(kept.select(F.col("row").alias("_row")), "_row", "left_semi").drop("_row")
+    found = _solve(source, F.col("read_key"), threshold, gram, recall, rows)
+    dropped = cut_lineage(found.filter("NOT kept").select(F.col("row").alias("_row")))
+    return numbered.join(small_side(dropped, 16), "_row", "left_anti").drop("_row")
 
 
 def _solve(source: DataFrame, row: Column, threshold: float, gram: int, recall: float, rows: int) -> DataFrame:
@@ -239,7 +241,7 @@ def _solve(source: DataFrame, row: Column, threshold: float, gram: int, recall:
     sizes = grouped.groupBy("component").agg(F.greatest(
         F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     wanted = cut_lineage(grouped.join(sizes, "component").select("read_key", *_CANDIDATE))
-    sets = source.join(wanted, "read_key").select("text", *_CANDIDATE).mapInArrow(
+    sets = source.join(small_side(wanted, 64, "bands", 8), "read_key").select("text", *_CANDIDATE).mapInArrow(
         functools.partial(_grams, gram),
         "node bigint, copies bigint, component bigint, blocks int, bands array<bigint>, grams binary")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filecensus.llm.joins import small_side
 from filecensus.operators.scale import cut_lineage
 
 LENGTH = 200
@@ -32,8 +33,6 @@ GRAM = LENGTH - OFFSETS + 1
 CELLS = (OFFSETS, 32, 8, 1)
 # Bytes of text that are marked at a time; longer texts are marked in overlapping pieces.
 PIECE = 1 << 20
-# A table of at most so many bytes is broadcast rather than shuffled together with the texts.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def _grow(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -181,11 +180,6 @@ def _finer(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield _batch(rows[begin:begin + 20_000])
 
 
-def _perhaps_broadcast(table: DataFrame, bytes_a_row: int) -> DataFrame:
-    """A written table, marked for broadcast if it is small enough."""
-    return F.broadcast(table) if table.count() * bytes_a_row <= BROADCAST_BYTES else table
-
-
 def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """One round: rerank, drop unique ranks, and tell the windows that are repeated from those still open.
 
@@ -234,12 +228,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         _mark_rows, "read_key bigint, place bigint, gram bigint, packed bigint")
     repeated = cut_lineage(found.groupBy("gram").agg(F.min("place").alias("low"), F.max("place").alias("high"))
                            .filter("low <> high").select("gram"))
-    left = found.join(_perhaps_broadcast(repeated, 16), "gram", "left_semi").join(
-        _perhaps_broadcast(heads.select("read_key"), 16), "read_key", "left_semi")
+    left = found.join(small_side(repeated, 16), "gram", "left_semi").join(
+        small_side(heads.select("read_key"), 16), "read_key", "left_semi")
     listed = cut_lineage(left.groupBy("read_key").agg(F.collect_set("packed").alias("marks")))
-    size = listed.agg(F.coalesce(F.sum(16 + 8 * F.size("marks")), F.lit(0))).first()[0]
-    around = source.select("read_key", "text").join(
-        F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "read_key")
+    around = source.select("read_key", "text").join(small_side(listed, 32, "marks", 8), "read_key")
 
     rows, settled = around.mapInArrow(_contexts, _ROW).select(*_ROW_NAMES), []
     for number, cell in enumerate(CELLS):
@@ -287,9 +279,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeats, null and repeated doc_ids stay rows of their own, other columns are not looked at.
     """
     spans = cut_lineage(repeated_spans(docs))
-    size = spans.agg(F.coalesce(F.sum(16 + 8 * F.size("spans")), F.lit(0))).first()[0]
     joined = _source(docs).select("doc_id", "text", "read_key").join(
-        F.broadcast(spans) if size <= BROADCAST_BYTES else spans, "read_key", "left")
+        small_side(spans, 32, "spans", 24), "read_key", "left")
     return joined.select(
         "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), _cut(F.col("text"), F.col("spans")).alias(
             "cut")).select("doc_id", "n_bytes", "cut.n_removed", "cut.n_spans", "cut.kept")
