@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filecensus.llm.words import Remembered, row_sums, steps
+from filecensus.llm.words import Remembered, list_array, row_sums, steps
 from filecensus.operators.scale import cut_lineage
 
 FAULTS = ("poor", "toxic")
@@ -202,8 +202,7 @@ def _regress(buckets: np.ndarray, texts: np.ndarray, target: np.ndarray, rounds:
     words would but name the texts that they stand in.
     """
     found, n = np.zeros(BUCKETS + 2, dtype=np.float32), len(target)
-    pairs = np.unique(texts * np.int64(BUCKETS + 2) + buckets)
-    place, texts = pairs % (BUCKETS + 2), pairs // (BUCKETS + 2)
+    place = buckets
     seen = np.bincount(place, minlength=BUCKETS + 2)
     seen_bad = np.bincount(place, weights=target[texts], minlength=BUCKETS + 2)
     bad = min(max(target.sum(), 0.5), n - 0.5)
@@ -244,10 +243,8 @@ def _largest(place: np.ndarray, texts: np.ndarray, each: np.ndarray, n: int, wid
 
 def _mine(buckets: np.ndarray, texts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Buckets of words and beginnings that toxic sampled texts have far more often than the others."""
-    pairs = np.unique(texts * np.int64(BUCKETS + 2) + buckets)
-    bucket, bad = pairs % (BUCKETS + 2), toxic[pairs // (BUCKETS + 2)]
-    seen_bad = np.bincount(bucket, weights=bad, minlength=BUCKETS + 2)
-    seen = np.bincount(bucket, minlength=BUCKETS + 2)
+    seen_bad = np.bincount(buckets, weights=toxic[texts], minlength=BUCKETS + 2)
+    seen = np.bincount(buckets, minlength=BUCKETS + 2)
     n_bad, n = max(1.0, toxic.sum()), max(1, len(toxic))
     odds = (seen_bad + 0.5) / n_bad / ((seen - seen_bad + 0.5) / max(1.0, n - n_bad))
     signs = (seen_bad >= SIGN_DOCS) & (odds >= SIGN_ODDS)
@@ -261,11 +258,12 @@ def _known(labels: DataFrame) -> DataFrame:
         F.min("quality").cast("int").alias("quality"), F.max("toxic").cast("int").alias("toxic"))
 
 
-def _label_votes(table: DataFrame) -> DataFrame:
+def _label_votes(table: DataFrame, *others: str) -> DataFrame:
     """The labels themselves as one more labeller of each fault, who abstains where there is no label."""
     poor = F.when(F.col("quality") == 0, _BAD).when(F.col("quality") == 1, _GOOD).otherwise(_NONE)
     toxic = F.when(F.col("toxic") == 1, _BAD).when(F.col("toxic") == 0, _GOOD).otherwise(_NONE)
-    return table.withColumns({"poor": F.col("poor") + poor * 3 ** 6, "toxic": F.col("toxic_votes") + toxic * 3 ** 3})
+    return table.select(
+        *others, (F.col("poor_votes") + poor * 3 ** 6).alias("poor"), (F.col("toxic_votes") + toxic * 3 ** 3).alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -280,40 +278,48 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     source = docs.select("doc_id", F.col("text").cast("string"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most are broadcast
     drawn = source.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
-    drawn = drawn.select("text", "quality", "toxic").toPandas()
-    if drawn.empty:
+    drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
+    seen = drawn.select("row", "toxic", _features(F.col("text")).alias("buckets")).toArrow().sort_by("row")
+    if not seen.num_rows:
         nothing = np.zeros((2, BUCKETS + 2), dtype=np.float32)
         nothing[:, BUCKETS + 1] = -30
         return Model(nothing, np.zeros(BUCKETS + 2, dtype=bool), (np.zeros((2, 7, 3)), np.zeros((2, 4, 3))))
-    parts = [_reader().read(texts) for texts in steps(pa.array(drawn["text"], pa.string()))]
-    features = [part.features() for part in parts]
-    before = np.cumsum([0, *[len(part.n) for part in parts]])
-    buckets = np.concatenate([x for x, _ in features])
-    texts = np.concatenate([x + n for (_, x), n in zip(features, before, strict=False)])
-    gold = {name: drawn[name].to_numpy(dtype=np.float64, na_value=np.nan) for name in ("quality", "toxic")}
-    signs = _mine(buckets, texts, np.nan_to_num(gold["toxic"]))
-
-    votes = _votes(source, signs)
-    table = cut_lineage(_label_votes(votes.join(known, "doc_id", "left")).groupBy("poor", "toxic").count())
-    rows, tables, chances = table.collect(), [], []
-    own = [part.votes(signs) for part in parts]
-    for k, (name, labellers, bad) in enumerate((("poor", 7, gold["quality"] == 0), ("toxic", 4, gold["toxic"] == 1))):
-        patterns = Counter()
-        for row in rows:
+    lists = seen["buckets"].combine_chunks()
+    buckets = lists.flatten().to_numpy()
+    texts = np.repeat(np.arange(seen.num_rows, dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
+    signs = _mine(buckets, texts, pa.compute.fill_null(seen["toxic"], 0).to_numpy())
+
+    every = _label_votes(_votes(source, signs).join(known, "doc_id", "left"))
+    counted = cut_lineage(every.groupBy("poor", "toxic").count()).collect()
+    own = _label_votes(_votes(drawn, signs, "row", "quality", "toxic"), "row").toArrow().sort_by("row")
+    tables, weights = [], []
+    for name, labellers in zip(FAULTS, (7, 4), strict=True):
+        codes, patterns = own[name].to_pylist(), Counter()
+        for row in counted:
             patterns[row[name]] += row["count"]
-        good = gold[("quality", "toxic")[k]] == (1, 0)[k]
-        cast = np.concatenate([x[k] for x in own], axis=1)
-        codes = _codes(np.vstack([cast, np.where(bad, _BAD, np.where(good, _GOOD, _NONE))]))
-        patterns.update({code: 0 for code in codes.tolist() if code not in patterns})
-        chance, table_k = estimate(patterns, labellers)
-        tables.append(table_k)
-        chances.append(np.array([chance[code] for code in codes.tolist()]))
-    weights = np.stack([_regress(buckets, texts, chance) for chance in chances])
-    return Model(weights, signs, tuple(tables))
-
-
-def _votes(source: DataFrame, signs: np.ndarray) -> DataFrame:
-    """doc_id and the vote patterns of the text: poor, toxic_votes."""
+        chance, table = estimate(patterns, labellers)
+        tables.append(table)
+        weights.append(_regress(buckets, texts, np.array([chance[code] for code in codes])))
+    return Model(np.stack(weights), signs, tuple(tables))
+
+
+def _features(text: Column) -> Column:
+    """array<int>: the different buckets of a text."""
+    @F.arrow_udf("array<int>")
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            parts = []
+            for some in steps(column):
+                buckets, texts = _reader().read(some).features()
+                pairs = np.unique(texts * np.int64(BUCKETS + 2) + buckets)
+                parts.append((pairs % (BUCKETS + 2), np.bincount(pairs // (BUCKETS + 2), minlength=len(some))))
+            yield list_array(parts)
+
+    return features(text)
+
+
+def _votes(source: DataFrame, signs: np.ndarray, *others: str) -> DataFrame:
+    """doc_id, other columns, and the vote patterns of the text: poor_votes, toxic_votes."""
     @F.arrow_udf("struct<poor:int,toxic:int>")
     def cast(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
@@ -322,8 +328,8 @@ def _votes(source: DataFrame, signs: np.ndarray) -> DataFrame:
                 [pa.array(np.concatenate([_codes(x[k]) for x in found] or [[]]), pa.int32()) for k in (0, 1)],
                 names=["poor", "toxic"])
 
-    return source.select("doc_id", cast("text").alias("votes")).select(
-        "doc_id", "votes.poor", F.col("votes.toxic").alias("toxic_votes"))
+    return source.select("doc_id", *others, cast("text").alias("votes")).select(
+        "doc_id", *others, F.col("votes.poor").alias("poor_votes"), F.col("votes.toxic").alias("toxic_votes"))
 
 
 def score(text: Column, model: Model) -> Column:
