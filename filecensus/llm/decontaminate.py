@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filecensus.llm.joins import small_side
+from filecensus.llm.joins import fresh, small_side
 from filecensus.operators.scale import cut_lineage
 
 WINDOW = 13
@@ -135,7 +135,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of `docs`, with all their columns, that are not contaminated."""
+    name = fresh(docs, "_row_key")
     bad = contamination(docs, benchmark, **settings).filter("contaminated").select(
-        F.col("row_key").alias("_row_key")).distinct()
-    return docs.withColumn("_row_key", _key("doc_id")).join(
-        small_side(cut_lineage(bad), 64), "_row_key", "left_anti").drop("_row_key")
+        F.col("row_key").alias(name)).distinct()
+    return docs.withColumn(name, _key("doc_id")).join(
+        small_side(cut_lineage(bad), 64), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.llm.components import TILE, connected, tile_result
-from filecensus.llm.joins import small_side
+from filecensus.llm.joins import fresh, small_side
 from filecensus.llm.words import Remembered, steps
 from filecensus.operators.scale import cut_lineage
 
@@ -207,11 +207,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = GRAM, recall: float = RECALL,
                          rows: int = ROWS) -> DataFrame:
     """One row of each group of `near_duplicates`, with all columns of `docs`, which is written once for it."""
-    numbered = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    source = numbered.select("doc_id", F.col("text").cast("string"), F.col("_row").alias("read_key"))
+    name = fresh(docs, "_row")
+    numbered = cut_lineage(docs.withColumn(name, F.monotonically_increasing_id()))
+    source = numbered.select("doc_id", F.col("text").cast("string"), F.col(name).alias("read_key"))
     found = _solve(source, F.col("read_key"), threshold, gram, recall, rows)
-    dropped = cut_lineage(found.filter("NOT kept").select(F.col("row").alias("_row")))
-    return numbered.join(small_side(dropped, 16), "_row", "left_anti").drop("_row")
+    dropped = cut_lineage(found.filter("NOT kept").select(F.col("row").alias(name)))
+    return numbered.join(small_side(dropped, 16), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _solve(source: DataFrame, row: Column, threshold: float, gram: int, recall: float, rows: int) -> DataFrame:

@@ -13,3 +13,11 @@ def small_side(table: DataFrame, bytes_a_row: int, lists: str | None = None, byt
     values = F.lit(0) if lists is None else F.size(lists)
     rows, listed = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(values), F.lit(0))).first()
     return F.broadcast(table) if rows * bytes_a_row + listed * bytes_a_value <= BROADCAST_BYTES else table
+
+
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` does not have yet."""
+    taken = {column.lower() for column in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

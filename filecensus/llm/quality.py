@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filecensus.llm.joins import fresh
 from filecensus.llm.words import Remembered, list_array, row_sums, steps
 from filecensus.operators.scale import cut_lineage
 
@@ -362,5 +363,6 @@ def classify(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
 def keep_good(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """The rows, with all their columns, that the classifier keeps."""
     fitted = fit(docs, labels) if model is None else model
-    judged = docs.withColumn("_faults", score(F.col("text"), fitted))
-    return judged.filter((F.col("_faults.poor") <= 0.5) & (F.col("_faults.toxic") <= 0.5)).drop("_faults")
+    faults = fresh(docs, "_faults")
+    judged = docs.withColumn(faults, score(F.col("text"), fitted))
+    return judged.filter(f"`{faults}`.poor <= 0.5 AND `{faults}`.toxic <= 0.5").drop(faults)
