@@ -13,8 +13,8 @@ import regex
 # Text that one step of a task holds as Python strings.
 STEP_BYTES = 1024 * 1024
 # Pieces, and values of pieces, that one Python worker remembers before it starts anew.
-PIECES = 400_000
-VALUES = 4_000_000
+PIECES = 250_000
+VALUES = 3_000_000
 
 # On these characters the two engines agree about letters, digits and spaces, and the standard one is faster.
 _PLAIN = re.compile(r"[^\t\n\r -~À-ɏ]")
@@ -35,9 +35,12 @@ def matcher(pattern: str) -> Callable[[str], list[str]]:
 class Remembered(dict):
     """Numbers pieces as they come, and keeps for each the integers that `work` finds for it.
 
-    `work` gets a list of new pieces and returns a sequence of integers for each.
+    `work` gets a list of new pieces and returns a sequence of integers for each. Workers live on from stage to
+    stage: the one that is used last is the only one in its process that remembers anything.
     """
 
+    in_use: Remembered | None = None
+
     def __init__(self, work: Callable[[list], Sequence[Sequence[int]]], room: int = PIECES):
         self.work, self.room = work, room
         self._start_anew()
@@ -65,6 +68,10 @@ class Remembered(dict):
 
     def number(self, rows: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """The numbers of all pieces of all rows in one array, and how many each row has."""
+        if Remembered.in_use is not self:
+            if Remembered.in_use is not None:
+                Remembered.in_use._start_anew()
+            Remembered.in_use = self
         if len(self) > self.room or self.used > VALUES:
             self._start_anew()
         lengths = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
