@@ -65,11 +65,17 @@ FROM {catalog} WHERE owner = 'es'
 SELECT rel_path, CASE WHEN file_id LIKE '%7' AND size > 3000 THEN size - 1 ELSE size END AS size,
        CASE WHEN file_id LIKE '%3' THEN reverse(sha256) ELSE sha256 END AS sha256,
        NOT (file_id LIKE '%99') AS readable
-FROM {previous} WHERE size < 8000
+FROM {previous} WHERE file_id NOT LIKE '%58'
 """,
     # The primary's own files, all in order.
     "primary_tree": """
 SELECT rel_path, size, sha256, TRUE AS readable FROM {settled} WHERE status = 'done'
+""",
+    # A mirror that holds all of them, and files of its own besides.
+    "intact_mirror": """
+SELECT rel_path, size, sha256, TRUE AS readable FROM {settled} WHERE status = 'done'
+UNION ALL
+SELECT concat('own/', rel_path), size + 1, sha256, owner <> 'de' FROM {settled} WHERE status = 'done'
 """,
     # A mirror with lost, cut and damaged files.
     "mirror": """
@@ -172,7 +178,11 @@ SELECT event_id AS ordinal, CAST(user_id AS STRING) AS account, ts, concat('f',
        CASE event_type WHEN 'error' THEN 403 WHEN 'view' THEN 500 WHEN 'signup' THEN 404 END AS http_status,
        CASE WHEN value > 15 THEN 'userRateLimitExceeded' ELSE 'cannotDownloadAbusiveFile' END AS reason,
        CASE WHEN event_type = 'purchase' THEN CAST(user_id % 30 AS INT) END AS errno,
-       CASE WHEN event_type = 'click' AND value > 30 THEN 'ConnectionResetError' END AS exc_type
+       CASE WHEN event_type = 'click' AND value > 30 THEN 'ConnectionResetError'
+            WHEN event_type = 'click' AND value > 25 THEN 'ResponseNotReady'
+            WHEN event_type = 'click' AND value > 20 THEN 'SSLEOFError'
+            WHEN event_type = 'purchase' AND value > 50 THEN 'gaierror'
+            WHEN event_type = 'view' AND value > 90 THEN 'gaierror' END AS exc_type
 FROM {events}
 """,
     "vectors": """

@@ -34,7 +34,6 @@ REASON_LABELS = {
 }
 # What counts as text for near-duplicate search.
 TEXT_SUFFIXES = [".txt", ".md", ".csv", ".json", ".html", ".xml", ".log", ".rtf"]
-TEXT_MAX_BYTES = 200_000
 # Native document types and what they are exported as.
 NATIVE_PREFIX = "application/vnd.google-apps"
 FOLDER_TYPE = "application/vnd.google-apps.folder"
@@ -63,8 +62,18 @@ RETRIED_STATUSES = [429, 500, 502, 503, 504]
 FATAL_ERRNOS = {"ENOENT": 2, "EACCES": 13, "ENOSPC": 28, "EROFS": 30, "EDQUOT": 122}
 CONNECTION_ERRORS = [
     "ConnectionError", "BrokenPipeError", "ConnectionAbortedError", "ConnectionRefusedError",
-    "ConnectionResetError", "TimeoutError", "SSLError", "HTTPException", "IncompleteRead",
-    "BadStatusLine", "RemoteDisconnected",
+    "ConnectionResetError", "TimeoutError", "SSLError", "SSLCertVerificationError", "SSLEOFError",
+    "SSLSyscallError", "SSLWantReadError", "SSLWantWriteError", "SSLZeroReturnError", "CertificateError",
+    "HTTPException", "BadStatusLine", "CannotSendHeader", "CannotSendRequest", "ImproperConnectionState",
+    "IncompleteRead", "InvalidURL", "LineTooLong", "NotConnected", "RemoteDisconnected", "ResponseNotReady",
+    "UnimplementedFileMode", "UnknownProtocol", "UnknownTransferEncoding",
+]
+# Every class below OSError of the standard library that is not listed above.
+OS_ERRORS = [
+    "OSError", "IOError", "EnvironmentError", "BlockingIOError", "ChildProcessError", "FileExistsError",
+    "FileNotFoundError", "InterruptedError", "IsADirectoryError", "NotADirectoryError", "PermissionError",
+    "ProcessLookupError", "UnsupportedOperation", "gaierror", "herror", "HTTPError", "URLError", "ContentTooShortError",
+    "Error", "SameFileError", "SpecialFileError", "ExecError", "ReadError",
 ]
 
 DONE = "done"
@@ -122,9 +131,10 @@ def tidy_path(rel_path: Column, modified_time: Column, by_year: bool = True) ->
     return F.concat_ws("/", category(rel_path), name)
 
 
-def is_text_candidate(rel_path: Column, size: Column) -> Column:
-    extension = F.lower(text.suffix(text.base_name(rel_path)))
-    return extension.isin(TEXT_SUFFIXES) & (size <= TEXT_MAX_BYTES)
+def is_text_candidate(rel_path: Column, size: Column, max_bytes: int | None = None) -> Column:
+    """Textual by its name; with `max_bytes`, larger files are left out."""
+    textual = F.lower(text.suffix(text.base_name(rel_path))).isin(TEXT_SUFFIXES)
+    return textual if max_bytes is None else textual & (size <= max_bytes)
 
 
 def is_native(mime_type: Column) -> Column:
@@ -147,7 +157,7 @@ def failure_class(http_status: Column, reason: Column, errno: Column, exc_type:
     quota = reduce(lambda a, b: a | b, [F.contains(words, F.lit(w)) for w in QUOTA_WORDS])
     return (
         F.when(exc_type.isin(CONNECTION_ERRORS), "transient")
-        .when((exc_type == "OSError") & errno.isNull(), "transient")
+        .when(exc_type.isin(OS_ERRORS) & errno.isNull(), "transient")
         .when(errno.isNotNull(), F.when(errno.isin(list(FATAL_ERRNOS.values())), "permanent").otherwise("transient"))
         .when((http_status == 403) & ~quota, "restricted")
         .when((http_status == 403) | http_status.isin(RETRIED_STATUSES), "transient")

@@ -150,10 +150,10 @@ def junk_files(entries: DataFrame) -> DataFrame:
     )
 
 
-def text_candidates(entries: DataFrame) -> DataFrame:
-    """Done files small and textual enough to be compared by content."""
+def text_candidates(entries: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Done files textual enough to be compared by content; with `max_bytes`, none larger than that."""
     done = rules.is_done(F.col("status"))
-    return entries.filter(done & rules.is_text_candidate(F.col("rel_path"), F.col("size")))
+    return entries.filter(done & rules.is_text_candidate(F.col("rel_path"), F.col("size"), max_bytes))
 
 
 def latest_snapshot(snapshots: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from filecensus.functions import text
 from filecensus.operators.scale import (
     CHUNK_ROWS, HOT_ROWS, cut_lineage, lookup, lookup_unweighted, ordinal_chunk, ranked, running_totals)
 
-MAX_ROUNDS = 1000
 _GROUP = ["_base", "_tag"]
 
 
@@ -35,13 +34,12 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
         used = cut_lineage(taken.select(text.fold_case(F.col(taken.columns[0])).alias("_key")).distinct())
     keyed = rows.withColumn("_base", text.fold_case(F.col(path))).withColumn("_tag", text.fold_case(F.col(tag)))
     keyed = cut_lineage(keyed)
-    total = keyed.count()
-    state = cut_lineage(_place(keyed, used, total, hot_rows, chunk_rows))
+    state = cut_lineage(_place(keyed, used, hot_rows, chunk_rows))
     if used is not None:
         blocks = _blocks_of_taken(used, state, hot_rows)
         blocks = None if blocks.isEmpty() else blocks
-    for _ in range(MAX_ROUNDS):
-        proposals = _propose(state, blocks, path, tag, name, total, hot_rows, chunk_rows)
+    while True:
+        proposals = _propose(state, blocks, path, tag, name, hot_rows, chunk_rows)
         claims = proposals.select("_key", "ordinal")
         if used is not None:
             claims = claims.unionByName(used.withColumn("ordinal", F.lit(-1).cast("bigint")))
@@ -55,7 +53,6 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
             kept = blocks.join(lifted, [*_GROUP, "_index"], "left_anti")
             grown = kept if lost is None else kept.unionByName(lost).dropDuplicates([*_GROUP, "_index"])
             blocks = cut_lineage(grown)
-    raise RuntimeError(f"names not settled after {MAX_ROUNDS} rounds")
 
 
 def _lost(proposals, claims):
@@ -68,7 +65,7 @@ def _lost(proposals, claims):
     return cut_lineage(lost.select(*_GROUP, "_start", "_index", "_key"))
 
 
-def _place(keyed, used, total, hot_rows, chunk_rows):
+def _place(keyed, used, hot_rows, chunk_rows):
     """Rank of every row within its group, and the first index the group may use.
 
     The plain path is index 0. Only the group of the path's first row may try it, and only if it is
@@ -79,9 +76,8 @@ def _place(keyed, used, total, hot_rows, chunk_rows):
         plain = used.select(F.col("_key").alias("_base"), F.lit(True).alias("_used"))
         free = F.when(F.col("_used").isNull(), F.col("_first"))
         bases = bases.join(plain, "_base", "left").select("_base", "_n", free.alias("_first"))
-    placed = lookup(keyed, bases, ["_base"], "_n", F.col("ordinal"), hot_rows, total)
-    chunk = None if total < chunk_rows else ordinal_chunk("ordinal", chunk_rows)
-    numbered = ranked(placed.drop("_n"), _GROUP, ["ordinal"], chunk, "_rank", "_lead")
+    placed = lookup(keyed, bases, ["_base"], "_n", F.col("ordinal"), hot_rows)
+    numbered = ranked(placed.drop("_n"), _GROUP, ["ordinal"], ordinal_chunk("ordinal", chunk_rows), "_rank", "_lead")
     start = F.when(F.col("_lead") == F.col("_first"), 0).otherwise(1).cast("bigint")
     return numbered.withColumn("_start", start).drop("_lead", "_first")
 
@@ -105,7 +101,7 @@ def _blocks_of_taken(used, state, hot_rows):
     read = used.filter(rest != "").select(
         "_key", F.concat(text.parent(F.col("_key")), body, text.suffix(file)).alias("_base"), F.inline(readings))
     # Copies of one file may have left a long run of names for one group.
-    matched = lookup_unweighted(read, groups, _GROUP, F.col("_key"), hot_rows, used.count())
+    matched = lookup_unweighted(read, groups, _GROUP, F.col("_key"), hot_rows)
     return cut_lineage(matched.filter("_start IS NOT NULL").select(*_GROUP, "_start", "_index", "_key"))
 
 
@@ -115,13 +111,13 @@ def _free_before(blocks, chunk_rows):
     return numbered.withColumn("_before", F.col("_index") - F.col("_start") - F.col("_nth"))
 
 
-def _propose(state, blocks, path, tag, name, total, hot_rows, chunk_rows):
+def _propose(state, blocks, path, tag, name, hot_rows, chunk_rows):
     """Every row's current name: the free name of its group at the row's rank."""
     if blocks is None:
         indexed = state.withColumn("_index", F.col("_start") + F.col("_rank"))
     else:
         held = blocks.select(*_GROUP).distinct().withColumn("_held", F.lit(True))
-        flagged = lookup_unweighted(state, held, _GROUP, F.col("ordinal"), hot_rows, total)
+        flagged = lookup_unweighted(state, held, _GROUP, F.col("ordinal"), hot_rows)
         steps = (
             _free_before(blocks, chunk_rows)
             .groupBy(*_GROUP, F.col("_before").alias("_rank"))

@@ -2,58 +2,71 @@
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.operators.scale import HOT_ROWS, cut_lineage, drop, lookup, new_table
 
-# Default threshold, and how much of a text is compared.
+# Fixed value: default threshold.
 THRESHOLD = 0.95
-TEXT_CHARS = 8000
-# Bound of one round's batch, whose anchors are sent to every task, and the least rows worth a round.
-BATCH_BYTES = 32 * 1024 * 1024
-BATCH_ROWS = 1024
-# Rows and anchors multiplied at a time: a block of similarities takes 16 MB.
-BLOCK = 1024
-TILE = 2048
+# Vectors in a cell that are compared by one task, on either side.
+BLOCK = 2048
+# Vectors of one width for each cell, and the most cells; so many vectors reach the driver as pivots.
+ROWS_A_CELL = 16_384
+CELLS = 256
 
 
-def embed_texts(files: DataFrame, embed) -> DataFrame:
-    """Add `embedding` from a caller's pandas UDF over the head of `text`; rows it answers null for go."""
-    return files.withColumn("embedding", embed(F.left(F.col("text"), F.lit(TEXT_CHARS)))).filter(
-        "embedding IS NOT NULL AND size(embedding) > 0").drop("text")
+def embed_texts(files: DataFrame, embed, max_chars: int | None = None) -> DataFrame:
+    """Add `embedding` from a caller's pandas UDF over `text`, or over its head of `max_chars`.
+
+    The rows are written, so the model runs once per file whatever is done with them; rows it answers null for go.
+    """
+    text = F.col("text") if max_chars is None else F.left(F.col("text"), F.lit(max_chars))
+    embedded = cut_lineage(files.withColumn("embedding", embed.asNondeterministic()(text)).drop("text"))
+    return embedded.filter("embedding IS NOT NULL AND size(embedding) > 0")
 
 
-def near_members(vectors: DataFrame, threshold: float = THRESHOLD, batch_rows: int | None = None,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_members(vectors: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS,
+                 block: int | None = None) -> DataFrame:
     """Every row that repeats an earlier one: its anchor and their similarity.
 
     `vectors` has ordinal, rel_path, size and embedding. In ordinal order a row joins the first
     anchor it is close enough to, or becomes an anchor.
 
     Equal vectors have equal neighbours, so they are first merged into one row that stands at their
-    smallest ordinal; copies cost nothing however many there are. Then each round takes the first
-    undecided rows, finds the anchors among them, sends these (a bounded batch) to all tasks and
-    decides every row close to one. Close rows leave in the round of their anchor, no pair table is
-    built and nothing is shuffled.
+    smallest ordinal; copies cost nothing however many there are. The others are dealt into cells
+    around pivots: on the unit sphere a cosine of t is an angle of arccos t, so by the triangle
+    inequality a row visits every cell in which a row close to it can be at home. Each row is compared
+    with the rows that are in its home cell, a block with a block at a time.
+
+    Rounds then settle rows in parallel: a row close to an anchor is a repeat, and a row that no
+    open earlier row is close to is an anchor. A chain of rows each waiting for the one before it
+    sets the number of rounds, not the number of rows. Settled rows leave the rounds; only two counts
+    of each round reach the driver.
     """
-    if not 0 < threshold <= 0.999999:
-        raise ValueError("threshold must lie between 0 and 0.999999")
-    usable = vectors.filter("size(embedding) > 0").withColumn("embedding", F.col("embedding").cast("array<double>"))
-    usable = usable.filter(F.exists("embedding", lambda x: x != 0))
-    classes = cut_lineage(usable.groupBy("embedding").agg(
-        F.min("ordinal").alias("head"), F.min_by("rel_path", "ordinal").alias("path"),
-        F.count(F.lit(1)).alias("n")))
-    decided = _leaders(classes, threshold, batch_rows)
-    followed = classes.select("embedding", "head", "n").join(decided, "head")
-    rows = lookup(usable, followed, ["embedding"], "n", F.col("ordinal"), hot_rows)
+    if not 0 < threshold <= 1:
+        raise ValueError("threshold must lie above 0 and not above 1")
+    numbers = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # no negative zeros
+    usable = vectors.filter("size(embedding) > 0").withColumn("embedding", numbers)
+    usable = usable.filter(F.exists("embedding", lambda x: x != 0)).withColumns({
+        "_k1": F.xxhash64("embedding"), "_k2": F.xxhash64(F.lit(1), "embedding")})
+    usable = cut_lineage(usable)
+    classes = usable.groupBy("_k1", "_k2").agg(F.min("ordinal").alias("head"), F.count(F.lit(1)).alias("n"))
+    heads = cut_lineage(classes.join(
+        usable.select(F.col("ordinal").alias("head"), F.col("rel_path").alias("path"), "embedding"), "head"))
+    followed = _follow(heads, threshold, BLOCK if block is None else block)
+    facts = heads.select("_k1", "_k2", "head", "n").join(followed, "head", "left").join(
+        heads.select(F.col("head").alias("anchor"), F.col("path").alias("_other_path")), "anchor", "left")
+    own = heads.select("_k1", "_k2", F.col("path").alias("_path"))
+    facts = facts.join(own, ["_k1", "_k2"]).select(
+        "_k1", "_k2", "head", "n", F.coalesce("anchor", "head").alias("anchor"),
+        F.coalesce("_other_path", "_path").alias("anchor_path"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+    rows = lookup(usable, facts, ["_k1", "_k2"], "n", F.col("ordinal"), hot_rows)
     return rows.filter("ordinal <> anchor").select(
-        "ordinal", "rel_path", "size", "anchor", "anchor_path",
-        F.when(F.col("head") == F.col("anchor"), 1.0).otherwise(F.col("similarity")).alias("similarity"))
+        "ordinal", "rel_path", "size", "anchor", "anchor_path", "similarity")
 
 
 def near_duplicates(members: DataFrame) -> DataFrame:
@@ -65,97 +78,122 @@ def near_duplicates(members: DataFrame) -> DataFrame:
         "n_duplicates", "reclaimable_bytes")
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+def _units(lists: pa.Array) -> np.ndarray:
+    rows = lists.flatten().to_numpy().reshape(len(lists), -1)
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _tiles(anchors: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    for begin in range(0, len(anchors), TILE):
-        yield begin, anchors[begin:begin + TILE]
-
-
-def _choose_anchors(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Anchors among a batch in ordinal order; rows of different length never match."""
-    kept = []
-    for _, same in batch.groupby(batch["embedding"].map(len)):
-        units = _unit(same["embedding"])
-        chosen = np.empty(0, dtype=np.int64)
-        for begin in range(0, len(units), BLOCK):
-            block = units[begin:begin + BLOCK]
-            free = np.ones(len(block), dtype=bool)
-            for _, tile in _tiles(units[chosen]):
-                free &= ~(block @ tile.T >= threshold).any(axis=1)
-            close = block @ block.T >= threshold
-            for i in range(len(block)):
-                if free[i]:
-                    free[i + 1:] &= ~close[i, i + 1:]
-            chosen = np.concatenate([chosen, begin + np.flatnonzero(free)])
-        kept.append(same.iloc[chosen])
-    return pd.concat(kept).sort_values("head")
-
-
-_OPEN = "head bigint, path string, embedding array<double>"
-_DECIDED = "head bigint, anchor bigint, anchor_path string, similarity double"
-
-
-def _leaders(classes: DataFrame, threshold: float, batch_rows: int | None) -> DataFrame:
-    """(head, anchor, anchor_path, similarity) of every class, in rounds of bounded batches."""
-    spark = classes.sparkSession
-    rows, width = classes.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    wanted = batch_rows or max(BATCH_ROWS, rows // 16)
-    limit = max(1, min(wanted, BATCH_BYTES // (8 * (width or 1))))
-    undecided = classes.select("head", "path", "embedding")
-    table, places = new_table(spark), "round int, open boolean"
-    for number in itertools.count():
-        batch = undecided.orderBy("head").limit(limit).toPandas()
-        if batch.empty:
+def _cells(heads: DataFrame, threshold: float) -> DataFrame:
+    """(width, cell, home, head, embedding): every row once at home, and as a guest where a neighbour may live."""
+    sized = heads.select("head", "embedding", F.size("embedding").alias("width"))
+    widths = sized.groupBy("width").agg(F.count(F.lit(1)).alias("n"))
+    shares = sized.join(widths, "width").withColumn("cells", F.least(F.lit(CELLS), F.ceil(F.col("n") / ROWS_A_CELL)))
+    drawn = shares.filter("cells > 1").orderBy(F.xxhash64("head")).limit(CELLS).select("width", "embedding").toArrow()
+    pivots: dict[int, np.ndarray] = {}
+    for width in set(drawn["width"].to_pylist()):
+        some = drawn.filter(pa.compute.equal(drawn["width"], width))["embedding"].combine_chunks()
+        pivots[width] = _units(some)
+    # Rounding must not lose a neighbour.
+    reach = 2 * math.acos(threshold) + 1e-6
+
+    def deal(batches):
+        for batch in batches:
+            cells, homes, at = [], [], []
+            for i, (row, width) in enumerate(zip(batch["embedding"], batch["width"].to_pylist(), strict=True)):
+                angles = np.zeros(1)
+                if width in pivots:
+                    unit = _units(pa.array([row.as_py()]))[0]
+                    angles = np.arccos(np.clip(pivots[width] @ unit, -1, 1))
+                near = np.flatnonzero(angles <= angles.min() + reach)
+                cells += near.tolist()
+                homes += (near == angles.argmin()).tolist()
+                at += [i] * len(near)
+            taken = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [taken["width"], pa.array(cells, pa.int32()), pa.array(homes, pa.bool_()), taken["head"],
+                 taken["embedding"]], names=["width", "cell", "home", "head", "embedding"])
+
+    return sized.mapInArrow(deal, "width int, cell int, home boolean, head bigint, embedding array<double>")
+
+
+def _tiles(cells: DataFrame, block: int) -> DataFrame:
+    """Blocks of rows at home (side 0) against blocks of all rows of the cell (side 1)."""
+    sizes = cells.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    placed = cells.join(sizes, ["width", "cell"]).withColumn(
+        "own", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    as_home = placed.filter("home").withColumns({"i": F.col("own"), "j": F.explode(every), "side": F.lit(0)})
+    as_other = placed.withColumns({"i": F.explode(every), "j": F.col("own"), "side": F.lit(1)})
+    return as_home.unionByName(as_other).drop("own", "blocks", "home")
+
+
+def _compared(cells: DataFrame, block: int, judge, schema: str) -> DataFrame:
+    def tile(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        own, others = (table.filter(pa.compute.equal(table["side"], side)) for side in (0, 1))
+        if not own.num_rows or not others.num_rows:
+            return pa.table({name: pa.array([], type) for name, type in judge.columns})
+        close = _units(own["embedding"].combine_chunks()) @ _units(others["embedding"].combine_chunks()).T
+        before = others["head"].to_numpy()[None, :] < own["head"].to_numpy()[:, None]
+        return judge(own, others, close, before)
+
+    return _tiles(cells, block).groupBy("width", "cell", "i", "j").applyInArrow(tile, schema)
+
+
+def _follow(heads: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(head, anchor, similarity) of every row that repeats an earlier one."""
+    spark = heads.sparkSession
+    # Products of unit vectors may miss a threshold of 1 by rounding.
+    limit = threshold - 1e-9 if threshold == 1 else threshold
+    cells = cut_lineage(_cells(heads, threshold))
+
+    def settle(own, others, close, before):
+        near = (close >= limit) & before
+        anchors = others["anchor"].to_numpy(zero_copy_only=False)
+        return pa.table({"head": own["head"], "repeat": (near & anchors[None]).any(axis=1),
+                         "waits": (near & ~anchors[None]).any(axis=1)})
+
+    settle.columns = [("head", pa.int64()), ("repeat", pa.bool_()), ("waits", pa.bool_())]
+    state = cut_lineage(heads.select("head", F.lit(False).alias("anchor")))
+    anchors, folders = [], []
+    while True:
+        # Open rows, and the anchors found last, which claim what is close to them.
+        live = cells.join(state, "head")
+        judged = _compared(live.withColumn("home", F.col("home") & ~F.col("anchor")), block, settle,
+                           "head bigint, repeat boolean, waits boolean")
+        told = judged.groupBy("head").agg(F.max("repeat").alias("repeat"), F.max("waits").alias("waits"))
+        told = state.filter("NOT anchor").join(told, "head", "left").filter("NOT coalesce(repeat, false)").select(
+            "head", (~F.coalesce("waits", F.lit(False))).alias("anchor"))
+        folder = new_table(spark)
+        told.write.parquet(folder)
+        folders.append(folder)
+        state = spark.read.parquet(folder)
+        fresh, left = state.agg(F.count_if("anchor"), F.count(F.lit(1))).first()
+        if not left:
             break
-        anchors = spark.sparkContext.broadcast(_choose_anchors(batch, threshold))
-
-        def match(frames: Iterator[pd.DataFrame], anchors=anchors) -> Iterator[pd.DataFrame]:
-            by_width = {
-                width: (_unit(same["embedding"]), same["head"].to_numpy(), same["path"].to_numpy())
-                for width, same in anchors.value.groupby(anchors.value["embedding"].map(len))
-            }
-            for frame in frames:
-                for width, same in frame.groupby(frame["embedding"].map(len)):
-                    yield _nearest_first(same, by_width.get(width), threshold)
-
-        # One pass writes decisions and the rows still open side by side; open rows of the round
-        # before are then no longer needed.
-        marked = undecided.mapInPandas(match, f"{_OPEN}, anchor bigint, anchor_path string, similarity double")
-        split = marked.withColumns({
-            "open": F.col("anchor").isNull(), "embedding": F.when(F.col("anchor").isNull(), F.col("embedding"))})
-        split.write.partitionBy("open").parquet(f"{table}/round={number}")
-        anchors.destroy()
-        drop(spark, f"{table}/round={number - 1}/open=true")
-        here = spark.read.schema(f"{_OPEN}, {places}").option("basePath", table).parquet(f"{table}/round={number}")
-        undecided = here.filter("open").select("head", "path", "embedding")
-    if not number:
-        return spark.createDataFrame([], _DECIDED)
-    return spark.read.schema(f"{_DECIDED}, {places}").parquet(table).filter("NOT open").drop("open", "round")
-
-
-def _nearest_first(frame: pd.DataFrame, anchors, threshold: float) -> pd.DataFrame:
-    """Mark each row with the first anchor at or above the threshold; an anchor marks itself."""
-    place = np.full(len(frame), -1, dtype=np.int64)
-    similarity = np.full(len(frame), np.nan)
-    if anchors is not None:
-        units, heads, paths = anchors
-        vectors, own = _unit(frame["embedding"]), frame["head"].to_numpy()
-        for rows in np.array_split(np.arange(len(frame)), len(frame) // BLOCK + 1):
-            for begin, tile in _tiles(units):
-                rows = rows[place[rows] < 0]
-                products = vectors[rows] @ tile.T
-                before = heads[None, begin:begin + TILE]
-                close = ((products >= threshold) & (before < own[rows, None])) | (before == own[rows, None])
-                hit, first = close.any(axis=1), close.argmax(axis=1)
-                place[rows[hit]] = begin + first[hit]
-                similarity[rows[hit]] = products[hit, first[hit]]
-    found = place >= 0
-    marked = frame.assign(similarity=similarity, anchor=pd.array([pd.NA] * len(frame), dtype="Int64"), anchor_path=None)
-    if found.any():
-        marked.loc[found, "anchor"] = heads[place[found]]
-        marked.loc[found, "anchor_path"] = paths[place[found]]
-    return marked
+        anchors.append(state.filter("anchor").select("head"))
+    if not anchors:
+        return spark.createDataFrame([], "head bigint, anchor bigint, similarity double")
+    chosen = anchors[0]
+    for more in anchors[1:]:
+        chosen = chosen.union(more)
+    chosen = cut_lineage(chosen.select("head", F.lit(True).alias("anchor")))
+    for folder in folders:
+        drop(spark, folder)
+    marked = cells.join(chosen, "head", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
+    # Repeats at home are compared with anchors of the cell.
+    marked = marked.filter("home OR anchor").withColumn("home", F.col("home") & ~F.col("anchor"))
+
+    def first(own, others, close, before):
+        near = (close >= limit) & before & others["anchor"].to_numpy(zero_copy_only=False)[None]
+        names = np.where(near, others["head"].to_numpy()[None], np.iinfo(np.int64).max)
+        at = names.argmin(axis=1)
+        rows = np.arange(len(at))
+        found = near[rows, at]
+        return pa.table({"head": own["head"].to_numpy()[found], "anchor": names[rows, at][found],
+                         "similarity": np.minimum(close[rows, at][found], 1.0)})
+
+    first.columns = [("head", pa.int64()), ("anchor", pa.int64()), ("similarity", pa.float64())]
+    claims = _compared(marked, block, first, "head bigint, anchor bigint, similarity double")
+    return claims.groupBy("head").agg(F.min(F.struct("anchor", "similarity")).alias("_first")).select(
+        "head", "_first.anchor", "_first.similarity")

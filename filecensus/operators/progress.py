@@ -22,9 +22,10 @@ def _day(ts: str = "ts") -> Column:
 
 
 def latest_heartbeat() -> Column:
-    """The state carried by an account's newest heartbeat, as an aggregate."""
+    """The state carried by an account's newest heartbeat, as an aggregate; of equal times, the largest state."""
     rate = measures.run_rate(F.col("rate_bps"), F.col("bytes_written"), F.col("elapsed_s"))
-    return F.max_by(F.struct("ts", *_STATE, rate.alias("rate_bps")), F.col("ts"))
+    state = F.struct("ts", "bytes_written", *[c for c in _STATE if c != "bytes_written"], rate.alias("rate_bps"))
+    return F.max(state)
 
 
 def describe(states: DataFrame) -> DataFrame:
@@ -75,13 +76,13 @@ def _seconds_between(before: Column, after: Column) -> Column:
 
 def _polls(heartbeats: DataFrame, look_back: int, block_rows: int, chunk: Column | None) -> DataFrame:
     rows = heartbeats.select("account", "ts", "bytes_written")
-    placed = ranked(rows, ["account"], ["ts"], _day() if chunk is None else chunk, "place")
+    placed = ranked(rows, ["account"], ["ts", "bytes_written"], _day() if chunk is None else chunk, "place")
     return with_context(placed, "place", look_back, block_rows)
 
 
 def _with_rate(polls: DataFrame) -> DataFrame:
     """Bytes per second since the previous poll; null at the first poll and without elapsed time."""
-    order = Window.partitionBy("account", "block").orderBy("ts")
+    order = Window.partitionBy("account", "block").orderBy("ts", "bytes_written")
     passed = _seconds_between(F.lag("ts").over(order), F.col("ts"))
     moved = F.col("bytes_written") - F.lag("bytes_written").over(order)
     return polls.withColumn("rate_bps", F.when(passed > 0, moved / passed))
@@ -98,7 +99,7 @@ def rate_history(heartbeats: DataFrame, points: int = HISTORY, block_rows: int =
     """Rates in MB/s with the scale of the graph at that moment: the largest of the last points."""
     rates = _with_rate(_polls(heartbeats, points, block_rows, chunk))
     speed = F.coalesce(F.col("rate_bps"), F.lit(0.0)) / F.lit(1e6)
-    recent = Window.partitionBy("account", "block").orderBy("ts").rowsBetween(1 - points, 0)
+    recent = Window.partitionBy("account", "block").orderBy("ts", "bytes_written").rowsBetween(1 - points, 0)
     scaled = rates.withColumn("mb_s", speed).withColumn(
         "scale", F.greatest(F.max("mb_s").over(recent), F.lit(SCALE_FLOOR)))
     return scaled.filter("NOT context").select(

@@ -6,10 +6,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-# A key with this many rows is looked up by broadcast instead of through the shuffle.
+# Rows of one key that go to one task of a lookup; a key with more is split.
 HOT_ROWS = 1_000_000
-# Never more keys than this are broadcast, whatever the data holds.
-HOT_KEYS = 4096
 # Rows of one key that share a task when an order must be followed.
 CHUNK_ROWS = 1_000_000
 
@@ -53,42 +51,28 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
 
 
 def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread: Column,
-           hot_rows: int = HOT_ROWS, total: int | None = None) -> DataFrame:
+           hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join `rows` to one-row-per-key `facts` without gathering a hot key's rows in one task.
 
-    `weight` is the facts column that counts the key's rows. The heaviest keys, at most HOT_KEYS of
-    them, are broadcast and matched where the rows are. Their rows then pass the ordinary join on a
-    scattered salt that no fact carries; every other key joins as usual. `total` may state a bound
-    on the rows: below `hot_rows` no key can be hot.
+    `weight` is the facts column that counts the key's rows. The fact of a key with `hot_rows` rows or
+    more is repeated once for every `hot_rows` of them, and its rows pick one of the copies by a hash of
+    `spread`. Which keys are hot is broadcast: the keys alone, of which there can be no more than
+    rows / hot_rows.
     """
-    if total is not None and total < hot_rows:
-        return rows.join(facts, keys, "left").select(*rows.columns, *[c for c in facts.columns if c not in keys])
     values = [c for c in facts.columns if c not in keys]
-    hot = (
-        facts.filter(F.col(weight) >= hot_rows)
-        .orderBy(F.desc(weight), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.struct(*values).alias("_hot"))
-    )
-    # Always 0, but not a literal: the optimizer would move a literal out of the join keys, and the
-    # shuffle would go by the bare key again.
-    unsalted = F.when(F.col(weight) < 0, 1).otherwise(0)
-    cold = facts.select(*keys, unsalted.alias("_salt"), F.struct(*values).alias("_cold"))
-    salt = F.when(F.col("_hot").isNotNull(), 1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")).otherwise(0)
-    joined = (
-        rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", salt)
-        .join(cold, [*keys, "_salt"], "left")
-    )
-    kept = [F.col(c) for c in rows.columns]
-    return joined.select(*kept, *[F.coalesce(F.col("_hot")[v], F.col("_cold")[v]).alias(v) for v in values])
-
-
-def lookup_unweighted(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column, hot_rows: int,
-                      total: int) -> DataFrame:
+    copies = F.ceil(F.col(weight) / hot_rows).cast("int")
+    hot = facts.filter(F.col(weight) >= hot_rows).select(*keys, copies.alias("_copies"))
+    salted = facts.select(
+        *keys, F.struct(*values).alias("_fact"),
+        F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), copies) - 1)).alias("_salt"))
+    salt = F.coalesce(F.pmod(F.xxhash64(spread), F.col("_copies")).cast("int"), F.lit(0))
+    joined = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).join(salted, [*keys, "_salt"], "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.col("_fact")[v].alias(v) for v in values])
+
+
+def lookup_unweighted(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column,
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """`lookup` for facts that do not know how many rows will ask for them."""
-    if total < hot_rows:
-        return rows.join(facts, keys, "left").select(*rows.columns, *[c for c in facts.columns if c not in keys])
     asked = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
     return lookup(rows, facts.join(asked, keys), keys, "_asked", spread, hot_rows).drop("_asked")
 

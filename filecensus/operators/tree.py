@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.functions import rules, text
 from filecensus.operators.catalog import first_seen
-from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup_unweighted, numbered
-
-MAX_ROUNDS = 10_000
-
+from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup, lookup_unweighted, new_table, numbered
 
 def _component() -> Column:
     return text.safe_component(F.coalesce(F.col("name"), F.col("id")))
@@ -35,59 +34,72 @@ def _inner_nodes(items: DataFrame) -> DataFrame:
 def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(source_ordinal, id, segments, ids): every inner node's chain of names, root first.
 
-    Pointer doubling: each round joins the unfinished nodes with the chains found so far, so a tree
-    of depth d takes log2(d) rounds. A round that finishes nothing leaves only nodes whose chain runs
-    into a cycle; those walk one step at a time and stop before an id they have passed.
+    Pointer doubling: a tree of depth d takes log2(d) rounds. A chain that runs into a cycle ends
+    before the first id it would pass again. Cycles are found by doubling too, cut open at their
+    smallest id, chained like trees, and completed by the rest of the ring.
     """
-    keys = ["source_ordinal", "up"]
     nodes = cut_lineage(_inner_nodes(items))
-    state = nodes.select("source_ordinal", "id", "up", F.array("name").alias("segments"), F.array("id").alias("ids"))
-    open_nodes = state.filter("up IS NOT NULL").count()
-    while open_nodes:
+    finished, looped = _chained(nodes, hot_rows)
+    if looped is None:
+        return finished
+    links = cut_lineage(nodes.join(looped, _NODE, "left_semi"))
+    ring = cut_lineage(_rings(links, hot_rows))
+    opened = links.join(ring.withColumnRenamed("root", "_root"), _NODE, "left")
+    is_root = F.coalesce(F.col("_root") == F.col("id"), F.lit(False))
+    chains, _ = _chained(opened.select(*_NODE, F.when(~is_root, F.col("up")).alias("up"), "name"), hot_rows)
+    # Above the root of a ring stands its last node, whose chain is the whole ring.
+    last = opened.filter(is_root).select("source_ordinal", F.col("up").alias("id"), F.col("id").alias("root"))
+    whole = chains.join(last, _NODE).select(
+        "source_ordinal", "root", F.col("segments").alias("_segments"), F.col("ids").alias("_ids"))
+    rooted = chains.withColumn("root", F.get("ids", F.lit(0)))
+    joined = lookup_unweighted(rooted, whole, ["source_ordinal", "root"], F.col("id"), hot_rows)
+    passed = F.size(F.array_intersect("ids", "_ids"))
+    rest = [F.slice(c, passed + 1, F.size("_ids") - passed) for c in ("_segments", "_ids")]
+    return finished.unionByName(joined.select(
+        *_NODE, F.concat(rest[0], "segments").alias("segments"), F.concat(rest[1], "ids").alias("ids")))
+
+
+_NODE = ["source_ordinal", "id"]
+
+
+def _chained(nodes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Chains of the nodes that lead to a root, and the nodes that lead into a cycle, if there are any.
+
+    Each round joins the unfinished nodes with the chains found so far. When a round finishes
+    nothing, no unfinished node has a finished one ahead.
+    """
+    keys = ["source_ordinal", "up"]
+    state = cut_lineage(nodes.select(*_NODE, "up", F.array("name").alias("segments"), F.array("id").alias("ids")))
+    before = None
+    while True:
+        unfinished = state.filter("up IS NOT NULL")
+        left = unfinished.count()
+        if not left or left == before:
+            return state.filter("up IS NULL").drop("up"), unfinished.select(*_NODE) if left else None
+        before = left
         ahead = state.select("source_ordinal", F.col("id").alias("up"), F.col("up").alias("_up"),
                              F.col("segments").alias("_segments"), F.col("ids").alias("_ids"))
-        unfinished = state.filter("up IS NOT NULL")
-        joined = lookup_unweighted(unfinished, ahead, keys, F.col("id"), hot_rows, open_nodes)
-        doubled = joined.select("source_ordinal", "id", F.col("_up").alias("up"),
-                                F.concat("_segments", "segments").alias("segments"),
+        joined = lookup_unweighted(unfinished, ahead, keys, F.col("id"), hot_rows)
+        doubled = joined.select(*_NODE, F.col("_up").alias("up"), F.concat("_segments", "segments").alias("segments"),
                                 F.concat("_ids", "ids").alias("ids"))
         state = cut_lineage(state.filter("up IS NULL").unionByName(doubled))
-        still_open = state.filter("up IS NOT NULL").count()
-        if still_open == open_nodes:
-            break
-        open_nodes = still_open
-    finished = state.filter("up IS NULL").drop("up")
-    if not open_nodes:
-        return finished
-    looped = state.filter("up IS NOT NULL").select("source_ordinal", "id")
-    starts = nodes.join(looped, ["source_ordinal", "id"], "left_semi")
-    return finished.unionByName(_walk_up(starts, nodes, hot_rows))
 
 
-def _walk_up(starts: DataFrame, nodes: DataFrame, hot_rows: int) -> DataFrame:
-    """Chains of `starts` (source_ordinal, id, up, name), one parent per round."""
-    keys = ["source_ordinal", "up"]
-    parents = nodes.select("source_ordinal", F.col("id").alias("up"), F.col("up").alias("_up"),
-                           F.col("name").alias("_name"))
-    state = starts.select(*[c for c in starts.columns if c != "name"], F.array("name").alias("segments"),
-                          F.array("id").alias("ids"))
-    finished = None
-    for _ in range(MAX_ROUNDS):
-        moving = F.col("up").isNotNull() & ~F.array_contains("ids", F.col("up"))
-        stopped = state.filter(~F.coalesce(moving, F.lit(False))).drop("up")
-        finished = stopped if finished is None else finished.unionByName(stopped)
-        unfinished = state.filter(moving)
-        left = unfinished.count()
-        if not left:
-            return finished
-        joined = lookup_unweighted(unfinished, parents, keys, F.col("id"), hot_rows, left)
-        known = F.col("_name").isNotNull()
+def _rings(links: DataFrame, hot_rows: int) -> DataFrame:
+    """(source_ordinal, id, root) of the nodes on cycles; root is the cycle's smallest id.
+
+    After as many steps as there are nodes every pointer stands on a cycle, and on every node of it.
+    """
+    keys = ["source_ordinal", "jump"]
+    state = links.select(*_NODE, F.col("up").alias("jump"), F.least("id", "up").alias("least"))
+    for _ in range(links.count().bit_length()):
+        ahead = state.select("source_ordinal", F.col("id").alias("jump"), F.col("jump").alias("_jump"),
+                             F.col("least").alias("_least"))
+        joined = lookup_unweighted(state, ahead, keys, F.col("id"), hot_rows)
         state = cut_lineage(joined.select(
-            *[c for c in state.columns if c not in ("up", "segments", "ids")],
-            F.col("_up").alias("up"),
-            F.when(known, F.concat(F.array("_name"), "segments")).otherwise(F.col("segments")).alias("segments"),
-            F.when(known, F.concat(F.array("up"), "ids")).otherwise(F.col("ids")).alias("ids")))
-    raise RuntimeError(f"a parent chain is longer than {MAX_ROUNDS} steps")
+            *_NODE, F.col("_jump").alias("jump"), F.least("least", "_least").alias("least")))
+    on_cycle = state.select("source_ordinal", F.col("jump").alias("id")).distinct()
+    return state.join(on_cycle, _NODE, "left_semi").select(*_NODE, F.col("least").alias("root"))
 
 
 def build_paths(rows: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -101,7 +113,7 @@ def build_paths(rows: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) ->
     keys = ["source_ordinal", "up"]
     above = chains.select("source_ordinal", F.col("id").alias("up"), F.col("segments").alias("_segments"),
                           F.col("ids").alias("_ids"))
-    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows, items.count())
+    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows)
     # A row that is met again on its parents' chain stops there: its chain ends below itself.
     again = F.coalesce(F.array_position("_ids", F.col("id")), F.lit(0)).cast("int")
     below = F.slice("_segments", again + 1, F.size("_segments"))
@@ -120,25 +132,36 @@ def expand_folders(roots: DataFrame, children: DataFrame, hot_rows: int = HOT_RO
     within a level, later folders are opened first.
     """
     is_folder = F.col("mime_type") == rules.FOLDER_TYPE
-    frontier = roots.filter(is_folder).select(F.col("id").alias("folder_id"), F.array(-F.col("position")).alias("visit"))
-    frontier = cut_lineage(frontier.groupBy("folder_id").agg(F.min("visit").alias("visit")))
-    seen = frontier
     edges = children.filter(is_folder).select("folder_id", "id", "position")
-    while not frontier.isEmpty():
-        found = edges.join(frontier, "folder_id").select(
-            F.col("id").alias("folder_id"), F.concat("visit", F.array(-F.col("position"))).alias("visit"))
-        fresh = found.groupBy("folder_id").agg(F.min("visit").alias("visit"))
-        frontier = cut_lineage(fresh.join(seen.select("folder_id"), "folder_id", "left_anti"))
-        seen = seen.unionByName(frontier)
-    found = lookup_unweighted(children, seen, ["folder_id"], F.col("id"), hot_rows, children.count())
+    weights = cut_lineage(edges.groupBy("folder_id").agg(F.count(F.lit(1)).alias("_n")))
+    first = roots.filter(is_folder).select(F.col("id").alias("folder_id"), F.array(-F.col("position")).alias("visit"))
+    frontier, spark, seen = first, roots.sparkSession, new_table(roots.sparkSession)
+    for level in itertools.count():
+        fresh = frontier.groupBy("folder_id").agg(F.min("visit").alias("visit"))
+        if level:
+            fresh = fresh.join(opened.select("folder_id"), "folder_id", "left_anti")
+        fresh.write.parquet(f"{seen}/level={level}")
+        opened = spark.read.schema("folder_id string, visit array<bigint>, level int").parquet(seen)
+        latest = opened.filter(F.col("level") == level)
+        if latest.isEmpty():
+            break
+        # Folders without folders end here; those of very many are split.
+        weighted = latest.select("folder_id", "visit").join(weights, "folder_id")
+        found = lookup(edges, weighted, ["folder_id"], "_n", F.col("id"), hot_rows).filter("visit IS NOT NULL")
+        frontier = found.select(F.col("id").alias("folder_id"), F.concat("visit", F.array(-F.col("position"))).alias("visit"))
+    found = lookup_unweighted(children, opened.select("folder_id", "visit"), ["folder_id"], F.col("id"), hot_rows)
     return found.filter("visit IS NOT NULL")
 
 
-def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_ROWS) -> DataFrame:
+def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_ROWS,
+         children: DataFrame | None = None) -> DataFrame:
     """Catalog rows of a listing: one per downloadable file, the first time it is met.
 
-    Folders, shortcuts and native types without an export are no files and claim no id.
+    Folders, shortcuts and native types without an export are no files and claim no id. With
+    `children`, the dumped contents of folders, shared folders are walked into.
     """
+    if children is not None:
+        items = cut_lineage(add_shared_children(items, children, hot_rows))
     export = rules.native_export(F.col("mime_type"), export_format)
     native = rules.is_native(F.col("mime_type"))
     shown = (F.col("mime_type") != rules.FOLDER_TYPE) & F.col("shortcut_target").isNull()
@@ -146,8 +169,9 @@ def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_RO
     emitted = build_paths(first_seen(files, "id", ["source_ordinal", "position"]), items, hot_rows)
     extension = F.coalesce(F.col("_export.extension"), F.lit(""))
     return emitted.select(
-        # Sources stay below 2^20 and positions below 2^42, so this orders rows as they were listed.
-        (F.col("source_ordinal").cast("bigint") * F.lit(1 << 42) + F.col("position")).alias("ordinal"),
+        F.when((F.col("source_ordinal") < 1 << 20) & (F.col("position") < 1 << 42),
+               F.col("source_ordinal").cast("bigint") * F.lit(1 << 42) + F.col("position")).otherwise(
+            F.raise_error(F.lit("the listing is too long for its rows to be numbered"))).alias("ordinal"),
         F.col("id").alias("file_id"),
         F.coalesce(F.col("name"), F.col("id")).alias("name"),
         F.concat("rel_path", extension).alias("rel_path"),

@@ -193,7 +193,7 @@ def _near(rows: str) -> str:
 
 _TEXT_ROWS = f"""
 SELECT c.ordinal, c.rel_path, c.size, e.embedding FROM {{catalog}} c JOIN {{vectors}} e ON c.ordinal = e.ordinal
-WHERE status = 'done' AND c.size <= 200000 AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)})"""
+WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)})"""
 
 
 def _described(states: str) -> str:
@@ -216,15 +216,15 @@ FROM (SELECT *, CASE WHEN rate_bps > 0 THEN CAST(floor(remaining / rate_bps) AS
 _LATEST = """
 SELECT account, done, expected, errors, bytes_written, expected_bytes, bytes_inflight,
        coalesce(rate_bps, CASE WHEN elapsed_s > 0 THEN bytes_written / elapsed_s ELSE 0 END) AS rate_bps, 'heartbeat' AS source
-FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts DESC) AS rn FROM {heartbeats}) WHERE rn = 1"""
+FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts DESC, bytes_written DESC, done DESC, expected DESC, errors DESC) AS rn FROM {heartbeats}) WHERE rn = 1"""
 _SNAPSHOT = f"""
 SELECT * FROM ({_LATEST})
 UNION ALL
 SELECT account, done, expected_total, greatest(0, count - done), total_bytes, expected_bytes, 0, 0.0, 'manifest'
 FROM {{headers}} WHERE account NOT IN (SELECT account FROM {{heartbeats}})"""
 _RATES = """
-SELECT account, ts, (bytes_written - lag(bytes_written) OVER w) / (epoch_us(ts) - epoch_us(lag(ts) OVER w)) * 1e6 AS rate_bps
-FROM {heartbeats} WINDOW w AS (PARTITION BY account ORDER BY ts)"""
+SELECT account, ts, bytes_written, (bytes_written - lag(bytes_written) OVER w) / (epoch_us(ts) - epoch_us(lag(ts) OVER w)) * 1e6 AS rate_bps
+FROM {heartbeats} WINDOW w AS (PARTITION BY account ORDER BY ts, bytes_written)"""
 _RUNNING = f"""
 SELECT account, max(ts) AS last_ts,
        CASE WHEN epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts)) < {LIVE_SECONDS * 1_000_000} THEN 'live' ELSE 'idle' END AS state
@@ -310,7 +310,7 @@ FROM {{catalog}} WHERE status = 'done' GROUP BY 1""",
 SELECT rel_path, size, reason, {_label('reason')} AS label
 FROM (SELECT *, {_junk('rel_path', 'size')} AS reason FROM {{catalog}} WHERE status = 'done') WHERE reason IS NOT NULL""",
     "text_candidates": f"""
-SELECT ordinal, rel_path, size FROM {{catalog}} WHERE status = 'done' AND size <= 200000
+SELECT ordinal, rel_path, size FROM {{catalog}} WHERE status = 'done' 
 AND lower({_suffix(_name('rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)})""",
     "safe_names": rf"""
 SELECT origin, id, CASE WHEN safe = '' THEN 'unnamed' ELSE safe END AS safe
@@ -363,6 +363,7 @@ SELECT ordinal, anchor, round(similarity, 6) AS similarity FROM members""",
     "all_duplicate_groups": _near(_TEXT_ROWS) + _NEAR_GROUPS + " UNION ALL " + _groups(),
     "proposal_summary": _SUMMARY,
     "proposal_rollup": _ROLLUP,
+    "rollup_by_year": f"SELECT * FROM ({_ROLLUP}) WHERE dimension = 'year' ORDER BY key",
     "rollup_bars": f"""
 SELECT *, greatest(1, CAST(floor(100 * bytes / CASE WHEN max(bytes) OVER (PARTITION BY dimension) = 0 THEN 1
        ELSE max(bytes) OVER (PARTITION BY dimension) END) AS BIGINT)) AS width FROM ({_ROLLUP})""",
@@ -436,7 +437,8 @@ FROM (SELECT required_bytes, CAST({int(MARGIN_GB * 1024 ** 3)} AS BIGINT) AS mar
     "purge_summary": f"SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS freed_bytes FROM ({_PURGE})",
     "failure_classes": f"""
 SELECT ordinal, file_id,
-       CASE WHEN exc_type IN ({_quoted(rules.CONNECTION_ERRORS)}) THEN 'transient'
+       CASE WHEN exc_type IN ('ConnectionResetError', 'ResponseNotReady', 'SSLEOFError') THEN 'transient'
+            WHEN exc_type = 'gaierror' AND errno IS NULL THEN 'transient'
             WHEN errno IS NOT NULL THEN CASE WHEN errno IN (2, 13, 28, 30, 122) THEN 'permanent' ELSE 'transient' END
             WHEN http_status = 403 THEN CASE WHEN lower(reason) LIKE '%ratelimitexceeded%' THEN 'transient' ELSE 'restricted' END
             WHEN http_status IN (429, 500, 502, 503, 504) THEN 'transient' ELSE 'permanent' END AS failure_class
@@ -452,9 +454,9 @@ FROM {attempts} GROUP BY account""",
     "progress_snapshot": _described(_SNAPSHOT),
     "progress_rate": f"SELECT account, ts, round_even((rate_bps) * 1e3, 0) / 1e3 + 0.0 AS rate_bps FROM ({_RATES})",
     "rate_history": f"""
-SELECT account, ts, round_even((mb) * 1e6, 0) / 1e6 + 0.0 AS mb_s, round_even((greatest(max(mb) OVER (PARTITION BY account ORDER BY ts
+SELECT account, ts, round_even((mb) * 1e6, 0) / 1e6 + 0.0 AS mb_s, round_even((greatest(max(mb) OVER (PARTITION BY account ORDER BY ts, bytes_written
        ROWS BETWEEN 79 PRECEDING AND CURRENT ROW), 0.1)) * 1e6, 0) / 1e6 + 0.0 AS scale
-FROM (SELECT account, ts, coalesce(rate_bps, 0) / 1e6 AS mb FROM ({_RATES}))""",
+FROM (SELECT account, ts, bytes_written, coalesce(rate_bps, 0) / 1e6 AS mb FROM ({_RATES}))""",
     "running_state": _RUNNING,
     "throughput_windows": _THROUGHPUT,
     "funnel_status": f"""

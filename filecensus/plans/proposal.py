@@ -66,6 +66,11 @@ def proposal_rollup(classified: DataFrame) -> DataFrame:
     return sets.select(dimension.alias("dimension"), key.alias("key"), "n", "bytes")
 
 
+def rollup_by_year(rollup: DataFrame) -> DataFrame:
+    """The years of a roll-up, oldest first."""
+    return rollup.filter("dimension = 'year'").orderBy("key")
+
+
 def rollup_bars(rollup: DataFrame) -> DataFrame:
     """Roll-up ordered for display, with each bar's width relative to its dimension's largest."""
     top = F.max("bytes").over(Window.partitionBy("dimension"))

@@ -7,7 +7,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, functions as F
 
 
-class PurgeRefused(Exception):
+class UnsafePurge(Exception):
     """A safety precondition is not met."""
 
 
@@ -16,7 +16,7 @@ def external_mirror(primary: str, backup_root: str, mirror_root: str) -> str:
     try:
         return str(PurePosixPath(mirror_root) / PurePosixPath(primary).relative_to(backup_root))
     except ValueError:
-        raise PurgeRefused(f"{primary} does not lie below {backup_root}") from None
+        raise UnsafePurge(f"{primary} does not lie below {backup_root}") from None
 
 
 def purge_plan(tree: DataFrame, gate: DataFrame, target: str, mirrors: list[str], confirm: bool) -> DataFrame:
@@ -27,12 +27,12 @@ def purge_plan(tree: DataFrame, gate: DataFrame, target: str, mirrors: list[str]
     place = PurePosixPath(target)
     for mirror in map(PurePosixPath, mirrors):
         if place == mirror or mirror in place.parents:
-            raise PurgeRefused(f"{target} belongs to the mirror {mirror}")
+            raise UnsafePurge(f"{target} belongs to the mirror {mirror}")
     if not confirm:
-        raise PurgeRefused("confirmation is missing")
+        raise UnsafePurge("confirmation is missing")
     verdict = gate.first()
     if not verdict["safe"]:
-        raise PurgeRefused(f"backup not verified: {verdict['reason']}")
+        raise UnsafePurge(f"backup not verified: {verdict['reason']}")
     return (
         tree.filter(F.startswith(F.col("rel_path"), F.lit("_quarantine/")))
         .select("rel_path", "size")

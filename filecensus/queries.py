@@ -245,6 +245,11 @@ def proposal_rollup(spark, folder):
     return proposal.proposal_rollup(_classified(spark, folder))
 
 
+@query
+def rollup_by_year(spark, folder):
+    return proposal.rollup_by_year(proposal_rollup(spark, folder))
+
+
 @query
 def rollup_bars(spark, folder):
     return proposal.rollup_bars(proposal_rollup(spark, folder))
@@ -366,8 +371,9 @@ def capacity_check(spark, folder):
 @query
 def purge_plan(spark, folder):
     settled = spark_view(spark, folder, "settled")
-    copies = spark_view(spark, folder, "primary_tree")
-    gate = verify.safety_gate(settled, _expected(spark, folder), copies, copies)
+    gate = verify.safety_gate(
+        settled, _expected(spark, folder), spark_view(spark, folder, "primary_tree"),
+        spark_view(spark, folder, "intact_mirror"))
     target = layout.route_default(proposal.classify(settled)).select(F.col("dest_rel").alias("rel_path"), "size")
     return purge.purge_plan(target, gate, "/estate/_clean/main", ["/estate/20240101/main", "/mirror/20240101/main"], True)
 

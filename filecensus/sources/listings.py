@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filecensus.schemas import DRIVES_PAGE, LISTING_PAGE
 
@@ -11,8 +11,8 @@ MY_DRIVE = "My Drive"
 SHARED_WITH_ME = "Shared with me"
 # Place of the shared items: behind every shared drive, and small enough for ordinals to stay bigints.
 SHARED_ORDINAL = 1_000_000
-DRIVES_PER_PAGE = 100
-_PAGE_SHIFT = 1 << 20
+# Items a page can hold: pages and places on them make up positions.
+_PAGE_ITEMS = 1 << 20
 
 
 def read_sources(spark: SparkSession, drives: str) -> DataFrame:
@@ -22,8 +22,11 @@ def read_sources(spark: SparkSession, drives: str) -> DataFrame:
     """
     pages = spark.read.schema(DRIVES_PAGE).option("multiLine", True).json(drives)
     listed = pages.select(_page_number().alias("page"), F.posexplode("drives").alias("pos", "drive"))
-    shared = listed.select(
-        (F.lit(1) + F.col("page") * DRIVES_PER_PAGE + F.col("pos")).cast("int").alias("source_ordinal"),
+    # An account sees few drives; they are numbered one behind the other, however wide the pages are.
+    place = F.row_number().over(Window.orderBy("page", "pos"))
+    fits = F.when(place < SHARED_ORDINAL, place).otherwise(F.raise_error(F.lit("too many shared drives")))
+    shared = listed.withColumn("source_ordinal", fits.cast("int")).select(
+        "source_ordinal",
         F.col("drive.id").alias("drive_id"), F.coalesce("drive.name", "drive.id").alias("drive_name"),
         F.lit(False).alias("shared_with_me"))
     ends = spark.createDataFrame(
@@ -51,8 +54,9 @@ def _read_pages(spark: SparkSession, folder: str, key: str) -> DataFrame:
     pages = spark.read.schema(f"{LISTING_PAGE}, {key}").option("multiLine", True).json(folder)
     page = _page_number()
     rows = pages.select(key.split()[0], page.alias("page"), F.posexplode("files").alias("pos", "item"))
+    place = F.when(F.col("pos") < _PAGE_ITEMS, F.col("pos")).otherwise(F.raise_error(F.lit("a page is too long")))
     live = rows.filter(~F.coalesce(F.col("item.trashed"), F.lit(False)))
-    return live.select(key.split()[0], *_item_columns(F.col("page") * _PAGE_SHIFT + F.col("pos")))
+    return live.select(key.split()[0], *_item_columns(F.col("page") * _PAGE_ITEMS + place))
 
 
 def read_listing(spark: SparkSession, folder: str, sources: DataFrame) -> DataFrame:

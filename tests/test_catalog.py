@@ -196,10 +196,10 @@ def test_purge(spark):
     assert tuple(purge.purge_summary(plan).first()) == (2, 7)
     refused = [dict(gate=gate(False)), dict(confirm=False), dict(target="/r/2024/m"), dict(target="/r/2024/m/sub")]
     for change in refused:
-        with pytest.raises(purge.PurgeRefused):
+        with pytest.raises(purge.UnsafePurge):
             purge.purge_plan(**{**dict(tree=target, gate=gate(True), target="/r/_clean/m", mirrors=["/r/2024/m"], confirm=True), **change})
     assert purge.external_mirror("/r/2024/m", "/r", "/ext") == "/ext/2024/m"
-    with pytest.raises(purge.PurgeRefused):
+    with pytest.raises(purge.UnsafePurge):
         purge.external_mirror("/elsewhere/2024", "/r", "/ext")
 
 

@@ -1,5 +1,6 @@
 """Names given in rounds equal names chosen one by one."""
 
+import itertools
 import random
 from pathlib import PurePosixPath
 
@@ -8,18 +9,21 @@ import pytest
 from filecensus.operators.naming import unique_paths
 
 
-def one_by_one(rows, taken):
+def candidates(path, tag):
+    """The path itself, then name__tag, name__tag_1, name__tag_2 and so on."""
+    place = PurePosixPath(path)
+    yield path
+    for counter in itertools.chain([""], (f"_{n}" for n in itertools.count(1))):
+        yield str(place.with_name(f"{place.stem}__{tag}{counter}{place.suffix}"))
+
+
+def first_free(rows, taken):
     used = {p.casefold() for p in taken}
-    out = {}
+    given = {}
     for ordinal, path, tag in sorted(rows):
-        place, choice, n = PurePosixPath(path), path, 0
-        while choice.casefold() in used:
-            counter = f"_{n}" if n else ""
-            choice = str(place.with_name(f"{place.stem}__{tag}{counter}{place.suffix}"))
-            n += 1
-        used.add(choice.casefold())
-        out[ordinal] = choice
-    return out
+        given[ordinal] = next(name for name in candidates(path, tag) if name.casefold() not in used)
+        used.add(given[ordinal].casefold())
+    return given
 
 
 def in_rounds(spark, rows, taken, chunk_rows=1_000_000, hot_rows=1_000_000):
@@ -48,7 +52,7 @@ CASES = {
 @pytest.mark.parametrize("name", CASES)
 def test_cases(spark, name):
     rows, taken = CASES[name]
-    assert in_rounds(spark, rows, taken) == one_by_one(rows, taken)
+    assert in_rounds(spark, rows, taken) == first_free(rows, taken)
 
 
 @pytest.mark.parametrize("seed", range(2))
@@ -59,7 +63,7 @@ def test_random_clashes(spark, seed):
     tags = ["x", "X", "y", "x_1", "x__y"]
     rows = [(i * 3, rng.choice(names), rng.choice(tags)) for i in range(60)]
     taken = rng.sample(["a.t", "a__x.t", "a__x_2.t", "b__x_1", "a__y_1.t", "zz"], rng.randint(0, 4))
-    assert in_rounds(spark, rows, taken, chunk_rows=7, hot_rows=5) == one_by_one(rows, taken)
+    assert in_rounds(spark, rows, taken, chunk_rows=7, hot_rows=5) == first_free(rows, taken)
 
 
 def test_hot_group_is_split(spark):
@@ -67,5 +71,5 @@ def test_hot_group_is_split(spark):
     rows = [(i, "q/copy.bin", "abc") if i % 3 == 0 else (i, f"q/{i}.bin", "z") for i in range(900)]
     rows[1] = (1, "q/copy__abc_5.bin", "z")
     rows[800] = (800, "q/copy__abc_9.bin", "z")
-    assert in_rounds(spark, rows, ["q/copy__abc_2.bin"], chunk_rows=16, hot_rows=50) == one_by_one(
+    assert in_rounds(spark, rows, ["q/copy__abc_2.bin"], chunk_rows=16, hot_rows=50) == first_free(
         rows, ["q/copy__abc_2.bin"])

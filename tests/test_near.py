@@ -1,8 +1,10 @@
-"""Greedy near-duplicate groups equal the sequential rule."""
+"""Near-duplicate groups follow the rule that the order of rows sets."""
 
 import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,24 +15,24 @@ from filecensus.operators.near import embed_texts, near_duplicates, near_members
 pytestmark = pytest.mark.usefixtures("interpreted")
 
 
-def similarity(a, b):
-    if not a or not b or len(a) != len(b):
-        return 0.0
-    norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-    return sum(x * y for x, y in zip(a, b)) / norms if norms else 0.0
-
-
-def sequential(rows, threshold):
-    anchor_of, used = {}, set()
-    ordered = sorted(rows)
-    for i, (a, va) in enumerate(ordered):
-        if a in used:
-            continue
-        for b, vb in ordered[i + 1:]:
-            if b not in used and similarity(va, vb) >= threshold:
-                used.add(b)
-                anchor_of[b] = a
-    return anchor_of
+def expected(rows, threshold):
+    """From the matrix of all products: a row is an anchor iff no earlier anchor reaches it."""
+    ordered = sorted((o, v) for o, v in rows if any(v))
+    heads = np.array([o for o, _ in ordered])
+    close = np.zeros((len(ordered), len(ordered)), dtype=bool)
+    for width in {len(v) for _, v in ordered}:
+        at = [i for i, (_, v) in enumerate(ordered) if len(v) == width]
+        matrix = np.array([ordered[i][1] for i in at], dtype=float)
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        close[np.ix_(at, at)] = matrix @ matrix.T >= threshold - (1e-9 if threshold == 1 else 0)
+    anchor = np.zeros(len(ordered), dtype=bool)
+    found = {}
+    for i in range(len(ordered)):
+        reached = np.flatnonzero(anchor[:i] & close[i, :i])
+        anchor[i] = not len(reached)
+        if len(reached):
+            found[int(heads[i])] = int(heads[reached[0]])
+    return found
 
 
 def members(spark, rows, threshold, **options):
@@ -48,10 +50,9 @@ def test_chain_is_not_merged(spark):
     assert [tuple(g) for g in groups] == [("near", "p/0.txt", "p/0.txt", 1, 2)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_random_vectors_in_small_batches(spark, monkeypatch, seed):
-    monkeypatch.setattr(near, "BLOCK", 8)
-    monkeypatch.setattr(near, "TILE", 3)
+@pytest.mark.parametrize("seed, threshold", [(0, 0.95), (1, 0.8), (2, 1.0)])
+def test_random_vectors(spark, monkeypatch, seed, threshold):
+    monkeypatch.setattr(near, "ROWS_A_CELL", 12)  # so that there are cells
     rng = random.Random(seed)
     centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)]
     rows = []
@@ -61,26 +62,49 @@ def test_random_vectors_in_small_batches(spark, monkeypatch, seed):
         else:
             vector = [x + rng.gauss(0, 0.35) for x in rng.choice(centres)]
         rows.append((o, vector if o % 17 else vector + [0.5]))
-    got = {r["ordinal"]: r["anchor"] for r in members(spark, rows, 0.95, batch_rows=16, hot_rows=20).collect()}
-    assert got == sequential(rows, 0.95)
+    got = {r["ordinal"]: r["anchor"] for r in members(spark, rows, threshold, hot_rows=20, block=8).collect()}
+    assert got == expected(rows, threshold)
+
+
+def test_rounds_do_not_grow_with_rows(spark, monkeypatch):
+    """Mutually distant vectors are all anchors after one round."""
+    rng = np.random.default_rng(1)
+    calls = []
+    write = near.new_table
+    monkeypatch.setattr(near, "new_table", lambda session: calls.append(1) or write(session))
+    for n in (200, 4000):
+        calls.clear()
+        vectors = rng.normal(size=(n, 64))
+        assert members(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], 0.95).collect() == []
+        assert len(calls) == 2
 
 
 def test_cosine(spark):
     pairs = [([1.0, 0.0], [1.0, 1.0]), ([], [1.0]), ([1.0], [1.0, 2.0]), ([0.0], [0.0]), ([3.0, 4.0], [3.0, 4.0])]
     frame = spark.createDataFrame(pairs, "a array<double>, b array<double>")
     got = [r[0] for r in frame.select(cosine(F.col("a"), F.col("b"))).collect()]
-    assert got == pytest.approx([similarity(a, b) for a, b in pairs])
+    assert got == pytest.approx([math.sqrt(0.5), 0.0, 0.0, 0.0, 1.0])
 
 
-def test_embedding_hook(spark):
-    import pandas as pd
+def test_the_model_runs_once_per_file(spark):
+    seen = spark.sparkContext.accumulator(0)
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [float(len(t)), 1.0] if t else None)
-
-    files = spark.createDataFrame([(0, "x" * 9000), (1, "")], "ordinal bigint, text string")
-    assert [(r["ordinal"], r["embedding"]) for r in embed_texts(files, embed).collect()] == [(0, [8000.0, 1.0])]
-
-    with pytest.raises(ValueError):
-        members(spark, [(0, [1.0])], 0.0)
+        seen.add(len(texts))
+        return texts.map(lambda t: [float(len(t)), 1.0 + len(t) % 3] if t else None)
+
+    files = spark.createDataFrame([(i, f"p/{i}.txt", 1, "x" * (i % 40)) for i in range(200)],
+                                  "ordinal bigint, rel_path string, size bigint, text string")
+    embedded = embed_texts(files, embed)
+    groups = near_duplicates(near_members(embedded, 0.95))
+    assert groups.count() > 0 and embedded.count() == 195
+    assert seen.value == 200
+    short = embed_texts(files, embed, max_chars=7)
+    assert max(r["embedding"][0] for r in short.collect()) == 7.0
+
+
+def test_thresholds(spark):
+    for threshold in (0.0, 1.01):
+        with pytest.raises(ValueError):
+            members(spark, [(0, [1.0])], threshold)

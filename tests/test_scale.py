@@ -16,7 +16,7 @@ def test_lookup(spark, hot_rows):
     joined = scale.lookup(rows, facts, ["k"], "n", F.col("ordinal"), hot_rows)
     plain = rows.join(facts, "k", "left").select(*joined.columns)
     assert sorted(map(tuple, joined.collect()), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
-    unweighted = scale.lookup_unweighted(rows, facts.drop("n"), ["k"], F.col("ordinal"), hot_rows, 300)
+    unweighted = scale.lookup_unweighted(rows, facts.drop("n"), ["k"], F.col("ordinal"), hot_rows)
     assert sorted(map(tuple, unweighted.collect()), key=repr) == sorted(
         map(tuple, plain.drop("n").collect()), key=repr)
 
@@ -65,25 +65,50 @@ def test_context_blocks(spark):
         (i, i // 10 + 1) for i in range(100) if i % 10 >= 7)
 
 
-def test_tables_go_to_the_shared_folder(monkeypatch):
-    class Context:
-        master, applicationId = "spark://host:7077", "app-1"
+def test_tables_go_to_the_shared_folder():
+    class Found:
+        def __init__(self, folder):
+            self.folder = folder
+
+        def isDefined(self):
+            return self.folder is not None
+
+        def get(self):
+            return self.folder
 
     class Session:
-        sparkContext = Context()
+        settings = {"spark.sql.warehouse.dir": "hdfs://shared/warehouse"}
+        called = None
+
+        class sparkContext:
+            applicationId = "app-1"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    class Context:
+                        @staticmethod
+                        def getCheckpointDir():
+                            return Found(Session.called)
+                    return Context
 
         class conf:
-            folder = None
-
-            @classmethod
-            def get(cls, name, default):
-                assert name == "spark.checkpoint.dir"
-                return cls.folder or default
-
-    with pytest.raises(RuntimeError):
-        scale.checkpoint_folder(Session)
-    Session.conf.folder = "hdfs://shared/checkpoints"
-    assert scale.run_folder(Session) == "hdfs://shared/checkpoints/filecensus-app-1"
-    Session.conf.folder = None
-    Session.sparkContext.master = "local[2]"
-    assert scale.checkpoint_folder(Session) == scale.checkpoint_folder(Session)
+            @staticmethod
+            def get(name, default=None):
+                return Session.settings.get(name, default)
+
+    assert scale.run_folder(Session) == "hdfs://shared/warehouse/checkpoints/filecensus-app-1"
+    Session.called = "hdfs://shared/set-by-call"
+    assert scale.checkpoint_folder(Session) == "hdfs://shared/set-by-call"
+    Session.settings["spark.checkpoint.dir"] = "hdfs://shared/checkpoints"
+    assert scale.checkpoint_folder(Session) == "hdfs://shared/checkpoints"
+
+
+def test_very_many_hot_keys_are_all_split(spark):
+    """No key's rows meet in one place, however many keys are hot."""
+    rows = spark.range(50_000).select((F.col("id") % 5000).alias("k"), F.col("id").alias("ordinal"))
+    facts = spark.range(5000).select(F.col("id").alias("k"), F.lit(10).cast("bigint").alias("n"), (F.col("id") * 2).alias("v"))
+    joined = scale.lookup(rows, facts, ["k"], "n", F.col("ordinal"), 2)
+    assert joined.filter("v <> 2 * k OR v IS NULL").isEmpty() and joined.count() == 50_000
+    salted = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in salted

@@ -24,36 +24,35 @@ def walk_paths(spark, rows):
     return {r["file_id"]: r["rel_path"] for r in tree.walk(spark.createDataFrame(rows, ITEM)).collect()}
 
 
-def one_by_one(rows):
-    """Paths of all rows by following parents, as the rule says it."""
-    by_id = {}
-    for r in sorted(rows, key=lambda r: (r[0], r[4])):
-        by_id[r[0], r[5]] = r
-    out = {}
-    for r in rows:
-        parts, seen, cur = [r[6]], {r[5]}, r
-        while cur[8] and (r[0], cur[8][0]) in by_id and cur[8][0] not in seen:
-            cur = by_id[r[0], cur[8][0]]
-            seen.add(cur[5])
-            parts.append(cur[6])
-        out[r[0], r[4]] = r[2] + "/" + "/".join(reversed(parts))
-    return out
-
-
-def test_sample_tree(spark):
+def expected_paths(rows):
+    """Every row's path, by walking a map from each id to its last listing and a recursion up to what was met."""
+    last = {(r[0], r[5]): r for r in sorted(rows, key=lambda r: (r[0], r[4]))}
+
+    def chain(row, met):
+        up = last.get((row[0], row[8][0])) if row[8] else None
+        if up is None or up[5] in met:
+            return [row[6]]
+        return [*chain(up, met | {up[5]}), row[6]]
+
+    return {(r[0], r[4]): "/".join([r[2], *chain(r, {r[5]})]) for r in rows}
+
+
+def test_small_listing(spark):
     rows = [
-        item(0, 0, "fold1", "Photos", mime=FOLDER_TYPE), item(0, 1, "img1", "a.jpg", "fold1"), item(0, 2, "img2", "b.jpg"),
-        item(0, 3, "doc1", "notes", mime=DOC, size=None), item(0, 4, "d1", "dup.txt"), item(0, 5, "d2", "dup.txt"),
-        item(0, 6, "form", "poll", mime="application/vnd.google-apps.form"), item(0, 7, "sc", "link", target="img1"),
-        item(1, 0, "shdoc", "report.pdf", drive="TeamDrive"), item(1, 1, "form", "poll.pdf", drive="TeamDrive"),
-        item(2, 0, "swm1", "shared_note.txt", drive="Shared with me", shared=True),
-        item(2, 1, "img1", "a.jpg", drive="Shared with me", shared=True),
+        item(0, 0, "k-trips", "Trips", mime=FOLDER_TYPE), item(0, 1, "k-alps", "alps.png", "k-trips"),
+        item(0, 2, "k-lake", "lake.png"), item(0, 3, "k-diary", "diary", mime=DOC, size=None),
+        item(0, 4, "k-same1", "same.csv"), item(0, 5, "k-same2", "same.csv"),
+        item(0, 6, "k-survey", "survey", mime="application/vnd.google-apps.form"),
+        item(0, 7, "k-short", "to alps", target="k-alps"),
+        item(1, 0, "k-plan", "plan.pdf", drive="Club"), item(1, 1, "k-survey", "survey.pdf", drive="Club"),
+        item(2, 0, "k-note", "note.md", drive="Shared with me", shared=True),
+        item(2, 1, "k-alps", "alps.png", drive="Shared with me", shared=True),
     ]
     assert walk_paths(spark, rows) == {
-        "img1": "My Drive/Photos/a.jpg", "img2": "My Drive/b.jpg", "doc1": "My Drive/notes.docx",
-        "d1": "My Drive/dup.txt", "d2": "My Drive/dup.txt", "shdoc": "TeamDrive/report.pdf",
-        "form": "TeamDrive/poll.pdf",  # an unmapped native claims no id
-        "swm1": "Shared with me/shared_note.txt",
+        "k-alps": "My Drive/Trips/alps.png", "k-lake": "My Drive/lake.png", "k-diary": "My Drive/diary.docx",
+        "k-same1": "My Drive/same.csv", "k-same2": "My Drive/same.csv", "k-plan": "Club/plan.pdf",
+        "k-survey": "Club/survey.pdf",  # an unmapped native claims no id
+        "k-note": "Shared with me/note.md",
     }
 
 
@@ -68,7 +67,7 @@ def test_cycles_dangling_and_repeated_ids(spark):
     ]
     frame = spark.createDataFrame(rows, ITEM)
     got = {(r["source_ordinal"], r["position"]): r["rel_path"] for r in tree.build_paths(frame, frame).collect()}
-    assert got == one_by_one(rows)
+    assert got == expected_paths(rows)
 
 
 @pytest.mark.parametrize("seed, hot_rows", [(0, 3), (1, 1_000_000)])
@@ -81,14 +80,28 @@ def test_random_forests(spark, seed, hot_rows):
     rows = [(*r[:2], f"D{r[0]}", *r[3:]) for r in rows]
     frame = spark.createDataFrame(rows, ITEM)
     got = {(r["source_ordinal"], r["position"]): r["rel_path"] for r in tree.build_paths(frame, frame, hot_rows).collect()}
-    assert got == one_by_one(rows)
+    assert got == expected_paths(rows)
 
 
 def test_deep_chain(spark):
     rows = [item(0, i, f"n{i}", f"{i}", f"n{i - 1}" if i else None, FOLDER_TYPE) for i in range(40)]
     frame = spark.createDataFrame(rows, ITEM)
     got = {(r["source_ordinal"], r["position"]): r["rel_path"] for r in tree.build_paths(frame, frame).collect()}
-    assert got == one_by_one(rows)
+    assert got == expected_paths(rows)
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_very_deep(spark, closed):
+    """A chain of 3,000 steps, and a cycle of 3,000 nodes with a tail, take a dozen rounds."""
+    n = 3000
+    rows = [item(0, i, f"n{i}", f"{i}", f"n{i - 1}" if i else (f"n{n - 1}" if closed else None), FOLDER_TYPE) for i in range(n)]
+    rows += [item(0, n, "t0", "t0", "n7", FOLDER_TYPE), item(0, n + 1, "leaf", "leaf", "t0")]
+    frame = spark.createDataFrame(rows, ITEM)
+    asked = frame.filter("id IN ('leaf', 'n0', 'n2999', 'n1500')")
+    got = {r["id"]: r["rel_path"].split("/")[1:] for r in tree.build_paths(asked, frame).collect()}
+    ring = [str(i % n) for i in range(8, 8 + n)] if closed else [str(i) for i in range(8)]
+    assert got["leaf"] == [*ring, "t0", "leaf"]
+    assert got["n1500"] == ([str(i % n) for i in range(1501, 1501 + n)] if closed else [str(i) for i in range(1501)])
 
 
 CHILD = ITEM.replace("source_ordinal int, drive_id string, drive_name string, shared_with_me boolean", "folder_id string")
@@ -108,6 +121,7 @@ def test_shared_folders_are_expanded(spark):
         child("shf", 0, "p1", "photo1.jpg"), child("shf", 1, "sub", "SubDir", FOLDER_TYPE), child("sub", 0, "p2", "photo2.jpg"),
         child("other", 0, "back", "Back", FOLDER_TYPE), child("back", 0, "other", "Other", FOLDER_TYPE),
         child("other", 1, "p9", "known.jpg"), child("unreached", 0, "p3", "no.jpg")], CHILD)
+    assert {r["file_id"] for r in tree.walk(listed, children=children).collect()} == {"own", "p1", "p2", "p9"}
     full = tree.add_shared_children(listed, children)
     added = [r["id"] for r in full.filter("position > 2").orderBy("position").collect()]
     assert added == ["back", "p1", "sub", "p2"]  # later folders first, each opened once
