@@ -1,4 +1,4 @@
-"""The operators of this package as queries over the given tables, and SQL for those that SQL can express."""
+"""The operators of this package as queries over the given tables. Those that SQL can express are in `oracles`."""
 
 from __future__ import annotations
 
@@ -83,5 +83,3 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
 }
-# Checksums, hash draws, tokenizers and models have no counterpart in SQL.
-ORACLES: dict[str, str] = {}
