@@ -4,9 +4,10 @@ import __spark_entry__ as entry_module
 import pytest
 from compare import connect, duckdb_rows, spark_rows
 
+from filecensus.oracles import ORACLES
+from filecensus.queries import QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,7 @@ def con():
 
 def test_every_query_has_a_twin():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
