@@ -2,53 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from filecensus.operators.failures import BREAKER_LIMIT
-from filecensus.operators.scale import CHUNK_ROWS, cut_lineage, ordinal_chunk, running_totals
-from filecensus.streaming import versions
 
-_COLUMNS = ["account", "first_ordinal", "run_length"]
+ALERT = "account string, first_ordinal bigint"
 
 
-def alerts(batch: DataFrame, open_runs: DataFrame | None, limit: int = BREAKER_LIMIT,
-           chunk_rows: int = CHUNK_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Runs of errors that reach `limit` in this batch, and the runs still open at its end.
+def alerts(attempts: DataFrame, limit: int = BREAKER_LIMIT) -> DataFrame:
+    """One row (account, first_ordinal) when a run of errors reaches `limit`; run in append mode.
 
-    Inside the batch runs are found as in `failure_runs`, so a busy account is spread over tasks.
-    The run open at the end of the batch before, one row per account, is added to the errors ahead
-    of the first success. Attempts of an account come in `ordinal` order from batch to batch.
+    The run that is open at the end of a micro-batch is kept in the state store, two numbers for each
+    account. Attempts of an account come in `ordinal` order from batch to batch. Those of one batch
+    are taken in order by one task, so the trigger bounds what that task holds; for tables, where an
+    account may have any number of rows, `failure_runs` splits them.
     """
-    success = F.when(F.col("outcome") == "success", 1).otherwise(0).cast("bigint")
-    rows = batch.filter(F.col("outcome").isin("success", "error")).select("account", "ordinal", "outcome")
-    placed = running_totals(rows, ["account"], ["ordinal"], ordinal_chunk("ordinal", chunk_rows), {"island": success})
-    failed = F.col("outcome") == "error"
-    runs = placed.groupBy("account", "island").agg(
-        F.count_if(failed).alias("n"), F.min(F.when(failed, F.col("ordinal"))).alias("first"))
-    last = placed.groupBy("account").agg(F.max("island").alias("last_island"))
-    if open_runs is None:
-        joined = runs.withColumns({"before": F.lit(0).cast("bigint"), "began": F.lit(None).cast("bigint")})
-    else:
-        carried = open_runs.select("account", F.lit(0).cast("bigint").alias("island"),
-                                   F.col("run_length").alias("before"), F.col("first_ordinal").alias("began"))
-        joined = runs.join(carried, ["account", "island"], "full")
-    n, before = F.coalesce("n", F.lit(0)), F.coalesce("before", F.lit(0))
-    merged = joined.select(
-        "account", "island", F.coalesce("began", "first").alias("first_ordinal"),
-        (n + before).alias("run_length"), before.alias("before"))
-    merged = cut_lineage(merged.join(last, "account", "left").filter("run_length > 0"))
-    reached = merged.filter((F.col("run_length") >= limit) & (F.col("before") < limit)).select("account", "first_ordinal")
-    still_open = merged.filter(F.col("island") == F.coalesce("last_island", F.lit(0)))
-    return reached, still_open.select(*_COLUMNS)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, length = state.get if state.exists else (-1, 0)
+        rows = pd.concat(frames).sort_values("ordinal")
+        found = []
+        for ordinal, failed in zip(rows["ordinal"], rows["outcome"] == "error"):
+            if not failed:
+                length = 0
+                continue
+            first, length = (ordinal if length == 0 else first), length + 1
+            if length == limit:
+                found.append(int(first))
+        state.update((int(first), int(length)))
+        yield pd.DataFrame({"account": [key[0]] * len(found), "first_ordinal": found})
+
+    told = attempts.filter(F.col("outcome").isin("success", "error")).select("account", "ordinal", "outcome")
+    return told.groupBy("account").applyInPandasWithState(
+        step, ALERT, "first bigint, length bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def watch(attempts: DataFrame, folder: str, checkpoint: str, limit: int = BREAKER_LIMIT):
-    """Write one alert (account, first_ordinal) per run that reaches the limit to `folder`/alerts."""
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        reached, still_open = alerts(batch, versions.before(spark, f"{folder}/open", batch_id), limit)
-        reached.write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch_id}")
-        versions.write(still_open, f"{folder}/open", batch_id)
-
-    return attempts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    """Append the alerts to the table `folder`/alerts."""
+    return alerts(attempts, limit).writeStream.format("parquet").outputMode("append").option(
+        "path", f"{folder}/alerts").option("checkpointLocation", checkpoint)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -20,6 +20,25 @@ def live_status(heartbeats: DataFrame) -> DataFrame:
     return describe(newest.select("account", "_beat.*", F.lit("heartbeat").alias("source")))
 
 
+def write_status(status: DataFrame, folder: str, checkpoint: str):
+    """Write the accounts that changed in a micro-batch to its own folder (update mode).
+
+    A batch that runs again replaces itself.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return status.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def read_status(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of every account as of the last batch that changed it."""
+    rows = spark.read.parquet(folder)
+    values = [c for c in rows.columns if c not in ("account", "batch")]
+    newest = rows.groupBy("account").agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return newest.select("account", "_last.*")
+
+
 def live_throughput(transfers: DataFrame, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:
     """Bytes per account and window, emitted once a window is older than `delay` (append mode)."""
     return throughput_windows(transfers.withWatermark("ts", delay), width)

@@ -1,4 +1,4 @@
-"""The streaming operators run over a whole test table, as streams that end with it."""
+"""The streaming operators run over a whole test table, as streams of several batches that end with it."""
 
 from __future__ import annotations
 
@@ -10,55 +10,67 @@ from filecensus.bridge import spark_view
 from filecensus.operators.scale import run_folder
 from filecensus.streaming import breaker, live, upserts
 
+# Files, and so micro-batches, that a table is streamed in.
+FILES = 5
+
 
 def _scratch(spark: SparkSession) -> str:
     return f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stream(spark: SparkSession, folder: str, view: str) -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    rows = spark_view(spark, folder, view, events=events)
+def _stream(spark: SparkSession, folder: str, view: str, scratch: str, order: str = "event_id",
+            closing: str | None = None) -> DataFrame:
+    """A view over the events, which arrive file by file in the given order.
+
+    With `closing`, one more event comes that much later, for windows to be closed by.
+    """
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    number = F.unix_micros(F.col("ts").cast("timestamp")) if order == "ts" else F.col(order)
+    ends = events.select(F.percentile_approx(number, [i / FILES for i in range(1, FILES)])).first()[0]
+    place = sum((F.when(number > end, 1).otherwise(0) for end in ends), F.lit(0))
+    # One after the other, as a stream takes files in the order of their times.
+    for i in range(FILES):
+        events.filter(place == i).write.mode("append").parquet(f"{scratch}/events/file={i}")
+    if closing is not None:
+        late = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).withColumn("ts", F.col("ts") + F.expr(closing))
+        late.write.mode("append").parquet(f"{scratch}/events/file={FILES}")
+    # Each file is one batch as long as one task wrote it; more tasks make more batches.
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", True).parquet(f"{scratch}/events")
+    rows = spark_view(spark, folder, view, events=stream)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def _run(writer) -> None:
+def run(writer) -> int:
+    """Run a stream to the end of its source; returns the number of batches that had rows."""
     started = writer.trigger(availableNow=True).start()
     started.awaitTermination()
+    return sum(progress["numInputRows"] > 0 for progress in started.recentProgress)
 
 
 def live_status(spark: SparkSession, folder: str) -> DataFrame:
     scratch = _scratch(spark)
-    status = live.live_status(_stream(spark, folder, "heartbeats"))
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{scratch}/status")
-
-    _run(status.writeStream.outputMode("complete").foreachBatch(replace)
-         .option("checkpointLocation", f"{scratch}/checkpoint"))
-    return spark.read.parquet(f"{scratch}/status")
+    status = live.live_status(_stream(spark, folder, "heartbeats", scratch))
+    run(live.write_status(status, f"{scratch}/status", f"{scratch}/checkpoint"))
+    return live.read_status(spark, f"{scratch}/status")
 
 
 def live_throughput(spark: SparkSession, folder: str) -> DataFrame:
     scratch = _scratch(spark)
-    windows = live.live_throughput(_stream(spark, folder, "attempts"))
-
-    def replace(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{scratch}/windows")
-
-    _run(windows.writeStream.outputMode("complete").foreachBatch(replace)
-         .option("checkpointLocation", f"{scratch}/checkpoint"))
+    attempts = _stream(spark, folder, "attempts", scratch, "ts", "INTERVAL 30 DAYS")
+    run(live.live_throughput(attempts).writeStream.format("parquet").outputMode("append").option(
+        "path", f"{scratch}/windows").option("checkpointLocation", f"{scratch}/checkpoint"))
     rows = spark.read.parquet(f"{scratch}/windows")
     return rows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def breaker_alerts(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     scratch = _scratch(spark)
-    _run(breaker.watch(_stream(spark, folder, "attempts"), scratch, f"{scratch}/checkpoint", limit))
-    return spark.read.parquet(f"{scratch}/alerts").drop("batch")
+    run(breaker.watch(_stream(spark, folder, "attempts", scratch), scratch, f"{scratch}/checkpoint", limit))
+    return spark.read.schema(breaker.ALERT).parquet(f"{scratch}/alerts")
 
 
 def live_catalog(spark: SparkSession, folder: str) -> DataFrame:
     scratch = _scratch(spark)
-    _run(upserts.follow(_stream(spark, folder, "entry_log"), f"{scratch}/catalog", f"{scratch}/checkpoint"))
+    run(upserts.follow(_stream(spark, folder, "entry_log", scratch), f"{scratch}/catalog", f"{scratch}/checkpoint"))
     return upserts.current(spark, f"{scratch}/catalog")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from filecensus.operators import failures, progress
 from filecensus.schemas import HEARTBEAT
 from filecensus.sources.heartbeats import read_heartbeats, stream_heartbeats
-from filecensus.streaming import breaker, live, upserts
+from filecensus.streaming import breaker, live, replay, upserts
 
 START = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -88,16 +88,18 @@ def test_breaker_equals_batch(spark, tmp_path, seed):
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    from filecensus.streaming import versions
-
-    folder = str(tmp_path / "open")
-    versions.write(spark.createDataFrame([("a", 0, 4)], "account string, first_ordinal bigint, run_length bigint"), folder, 0)
-    batch = spark.createDataFrame([(9, "a", "error")], "ordinal bigint, account string, outcome string")
-    for _ in range(2):
-        reached, still = breaker.alerts(batch, versions.before(spark, folder, 1), 5)
-        assert [tuple(r) for r in reached.collect()] == [("a", 0)]
-        versions.write(still, folder, 1)
-    assert [tuple(r) for r in versions.newest(spark, folder).collect()] == [("a", 0, 5)]
+    for folder, rows in ((0, [("a", 1), ("b", 1)]), (1, [("a", 2)]), (1, [("a", 2)])):
+        spark.createDataFrame(rows, "account string, done bigint").write.mode("overwrite").parquet(f"{tmp_path}/batch={folder}")
+    assert sorted(map(tuple, live.read_status(spark, str(tmp_path)).collect())) == [("a", 2), ("b", 1)]
+
+
+@pytest.mark.parametrize("name", ["live_status", "live_throughput", "breaker_alerts", "live_catalog"])
+def test_replayed_streams_have_batches(spark, monkeypatch, name):
+    batches, run = [], replay.run
+    monkeypatch.setattr(replay, "run", lambda writer: batches.append(run(writer)))
+    extra = [3] if name == "breaker_alerts" else []
+    assert getattr(replay, name)(spark, "/root/testdata/sf0.001", *extra).count() > 0
+    assert batches[0] >= 4
 
 
 def test_catalog_upserts(spark, tmp_path):
