@@ -8,7 +8,7 @@ all stages; a row is only ever dropped by the rule of its stage.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from filecensus.llm import byte_bpe, decontaminate, jaccard_join, pii, quality
 from filecensus.operators.scale import cut_lineage
@@ -36,11 +36,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the token ids of each text, their number, and whether they decode to the text."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = docs.withColumn("ids", byte_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN))
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return encoded.withColumns({
-        "n_tokens": F.size("ids").cast("bigint"), "round_trip": byte_bpe.decode(F.col("ids"), path) == text})
+    return byte_bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [

@@ -17,8 +17,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
+from filecensus.llm.joins import fresh
 from filecensus.llm.words import Remembered, list_array, matcher, rows_of, steps
 
 _NONE = np.int32(2**31 - 1)
@@ -185,7 +187,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and how many each text has."""
-        return self.remembered.look_up([self.matches(text) for text in texts])
+        values, sizes = self.remembered.look_up([self.matches(text) for text in texts])
+        return values.astype(np.int32), sizes
 
 
 @functools.cache
@@ -219,6 +222,34 @@ def decode(ids: Column, path: str) -> Column:
     return text(ids)
 
 
+def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """All rows and columns, with `ids`, `n_tokens` and `round_trip` (do the ids decode to the text) besides.
+
+    A name that `docs` has already gets underscores in front. As for `encode` and `decode`; texts are taken a
+    bounded number of bytes at a time.
+    """
+    names = [fresh(docs, name) for name in ("ids", "n_tokens", "round_trip")]
+    schema = StructType([*docs.schema.fields, *[StructField(n, t) for n, t in zip(
+        names, (ArrayType(IntegerType()), LongType(), BooleanType()), strict=True)]])
+    at = docs.columns.index("text")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = _encoder(path, pattern), ranks(path).tokens
+        for batch in batches:
+            begin = 0
+            for some in steps(batch.column(at).cast(pa.string())):
+                values, counts = encoder.encode(some)
+                rows = np.split(values, np.cumsum(counts)[:-1])
+                whole = [b"".join(map(tokens.__getitem__, row.tolist())) == text.encode()
+                         for row, text in zip(rows, some, strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(begin, len(some)).columns, list_array([(values, counts)]),
+                     pa.array(counts.astype(np.int64)), pa.array(whole)], names=[*batch.schema.names, *names])
+                begin += len(some)
+
+    return docs.mapInArrow(encoded, schema)
+
+
 def digests(text: Column, path: str, pattern: str) -> Column:
     """struct<n_tokens, ids_sha256, decoded_sha256> of the ids of a text and of the bytes they decode to.
 

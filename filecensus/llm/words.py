@@ -125,7 +125,7 @@ def list_array(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     if not parts:
         return pa.array([], type=pa.list_(pa.int32()))
     ends = np.cumsum(np.concatenate([sizes for _, sizes in parts]))
-    values = np.concatenate([values for values, _ in parts]).astype(np.int32)
+    values = np.concatenate([values.astype(np.int32, copy=False) for values, _ in parts])
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values))
 
 

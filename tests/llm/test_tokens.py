@@ -115,6 +115,17 @@ def test_encoding_and_decoding_odd_documents(docs, no_docs, tik):
     assert no_docs.select(byte_bpe.encode(F.col("text"), RANKS, PATTERN)).collect() == []
 
 
+def test_documents_with_their_tokens(docs, no_docs, tik):
+    found = byte_bpe.with_tokens(docs, RANKS, PATTERN)
+    assert found.columns[:len(docs.columns)] == docs.columns  # which has ids and n_tokens of its own
+    names = found.columns[len(docs.columns):]
+    assert names == ["_ids", "_n_tokens", "round_trip"]
+    for row in found.collect():
+        assert row["_ids"] == tik.encode_ordinary(row.text or "") and row["_n_tokens"] == len(row["_ids"])
+        assert row.round_trip and row["ids"] == "x"
+    assert byte_bpe.with_tokens(no_docs, RANKS, PATTERN).collect() == []
+
+
 def test_pieces_are_forgotten_when_there_are_too_many():
     remembered = words.Remembered(lambda new: [(len(x), 7) for x in new], room=3)
     for _ in range(3):
