@@ -14,6 +14,7 @@ from filecensus.session import local_session
 HEADLINE = [
     "proposal_rollup", "exact_duplicates", "duplicate_members", "verify_detail", "incremental_diff", "unique_paths",
     "route_default", "near_duplicates", "build_paths", "walk", "failure_runs", "progress_snapshot", "rate_history",
+    "route_into_existing", "assign_paths", "expand_folders", "mirror_repair_plan", "live_catalog", "breaker_alerts",
 ]
 
 

@@ -435,6 +435,18 @@ FROM (SELECT required_bytes, CAST({int(MARGIN_GB * 1024 ** 3)} AS BIGINT) AS mar
       FROM ({_LISTING_TOTALS}) CROSS JOIN (VALUES {', '.join(f"('{d}', CAST({f} AS BIGINT))" for d, f in DESTINATIONS)}) d(destination, free_bytes))""",
     "purge_plan": _PURGE,
     "purge_summary": f"SELECT count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS freed_bytes FROM ({_PURGE})",
+    "snapshot_roundtrip": "SELECT ordinal, file_id, name, rel_path, mime_type, size, drive_id, drive_name, owner, modified_time, sha256, exported_as, status, error FROM {catalog}",
+    "header_roundtrip": """
+SELECT 'main' AS account, '20240101' AS snapshot, CAST(5 AS BIGINT) AS expected_total, CAST(7 AS BIGINT) AS expected_bytes,
+       count(*) AS count, count(*) FILTER (status = 'done') AS done,
+       CAST(coalesce(sum(size) FILTER (status = 'done'), 0) AS BIGINT) AS total_bytes FROM {catalog}""",
+    "document_roundtrip": "SELECT 'main' AS account, '20240101' AS snapshot, file_id, name, rel_path, mime_type, size, drive_id, drive_name, owner, modified_time, sha256, exported_as, status, error FROM {catalog}",
+    "plan_roundtrip": f"""
+SELECT action, src_rel, dest_rel, reason, row_number() OVER (ORDER BY ordinal) - 1 AS plan_ordinal
+FROM ({_default_plan()})""",
+    "heartbeat_roundtrip": """
+SELECT account, ts, done, expected, errors, bytes_written, expected_bytes, bytes_inflight, elapsed_s, rate_bps
+FROM {heartbeats}""",
     "failure_classes": f"""
 SELECT ordinal, file_id,
        CASE WHEN exc_type IN ('ConnectionResetError', 'ResponseNotReady', 'SSLEOFError') THEN 'transient'

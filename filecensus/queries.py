@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filecensus.bridge import spark_view
 from filecensus.functions import rules, text
-from filecensus.operators.scale import cut_lineage
+from filecensus.operators.scale import cut_lineage, new_table
 from filecensus.operators import catalog, diff, duplicates, failures, naming, near, progress, tree, verify
 from filecensus.plans import funnel, layout, proposal, purge
+from filecensus.schemas import ENTRY_COLUMNS
+from filecensus.sources import plans, snapshots
 from filecensus.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -383,6 +385,46 @@ def purge_summary(spark, folder):
     return purge.purge_summary(purge_plan(spark, folder))
 
 
+# --- what sinks write, sources read back ---------------------------------------------------------
+
+def _entries(spark, folder):
+    return spark_view(spark, folder, "catalog").select(*ENTRY_COLUMNS)
+
+
+@query
+def snapshot_roundtrip(spark, folder):
+    root = new_table(spark)
+    snapshots.write_snapshot(_entries(spark, folder), "main", "20240101", 5, 7, [root])
+    return snapshots.read_entries(spark, root, "main", "20240101").select(*ENTRY_COLUMNS)
+
+
+@query
+def header_roundtrip(spark, folder):
+    root = new_table(spark)
+    snapshots.write_snapshot(_entries(spark, folder), "main", "20240101", 5, 7, [root])
+    return snapshots.read_headers(spark, root)
+
+
+@query
+def document_roundtrip(spark, folder):
+    root = new_table(spark)
+    snapshots.export_snapshot(_entries(spark, folder), "main", "20240101", 5, 7, root)
+    good, _ = snapshots.document_entries(snapshots.read_documents(spark, f"{root}/*/*/*.json"))
+    return good.select("account", "snapshot", *ENTRY_COLUMNS[1:])
+
+
+@query
+def plan_roundtrip(spark, folder):
+    root = new_table(spark)
+    plans.write_plan(default_plan(spark, folder), root)
+    return plans.read_plan(spark, root)
+
+
+@query
+def heartbeat_roundtrip(spark, folder):
+    return replay.heartbeat_table(spark, folder).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 # --- attempts and progress ---------------------------------------------------------------------
 
 @query

@@ -73,11 +73,17 @@ def document_headers(documents: DataFrame) -> DataFrame:
         *_KEYS, *[F.coalesce(F.col(n).try_cast("bigint"), F.lit(0)).alias(n) for n in numbers])
 
 
-def export_snapshot(entries: DataFrame, account: str, expected_total: int, expected_bytes: int, folder: str) -> None:
-    """Export one snapshot as JSON lines: the header object, and the entries in order."""
+def export_snapshot(entries: DataFrame, account: str, snapshot: str, expected_total: int, expected_bytes: int,
+                    folder: str) -> None:
+    """Export one snapshot as an interchange document below folder/<snapshot>/<account>.
+
+    The format is one JSON object with all entries in order, so it is written by one task and is meant for
+    interchange only; `write_snapshot` keeps catalogs of any size. `read_documents` reads it back.
+    """
+    names = [c for c in ENTRY_COLUMNS if c != "ordinal"]
+    listed = F.sort_array(F.collect_list(F.struct("ordinal", F.struct(*names).alias("entry"))))
     head = status_counts(entries).select(
         F.lit(account).alias("account"), F.lit(expected_total).alias("expected_total"),
         F.lit(expected_bytes).alias("expected_bytes"), "count", "done", "total_bytes")
-    columns = [c for c in ENTRY_COLUMNS if c != "ordinal"]
-    head.write.mode("overwrite").json(f"{folder}/header")
-    entries.orderBy("ordinal").select(*columns).write.mode("overwrite").json(f"{folder}/entries")
+    whole = entries.agg(F.transform(listed, lambda x: x["entry"]).alias("entries"))
+    head.crossJoin(whole).coalesce(1).write.mode("overwrite").json(f"{folder}/{snapshot}/{account}")

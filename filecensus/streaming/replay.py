@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filecensus.bridge import spark_view
 from filecensus.operators.scale import run_folder
+from filecensus.sources.heartbeats import read_heartbeats
 from filecensus.streaming import breaker, live, upserts
 
 # Files, and so micro-batches, that a table is streamed in.
@@ -55,6 +56,14 @@ def live_status(spark: SparkSession, folder: str) -> DataFrame:
     return live.read_status(spark, f"{scratch}/status")
 
 
+def heartbeat_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Heartbeats as the sink has written them."""
+    scratch = _scratch(spark)
+    beats = _stream(spark, folder, "heartbeats", scratch)
+    run(live.write_heartbeats(beats, f"{scratch}/beats", f"{scratch}/checkpoint"))
+    return read_heartbeats(spark, f"{scratch}/beats")
+
+
 def live_throughput(spark: SparkSession, folder: str) -> DataFrame:
     scratch = _scratch(spark)
     attempts = _stream(spark, folder, "attempts", scratch, "ts", "INTERVAL 30 DAYS")

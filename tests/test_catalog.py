@@ -21,10 +21,10 @@ def entries(spark, rows):
 
 
 SAMPLE = [
-    ("img1", "My Drive/Photos/a.jpg", 5, "h1", "done"), ("img2", "My Drive/b.jpg", 5, "h1", "done"),
-    ("doc1", "My Drive/notes.docx", 10, "h2", "done"), ("d1", "My Drive/dup.txt", 4, "h3", "done"),
-    ("d2", "My Drive/dup__d2.txt", 4, "h4", "done"), ("shdoc", "TeamDrive/report.pdf", 3, "h5", "done"),
-    ("swm1", "Shared with me/shared_note.txt", 6, "h6", "done"),
+    ("k-alps", "My Drive/Trips/alps.png", 5, "h1", "done"), ("k-lake", "My Drive/lake.png", 5, "h1", "done"),
+    ("k-diary", "My Drive/diary.docx", 10, "h2", "done"), ("k-same1", "My Drive/same.txt", 4, "h3", "done"),
+    ("k-same2", "My Drive/same__k-same2.txt", 4, "h4", "done"), ("k-plan", "Club/plan.pdf", 3, "h5", "done"),
+    ("k-note", "Shared with me/note.md", 6, "h6", "done"),
 ]
 
 
@@ -74,9 +74,9 @@ def test_snapshot_trap(spark):
 
 def test_exact_duplicates(spark):
     groups = duplicates.exact_duplicates(entries(spark, SAMPLE)).collect()
-    assert [tuple(g) for g in groups] == [("exact", "h1", "My Drive/b.jpg", 1, 5)]
+    assert [tuple(g) for g in groups] == [("exact", "h1", "My Drive/lake.png", 1, 5)]
     members = duplicates.duplicate_members(entries(spark, SAMPLE), hot_rows=1).collect()
-    assert [r["duplicate"] for r in members] == ["My Drive/Photos/a.jpg"]
+    assert [r["duplicate"] for r in members] == ["My Drive/Trips/alps.png"]
 
 
 def test_junk_wins_over_duplicate(spark):
@@ -97,21 +97,21 @@ def test_diff(spark):
     empty = entries(spark, SAMPLE).limit(0)
     same = diff.incremental_diff(listing, empty, entries(spark, SAMPLE))
     assert [r["outcome"] for r in same.collect()] == ["import"] * 7
-    newer = listing.withColumn("size", F.when(F.col("file_id") == "img2", 7).otherwise(F.col("size")))
+    newer = listing.withColumn("size", F.when(F.col("file_id") == "k-lake", 7).otherwise(F.col("size")))
     changed = diff.incremental_diff(newer, empty, entries(spark, SAMPLE))
-    assert {r["file_id"] for r in changed.filter("outcome = 'fetch'").collect()} == {"img2"}
+    assert {r["file_id"] for r in changed.filter("outcome = 'fetch'").collect()} == {"k-lake"}
     damaged = tree_of(spark, SAMPLE).withColumn(
-        "sha256", F.when(F.col("rel_path") == "My Drive/b.jpg", "evil").otherwise(F.col("sha256")))
+        "sha256", F.when(F.col("rel_path") == "My Drive/lake.png", "evil").otherwise(F.col("sha256")))
     plan = {r["file_id"]: (r["outcome"], r["fallback"]) for r in diff.import_plan(same, damaged).collect()}
-    assert plan["img2"] == ("fetch", "hash_mismatch") and plan["img1"] == ("import", None)
-    held = entries(spark, [("old", "My Drive/DUP.txt", 4, "q", "done")])
+    assert plan["k-lake"] == ("fetch", "hash_mismatch") and plan["k-alps"] == ("import", None)
+    held = entries(spark, [("old", "My Drive/SAME.txt", 4, "q", "done")])
     paths = {r["file_id"]: r["local_path"] for r in diff.assign_paths(same, held).collect()}
-    assert paths["d1"] == "My Drive/dup__d1.txt" and paths["d2"] == "My Drive/dup__d2.txt"
+    assert paths["k-same1"] == "My Drive/same__k-same1.txt" and paths["k-same2"] == "My Drive/same__k-same2.txt"
 
 
 def test_listed_missing_sees_behind_vanished_rows(spark):
     held = entries(spark, SAMPLE)
-    listing = spark.createDataFrame([("img1",), ("new",)], "file_id string")
+    listing = spark.createDataFrame([("k-alps",), ("new",)], "file_id string")
     assert [r["file_id"] for r in catalog.listed_missing(held, listing).collect()] == ["new"]
 
 
@@ -119,11 +119,11 @@ def test_listed_missing_sees_behind_vanished_rows(spark):
     ({"size": 2}, "size_mismatch"), ({"sha256": "evil"}, "hash_mismatch"), ({"readable": False}, "hash_mismatch"), (None, "missing")])
 def test_verify_and_gate(spark, change, outcome):
     rows, good = entries(spark, SAMPLE), tree_of(spark, SAMPLE)
-    first = F.col("rel_path") == "My Drive/b.jpg"
+    first = F.col("rel_path") == "My Drive/lake.png"
     bad = good.filter(~first) if change is None else good.withColumns(
         {k: F.when(first, F.lit(v)).otherwise(F.col(k)) for k, v in change.items()})
     got = {r["rel_path"]: r["outcome"] for r in verify.verify_detail(rows, bad).collect()}
-    assert got.pop("My Drive/b.jpg") == outcome and set(got.values()) == {"ok"}
+    assert got.pop("My Drive/lake.png") == outcome and set(got.values()) == {"ok"}
     gate = verify.safety_gate(rows, F.lit(7), good, bad)
     assert tuple(gate.first()) == (False, "external_not_verified")
     assert tuple(verify.safety_gate(rows, F.lit(7), bad, good).first()) == (False, "primary_not_verified")
@@ -134,11 +134,11 @@ def test_verify_and_gate(spark, change, outcome):
 
 
 def test_mirror_repair(spark):
-    trees = spark.createDataFrame([("ext", "My Drive/b.jpg", 2), ("primary", "My Drive/b.jpg", 5)], "dest string, rel_path string, size bigint")
+    trees = spark.createDataFrame([("ext", "My Drive/lake.png", 2), ("primary", "My Drive/lake.png", 5)], "dest string, rel_path string, size bigint")
     plan = verify.mirror_repair_plan(entries(spark, SAMPLE[1:3]), trees, ["primary", "ext"]).collect()
-    assert sorted((r["rel_path"], r["dest"], r["donor"]) for r in plan if r["donor"]) == [("My Drive/b.jpg", "ext", "primary")]
+    assert sorted((r["rel_path"], r["dest"], r["donor"]) for r in plan if r["donor"]) == [("My Drive/lake.png", "ext", "primary")]
     assert sorted((r["rel_path"], r["dest"]) for r in plan if not r["donor"]) == [
-        ("My Drive/notes.docx", "ext"), ("My Drive/notes.docx", "primary")]
+        ("My Drive/diary.docx", "ext"), ("My Drive/diary.docx", "primary")]
 
 
 def test_capacity_on_resume_counts_what_is_left(spark):
@@ -157,23 +157,23 @@ def test_edited_plan(spark):
     rows = entries(spark, SAMPLE)
     default = proposal.default_plan(proposal.classify(rows)).orderBy("ordinal").collect()
     assert [(r["action"], r["dest_rel"], r["reason"]) for r in default][:2] == [
-        ("quarantine", "_quarantine/duplicates/a.jpg", "doublon exact"), ("keep", "Images/2023/b.jpg", "")]
+        ("quarantine", "_quarantine/duplicates/alps.png", "doublon exact"), ("keep", "Images/2023/lake.png", "")]
     plan = plan_frame(spark, [
-        ("keep", "My Drive/Photos/a.jpg", "_quarantine/duplicates/a.jpg"), ("  Skip  ", "My Drive/b.jpg", "Images/2023/b.jpg"),
-        ("QUARANTINE", "My Drive/notes.docx", "Documents/notes.docx"), ("", "My Drive/dup.txt", None),
-        ("skip", "TeamDrive/report.pdf", "x"), ("keep", "TeamDrive/report.pdf", "R//./r.pdf"), ("keep", "no/file", "../fine")])
+        ("keep", "My Drive/Trips/alps.png", "_quarantine/duplicates/alps.png"), ("  Skip  ", "My Drive/lake.png", "Images/2023/lake.png"),
+        ("QUARANTINE", "My Drive/diary.docx", "Documents/diary.docx"), ("", "My Drive/same.txt", None),
+        ("skip", "Club/plan.pdf", "x"), ("keep", "Club/plan.pdf", "R//./r.pdf"), ("keep", "no/file", "../fine")])
     routed = {r["src_rel"]: (r["dest_rel"], r["kind"]) for r in layout.route_with_plan(rows, plan).collect()}
     assert routed == {
-        "My Drive/Photos/a.jpg": ("Kept/a.jpg", "copied"), "My Drive/notes.docx": ("_quarantine/Documents/notes.docx", "duplicate"),
-        "My Drive/dup.txt": ("Documents/2023/dup.txt", "copied"), "TeamDrive/report.pdf": ("R/r.pdf", "copied")}
+        "My Drive/Trips/alps.png": ("Kept/alps.png", "copied"), "My Drive/diary.docx": ("_quarantine/Documents/diary.docx", "duplicate"),
+        "My Drive/same.txt": ("Documents/2023/same.txt", "copied"), "Club/plan.pdf": ("R/r.pdf", "copied")}
     assert sorted(r["rel_path"] for r in layout.unplanned_files(rows, plan).collect()) == [
-        "My Drive/dup__d2.txt", "Shared with me/shared_note.txt"]
+        "My Drive/same__k-same2.txt", "Shared with me/note.md"]
 
 
 @pytest.mark.parametrize("row, problem", [
-    (("keep", "My Drive/b.jpg", "../../outside/evil.bin"), "bad_destination"), (("delete", "no/file", "x"), "unknown_action"),
-    (("keep", "My Drive/b.jpg", "/abs"), "bad_destination"), (("  ", "My Drive/b.jpg", "x"), "unknown_action"),
-    (("keep", "My Drive/b.jpg", "   "), "bad_destination")])
+    (("keep", "My Drive/lake.png", "../../outside/evil.bin"), "bad_destination"), (("delete", "no/file", "x"), "unknown_action"),
+    (("keep", "My Drive/lake.png", "/abs"), "bad_destination"), (("  ", "My Drive/lake.png", "x"), "unknown_action"),
+    (("keep", "My Drive/lake.png", "   "), "bad_destination")])
 def test_bad_plans_are_refused_before_routing(spark, row, problem):
     rows, plan = entries(spark, SAMPLE), plan_frame(spark, [row])
     assert [r["problem"] for r in layout.plan_validation(plan, rows).collect()] == [problem]
@@ -291,8 +291,13 @@ def test_snapshot_table(spark, tmp_path):
         heads = snapshots.read_headers(spark, root).orderBy("snapshot").collect()
         assert [(h["snapshot"], h["expected_total"], h["done"], h["total_bytes"]) for h in heads] == [
             ("20240101", 7, 7, 37), ("20240201", 8, 7, 37)]
-    snapshots.export_snapshot(rows, "main", 7, 27, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out" / "entries")).count() == 7
+    snapshots.export_snapshot(rows, "main", "20240201", 7, 27, str(tmp_path / "out"))
+    documents = snapshots.read_documents(spark, str(tmp_path / "out" / "*" / "*" / "*.json"))
+    good, bad = snapshots.document_entries(documents)
+    assert bad.isEmpty() and sorted(map(tuple, good.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert one(snapshots.document_headers(documents)) == {
+        "account": "main", "snapshot": "20240201", "expected_total": 7, "expected_bytes": 27, "count": 7, "done": 7,
+        "total_bytes": 37}
 
 
 def test_listing_pages(spark, tmp_path):
