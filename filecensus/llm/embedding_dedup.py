@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.llm.components import TILE, connected, tile_result
+from filecensus.llm.joins import smallest
 from filecensus.operators.scale import cut_lineage
 
 THRESHOLD = 0.93
@@ -107,7 +108,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
         classes.select(F.col("node").alias("row"), "copies"), "row").withColumnRenamed("row", "node"))
 
     n = heads.count()
-    sample = heads.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("embedding").toArrow()
+    sample = smallest(heads, F.col("node"), SAMPLE).select("embedding").toArrow()
     count = int(np.clip(n // ROWS_A_PIVOT, *pivots))
     points = choose_pivots(sample.column(0).combine_chunks(), count)
     first = nearest - shared + 1

@@ -1,8 +1,8 @@
-"""Joins of whole texts with what was found out about some of them."""
+"""Joins of whole texts with what was found out about some of them, and bounded samples."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # A table of at most so many bytes is broadcast to the texts; beyond it, texts and table are shuffled together.
 BROADCAST_BYTES = 48 * 1024 * 1024
@@ -21,3 +21,14 @@ def fresh(docs: DataFrame, name: str) -> str:
     while name in taken:
         name = f"_{name}"
     return name
+
+
+def smallest(rows: DataFrame, key: Column, n: int) -> DataFrame:
+    """The n rows whose key hashes to the smallest numbers, in that order; rows of equal keys come in any order.
+
+    Rows whose hash is far too large are left out first, by the number of rows, so that tasks do not each send n
+    rows to the one that picks.
+    """
+    total, place = rows.count(), F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    share = min(1.0, (4 * n + 100) / max(1, total))
+    return rows.filter(place < F.lit(int(share * (1 << 40)))).orderBy(place).limit(n)

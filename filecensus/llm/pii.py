@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filecensus.llm.joins import smallest
 from filecensus.llm.words import steps
 
 KINDS = ("email", "ip", "card", "phone")
@@ -290,7 +291,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_regions: int =
     Without any such region the field adds nothing.
     """
     sample = docs.select(F.col("text").cast("string"), "doc_id").filter(F.col("text").rlike("[0-9@]"))
-    sample = sample.orderBy(F.xxhash64("text", "doc_id"), "doc_id").limit(sample_docs).select("text")
+    sample = smallest(sample, F.struct("text", "doc_id"), sample_docs).select("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

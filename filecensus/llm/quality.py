@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filecensus.llm.joins import fresh
+from filecensus.llm.joins import fresh, smallest
 from filecensus.llm.words import Remembered, list_array, row_sums, steps
 from filecensus.operators.scale import cut_lineage
 
@@ -277,8 +277,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     known = _known(labels)
     source = docs.select("doc_id", F.col("text").cast("string"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so many rows at most are broadcast
-    drawn = source.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
+    chosen = smallest(known, F.col("doc_id"), sample)  # so many rows at most are broadcast
+    drawn = smallest(source.join(F.broadcast(chosen), "doc_id"), F.struct("doc_id", "text"), sample)
     drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
     seen = drawn.select("row", "toxic", _features(F.col("text")).alias("buckets")).toArrow().sort_by("row")
     if not seen.num_rows:
