@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.llm.joins import small_side
-from filecensus.operators.scale import cut_lineage
+from filecensus.operators.scale import cut_lineage, drop, new_table
 
 LENGTH = 200
 # Offsets of windows from their mark run from 0 to OFFSETS - 1; a power of two.
@@ -180,26 +180,44 @@ def _finer(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield _batch(rows[begin:begin + 20_000])
 
 
-def _settle(rows: DataFrame, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """One round: rerank, drop unique ranks, and tell the windows that are repeated from those still open.
+def _settle(rows: DataFrame) -> DataFrame:
+    """One round: rerank, drop unique ranks, and count the marks that are alike as a whole.
 
-    Returns the settled rows and the rows for the next round. Of rows alike as a whole, one stays, for others to
-    be compared with.
+    Only keys are moved, not the texts around the marks.
     """
-    # The number of a row must not change when it is read again.
-    rows = cut_lineage(rows.withColumn("id", F.monotonically_increasing_id()))
     pair = ["rank", "cell", "name"]
-    ranks = rows.groupBy(*pair).agg(
+    keys = rows.select("id", "read_key", "at", "low", "high", *pair, "alike", "open")
+    ranks = keys.groupBy(*pair).agg(
         F.min("id").alias("fresh"), F.count(F.lit(1)).alias("n"), F.max("open").alias("some_open"))
-    shared = rows.join(ranks.filter("n > 1 AND some_open"), pair)
-    if last:
-        return shared.filter("open"), None
-    alike = rows.groupBy("alike").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("same"))
-    told = cut_lineage(shared.join(alike, "alike").select(
-        "read_key", "at", "low", "high", "context", F.col("fresh").alias("rank"), "open", "id", "first", "same"))
-    settled = told.filter("open AND same > 1")
-    onward = told.filter("same = 1 OR id = first").withColumn("open", F.col("open") & (F.col("same") == 1))
-    return settled, onward.select("read_key", "at", "low", "high", "context", "rank", "open")
+    alike = keys.groupBy("alike").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("same"))
+    shared = keys.join(ranks.filter("n > 1 AND some_open"), pair)
+    return cut_lineage(shared.join(alike, "alike").select(
+        "id", "read_key", "at", "low", "high", "fresh", "open", "first", "same"))
+
+
+def _double(rows: DataFrame) -> DataFrame:
+    """All rounds over the first rows: read_key, start and end of strings that are repeated."""
+    spark, found, before = rows.sparkSession, [], None
+    for number, cell in enumerate(CELLS):
+        if number:
+            rows = rows.mapInArrow(functools.partial(_finer, cell), _ROW)
+        folder = new_table(spark)
+        # The number of a row must not change when it is read again.
+        rows.withColumn("id", F.monotonically_increasing_id()).write.parquet(folder)
+        if before is not None:
+            drop(spark, before)
+        rows, before = spark.read.parquet(folder), folder
+        told = _settle(rows)
+        # In the last round a row is one window, and rows of one rank are alike.
+        found.append(told.filter("open AND same > 1").select(
+            "read_key", (F.col("at") - F.col("high")).cast("int").alias("start"),
+            (F.col("at") - F.col("low") + LENGTH).cast("int").alias("end")))
+        # Of rows alike as a whole one goes on, for others to be compared with.
+        onward = cut_lineage(told.filter("same = 1 OR id = first").select(
+            "id", F.col("fresh").alias("rank"), (F.col("open") & (F.col("same") == 1)).alias("open")))
+        rows = rows.drop("rank", "open").join(small_side(onward, 48), "id")
+    drop(spark, before)
+    return functools.reduce(DataFrame.union, found)
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -233,15 +251,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     listed = cut_lineage(left.groupBy("read_key").agg(F.collect_set("packed").alias("marks")))
     around = source.select("read_key", "text").join(small_side(listed, 32, "marks", 8), "read_key")
 
-    rows, settled = around.mapInArrow(_contexts, _ROW).select(*_ROW_NAMES), []
-    for number, cell in enumerate(CELLS):
-        if number:
-            rows = rows.mapInArrow(functools.partial(_finer, cell), _ROW)
-        done, rows = _settle(rows, cell == CELLS[-1])
-        settled.append(done.select(
-            "read_key", (F.col("at") - F.col("high")).cast("int").alias("start"),
-            (F.col("at") - F.col("low") + LENGTH).cast("int").alias("end")))
-    every = functools.reduce(DataFrame.union, settled)
+    every = _double(around.mapInArrow(_contexts, _ROW))
     several = cut_lineage(copied.select("read_key").distinct())
     spans = every.join(several, "read_key", "left_anti").groupBy("read_key").agg(
         F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
