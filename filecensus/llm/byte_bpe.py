@@ -45,11 +45,15 @@ class Ranks:
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
         keys = np.array(sorted(pairs), dtype=np.int64)
         self.keys = np.append(keys, np.int64(2**63 - 1))
         self.merged = np.append(np.array([pairs[k] for k in keys.tolist()], dtype=np.int32), _NONE)
 
+    @functools.cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same as a dict, for long pieces that run alone."""
+        return dict(zip(self.keys[:-1].tolist(), self.merged[:-1].tolist(), strict=True))
+
     def of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the merged pairs; none where there is no such token or either side is -1."""
         wanted = np.where((left < 0) | (right < 0), -1, left << 32 | right)

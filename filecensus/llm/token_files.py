@@ -23,6 +23,8 @@ from filecensus.llm.words import Remembered, list_array, matcher, steps
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
 PAGE_ROWS = 2_000
+# Pieces that a worker remembers: the library takes its time over new ones.
+PIECES = 400_000
 _SCHEMA = "doc_id {kind}, n_tokens bigint, ids array<int>, part int, offset bigint"
 
 
@@ -41,7 +43,7 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.matches = matcher(pattern)
-        self.remembered = Remembered(self._work)
+        self.remembered = Remembered(self._work, PIECES)
 
     def _work(self, new: list[str]) -> list[list[int]]:
         tokenize = self.tokenizer.model.tokenize

@@ -13,7 +13,7 @@ import regex
 # Text that one step of a task holds as Python strings.
 STEP_BYTES = 1024 * 1024
 # Pieces, and values of pieces, that one Python worker remembers before it starts anew.
-PIECES = 250_000
+PIECES = 150_000
 VALUES = 3_000_000
 
 # On these characters the two engines agree about letters, digits and spaces, and the standard one is faster.
@@ -109,6 +109,7 @@ def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 
 def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[list[str]]:
     """The texts in lists of bounded bytes, or one text alone if it is longer; null counts as empty."""
+    pa.default_memory_pool().release_unused()
     lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
     begin = total = 0
     for end, length in enumerate(lengths):
