@@ -1,9 +1,10 @@
 """A quality classifier from weak labels.
 
-Heuristic labellers vote bad, good or nothing on every document, about two faults: poor text, and toxic text. They
-overlap and disagree; expectation-maximisation over the counts of all vote patterns in the corpus estimates how
-each labeller votes on bad and on good documents, and with that the probability of every pattern to be bad. These
-posterior labels train a hashed linear scorer, which judges all documents.
+Heuristic labellers vote bad, good or nothing on every document, about two faults: poor text, and toxic text. The
+given labels are one more labeller. They overlap and disagree; expectation-maximisation over the counts of all vote
+patterns in the corpus estimates how each labeller votes on bad and on good documents, and with that the probability
+of every pattern to be bad. These posterior labels, of a sample of all documents with and without given labels, train
+a hashed linear scorer, which judges all documents.
 """
 
 from __future__ import annotations
@@ -24,14 +25,12 @@ from filecensus.llm.words import Remembered, list_array, row_sums, steps
 from filecensus.operators.scale import cut_lineage
 
 FAULTS = ("poor", "toxic")
-# Labelled (or, without labels, all) documents that the scorer is fitted to, those of smallest hash.
+# Documents that the scorer is fitted to, and labelled ones that signs are mined from: those of smallest hash.
 SAMPLE = 8_000
 BUCKETS = 1 << 18
 # A word or word beginning is a sign of toxic text if so many sampled documents have it, so much more often toxic.
 SIGN_DOCS = 6
 SIGN_ODDS = 12.0
-# How often the labels are right.
-LABEL_TRUST = 0.995
 # Features of the scorer differ between bad and good texts by so many standard deviations.
 CHANCE = 4.0
 INSULTS = frozenset("idiot idiots moron morons stupid worthless pathetic disgusting trash scum loser losers "
@@ -123,9 +122,13 @@ class Batch(NamedTuple):
             vote(repeats > 0.15, repeats < 0.05, enough), vote(variety > 0.65, variety < 0.45, self.n >= 60),
             vote(lines > 0.4, lines < 0.1, enough),
             vote((width < 0.1) | (width > 0.7), (width > 0.15) & (width < 0.5), enough)])
+        # A text is poor in one way or another: once a fault is found, no labeller behind is asked for its own.
+        faults = poor == _BAD
+        poor = np.where(np.cumsum(faults, axis=0) > faults, _NONE, poor)
         toxic = np.stack([
-            vote(self.insults > 0, ~sure, sure), vote(found > 0, found == 0, sure),
-            vote(found * 150 > self.n, found == 0, sure)])
+            vote(self.insults > 0, self.insults == 0, sure), vote(found > 0, found == 0, sure),
+            # Asked only where there are signs: what it says is no echo of the one before.
+            vote(found * 150 > self.n, found * 150 <= self.n, found > 0)])
         return poor, toxic
 
     def features(self) -> tuple[np.ndarray, np.ndarray]:
@@ -166,13 +169,13 @@ def estimate(patterns: dict[int, int], labellers: int, rounds: int = 300) -> tup
     """Expectation-maximisation over counted vote patterns.
 
     Returns the probability of each pattern to be bad, and table[class][labeller][vote], the classes being good and
-    bad. Labellers are taken to err independently and to be right more often than not. The last one are the labels:
-    patterns in which it votes are what it says with probability LABEL_TRUST.
+    bad. Labellers are taken to err independently and to be right more often than not. The last one are the labels,
+    which tell at first what is bad; from then on they are a labeller like the others, with an error rate of their own.
+    Abstaining says nothing: labellers abstain together, on texts too short to judge.
     """
     codes = np.array(sorted(patterns), dtype=np.int64)
     counts = np.array([patterns[c] for c in codes.tolist()], dtype=np.float64)
     votes = codes[:, None] // 3 ** np.arange(labellers) % 3
-    said = votes[:, -1]
     onehot = votes[:, :, None] == np.arange(3)
     weight = np.ones(labellers)
     weight[-1] = 2 * labellers  # at first the labels outvote all others
@@ -186,10 +189,10 @@ def estimate(patterns: dict[int, int], labellers: int, rounds: int = 300) -> tup
             ahead = np.array([1.0, 4.0, 0.5] if k == 0 else [1.0, 0.5, 4.0])
             seen = (weight[:, None, None] * onehot).sum(axis=0) + ahead
             table[k] = seen / seen.sum(axis=1, keepdims=True)
-        logs = [np.log(p) + (np.log(table[k])[None] * onehot).sum(axis=(1, 2))
+        cast = table[:, :, 1:] / table[:, :, 1:].sum(axis=2, keepdims=True)
+        logs = [np.log(p) + (np.log(cast[k])[None] * onehot[:, :, 1:]).sum(axis=(1, 2))
                 for k, p in enumerate((1 - prior, prior))]
         before, chance = chance, 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -50, 50)))
-        chance = np.where(said == _BAD, LABEL_TRUST, np.where(said == _GOOD, 1 - LABEL_TRUST, chance))
         if np.abs(before - chance).max() < 1e-9:
             break
     return dict(zip(codes.tolist(), chance.tolist(), strict=True)), table
@@ -267,32 +270,48 @@ def _label_votes(table: DataFrame, *others: str) -> DataFrame:
         *others, (F.col("poor_votes") + poor * 3 ** 6).alias("poor"), (F.col("toxic_votes") + toxic * 3 ** 3).alias("toxic"))
 
 
+def _gathered(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Table]:
+    """All `buckets` of some rows in order of `row`, the place of the row that each belongs to, and the rows."""
+    table = seen.toArrow().sort_by("row")
+    lists = table["buckets"].combine_chunks()
+    lengths = pa.compute.list_value_length(lists).to_numpy()
+    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int32), lengths), table
+
+
+def _signs(source: DataFrame, known: DataFrame, sample: int) -> np.ndarray | None:
+    """Signs of toxic text, mined from the labelled documents of smallest hash; None if there are none."""
+    chosen = smallest(known, F.col("doc_id"), sample)  # so many rows at most are broadcast
+    drawn = smallest(source.join(F.broadcast(chosen), "doc_id"), F.struct("doc_id", "text"), sample)
+    drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
+    buckets, texts, table = _gathered(drawn.select("row", "toxic", _features(F.col("text")).alias("buckets")))
+    return _mine(buckets, texts, pa.compute.fill_null(table["toxic"], 0).to_numpy()) if table.num_rows else None
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit the labellers' error rates to all documents and the scorer to a sample of labelled ones.
+    """Fit the labellers' error rates to all documents and the scorer to a sample of them, labelled or not.
 
-    The sample are the `sample` labelled documents of smallest hash; only they, and the counts of vote patterns,
-    which are at most 3^7 and 3^4, reach the driver. Signs of toxic text, which two of the labellers look for, are
-    mined from the sample. Null and empty texts have no tokens and get no votes. Without labelled documents the
-    scorer finds no fault.
+    The sample are the `sample` documents of smallest hash; its targets are the probabilities that follow from the
+    votes. Signs of toxic text, which two of the labellers look for, are mined from as many labelled documents. Only
+    the two samples' features, one after the other, and the counts of vote patterns, which are at most 3^7 and 3^4,
+    reach the driver. Null and empty texts have no tokens and get no votes. Without labelled documents nothing tells
+    what a fault is, and the scorer finds none.
     """
     known = _known(labels)
     source = docs.select("doc_id", F.col("text").cast("string"))
-    chosen = smallest(known, F.col("doc_id"), sample)  # so many rows at most are broadcast
-    drawn = smallest(source.join(F.broadcast(chosen), "doc_id"), F.struct("doc_id", "text"), sample)
-    drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
-    seen = drawn.select("row", "toxic", _features(F.col("text")).alias("buckets")).toArrow().sort_by("row")
-    if not seen.num_rows:
+    signs = _signs(source, known, sample)
+    if signs is None:
         nothing = np.zeros((2, BUCKETS + 2), dtype=np.float32)
         nothing[:, BUCKETS + 1] = -30
         return Model(nothing, np.zeros(BUCKETS + 2, dtype=bool), (np.zeros((2, 7, 3)), np.zeros((2, 4, 3))))
-    lists = seen["buckets"].combine_chunks()
-    buckets = lists.flatten().to_numpy()
-    texts = np.repeat(np.arange(seen.num_rows, dtype=np.int32), pa.compute.list_value_length(lists).to_numpy())
-    signs = _mine(buckets, texts, pa.compute.fill_null(seen["toxic"], 0).to_numpy())
-
     every = _label_votes(_votes(source, signs).join(known, "doc_id", "left"))
     counted = cut_lineage(every.groupBy("poor", "toxic").count()).collect()
-    own = _label_votes(_votes(drawn, signs, "row", "quality", "toxic"), "row").toArrow().sort_by("row")
+
+    drawn = smallest(source, F.struct("doc_id", "text"), sample)
+    drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
+    told = known.join(F.broadcast(drawn.select("doc_id").distinct()), "doc_id")  # no more rows than the sample
+    voted = _votes(drawn, signs, "row").join(F.broadcast(told), "doc_id", "left")
+    own = _label_votes(voted, "row").toArrow().sort_by("row")
+    buckets, texts, _ = _gathered(drawn.select("row", _features(F.col("text")).alias("buckets")))
     tables, weights = [], []
     for name, labellers in zip(FAULTS, (7, 4), strict=True):
         codes, patterns = own[name].to_pylist(), Counter()

@@ -306,3 +306,30 @@ def test_expectation_maximisation_finds_the_error_rates():
     chance, table = quality.estimate(patterns, 5)
     for k, (hit, right) in enumerate(rates):
         assert abs(table[1, k, 2] / 0.8 - hit) < 0.04 and abs(table[0, k, 1] / 0.8 - right) < 0.04
+
+
+def test_expectation_maximisation_finds_wrong_labels():
+    rng = np.random.default_rng(5)
+    bad = rng.random(20_000) < 0.3
+    said = lambda right: np.where(rng.random(len(bad)) < right, np.where(bad, 2, 1), np.where(bad, 1, 2))
+    labels = np.where(rng.random(len(bad)) < 0.5, 0, said(0.85))
+    codes = quality._codes(np.stack([said(0.97), said(0.95), said(0.96), labels])).tolist()
+    chance, table = quality.estimate(Counter(codes), 4)
+    rates = table[:, -1] / table[:, -1, 1:].sum(axis=1, keepdims=True)
+    assert abs(rates[1, 2] - 0.85) < 0.03 and abs(rates[0, 1] - 0.85) < 0.03
+    # The others outvote a wrong label.
+    wrong = (labels > 0) & ((labels == 2) != bad)
+    assert np.mean([(chance[code] > 0.5) == b for code, b in zip(codes, bad.tolist())]) > 0.97
+    assert np.mean([(chance[code] > 0.5) == b for code, b, w in zip(codes, bad.tolist(), wrong) if w]) > 0.9
+
+
+def test_unlabelled_documents_and_votes_reach_the_scorer(spark):
+    rows = graded(2, 900)
+    shouts = lambda text: text.endswith("!!")
+    docs = as_docs(spark, [text for text, _, _ in rows])
+    # Shouting is never labelled: only votes on unlabelled documents tell of it.
+    labels = spark.createDataFrame([(i, q, t) for i, (text, q, t) in enumerate(rows) if i % 2 and not shouts(text)],
+                                   "doc_id bigint, quality int, toxic int")
+    judged = {row.doc_id: row.p_poor > 0.5 for row in quality.classify(docs, labels).collect()}
+    assert np.mean([judged[i] for i, (text, _, _) in enumerate(rows) if shouts(text)]) > 0.9
+    assert np.mean([judged[i] == (q == 0) for i, (_, q, _) in enumerate(rows)]) > 0.95
