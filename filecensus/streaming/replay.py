@@ -11,8 +11,9 @@ from filecensus.operators.scale import run_folder
 from filecensus.sources.heartbeats import read_heartbeats
 from filecensus.streaming import breaker, live, upserts
 
-# Files, and so micro-batches, that a table is streamed in.
+# Files, and so micro-batches, that a table is streamed in: so many at least, and more to hold so many rows each.
 FILES = 5
+FILE_ROWS = 1_000_000
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -27,15 +28,19 @@ def _stream(spark: SparkSession, folder: str, view: str, scratch: str, order: st
     """
     events = spark.read.parquet(f"{folder}/events.parquet")
     number = F.unix_micros(F.col("ts").cast("timestamp")) if order == "ts" else F.col(order)
-    ends = events.select(F.percentile_approx(number, [i / FILES for i in range(1, FILES)])).first()[0]
-    place = sum((F.when(number > end, 1).otherwise(0) for end in ends), F.lit(0))
-    # One after the other, as a stream takes files in the order of their times.
-    for i in range(FILES):
-        events.filter(place == i).write.mode("append").parquet(f"{scratch}/events/file={i}")
+    files = max(FILES, -(-events.count() // FILE_ROWS))
+    ends = events.select(F.percentile_approx(number, [i / files for i in range(1, files)], max(10_000, 100 * files))).first()[0]
+    place = F.size(F.filter(F.array(*map(F.lit, ends or [])), lambda end: number > end))
+    # The table is dealt into ranges in one pass.
+    events.withColumn("_file", place).write.partitionBy("_file").parquet(f"{scratch}/ranges")
+    ranges = spark.read.schema(f"{events._jdf.schema().toDDL()}, _file int").parquet(f"{scratch}/ranges")
+    # One after the other, as a stream takes files in the order of their times; one file each, as each file is a batch.
+    for i in range(files):
+        rows = ranges.filter(F.col("_file") == i).drop("_file")
+        rows.repartition(1).sortWithinPartitions(order).write.mode("append").parquet(f"{scratch}/events/file={i}")
     if closing is not None:
         late = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).withColumn("ts", F.col("ts") + F.expr(closing))
-        late.write.mode("append").parquet(f"{scratch}/events/file={FILES}")
-    # Each file is one batch as long as one task wrote it; more tasks make more batches.
+        late.coalesce(1).write.mode("append").parquet(f"{scratch}/events/file={files}")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option(
         "recursiveFileLookup", True).parquet(f"{scratch}/events")
     rows = spark_view(spark, folder, view, events=stream)

@@ -3,7 +3,9 @@
 import datetime as dt
 import json
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +104,33 @@ def test_replayed_streams_have_batches(spark, monkeypatch, name):
     assert batches[0] >= 4
 
 
+@pytest.mark.parametrize("name", ["live_throughput", "breaker_alerts"])
+def test_replay_of_many_shuffled_row_groups(spark, tmp_path, monkeypatch, name):
+    source = Path("/root/testdata/sf0.001")
+    for table in source.glob("*.parquet"):
+        if table.name != "events.parquet":
+            (tmp_path / table.name).symlink_to(table)
+    events = pq.read_table(source / "events.parquet")
+    order = random.Random(3).sample(range(events.num_rows), events.num_rows)
+    pq.write_table(events.take(order), tmp_path / "events.parquet", row_group_size=100)
+    extra = [3] if name == "breaker_alerts" else []
+    expected = sorted(map(tuple, getattr(replay, name)(spark, str(source), *extra).collect()))
+    monkeypatch.setattr(replay, "FILE_ROWS", 150, raising=False)
+    batches, run = [], replay.run
+    monkeypatch.setattr(replay, "run", lambda writer: batches.append(run(writer)))
+    for setting in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+        spark.conf.set(setting, "4k")
+    try:
+        got = sorted(map(tuple, getattr(replay, name)(spark, str(tmp_path), *extra).collect()))
+    finally:
+        for setting in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(setting)
+    assert got == expected
+    # As many batches as ranges of FILE_ROWS, and at most the closing event.
+    ranges = -(-events.num_rows // 150)
+    assert ranges <= batches[0] <= ranges + 1
+
+
 def test_catalog_upserts(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
