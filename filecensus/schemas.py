@@ -15,7 +15,7 @@ ENTRY_COLUMNS = [field.split()[0] for field in ENTRY.split(", ")]
 # A snapshot's interchange document. Sizes are read as text: edited documents hold strings.
 SNAPSHOT_DOCUMENT = (
     "account string, expected_total string, expected_bytes string, count string, done string, "
-    "total_bytes string, entries array<struct<" + ENTRY_FIELDS.format(size="string").replace(" string", ": string")
+    "total_bytes string, part string, first_ordinal string, entries array<struct<" + ENTRY_FIELDS.format(size="string").replace(" string", ": string")
     + ">>"
 )
 

@@ -1,13 +1,15 @@
-"""Catalog snapshots: a partitioned table for work, one JSON document for interchange."""
+"""Catalog snapshots: a partitioned table for work, numbered JSON documents for interchange."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from filecensus.operators.catalog import coerce_entries, status_counts, upsert
 from filecensus.schemas import ENTRY, ENTRY_COLUMNS, SNAPSHOT_DOCUMENT
 
 _KEYS = ["account", "snapshot"]
+# Ordinals whose entries share an exported document.
+DOCUMENT_ENTRIES = 10_000
 HEADER = "expected_total bigint, expected_bytes bigint, count bigint, done bigint, total_bytes bigint"
 
 
@@ -59,31 +61,45 @@ def document_entries(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     An id met twice keeps its first place and its last values.
     """
-    rows = documents.select(*_KEYS, F.posexplode("entries").alias("ordinal", "entry"))
-    flat = rows.select(*_KEYS, F.col("ordinal").cast("bigint").alias("ordinal"), "entry.*")
+    first = F.coalesce(F.col("first_ordinal").try_cast("bigint"), F.lit(0)).alias("_first")
+    rows = documents.select(*_KEYS, first, F.posexplode("entries").alias("ordinal", "entry"))
+    flat = rows.select(*_KEYS, (F.col("_first") + F.col("ordinal")).alias("ordinal"), "entry.*")
     keyed = flat.withColumn("_id", F.struct(*_KEYS, F.coalesce("file_id", F.lit("")).alias("file_id")))
     merged = upsert(keyed, "_id")
     return coerce_entries(merged.drop("_id").withColumn("file_id", F.coalesce("file_id", F.lit(""))))
 
 
 def document_headers(documents: DataFrame) -> DataFrame:
-    """Header scalars without the entries."""
+    """Header scalars without the entries, once for all parts of a snapshot."""
     numbers = [field.split()[0] for field in HEADER.split(", ")]
-    return documents.select(
+    return documents.filter(F.coalesce("part", F.lit("0")) == "0").select(
         *_KEYS, *[F.coalesce(F.col(n).try_cast("bigint"), F.lit(0)).alias(n) for n in numbers])
 
 
 def export_snapshot(entries: DataFrame, account: str, snapshot: str, expected_total: int, expected_bytes: int,
                     folder: str) -> None:
-    """Export one snapshot as an interchange document below folder/<snapshot>/<account>.
+    """Export one snapshot as numbered interchange documents below folder/<snapshot>/<account>, one a file.
 
-    The format is one JSON object with all entries in order, so it is written by one task and is meant for
-    interchange only; `write_snapshot` keeps catalogs of any size. `read_documents` reads it back.
+    Each is a JSON object with the header, its part number, the place of its first entry in the whole, and its
+    entries in order: those of DOCUMENT_ENTRIES ordinals, so that many tasks write and read them. `read_documents`
+    reads them back. A snapshot without entries is one document.
     """
     names = [c for c in ENTRY_COLUMNS if c != "ordinal"]
+    chunk = F.floor(F.col("ordinal") / DOCUMENT_ENTRIES).alias("_chunk")
     listed = F.sort_array(F.collect_list(F.struct("ordinal", F.struct(*names).alias("entry"))))
-    head = status_counts(entries).select(
+    chunks = entries.groupBy(chunk).agg(F.transform(listed, lambda x: x["entry"]).alias("entries"))
+    # One small row for each document.
+    before = Window.orderBy("_chunk")
+    places = entries.groupBy(chunk).agg(F.count(F.lit(1)).alias("_n")).select(
+        "_chunk", (F.row_number().over(before) - 1).alias("part"),
+        (F.sum("_n").over(before) - F.col("_n")).alias("first_ordinal"))
+    parts = chunks.join(places, "_chunk")
+    if entries.isEmpty():
+        parts = entries.agg(F.lit(0).alias("part"), F.lit(0).alias("first_ordinal"),
+                            F.array().cast(chunks.schema["entries"].dataType).alias("entries"))
+    head = status_counts(entries).first()
+    (parts.select(
         F.lit(account).alias("account"), F.lit(expected_total).alias("expected_total"),
-        F.lit(expected_bytes).alias("expected_bytes"), "count", "done", "total_bytes")
-    whole = entries.agg(F.transform(listed, lambda x: x["entry"]).alias("entries"))
-    head.crossJoin(whole).coalesce(1).write.mode("overwrite").json(f"{folder}/{snapshot}/{account}")
+        F.lit(expected_bytes).alias("expected_bytes"),
+        *[F.lit(head[c]).alias(c) for c in ("count", "done", "total_bytes")], "part", "first_ordinal", "entries")
+     .write.mode("overwrite").option("maxRecordsPerFile", 1).json(f"{folder}/{snapshot}/{account}"))

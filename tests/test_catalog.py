@@ -300,6 +300,21 @@ def test_snapshot_table(spark, tmp_path):
         "total_bytes": 37}
 
 
+@pytest.mark.parametrize("size", [7, 3, 0])
+def test_snapshot_documents_are_bounded(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(snapshots, "DOCUMENT_ENTRIES", 3, raising=False)
+    rows = entries(spark, SAMPLE).limit(size)
+    snapshots.export_snapshot(rows, "main", "20240201", 7, 27, str(tmp_path))
+    files = list((tmp_path / "20240201" / "main").glob("*.json"))
+    found = sorted((json.loads(file.read_text()) for file in files), key=lambda x: x["part"])
+    assert [len(x["entries"]) for x in found] == {7: [3, 3, 1], 3: [3], 0: [0]}[size]
+    assert [(x["part"], x["first_ordinal"]) for x in found] == [(i, 3 * i) for i in range(len(found))]
+    documents = snapshots.read_documents(spark, str(tmp_path / "*" / "*" / "*.json"))
+    good, bad = snapshots.document_entries(documents)
+    assert bad.isEmpty() and sorted(map(tuple, good.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    assert one(snapshots.document_headers(documents))["count"] == size
+
+
 def test_listing_pages(spark, tmp_path):
     drives = tmp_path / "drives"
     drives.mkdir()
