@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from filecensus.llm.joins import fresh
-from filecensus.llm.words import Remembered, list_array, matcher, rows_of, steps
+from filecensus.llm.words import Cutter, Remembered, list_array, rows_of, steps
 
 _NONE = np.int32(2**31 - 1)
 # Pieces of more bytes run one by one; up to so many bytes of pieces run together.
@@ -186,12 +186,12 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         vocabulary = ranks(path)
-        self.matches = matcher(pattern)
+        self.cut = Cutter(pattern)
         self.remembered = Remembered(lambda new: merge(vocabulary, [match.encode() for match in new]))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, and how many each text has."""
-        values, sizes = self.remembered.look_up([self.matches(text) for text in texts])
+        values, sizes = self.remembered.look_up_cut(*self.cut(texts))
         return values.astype(np.int32), sizes
 
 

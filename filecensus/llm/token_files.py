@@ -13,12 +13,13 @@ import functools
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from filecensus.llm.words import Remembered, list_array, matcher, steps
+from filecensus.llm.words import Cutter, Remembered, list_array, steps
 
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 PAGE_BYTES = 256 * 1024
@@ -42,30 +43,36 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [str(token.content) for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.matches = matcher(pattern)
+        self.cut = Cutter(pattern)
         self.remembered = Remembered(self._work, PIECES)
 
     def _work(self, new: list[str]) -> list[list[int]]:
         tokenize = self.tokenizer.model.tokenize
-        return [[token.id for token in tokenize(piece.encode().decode("latin-1").translate(_SHOWN))] for piece in new]
+        data = [piece.encode() for piece in new]
+        shown = _SHOWN[np.frombuffer(b"".join(data), dtype=np.uint8)].tobytes().decode("utf-32-le")
+        ends = [0, *accumulate(map(len, data))]
+        return [[token.id for token in tokenize(shown[i:j])] for i, j in pairwise(ends)]
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts in one array, `end` after each, and how many each text has."""
         whole = [any(token in text for token in self.added) for text in texts]
-        values, sizes = self.remembered.look_up([
-            [] if special else self.matches(text) for special, text in zip(whole, texts, strict=True)])
-        rows = np.split(values, np.cumsum(sizes)[:-1])
-        for i in np.flatnonzero(whole):
-            rows[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.int64)
-        last = np.array([end])
-        return np.concatenate([x for row in rows for x in (row, last)]), np.array([len(row) + 1 for row in rows])
+        values, sizes = self.remembered.look_up_cut(*self.cut(
+            ["" if special else text for special, text in zip(whole, texts, strict=True)]))
+        if any(whole):
+            rows = np.split(values, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(whole):
+                rows[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype=np.int64)
+            values, sizes = np.concatenate(rows), np.array([len(row) for row in rows])
+        return np.insert(values, np.cumsum(sizes), end), sizes + 1
 
 
-def _shown() -> dict[int, str]:
+def _shown() -> np.ndarray:
     """How byte-level models write bytes: printable ones as themselves, the others as letters from 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = (byte for byte in range(256) if byte not in printable)
-    return {byte: chr(256 + i) for i, byte in enumerate(others)}
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    shown = np.full(256, -1)
+    shown[printable] = printable
+    shown[shown < 0] = np.arange(256, 512 - len(printable))
+    return shown.astype("<u4")
 
 
 _SHOWN = _shown()

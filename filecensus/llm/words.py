@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -16,20 +16,89 @@ STEP_BYTES = 1024 * 1024
 PIECES = 150_000
 VALUES = 3_000_000
 
-# On these characters the two engines agree about letters, digits and spaces, and the standard one is faster.
-_PLAIN = re.compile(r"[^\t\n\r -~À-ɏ]")
-_TWINS = {
-    r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
-        re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"""),
-}
-
+# The split of byte-level vocabularies: runs of letters, digits or other characters with one space before them,
+# English endings, and white space.
+BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_ENDINGS = ("s", "t", "m", "d", "re", "ve", "ll")
+_WHITE, _SPACE, _LETTER, _DIGIT, _OTHER = range(5)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of every code point, as the engine's classes have it."""
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    kinds = np.full(0x110000, _OTHER, dtype=np.uint8)
+    for kind, members in ((_LETTER, r"\p{L}+"), (_DIGIT, r"\p{N}+"), (_WHITE, r"\s+")):
+        for run in regex.finditer(members, every):
+            kinds[ord(run[0][0]):ord(run[0][-1]) + 1] = kind
+    kinds[ord(" ")] = _SPACE
+    return kinds
+
+
+def _starts(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where a match of BYTE_LEVEL begins, in the code points of texts that end at `ends` (none is empty)."""
+    kinds = _kinds()[codes]
+    white = kinds <= _SPACE
+    first = np.zeros(len(codes) + 1, dtype=bool)
+    first[0] = first[ends] = True
+    last, first = first[1:], first[:-1]
+    before, stays = np.empty_like(kinds), np.empty_like(white)
+    before[0], before[1:] = _OTHER, kinds[:-1]
+    # A space belongs to the run after it; of more white space, only the last character may.
+    stays[-1], stays[:-1] = True, white[1:]
+    stays |= last
+    starts = np.where(white, (before > _SPACE) | ~stays, (kinds != before) & (before != _SPACE)) | first
+    # An ending is cut off where its apostrophe begins a match.
+    at = np.flatnonzero((codes == ord("'")) & starts)
+    if len(at):
+        left = ends[np.searchsorted(ends, at, side="right")] - at
+        padded = np.concatenate([codes, np.zeros(2, dtype=codes.dtype)])
+        for ending in _ENDINGS:
+            hit = left > len(ending)
+            for i, letter in enumerate(ending, 1):
+                hit &= padded[at + i] == ord(letter)
+            some = at[hit]
+            starts[some + 1] = False
+            beyond = some + 1 + len(ending)
+            starts[beyond[beyond < len(starts)]] = True
+    return starts
+
+
+class Cutter:
+    """Cuts texts into the matches of a pattern, which come in one Arrow array.
+
+    BYTE_LEVEL is cut by comparing neighbouring characters of all texts at once; other patterns go through the
+    regular expression engine.
+    """
 
-def matcher(pattern: str) -> Callable[[str], list[str]]:
-    """All matches of a pattern in a text."""
-    every, twin = regex.compile(pattern).findall, _TWINS.get(pattern)
-    if twin is None:
-        return every
-    return lambda text: twin.findall(text) if _PLAIN.search(text) is None else every(text)
+    def __init__(self, pattern: str):
+        self.every = None if pattern == BYTE_LEVEL else regex.compile(pattern).findall
+
+    def __call__(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The matches of all texts, and how many each text has."""
+        if self.every is not None:
+            rows = [self.every(text) for text in texts]
+            return (pa.array(chain.from_iterable(rows), type=pa.string()),
+                    np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)))
+        joined = "".join(texts)
+        counts = np.zeros(len(texts), dtype=np.int64)
+        if not joined:
+            return pa.array([], type=pa.string()), counts
+        lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        some = lengths > 0
+        ends = np.cumsum(lengths[some])
+        data = joined.encode()
+        if len(data) == len(joined):
+            starts = np.flatnonzero(_starts(np.frombuffer(data, dtype=np.uint8), ends))
+            at = starts
+        else:
+            codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+            starts = np.flatnonzero(_starts(codes, ends))
+            width = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+            at = (np.cumsum(width) - width)[starts]
+        counts[some] = np.diff(np.searchsorted(starts, ends), prepend=0)
+        offsets = np.append(at, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
 
 class Remembered(dict):
@@ -94,6 +163,13 @@ class Remembered(dict):
         values, sizes = self.gather(numbers)
         return values, row_sums(sizes, lengths)
 
+    def look_up_cut(self, pieces: pa.Array, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for the pieces of rows of these lengths in one array; only those that differ are looked up."""
+        coded = pieces.dictionary_encode()
+        numbers, _ = self.number([coded.dictionary.to_numpy(zero_copy_only=False).tolist()])
+        values, sizes = self.gather(numbers[coded.indices.to_numpy()])
+        return values, row_sums(sizes, lengths)
+
 
 def row_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of a flat array over rows of these lengths."""
