@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, pii, quality, sharding, suffix_dedup, token_counts, token_files
-from filecensus.operators.scale import new_table
+from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, token_counts, token_files
+from filecensus.operators.scale import cut_lineage, new_table
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -71,6 +71,15 @@ def op7_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op13_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.cut_pieces(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                public_tokenizers.PATTERN)
+    # Checksums are taken where the ids stand; only places are moved.
+    summed = pieces.select("row", "doc_id", "piece", "start", "length",
+                           token_files.ids_crc32(F.col("ids")).alias("ids_crc32"))
+    return summed.join(cut_lineage(packing.pack(pieces)), "row").drop("row")
+
+
 QUERIES = {
     "op1_transducer_token_counts": op1_transducer_token_counts,
     "op2_hash_tree_shards": op2_hash_tree_shards,
@@ -82,4 +91,5 @@ QUERIES = {
     "op8_prefix_doubling_dedup": op8_prefix_doubling_dedup,
     "op9_token_files": op9_token_files,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
+    "op13_sum_of_squares_packing": op13_sum_of_squares_packing,
 }

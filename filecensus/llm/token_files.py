@@ -79,7 +79,8 @@ _SHOWN = _shown()
 
 
 @functools.cache
-def _tokenizer(path: str, pattern: str) -> PieceTokenizer:
+def tokenizer_of(path: str, pattern: str) -> PieceTokenizer:
+    """The tokenizer of this Python worker."""
     return PieceTokenizer(path, pattern)
 
 
@@ -99,7 +100,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, pattern: str, end_id: in
     ordered = ordered.sortWithinPartitions("doc_id", "_tie").select("doc_id", "text", F.spark_partition_id())
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, offset = _tokenizer(tokenizer, pattern), 0
+        pieces, offset = tokenizer_of(tokenizer, pattern), 0
         for batch in batches:
             begin = 0
             for texts in steps(batch.column(1)):
