@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, token_counts, token_files
+from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, token_counts, token_files, whitening
 from filecensus.operators.scale import cut_lineage, new_table
 
 
@@ -71,6 +71,10 @@ def op7_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op12_block_matrix_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(_read(spark, folder, "embeddings"))
+
+
 def op13_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.cut_pieces(_read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
                                 public_tokenizers.PATTERN)
@@ -91,5 +95,6 @@ QUERIES = {
     "op8_prefix_doubling_dedup": op8_prefix_doubling_dedup,
     "op9_token_files": op9_token_files,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
+    "op12_block_matrix_whitening": op12_block_matrix_whitening,
     "op13_sum_of_squares_packing": op13_sum_of_squares_packing,
 }
