@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from filecensus.llm import byte_bpe, decontaminate, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, token_counts, token_files, whitening
+from filecensus.llm import byte_bpe, conversations, decontaminate, embedding_dedup, jaccard_join, packing, pii, quality, sharding, suffix_dedup, token_counts, token_files, whitening
 from filecensus.operators.scale import cut_lineage, new_table
 
 
@@ -71,6 +71,16 @@ def op7_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(_read(spark, folder, "documents"), _read(spark, folder, "labels"))
 
 
+def op11_run_length_repair(spark: SparkSession, folder: str) -> DataFrame:
+    table = _read(spark, folder, "conversations")
+    turns = conversations.damage(table)
+    edited = conversations.edits(turns)
+    digests = conversations.digests(conversations.repaired(edited, turns)).withColumnRenamed("conv_id", "conv")
+    counted = conversations.audits(edited, table)
+    joined = counted.join(digests, F.col("conv_id").eqNullSafe(F.col("conv")), "left").drop("conv")
+    return joined.withColumn("repaired_sha256", F.coalesce("repaired_sha256", F.sha2(F.lit(b""), 256)))
+
+
 def op12_block_matrix_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whitening.whiten(_read(spark, folder, "embeddings"))
 
@@ -95,6 +105,7 @@ QUERIES = {
     "op8_prefix_doubling_dedup": op8_prefix_doubling_dedup,
     "op9_token_files": op9_token_files,
     "op10_winnowing_decontamination": op10_winnowing_decontamination,
+    "op11_run_length_repair": op11_run_length_repair,
     "op12_block_matrix_whitening": op12_block_matrix_whitening,
     "op13_sum_of_squares_packing": op13_sum_of_squares_packing,
 }
