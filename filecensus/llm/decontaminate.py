@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from filecensus.llm.joins import fresh, small_side
+from filecensus.llm.joins import fresh, row_key, small_side
 from filecensus.operators.scale import cut_lineage
 
 WINDOW = 13
@@ -63,12 +63,6 @@ def _runs(word_list: Column, lengths: list[int], wanted: Column | None = None, g
         F.array_join(F.slice(word_list, x["start"] + 1, x["length"]), " ").alias("words")))
 
 
-def _key(id_column: str) -> Column:
-    """Rows alike in id and text share their result, so this stands for the row wherever it is read."""
-    part = F.coalesce(F.concat(F.lit("+"), F.col(id_column).cast("string")), F.lit("-"))
-    return F.md5(F.concat_ws("\n", part, F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
-
-
 def item_windows(benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """print, length, words of each different window, with the sorted ids of its items and a hash of these."""
     items = benchmark.select(
@@ -98,7 +92,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     windows = cut_lineage(item_windows(benchmark, window, gram))
     lengths = sorted(row[0] for row in windows.select("length").distinct().collect())  # at most `window` numbers
     source = docs.select("doc_id", F.col("text").cast("string"))
-    listed = source.select("doc_id", _key("doc_id").alias("row_key"), words(F.col("text")).alias("list"))
+    listed = source.select("doc_id", row_key().alias("row_key"), words(F.col("text")).alias("list"))
     prints = F.array_distinct(F.concat(
         F.array().cast("array<bigint>"), *[fingerprints(F.col("list"), n, gram) for n in lengths]))
     table = cut_lineage(listed.select(
@@ -109,7 +103,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
         table.select("row_key", F.explode("prints").alias("print")).join(known, "print", "left_semi")
         .groupBy("row_key").agg(F.collect_set("print").alias("matched")))
     # Texts are cut into words after the join: words would be twice as much to move.
-    again = source.select(_key("doc_id").alias("row_key"), "text").join(
+    again = source.select(row_key().alias("row_key"), "text").join(
         small_side(matched, 64, "matched", 8), "row_key").select(
         "row_key", words(F.col("text")).alias("list"), "matched")
     runs = again.select("row_key", F.inline(_runs(F.col("list"), lengths or [window], F.col("matched"), gram)))
@@ -138,5 +132,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> Da
     name = fresh(docs, "_row_key")
     bad = contamination(docs, benchmark, **settings).filter("contaminated").select(
         F.col("row_key").alias(name)).distinct()
-    return docs.withColumn(name, _key("doc_id")).join(
+    return docs.withColumn(name, row_key()).join(
         small_side(cut_lineage(bad), 64), name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.llm.components import TILE, connected, tile_result
-from filecensus.llm.joins import fresh, small_side
+from filecensus.llm.joins import fresh, row_key, small_side
 from filecensus.llm.words import Remembered, steps
 from filecensus.operators.scale import cut_lineage
 
@@ -198,9 +198,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: int = G
     Other columns are not looked at. A pair at the threshold is found with probability `recall` or more, closer
     ones nearly always; no pair below it is linked.
     """
-    source = docs.select(
-        "doc_id", F.col("text").cast("string"),
-        F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text")).alias("read_key"))
+    source = docs.select("doc_id", F.col("text").cast("string"), row_key().alias("read_key"))
     return _solve(source, F.monotonically_increasing_id(), threshold, gram, recall, rows).drop("row")
 
 
@@ -218,10 +216,10 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, gram: in
 def _solve(source: DataFrame, row: Column, threshold: float, gram: int, recall: float, rows: int) -> DataFrame:
     """`near_duplicates` of doc_id, text and read_key, which stands for them when they are read again."""
     bands = bands_for(threshold, recall, rows)
-    kind = dict(source.dtypes)["doc_id"]
+    kind, key_kind = (dict(source.dtypes)[c] for c in ("doc_id", "read_key"))
     signed = cut_lineage(source.withColumn("row", row).mapInArrow(
         functools.partial(_sign, gram, bands, rows),
-        f"doc_id {kind}, row bigint, read_key bigint, k1 bigint, k2 bigint, n_grams bigint, bands array<bigint>"))
+        f"doc_id {kind}, row bigint, read_key {key_kind}, k1 bigint, k2 bigint, n_grams bigint, bands array<bigint>"))
 
     # A text without n-grams is a class of its own.
     own = F.when(F.col("n_grams") == 0, F.col("row") + 1).otherwise(0).alias("own")

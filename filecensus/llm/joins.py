@@ -23,6 +23,16 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(docs_id: str = "doc_id", text: str = "text") -> Column:
+    """128 bits for a row's id and text, by which it is found when it is read again; rows alike in both share them.
+
+    The length of the id stands before it, so that no id runs on into a text.
+    """
+    name = F.col(docs_id).cast("string")
+    head = F.concat(F.coalesce(F.octet_length(name).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(name, F.lit("")))
+    return F.unhex(F.md5(F.concat(head, F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary")))
+
+
 def smallest(rows: DataFrame, key: Column, n: int) -> DataFrame:
     """The n rows whose key hashes to the smallest numbers, in that order; rows of equal keys come in any order.
 

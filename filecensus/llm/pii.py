@@ -83,7 +83,7 @@ def base_spans(text: str) -> list[Span]:
     found = [Span(start, 0, end, True) for start, end in _emails(text)]
     if _DIGIT.search(text):
         found += [Span(m.start(), 1, m.end(), True) for m in _IP.finditer(text)
-                  if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+                  if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m[0].split("."))]
         found += [Span(m.start(), 2, m.end(), True) for m in _CARD.finditer(text)
                   if m.end() - m.start() >= 12 and 12 <= len(x := _digits(m[0])) <= 19 and luhn(x)]
         found += [Span(m.start(), 3, m.end(), True) for m in _PHONE.finditer(text)
@@ -284,10 +284,12 @@ def _gradient(region: Region, gold, weights: np.ndarray, moves: np.ndarray) -> t
     return grad_w, grad_m
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_regions: int = SAMPLE_REGIONS) -> Field:
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_regions: int = SAMPLE_REGIONS,
+          sample_chars: int = SAMPLE_CHARS) -> Field:
     """Fit the field to the base spans of a sample: the documents with the smallest hashes of text and doc_id.
 
-    At most `sample_docs` documents are looked at and `sample_regions` regions of bounded length reach the driver.
+    At most `sample_docs` documents are looked at and `sample_regions` regions reach the driver. Regions of more than
+    `sample_chars` characters are left out of the fit, not out of the search.
     Without any such region the field adds nothing.
     """
     sample = docs.select(F.col("text").cast("string"), "doc_id").filter(F.col("text").rlike("[0-9@]"))
@@ -297,7 +299,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_regions: int =
         for batch in batches:
             for texts in steps(batch.column(0)):
                 found = [text[begin:end] for text in texts for begin, end in _regions(text)
-                         if end - begin <= SAMPLE_CHARS]
+                         if end - begin <= sample_chars]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["region"])
 
     return fit([row[0] for row in sample.mapInArrow(cut, "region string").limit(sample_regions).collect()])
