@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from filecensus.llm.joins import fresh
-from filecensus.llm.words import Cutter, Remembered, list_array, rows_of, steps
+from filecensus.llm.words import Cutter, Remembered, give_back, list_array, rows_of, steps
 
 _NONE = np.int32(2**31 - 1)
 # Pieces of more bytes run one by one; up to so many bytes of pieces run together.
@@ -39,15 +40,17 @@ class Ranks:
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
         self.first = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-        pairs = {}
+        keys, merged = array("q"), array("i")
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
                 left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = rank
-        keys = np.array(sorted(pairs), dtype=np.int64)
-        self.keys = np.append(keys, np.int64(2**63 - 1))
-        self.merged = np.append(np.array([pairs[k] for k in keys.tolist()], dtype=np.int32), _NONE)
+                    keys.append(left << 32 | right)
+                    merged.append(rank)
+        keys = np.frombuffer(keys, dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.int64(2**63 - 1))
+        self.merged = np.append(np.frombuffer(merged, dtype=np.int32)[order], _NONE)
 
     @functools.cached_property
     def pairs(self) -> dict[int, int]:
@@ -238,14 +241,15 @@ def with_tokens(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     at = docs.columns.index("text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         encoder, tokens = _encoder(path, pattern), ranks(path).tokens
         for batch in batches:
             begin = 0
             for some in steps(batch.column(at).cast(pa.string())):
                 values, counts = encoder.encode(some)
-                rows = np.split(values, np.cumsum(counts)[:-1])
-                whole = [b"".join(map(tokens.__getitem__, row.tolist())) == text.encode()
-                         for row, text in zip(rows, some, strict=True)]
+                ends = np.cumsum(counts)
+                whole = [b"".join(map(tokens.__getitem__, values[i:j].tolist())) == text.encode()
+                         for i, j, text in zip(ends - counts, ends, some, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.slice(begin, len(some)).columns, list_array([(values, counts)]),
                      pa.array(counts.astype(np.int64)), pa.array(whole)], names=[*batch.schema.names, *names])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
@@ -140,6 +142,7 @@ class Remembered(dict):
         if Remembered.in_use is not self:
             if Remembered.in_use is not None:
                 Remembered.in_use._start_anew()
+                give_back()
             Remembered.in_use = self
         if len(self) > self.room or self.used > VALUES:
             self._start_anew()
@@ -171,6 +174,18 @@ class Remembered(dict):
         return values, row_sums(sizes, lengths)
 
 
+def give_back() -> None:
+    """Give memory that this worker has freed back to the system.
+
+    Workers live on from stage to stage, and what one stage has freed would otherwise stay with them in the next.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every system has it
+    if trim is not None:
+        trim(0)
+
+
 def row_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sums of a flat array over rows of these lengths."""
     return np.diff(np.concatenate([[0], np.cumsum(values)])[np.concatenate([[0], np.cumsum(lengths)])])
