@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import itertools
 import math
 
 import numpy as np
@@ -14,9 +17,13 @@ from filecensus.operators.scale import HOT_ROWS, cut_lineage, drop, lookup, new_
 THRESHOLD = 0.95
 # Vectors in a cell that are compared by one task, on either side.
 BLOCK = 2048
-# Vectors of one width for each cell, and the most cells; so many vectors reach the driver as pivots.
+# Vectors at home in a cell; one with more is split around about so many pivots, if that saves enough of its work.
 ROWS_A_CELL = 16_384
-CELLS = 256
+PIVOTS = 32
+WORTHWHILE = 0.7
+# Earliest shares of a crowded cell's rows that a round may look at.
+_SHARES = [4.0 ** -k for k in range(16)]
+_LAST = (1 << 63) - 1
 
 
 def embed_texts(files: DataFrame, embed, max_chars: int | None = None) -> DataFrame:
@@ -30,7 +37,7 @@ def embed_texts(files: DataFrame, embed, max_chars: int | None = None) -> DataFr
 
 
 def near_members(vectors: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS,
-                 block: int | None = None) -> DataFrame:
+                 block: int = BLOCK, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
     """Every row that repeats an earlier one: its anchor and their similarity.
 
     `vectors` has ordinal, rel_path, size and embedding. In ordinal order a row joins the first
@@ -38,14 +45,16 @@ def near_members(vectors: DataFrame, threshold: float = THRESHOLD, hot_rows: int
 
     Equal vectors have equal neighbours, so they are first merged into one row that stands at their
     smallest ordinal; copies cost nothing however many there are. The others are dealt into cells
-    around pivots: on the unit sphere a cosine of t is an angle of arccos t, so by the triangle
-    inequality a row visits every cell in which a row close to it can be at home. Each row is compared
-    with the rows that are in its home cell, a block with a block at a time.
-
-    Rounds then settle rows in parallel: a row close to an anchor is a repeat, and a row that no
-    open earlier row is close to is an anchor. A chain of rows each waiting for the one before it
-    sets the number of rounds, not the number of rows. Settled rows leave the rounds; only two counts
-    of each round reach the driver.
+    (`_cells`), each of about `rows_a_cell` rows at home, which other rows visit if a row close to
+    them can be at home there. A row is compared with the rows of its home cell.
+
+    A cell that neither has guests nor sends any is settled by one task, row by row. For the others
+    rounds settle rows in parallel: a row close to an anchor is a repeat, and a row that no open
+    earlier row is close to is an anchor. A chain of rows each waiting for the one before it sets
+    the number of rounds, not the number of rows. In a cell that is crowded because its rows are too
+    close to be parted, a round looks at the earliest rows only and then at the anchors among them,
+    so a crowd of near copies costs a pass, not a table of its pairs. Settled rows leave the rounds;
+    only two counts of each round reach the driver.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must lie above 0 and not above 1")
@@ -57,11 +66,10 @@ def near_members(vectors: DataFrame, threshold: float = THRESHOLD, hot_rows: int
     classes = usable.groupBy("_k1", "_k2").agg(F.min("ordinal").alias("head"), F.count(F.lit(1)).alias("n"))
     heads = cut_lineage(classes.join(
         usable.select(F.col("ordinal").alias("head"), F.col("rel_path").alias("path"), "embedding"), "head"))
-    followed = _follow(heads, threshold, BLOCK if block is None else block)
-    facts = heads.select("_k1", "_k2", "head", "n").join(followed, "head", "left").join(
+    followed = _follow(heads, threshold, block, rows_a_cell)
+    facts = heads.select("_k1", "_k2", "head", "n", F.col("path").alias("_path")).join(followed, "head", "left").join(
         heads.select(F.col("head").alias("anchor"), F.col("path").alias("_other_path")), "anchor", "left")
-    own = heads.select("_k1", "_k2", F.col("path").alias("_path"))
-    facts = facts.join(own, ["_k1", "_k2"]).select(
+    facts = facts.select(
         "_k1", "_k2", "head", "n", F.coalesce("anchor", "head").alias("anchor"),
         F.coalesce("_other_path", "_path").alias("anchor_path"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
     rows = lookup(usable, facts, ["_k1", "_k2"], "n", F.col("ordinal"), hot_rows)
@@ -83,48 +91,104 @@ def _units(lists: pa.Array) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def _cells(heads: DataFrame, threshold: float) -> DataFrame:
-    """(width, cell, home, head, embedding): every row once at home, and as a guest where a neighbour may live."""
-    sized = heads.select("head", "embedding", F.size("embedding").alias("width"))
-    widths = sized.groupBy("width").agg(F.count(F.lit(1)).alias("n"))
-    shares = sized.join(widths, "width").withColumn("cells", F.least(F.lit(CELLS), F.ceil(F.col("n") / ROWS_A_CELL)))
-    drawn = shares.filter("cells > 1").orderBy(F.xxhash64("head")).limit(CELLS).select("width", "embedding").toArrow()
-    pivots: dict[int, np.ndarray] = {}
-    for width in set(drawn["width"].to_pylist()):
-        some = drawn.filter(pa.compute.equal(drawn["width"], width))["embedding"].combine_chunks()
-        pivots[width] = _units(some)
-    # Rounding must not lose a neighbour.
-    reach = 2 * math.acos(threshold) + 1e-6
-
-    def deal(batches):
-        for batch in batches:
-            cells, homes, at = [], [], []
-            for i, (row, width) in enumerate(zip(batch["embedding"], batch["width"].to_pylist(), strict=True)):
-                angles = np.zeros(1)
-                if width in pivots:
-                    unit = _units(pa.array([row.as_py()]))[0]
-                    angles = np.arccos(np.clip(pivots[width] @ unit, -1, 1))
-                near = np.flatnonzero(angles <= angles.min() + reach)
-                cells += near.tolist()
-                homes += (near == angles.argmin()).tolist()
-                at += [i] * len(near)
-            taken = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [taken["width"], pa.array(cells, pa.int32()), pa.array(homes, pa.bool_()), taken["head"],
-                 taken["embedding"]], names=["width", "cell", "home", "head", "embedding"])
-
-    return sized.mapInArrow(deal, "width int, cell int, home boolean, head bigint, embedding array<double>")
+_VISIT = "width int, cell bigint, home boolean, head bigint, embedding array<double>, angle double"
+_CELL = ["width", "cell"]
+
+
+def _cells(heads: DataFrame, threshold: float, rows_a_cell: int) -> DataFrame:
+    """Every row (head, embedding) once at home in a cell, and as a guest wherever a neighbour may live.
+
+    Cells are balls. One with too many rows at home is split around pivots of its own: each of its
+    rows, guests too, is at home with (or, as a guest, nearest to) one of them. On the unit sphere a
+    cosine of t is an angle of arccos t, so by the triangle inequality a row with a neighbour at home
+    around a pivot is no further from it than twice that angle beyond its own nearest pivot, nor than
+    that angle beyond the cell's radius. Rows go level by level; pivots are told only to the tasks of
+    their cell, in chunks of rows, so neither a table of all pivots nor a whole cell is in one place.
+    """
+    reach = math.acos(min(threshold, 1.0)) + 1e-6  # rounding must not lose a neighbour
+    live = heads.select(F.size("embedding").alias("width"), F.lit(0).cast("bigint").alias("cell"), F.lit(True).alias("home"),
+                        "head", "embedding", F.lit(0.0).alias("angle"))
+    leaves = []
+    for level in itertools.count():
+        sizes = _sizes(live)
+        if not sizes.filter(F.col("at_home") > rows_a_cell).limit(1).count():
+            return functools.reduce(DataFrame.union, [*leaves, live]).drop("angle")
+        sizes = cut_lineage(sizes)
+        rows = lookup(live, sizes, _CELL, "n", F.col("head"), rows_a_cell)
+        counts = ["n", "at_home", "work"]
+        leaves.append(rows.filter(F.col("at_home") <= rows_a_cell).drop(*counts))
+        crowded = cut_lineage(rows.filter(F.col("at_home") > rows_a_cell))
+        dealt = cut_lineage(_dealt(crowded, level, reach, rows_a_cell))
+        radii = cut_lineage(dealt.groupBy("width", "cell", "parent").agg(
+            F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("home"), F.col("angle"))).alias("radius")))
+        near = lookup(dealt, radii.drop("parent"), _CELL, "n", F.col("head"), rows_a_cell)
+        near = cut_lineage(near.filter(F.col("angle") <= F.col("radius") + reach).drop("n", "radius"))
+        # A split that leaves most of the work is undone: the rows are too close to be parted.
+        after = _sizes(near.select(*_CELL, "home", "parent"), "parent").groupBy("width", "parent").agg(F.sum("work").alias("left"))
+        worth = cut_lineage(sizes.join(after.withColumnRenamed("parent", "cell"), _CELL).select(
+            *_CELL, "n", (F.col("left") <= WORTHWHILE * F.col("work")).alias("split")))
+        leaves.append(lookup(crowded.drop(*counts), worth, _CELL, "n", F.col("head"), rows_a_cell).filter(
+            "NOT split").drop("n", "split"))
+        parents = worth.withColumnRenamed("cell", "parent")
+        live = cut_lineage(lookup(near, parents, ["width", "parent"], "n", F.col("head"), rows_a_cell).filter("split").drop(
+            "n", "split", "parent"))
+
+
+def _sizes(visits: DataFrame, *more: str) -> DataFrame:
+    """Rows of each cell, those at home, and how many pairs it compares."""
+    return visits.groupBy(*_CELL, *more).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("home").alias("at_home")).withColumn(
+        "work", F.col("n").cast("double") * F.col("at_home"))
+
+
+def _dealt(rows: DataFrame, level: int, reach: float, chunk: int) -> DataFrame:
+    """Rows of crowded cells in the cells around their pivots, some of which they visit for nothing."""
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    drawn = F.pmod(F.xxhash64("head", F.lit(level)), F.lit(1 << 40)) * F.col("at_home") < PIVOTS * (1 << 40)
+    pivots = rows.filter(F.col("home") & drawn).select(
+        *_CELL, F.lit(True).alias("pivot"), "home", "head", "embedding", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+    others = rows.select(*_CELL, F.lit(False).alias("pivot"), "home", "head", "embedding",
+                         F.pmod(F.xxhash64("head"), chunks).cast("int").alias("chunk"))
+
+    def deal(key: tuple, table: pa.Table) -> pa.Table:
+        mine = table.filter(pa.compute.equal(table["pivot"], False)).combine_chunks()
+        pivots = table.filter(table["pivot"]).sort_by("head").combine_chunks()
+        rows = np.arange(mine.num_rows)
+        if pivots.num_rows:
+            angles = np.arccos(np.clip(_units(mine["embedding"].combine_chunks()) @ _units(
+                pivots["embedding"].combine_chunks()).T, -1, 1))
+            names = [_cell_name(key[1].as_py(), head) for head in pivots["head"].to_pylist()]
+        else:
+            angles, names = np.zeros((mine.num_rows, 1)), [key[1].as_py()]
+        nearest = angles.argmin(axis=1)
+        at, child = np.nonzero(angles <= angles[rows, nearest][:, None] + 2 * reach)
+        home = mine["home"].to_numpy(zero_copy_only=False)[at] & (child == nearest[at])
+        taken = mine.take(pa.array(at))
+        return pa.table({
+            "width": taken["width"], "cell": np.array(names, dtype=np.int64)[child], "home": home, "head": taken["head"],
+            "embedding": taken["embedding"], "angle": angles[at, child], "parent": taken["cell"]})
+
+    return pivots.unionByName(others).groupBy(*_CELL, "chunk").applyInArrow(deal, f"{_VISIT}, parent bigint")
+
+
+def _cell_name(parent: int, pivot: int) -> int:
+    """Cells that happen to get one name are one cell; that costs time, not rows."""
+    digest = hashlib.blake2b(b"%d %d" % (parent, pivot), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
 
 
 def _tiles(cells: DataFrame, block: int) -> DataFrame:
-    """Blocks of rows at home (side 0) against blocks of all rows of the cell (side 1)."""
-    sizes = cells.groupBy("width", "cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    placed = cells.join(sizes, ["width", "cell"]).withColumn(
-        "own", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_home = placed.filter("home").withColumns({"i": F.col("own"), "j": F.explode(every), "side": F.lit(0)})
-    as_other = placed.withColumns({"i": F.explode(every), "j": F.col("own"), "side": F.lit(1)})
-    return as_home.unionByName(as_other).drop("own", "blocks", "home")
+    """Blocks of rows at home (side 0) against blocks of all rows of the cell they may have to do with (side 1)."""
+    sizes = cells.groupBy(*_CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.ceil(F.count_if("home") / block).cast("int").alias("homes"),
+        F.ceil(F.count_if("asked") / block).cast("int").alias("others")).filter("homes > 0 AND others > 0")
+    placed = lookup(cells, sizes, _CELL, "n", F.col("head"), block * block).filter("homes IS NOT NULL")
+    place = F.xxhash64("head")
+    as_home = placed.filter("home").withColumns({
+        "i": F.pmod(place, "homes").cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("others") - 1)), "side": F.lit(0)})
+    as_other = placed.filter("asked").withColumns({
+        "i": F.explode(F.sequence(F.lit(0), F.col("homes") - 1)), "j": F.pmod(place, "others").cast("int"), "side": F.lit(1)})
+    return as_home.unionByName(as_other).drop("n", "homes", "others", "home", "asked")
 
 
 def _compared(cells: DataFrame, block: int, judge, schema: str) -> DataFrame:
@@ -137,30 +201,85 @@ def _compared(cells: DataFrame, block: int, judge, schema: str) -> DataFrame:
         before = others["head"].to_numpy()[None, :] < own["head"].to_numpy()[:, None]
         return judge(own, others, close, before)
 
-    return _tiles(cells, block).groupBy("width", "cell", "i", "j").applyInArrow(tile, schema)
-
-
-def _follow(heads: DataFrame, threshold: float, block: int) -> DataFrame:
+    return _tiles(cells, block).groupBy(*_CELL, "i", "j").applyInArrow(tile, schema)
+
+
+_FOLLOWED = "head bigint, anchor bigint, similarity double"
+
+
+def _settled_alone(cells: DataFrame, limit: float, block: int) -> DataFrame:
+    """The rule itself, for cells of bounded size that have to do with no other: one task follows each."""
+    def follow(table: pa.Table) -> pa.Table:
+        table = table.sort_by("head").combine_chunks()
+        heads, units = table["head"].to_numpy(), _units(table["embedding"].combine_chunks())
+        anchors = np.empty(0, dtype=np.int64)
+        first, similarity = np.full(len(heads), -1), np.zeros(len(heads))
+        for begin in range(0, len(heads), block):
+            some = units[begin:begin + block]
+            if len(anchors):
+                close = some @ units[anchors].T
+                near = close >= limit
+                at = near.argmax(axis=1)
+                found = np.flatnonzero(near[np.arange(len(some)), at])
+                first[begin + found], similarity[begin + found] = anchors[at[found]], close[found, at[found]]
+            left = np.flatnonzero(first[begin:begin + len(some)] < 0)
+            close = some[left] @ some[left].T
+            fresh = []
+            for i in range(len(left)):
+                near = [j for j in fresh if close[i, j] >= limit] if len(fresh) < 8 else np.array(fresh)[close[i, fresh] >= limit]
+                if len(near):
+                    first[begin + left[i]], similarity[begin + left[i]] = begin + left[near[0]], close[i, near[0]]
+                else:
+                    fresh.append(i)
+            anchors = np.concatenate([anchors, begin + left[fresh]]).astype(np.int64)
+        found = first >= 0
+        return pa.table({"head": heads[found], "anchor": heads[first[found]], "similarity": np.minimum(similarity[found], 1.0)})
+
+    return cells.groupBy(*_CELL).applyInArrow(follow, _FOLLOWED)
+
+
+def _follow(heads: DataFrame, threshold: float, block: int, rows_a_cell: int) -> DataFrame:
     """(head, anchor, similarity) of every row that repeats an earlier one."""
-    spark = heads.sparkSession
     # Products of unit vectors may miss a threshold of 1 by rounding.
     limit = threshold - 1e-9 if threshold == 1 else threshold
-    cells = cut_lineage(_cells(heads, threshold))
+    cells = cut_lineage(_cells(heads, threshold, rows_a_cell))
+    roaming = cells.groupBy("head").agg(F.count(F.lit(1)).alias("visits")).filter("visits > 1").withColumn("visits", F.lit(True))
+    tied = cells.select(*_CELL, "head").join(roaming, "head", "left").groupBy(*_CELL).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.max("visits"), F.lit(False)).alias("tied"))
+    facts = cut_lineage(tied.withColumn("alone", ~F.col("tied") & (F.col("n") <= rows_a_cell)).drop("tied"))
+    sorted_ = lookup(cells, facts, _CELL, "n", F.col("head"), rows_a_cell).drop("n")
+    alone = _settled_alone(sorted_.filter("alone").drop("alone"), limit, block)
+    if not facts.filter("NOT alone").limit(1).count():
+        return cut_lineage(alone)
+    rest = cut_lineage(sorted_.filter("NOT alone").drop("alone"))
+    return cut_lineage(alone).union(_rounds(rest, limit, block, rows_a_cell))
+
+
+def _rounds(cells: DataFrame, limit: float, block: int, rows_a_cell: int) -> DataFrame:
+    spark = cells.sparkSession
 
     def settle(own, others, close, before):
         near = (close >= limit) & before
         anchors = others["anchor"].to_numpy(zero_copy_only=False)
         return pa.table({"head": own["head"], "repeat": (near & anchors[None]).any(axis=1),
-                         "waits": (near & ~anchors[None]).any(axis=1)})
+                         "waits": (near & ~anchors[None]).any(axis=1) | own["late"].to_numpy(zero_copy_only=False)})
 
     settle.columns = [("head", pa.int64()), ("repeat", pa.bool_()), ("waits", pa.bool_())]
-    state = cut_lineage(heads.select("head", F.lit(False).alias("anchor")))
+    state = cut_lineage(cells.filter("home").select("head", F.lit(False).alias("anchor")))
     anchors, folders = [], []
     while True:
         # Open rows, and the anchors found last, which claim what is close to them.
         live = cells.join(state, "head")
-        judged = _compared(live.withColumn("home", F.col("home") & ~F.col("anchor")), block, settle,
-                           "head bigint, repeat boolean, waits boolean")
+        # The earliest rows of a crowded cell; a later one is no anchor before all of them are settled.
+        crowd = live.groupBy(*_CELL).agg(
+            F.count(F.lit(1)).alias("n"), F.percentile_approx("head", _SHARES).alias("cuts"))
+        share = F.least(F.lit(len(_SHARES)), F.ceil(F.log(4.0, F.col("n") / rows_a_cell)) + 2).cast("int")
+        cut = F.when(F.col("n") <= rows_a_cell, _LAST).otherwise(F.element_at("cuts", share))
+        live = lookup(live, crowd.select(*_CELL, "n", cut.alias("cut")), _CELL, "n", F.col("head"), block * block)
+        late = ~F.col("anchor") & (F.col("head") > F.col("cut"))
+        live = live.select(*_CELL, "head", "embedding", "anchor", (F.col("home") & ~F.col("anchor")).alias("home"),
+                           (~late).alias("asked"), late.alias("late"))
+        judged = _compared(live, block, settle, "head bigint, repeat boolean, waits boolean")
         told = judged.groupBy("head").agg(F.max("repeat").alias("repeat"), F.max("waits").alias("waits"))
         told = state.filter("NOT anchor").join(told, "head", "left").filter("NOT coalesce(repeat, false)").select(
             "head", (~F.coalesce("waits", F.lit(False))).alias("anchor"))
@@ -173,19 +292,16 @@ def _follow(heads: DataFrame, threshold: float, block: int) -> DataFrame:
             break
         anchors.append(state.filter("anchor").select("head"))
     if not anchors:
-        return spark.createDataFrame([], "head bigint, anchor bigint, similarity double")
-    chosen = anchors[0]
-    for more in anchors[1:]:
-        chosen = chosen.union(more)
-    chosen = cut_lineage(chosen.select("head", F.lit(True).alias("anchor")))
+        return spark.createDataFrame([], _FOLLOWED)
+    chosen = cut_lineage(functools.reduce(DataFrame.union, anchors).select("head", F.lit(True).alias("anchor")))
     for folder in folders:
         drop(spark, folder)
     marked = cells.join(chosen, "head", "left").withColumn("anchor", F.coalesce("anchor", F.lit(False)))
     # Repeats at home are compared with anchors of the cell.
-    marked = marked.filter("home OR anchor").withColumn("home", F.col("home") & ~F.col("anchor"))
+    marked = marked.withColumns({"home": F.col("home") & ~F.col("anchor"), "asked": F.col("anchor")}).filter("home OR asked")
 
     def first(own, others, close, before):
-        near = (close >= limit) & before & others["anchor"].to_numpy(zero_copy_only=False)[None]
+        near = (close >= limit) & before
         names = np.where(near, others["head"].to_numpy()[None], np.iinfo(np.int64).max)
         at = names.argmin(axis=1)
         rows = np.arange(len(at))
@@ -194,6 +310,7 @@ def _follow(heads: DataFrame, threshold: float, block: int) -> DataFrame:
                          "similarity": np.minimum(close[rows, at][found], 1.0)})
 
     first.columns = [("head", pa.int64()), ("anchor", pa.int64()), ("similarity", pa.float64())]
-    claims = _compared(marked, block, first, "head bigint, anchor bigint, similarity double")
-    return claims.groupBy("head").agg(F.min(F.struct("anchor", "similarity")).alias("_first")).select(
-        "head", "_first.anchor", "_first.similarity")
+    claims = _compared(marked, block, first, _FOLLOWED)
+    claims = cut_lineage(claims)
+    least = claims.groupBy("head").agg(F.min("anchor").alias("anchor"))
+    return claims.join(least, ["head", "anchor"])

@@ -50,9 +50,8 @@ def test_chain_is_not_merged(spark):
     assert [tuple(g) for g in groups] == [("near", "p/0.txt", "p/0.txt", 1, 2)]
 
 
-@pytest.mark.parametrize("seed, threshold", [(0, 0.95), (1, 0.8), (2, 1.0)])
-def test_random_vectors(spark, monkeypatch, seed, threshold):
-    monkeypatch.setattr(near, "ROWS_A_CELL", 12)  # so that there are cells
+@pytest.mark.parametrize("seed, threshold, rows_a_cell", [(0, 0.95, 12), (1, 0.8, 40), (2, 1.0, 12), (3, 0.95, 1000)])
+def test_random_vectors(spark, seed, threshold, rows_a_cell):
     rng = random.Random(seed)
     centres = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(5)]
     rows = []
@@ -62,21 +61,52 @@ def test_random_vectors(spark, monkeypatch, seed, threshold):
         else:
             vector = [x + rng.gauss(0, 0.35) for x in rng.choice(centres)]
         rows.append((o, vector if o % 17 else vector + [0.5]))
-    got = {r["ordinal"]: r["anchor"] for r in members(spark, rows, threshold, hot_rows=20, block=8).collect()}
+    got = {r["ordinal"]: r["anchor"] for r in members(spark, rows, threshold, hot_rows=20, block=8,
+                                                             rows_a_cell=rows_a_cell).collect()}
     assert got == expected(rows, threshold)
 
 
-def test_rounds_do_not_grow_with_rows(spark, monkeypatch):
-    """Mutually distant vectors are all anchors after one round."""
+def clustered(rng, clusters, size, width=6, spread=0.02):
+    centres = rng.normal(size=(clusters, width))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    return np.repeat(centres, size, axis=0) + rng.normal(size=(clusters * size, width)) * spread
+
+
+def work(spark, vectors, threshold, rows_a_cell):
+    """Pairs that are compared for each row, and the largest number of rows at home in a cell."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "head bigint, embedding array<double>")
+    cells = near._cells(frame, threshold, rows_a_cell).groupBy("width", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("home").alias("at_home"))
+    pairs, most, homes = cells.agg(F.sum(F.col("n") * F.col("at_home")), F.max("at_home"), F.sum("at_home")).first()
+    assert homes == len(vectors)
+    return pairs / len(vectors), most
+
+
+def test_work_for_each_row_does_not_grow_with_rows(spark):
+    rng = np.random.default_rng(1)
+    few, most = work(spark, clustered(rng, 500, 10), 0.99, 200)
+    many, most_of_many = work(spark, clustered(rng, 2000, 10), 0.99, 200)
+    assert max(most, most_of_many) <= 200 and many <= 1.5 * few
+
+
+def test_crowds_of_near_copies(spark):
+    """A third of all rows lie close together, so their cell cannot be split; the others are far from each other."""
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate([clustered(rng, 1, 150, 8, 0.001), clustered(rng, 100, 3, 8, 0.02)])
+    order = rng.permutation(len(vectors))
+    rows = [(int(o), vectors[i].tolist()) for o, i in enumerate(order)]
+    got = {r["ordinal"]: r["anchor"] for r in members(spark, rows, 0.97, block=16, rows_a_cell=32).collect()}
+    assert got == expected(rows, 0.97)
+
+
+def test_cells_on_their_own_take_no_rounds(spark, monkeypatch):
+    def none(*_):
+        raise AssertionError("no rounds were needed")
+
+    monkeypatch.setattr(near, "_rounds", none)
     rng = np.random.default_rng(1)
-    calls = []
-    write = near.new_table
-    monkeypatch.setattr(near, "new_table", lambda session: calls.append(1) or write(session))
-    for n in (200, 4000):
-        calls.clear()
-        vectors = rng.normal(size=(n, 64))
-        assert members(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], 0.95).collect() == []
-        assert len(calls) == 2
+    vectors = rng.normal(size=(4000, 64))
+    assert members(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], 0.95).collect() == []
 
 
 def test_cosine(spark):
