@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filecensus.functions import rules
 from filecensus.functions.text import or_default
+from filecensus.operators.scale import newest
 from filecensus.schemas import ENTRY_COLUMNS
 
 # Fixed value: bytes reserved for each native document not yet exported.
@@ -34,13 +35,11 @@ def coerce_entries(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def upsert(log: DataFrame, key: str = "file_id") -> DataFrame:
     """Last value of every key, at the place where the key first appeared.
 
-    One aggregation with map-side partials: however often a key is rewritten, each map task sends
-    one row for it.
+    No two rows of the log share an ordinal.
     """
     values = [c for c in log.columns if c not in (key, "ordinal")]
-    last = F.max_by(F.struct(*values), F.col("ordinal")).alias("_last")
-    merged = log.groupBy(key).agg(F.min("ordinal").alias("ordinal"), last)
-    return merged.select("ordinal", key, *[F.col("_last")[v].alias(v) for v in values])
+    last = newest(log, [key], "ordinal", _first=F.min("ordinal"))
+    return last.select(F.col("_first").alias("ordinal"), key, *values)
 
 
 def prune_stale(entries: DataFrame, listing: DataFrame) -> DataFrame:

@@ -12,27 +12,27 @@ def _hashed(entries: DataFrame) -> DataFrame:
     return entries.filter(rules.is_done(F.col("status")) & (F.col("sha256") != ""))
 
 
-def elections(entries: DataFrame, elect_among_clean: bool = False) -> DataFrame:
+def elections(entries: DataFrame, elect_among_clean: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per hash that occurs twice or more: copies, bytes and the elected primary.
 
-    The primary has the fewest folders, then the shortest path, then the first path. The election
-    is a minimum, so map tasks send one candidate per hash and a hot hash costs no more than others.
+    The primary has the fewest folders, then the shortest path, then the first path. Folders and
+    length are one number, whose minimum is hashed together with the counts: map tasks send one row per
+    hash, and a hot hash costs no more than others. Paths are only compared between copies that the
+    number leaves tied.
     """
     path = F.col("rel_path")
-    place = F.struct(text.depth(path).alias("depth"), F.length(path).alias("length"), path.alias("rel_path"),
-                     F.col("ordinal"), F.col("size"))
     junk = rules.junk_reason(path, F.col("size")).isNotNull()
-    columns = [
-        F.count(F.lit(1)).alias("n"),
-        F.sum("size").alias("bytes"),
-        F.count_if(~junk).alias("n_clean"),
-    ]
+    place = F.shiftleft(text.depth(path).cast("bigint"), 40) + F.length(path)
     if elect_among_clean:
         # Clutter is only elected when there is nothing else.
-        columns.append(F.min(F.struct(junk.alias("junk"), place.alias("place"))).getField("place").alias("primary"))
-    else:
-        columns.append(F.min(place).alias("primary"))
-    return _hashed(entries).groupBy("sha256").agg(*columns).filter("n > 1")
+        place += F.when(junk, 1 << 62).otherwise(0)
+    rows = _hashed(entries).select("sha256", "ordinal", "rel_path", "size", place.alias("_place"), junk.alias("_junk"))
+    counts = rows.groupBy("sha256").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_if(~F.col("_junk")).alias("n_clean"),
+        F.min("_place").alias("_least")).filter("n > 1")
+    tied = lookup(rows, counts, ["sha256"], "n", F.col("ordinal"), hot_rows).filter("_place = _least")
+    first = tied.groupBy("sha256").agg(F.min(F.struct("rel_path", "ordinal", "size")).alias("primary"))
+    return counts.drop("_least").join(first, "sha256")
 
 
 def exact_duplicates(entries: DataFrame, elect_among_clean: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def exact_duplicates(entries: DataFrame, elect_among_clean: bool = False) -> Dat
 def with_election(entries: DataFrame, elect_among_clean: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Done entries with `primary` (null when the content is unique) and `is_duplicate`."""
     done = entries.filter(rules.is_done(F.col("status")))
-    chosen = elections(entries, elect_among_clean).select(
+    chosen = elections(entries, elect_among_clean, hot_rows).select(
         "sha256", F.col("n").alias("_n"), F.col("primary.rel_path").alias("primary"),
         F.col("primary.ordinal").alias("_primary_ordinal"))
     joined = lookup(done, chosen, ["sha256"], "_n", F.col("ordinal"), hot_rows)

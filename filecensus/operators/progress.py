@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from filecensus.functions import measures
-from filecensus.operators.scale import ranked, with_context
+from filecensus.operators.scale import newest, ranked, with_context
 
 # A heartbeat younger than this means a running backup; points and floor of the graph.
 RUNNING_SECONDS = 60
@@ -52,7 +52,8 @@ def progress_snapshot(heartbeats: DataFrame, headers: DataFrame) -> DataFrame:
     `headers` has account, count, done, expected_total, total_bytes and expected_bytes. A header
     counts everything not done as an error.
     """
-    beats = heartbeats.groupBy("account").agg(latest_heartbeat().alias("_beat"))
+    # Of each account only the rows of its newest time are put in order, one as a rule.
+    beats = newest(heartbeats, ["account"], "ts").groupBy("account").agg(latest_heartbeat().alias("_beat"))
     joined = headers.withColumn("_header", F.struct(*[c for c in headers.columns if c != "account"])).select(
         "account", "_header").join(beats, "account", "full")
     head, beat = F.col("_header"), F.col("_beat")

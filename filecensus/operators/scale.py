@@ -77,6 +77,22 @@ def lookup_unweighted(rows: DataFrame, facts: DataFrame, keys: list[str], spread
     return lookup(rows, facts.join(asked, keys), keys, "_asked", spread, hot_rows).drop("_asked")
 
 
+def newest(rows: DataFrame, keys: list[str], order: str, **more: Column) -> DataFrame:
+    """The rows with the largest `order` of their key, and besides them aggregates over all rows of the key.
+
+    Null keys are a key; rows without an order are left out, rows of equal order all stay. Only keys and
+    fixed-width values are aggregated, so tasks hash rather than sort, and whole rows are read once,
+    by a join with one row per key.
+    """
+    tops = rows.filter(F.col(order).isNotNull()).groupBy(*keys).agg(
+        F.max(order).alias("_top"), *[value.alias(name) for name, value in more.items()])
+    tops = tops.withColumnsRenamed({key: f"_of_{key}" for key in keys})
+    same = F.col(order) == F.col("_top")
+    for key in keys:
+        same &= F.col(key).eqNullSafe(F.col(f"_of_{key}"))
+    return rows.join(tops, same).drop("_top", *[f"_of_{key}" for key in keys])
+
+
 def running_totals(rows: DataFrame, keys: list[str], order: list[str], chunk: Column,
                    measures: dict[str, Column]) -> DataFrame:
     """Add inclusive running sums per key in `order`, chunk by chunk.

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.functions import rules, text
 from filecensus.operators.catalog import first_seen
-from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup, lookup_unweighted, new_table, numbered
+from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup, lookup_unweighted, new_table, newest, numbered
 
 def _component() -> Column:
     return text.safe_component(F.coalesce(F.col("name"), F.col("id")))
@@ -22,10 +22,10 @@ def _inner_nodes(items: DataFrame) -> DataFrame:
     """
     links = items.select("source_ordinal", "id", F.get("parents", F.lit(0)).alias("up"), "name", "position")
     used = links.filter("up IS NOT NULL").select("source_ordinal", F.col("up").alias("id")).distinct()
-    last = F.max_by(F.struct("up", F.coalesce("name", "id").alias("name")), "position").alias("_last")
-    nodes = links.join(used, ["source_ordinal", "id"], "left_semi").groupBy("source_ordinal", "id").agg(last)
+    nodes = newest(links.join(used, ["source_ordinal", "id"], "left_semi"), ["source_ordinal", "id"], "position")
+    nodes = nodes.select("source_ordinal", "id", "up", F.coalesce("name", "id").alias("name"))
     known = nodes.select("source_ordinal", F.col("id").alias("up"), F.lit(True).alias("_known"))
-    linked = nodes.select("source_ordinal", "id", "_last.*").join(known, ["source_ordinal", "up"], "left")
+    linked = nodes.join(known, ["source_ordinal", "up"], "left")
     return linked.select(
         "source_ordinal", "id", F.when(F.col("_known"), F.col("up")).alias("up"),
         text.safe_component(F.col("name")).alias("name"))

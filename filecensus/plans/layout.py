@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from filecensus.functions import measures, rules, text
 from filecensus.operators.naming import unique_paths
-from filecensus.operators.scale import HOT_ROWS, lookup
+from filecensus.operators.scale import HOT_ROWS, lookup, newest
 
 ACTIONS = ["keep", "quarantine", "skip"]
 _ROUTED = ["ordinal", "src_rel", "dest_rel", "kind", "size"]
@@ -48,10 +48,9 @@ def plan_action(action) -> F.Column:
 
 def _last_rows(plan: DataFrame) -> DataFrame:
     """The plan row that counts for each source: the last one."""
-    last = F.max_by(F.struct("action", "dest_rel"), "plan_ordinal").alias("_row")
-    return plan.groupBy(F.coalesce("src_rel", F.lit("")).alias("src_rel")).agg(last).select(
-        "src_rel", plan_action(F.col("_row.action")).alias("action"),
-             F.col("_row.dest_rel").alias("plan_dest"))
+    rows = plan.select("plan_ordinal", F.coalesce("src_rel", F.lit("")).alias("src_rel"), "action", "dest_rel")
+    return newest(rows, ["src_rel"], "plan_ordinal").select(
+        "src_rel", plan_action(F.col("action")).alias("action"), F.col("dest_rel").alias("plan_dest"))
 
 
 def _in_quarantine(path) -> F.Column:

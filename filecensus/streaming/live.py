@@ -10,14 +10,15 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from filecensus.operators.progress import RUNNING_SECONDS, describe, latest_heartbeat, throughput_windows
+from filecensus.operators.scale import newest
 
 ACTIVITY = "account string, state string, ts timestamp"
 
 
 def live_status(heartbeats: DataFrame) -> DataFrame:
     """Newest state per account; run in update or complete mode. State is one row per account."""
-    newest = heartbeats.groupBy("account").agg(latest_heartbeat().alias("_beat"))
-    return describe(newest.select("account", "_beat.*", F.lit("heartbeat").alias("source")))
+    beats = heartbeats.groupBy("account").agg(latest_heartbeat().alias("_beat"))
+    return describe(beats.select("account", "_beat.*", F.lit("heartbeat").alias("source")))
 
 
 def write_status(status: DataFrame, folder: str, checkpoint: str):
@@ -34,9 +35,7 @@ def write_status(status: DataFrame, folder: str, checkpoint: str):
 def read_status(spark: SparkSession, folder: str) -> DataFrame:
     """The state of every account as of the last batch that changed it."""
     rows = spark.read.parquet(folder)
-    values = [c for c in rows.columns if c not in ("account", "batch")]
-    newest = rows.groupBy("account").agg(F.max_by(F.struct(*values), "batch").alias("_last"))
-    return newest.select("account", "_last.*")
+    return newest(rows, ["account"], "batch").drop("batch")
 
 
 def live_throughput(transfers: DataFrame, width: str = "10 minutes", delay: str = "1 hour") -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filecensus.operators import scale
+from filecensus.queries import QUERIES
 
 
 @pytest.mark.parametrize("hot_rows", [5, 1_000_000])
@@ -112,3 +113,40 @@ def test_very_many_hot_keys_are_all_split(spark):
     assert joined.filter("v <> 2 * k OR v IS NULL").isEmpty() and joined.count() == 50_000
     salted = joined._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in salted
+
+
+def test_newest_rows(spark):
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([None, *range(9)]), i) for i in range(200)]
+    rows = spark.createDataFrame(data, "k string, m int, ordinal bigint, v int")
+    tops = {}
+    for k, m, ordinal, _ in data:
+        if ordinal is not None:
+            tops[k, m] = max(tops.get((k, m), -1), ordinal)
+    counts = {key: sum((k, m) == key and o is not None for k, m, o, _ in data) for key in tops}
+    expected = [(*row, counts[row[:2]]) for row in data if row[2] is not None and row[2] == tops[row[:2]]]
+    found = scale.newest(rows, ["k", "m"], "ordinal", n=F.count(F.lit(1)))
+    assert found.columns == [*rows.columns, "n"]
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def nodes(plan):
+    if plan.nodeName().startswith("AdaptiveSparkPlan"):
+        plan = plan.initialPlan()
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from nodes(children.apply(i))
+
+
+@pytest.mark.parametrize("name", ["exact_duplicates", "duplicate_members", "upsert_entries", "progress_snapshot", "apply_plan"])
+def test_elections_hash(spark, name):
+    """Whole rows are never sorted for an election; what is still sorted was first joined with its group's best."""
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    names = [node.nodeName() for node in nodes(plan)]
+    assert "HashAggregate" in names
+    for node in nodes(plan):
+        if node.nodeName() == "SortAggregate":
+            assert any("Join" in below.nodeName() for below in nodes(node)), node.treeString()
+    if name in ("upsert_entries", "apply_plan"):
+        assert "SortAggregate" not in names
