@@ -20,11 +20,12 @@ def entries(spark, rows):
     return spark.createDataFrame(full, ENTRY)
 
 
-SAMPLE = [
-    ("k-alps", "My Drive/Trips/alps.png", 5, "h1", "done"), ("k-lake", "My Drive/lake.png", 5, "h1", "done"),
-    ("k-diary", "My Drive/diary.docx", 10, "h2", "done"), ("k-same1", "My Drive/same.txt", 4, "h3", "done"),
-    ("k-same2", "My Drive/same__k-same2.txt", 4, "h4", "done"), ("k-plan", "Club/plan.pdf", 3, "h5", "done"),
-    ("k-note", "Shared with me/note.md", 6, "h6", "done"),
+# A survey's files: one table kept three times, a map kept twice at equal depth, and files of their own.
+SURVEY = [
+    ("s1", "Survey/2021/raw/core-17.csv", 120, "c17", "done"), ("s2", "Survey/core-17.csv", 120, "c17", "done"),
+    ("s3", "Backup/old/core-17 copy.csv", 120, "c17", "done"), ("s4", "Survey/map.tif", 900, "map", "done"),
+    ("s5", "Backup/map.tif", 900, "map", "done"), ("s6", "Survey/readme", 33, "rd", "done"),
+    ("s7", "Lab/notes.md", 70, "n1", "done"), ("s8", "Lab/Notes__s8.md", 71, "n2", "done"),
 ]
 
 
@@ -37,8 +38,8 @@ def one(frame):
 
 
 def test_counts_and_completeness(spark):
-    rows = entries(spark, SAMPLE + [("e", "x", 9, "", "error"), ("r", "y", 9, "", "restricted"), ("q", "z", 9, "", "odd")])
-    assert one(catalog.status_counts(rows)) == {"count": 10, "done": 7, "total_bytes": 37, "failed": 2, "restricted": 1}
+    rows = entries(spark, SURVEY + [("e", "x", 9, "", "error"), ("r", "y", 9, "", "restricted"), ("q", "z", 9, "", "odd")])
+    assert one(catalog.status_counts(rows)) == {"count": 11, "done": 8, "total_bytes": 2334, "failed": 2, "restricted": 1}
 
     def complete(done, restricted, failed, expected):
         columns = catalog.completeness_columns(*(F.lit(v) for v in (failed, restricted, done, expected)))
@@ -73,10 +74,12 @@ def test_snapshot_trap(spark):
 
 
 def test_exact_duplicates(spark):
-    groups = duplicates.exact_duplicates(entries(spark, SAMPLE)).collect()
-    assert [tuple(g) for g in groups] == [("exact", "h1", "My Drive/lake.png", 1, 5)]
-    members = duplicates.duplicate_members(entries(spark, SAMPLE), hot_rows=1).collect()
-    assert [r["duplicate"] for r in members] == ["My Drive/Trips/alps.png"]
+    groups = duplicates.exact_duplicates(entries(spark, SURVEY)).collect()
+    assert sorted(tuple(g) for g in groups) == [
+        ("exact", "c17", "Survey/core-17.csv", 2, 240), ("exact", "map", "Backup/map.tif", 1, 900)]
+    members = duplicates.duplicate_members(entries(spark, SURVEY), hot_rows=1).collect()
+    assert sorted(r["duplicate"] for r in members) == [
+        "Backup/old/core-17 copy.csv", "Survey/2021/raw/core-17.csv", "Survey/map.tif"]
 
 
 def test_junk_wins_over_duplicate(spark):
@@ -93,59 +96,59 @@ def test_orphans_of_a_junk_primary(spark):
 
 
 def test_diff(spark):
-    listing = entries(spark, SAMPLE).drop("status")
-    empty = entries(spark, SAMPLE).limit(0)
-    same = diff.incremental_diff(listing, empty, entries(spark, SAMPLE))
-    assert [r["outcome"] for r in same.collect()] == ["import"] * 7
-    newer = listing.withColumn("size", F.when(F.col("file_id") == "k-lake", 7).otherwise(F.col("size")))
-    changed = diff.incremental_diff(newer, empty, entries(spark, SAMPLE))
-    assert {r["file_id"] for r in changed.filter("outcome = 'fetch'").collect()} == {"k-lake"}
-    damaged = tree_of(spark, SAMPLE).withColumn(
-        "sha256", F.when(F.col("rel_path") == "My Drive/lake.png", "evil").otherwise(F.col("sha256")))
+    listing = entries(spark, SURVEY).drop("status")
+    empty = entries(spark, SURVEY).limit(0)
+    same = diff.incremental_diff(listing, empty, entries(spark, SURVEY))
+    assert [r["outcome"] for r in same.collect()] == ["import"] * 8
+    newer = listing.withColumn("size", F.when(F.col("file_id") == "s4", 7).otherwise(F.col("size")))
+    changed = diff.incremental_diff(newer, empty, entries(spark, SURVEY))
+    assert {r["file_id"] for r in changed.filter("outcome = 'fetch'").collect()} == {"s4"}
+    damaged = tree_of(spark, SURVEY).withColumn(
+        "sha256", F.when(F.col("rel_path") == "Survey/map.tif", "evil").otherwise(F.col("sha256")))
     plan = {r["file_id"]: (r["outcome"], r["fallback"]) for r in diff.import_plan(same, damaged).collect()}
-    assert plan["k-lake"] == ("fetch", "hash_mismatch") and plan["k-alps"] == ("import", None)
-    held = entries(spark, [("old", "My Drive/SAME.txt", 4, "q", "done")])
+    assert plan["s4"] == ("fetch", "hash_mismatch") and plan["s5"] == ("import", None)
+    held = entries(spark, [("old", "LAB/Notes.MD", 4, "q", "done")])
     paths = {r["file_id"]: r["local_path"] for r in diff.assign_paths(same, held).collect()}
-    assert paths["k-same1"] == "My Drive/same__k-same1.txt" and paths["k-same2"] == "My Drive/same__k-same2.txt"
+    assert paths["s7"] == "Lab/notes__s7.md" and paths["s8"] == "Lab/Notes__s8.md"
 
 
 def test_listed_missing_sees_behind_vanished_rows(spark):
-    held = entries(spark, SAMPLE)
-    listing = spark.createDataFrame([("k-alps",), ("new",)], "file_id string")
+    held = entries(spark, SURVEY)
+    listing = spark.createDataFrame([("s1",), ("new",)], "file_id string")
     assert [r["file_id"] for r in catalog.listed_missing(held, listing).collect()] == ["new"]
 
 
 @pytest.mark.parametrize("change, outcome", [
     ({"size": 2}, "size_mismatch"), ({"sha256": "evil"}, "hash_mismatch"), ({"readable": False}, "hash_mismatch"), (None, "missing")])
 def test_verify_and_gate(spark, change, outcome):
-    rows, good = entries(spark, SAMPLE), tree_of(spark, SAMPLE)
-    first = F.col("rel_path") == "My Drive/lake.png"
+    rows, good = entries(spark, SURVEY), tree_of(spark, SURVEY)
+    first = F.col("rel_path") == "Survey/readme"
     bad = good.filter(~first) if change is None else good.withColumns(
         {k: F.when(first, F.lit(v)).otherwise(F.col(k)) for k, v in change.items()})
     got = {r["rel_path"]: r["outcome"] for r in verify.verify_detail(rows, bad).collect()}
-    assert got.pop("My Drive/lake.png") == outcome and set(got.values()) == {"ok"}
-    gate = verify.safety_gate(rows, F.lit(7), good, bad)
+    assert got.pop("Survey/readme") == outcome and set(got.values()) == {"ok"}
+    gate = verify.safety_gate(rows, F.lit(8), good, bad)
     assert tuple(gate.first()) == (False, "external_not_verified")
-    assert tuple(verify.safety_gate(rows, F.lit(7), bad, good).first()) == (False, "primary_not_verified")
-    assert tuple(verify.safety_gate(rows, F.lit(7), good, good).first()) == (True, "verified")
-    assert tuple(verify.safety_gate(rows, F.lit(8), good, good).first()) == (False, "primary_not_verified")
-    assert tuple(verify.safety_gate(rows, F.lit(7), good, None).first()) == (False, "no_external_mirror")
-    assert tuple(verify.safety_gate(rows, F.lit(7), good, None, require_external=False).first()) == (True, "verified")
+    assert tuple(verify.safety_gate(rows, F.lit(8), bad, good).first()) == (False, "primary_not_verified")
+    assert tuple(verify.safety_gate(rows, F.lit(8), good, good).first()) == (True, "verified")
+    assert tuple(verify.safety_gate(rows, F.lit(9), good, good).first()) == (False, "primary_not_verified")
+    assert tuple(verify.safety_gate(rows, F.lit(8), good, None).first()) == (False, "no_external_mirror")
+    assert tuple(verify.safety_gate(rows, F.lit(8), good, None, require_external=False).first()) == (True, "verified")
 
 
 def test_mirror_repair(spark):
-    trees = spark.createDataFrame([("ext", "My Drive/lake.png", 2), ("primary", "My Drive/lake.png", 5)], "dest string, rel_path string, size bigint")
-    plan = verify.mirror_repair_plan(entries(spark, SAMPLE[1:3]), trees, ["primary", "ext"]).collect()
-    assert sorted((r["rel_path"], r["dest"], r["donor"]) for r in plan if r["donor"]) == [("My Drive/lake.png", "ext", "primary")]
+    trees = spark.createDataFrame([("ext", "Survey/readme", 2), ("primary", "Survey/readme", 33)], "dest string, rel_path string, size bigint")
+    plan = verify.mirror_repair_plan(entries(spark, SURVEY[5:7]), trees, ["primary", "ext"]).collect()
+    assert sorted((r["rel_path"], r["dest"], r["donor"]) for r in plan if r["donor"]) == [("Survey/readme", "ext", "primary")]
     assert sorted((r["rel_path"], r["dest"]) for r in plan if not r["donor"]) == [
-        ("My Drive/diary.docx", "ext"), ("My Drive/diary.docx", "primary")]
+        ("Lab/notes.md", "ext"), ("Lab/notes.md", "primary")]
 
 
 def test_capacity_on_resume_counts_what_is_left(spark):
-    rows = entries(spark, SAMPLE)
+    rows = entries(spark, SURVEY)
     required = catalog.listing_totals(rows, rows)
     assert one(required)["required_bytes"] == 0
-    got = verify.capacity_check(catalog.listing_totals(rows, rows.limit(0)), [("a", 37), ("b", 36)], 0.0).collect()
+    got = verify.capacity_check(catalog.listing_totals(rows, rows.limit(0)), [("a", 2334), ("b", 2333)], 0.0).collect()
     assert [(r["ok"], r["shortfall_bytes"]) for r in got] == [(True, 0), (False, 1)]
 
 
@@ -154,28 +157,28 @@ def plan_frame(spark, rows):
 
 
 def test_edited_plan(spark):
-    rows = entries(spark, SAMPLE)
+    rows = entries(spark, SURVEY)
     default = proposal.default_plan(proposal.classify(rows)).orderBy("ordinal").collect()
     assert [(r["action"], r["dest_rel"], r["reason"]) for r in default][:2] == [
-        ("quarantine", "_quarantine/duplicates/alps.png", "doublon exact"), ("keep", "Images/2023/lake.png", "")]
+        ("quarantine", "_quarantine/duplicates/core-17.csv", "doublon exact"), ("keep", "Spreadsheets/2023/core-17.csv", "")]
     plan = plan_frame(spark, [
-        ("keep", "My Drive/Trips/alps.png", "_quarantine/duplicates/alps.png"), ("  Skip  ", "My Drive/lake.png", "Images/2023/lake.png"),
-        ("QUARANTINE", "My Drive/diary.docx", "Documents/diary.docx"), ("", "My Drive/same.txt", None),
-        ("skip", "Club/plan.pdf", "x"), ("keep", "Club/plan.pdf", "R//./r.pdf"), ("keep", "no/file", "../fine")])
+        ("keep", "Survey/2021/raw/core-17.csv", "_quarantine/duplicates/core-17.csv"), ("\tSKIP ", "Survey/core-17.csv", "x.csv"),
+        ("Quarantine", "Backup/map.tif", "Maps/map.tif"), (None, "Lab/notes.md", ""), ("keep", "gone.txt", "../../up"),
+        ("quarantine", "Survey/readme", "first"), ("keep", "Survey/readme", "./About//readme")])
     routed = {r["src_rel"]: (r["dest_rel"], r["kind"]) for r in layout.route_with_plan(rows, plan).collect()}
     assert routed == {
-        "My Drive/Trips/alps.png": ("Kept/alps.png", "copied"), "My Drive/diary.docx": ("_quarantine/Documents/diary.docx", "duplicate"),
-        "My Drive/same.txt": ("Documents/2023/same.txt", "copied"), "Club/plan.pdf": ("R/r.pdf", "copied")}
+        "Survey/2021/raw/core-17.csv": ("Kept/core-17.csv", "copied"), "Backup/map.tif": ("_quarantine/Maps/map.tif", "duplicate"),
+        "Lab/notes.md": ("Documents/2023/notes.md", "copied"), "Survey/readme": ("About/readme", "copied")}
     assert sorted(r["rel_path"] for r in layout.unplanned_files(rows, plan).collect()) == [
-        "My Drive/same__k-same2.txt", "Shared with me/note.md"]
+        "Backup/old/core-17 copy.csv", "Lab/Notes__s8.md", "Survey/map.tif"]
 
 
 @pytest.mark.parametrize("row, problem", [
-    (("keep", "My Drive/lake.png", "../../outside/evil.bin"), "bad_destination"), (("delete", "no/file", "x"), "unknown_action"),
-    (("keep", "My Drive/lake.png", "/abs"), "bad_destination"), (("  ", "My Drive/lake.png", "x"), "unknown_action"),
-    (("keep", "My Drive/lake.png", "   "), "bad_destination")])
+    (("keep", "Survey/readme", "../../outside/evil.bin"), "bad_destination"), (("delete", "no/file", "x"), "unknown_action"),
+    (("keep", "Survey/readme", "/abs"), "bad_destination"), (("  ", "Survey/readme", "x"), "unknown_action"),
+    (("keep", "Survey/readme", "   "), "bad_destination")])
 def test_bad_plans_are_refused_before_routing(spark, row, problem):
-    rows, plan = entries(spark, SAMPLE), plan_frame(spark, [row])
+    rows, plan = entries(spark, SURVEY), plan_frame(spark, [row])
     assert [r["problem"] for r in layout.plan_validation(plan, rows).collect()] == [problem]
     with pytest.raises(ValueError, match=problem):
         layout.route_with_plan(rows, plan)
@@ -282,32 +285,32 @@ def test_snapshot_documents(spark, tmp_path):
 
 
 def test_snapshot_table(spark, tmp_path):
-    rows, roots = entries(spark, SAMPLE), [str(tmp_path / "primary"), str(tmp_path / "ext")]
-    snapshots.write_snapshot(rows, "main", "20240101", 7, 27, roots)
-    snapshots.write_snapshot(rows.limit(2), "main", "20240201", 7, 27, roots)
-    snapshots.write_snapshot(rows, "main", "20240201", 8, 27, roots)
+    rows, roots = entries(spark, SURVEY), [str(tmp_path / "primary"), str(tmp_path / "ext")]
+    snapshots.write_snapshot(rows, "main", "20240101", 8, 2300, roots)
+    snapshots.write_snapshot(rows.limit(2), "main", "20240201", 8, 2300, roots)
+    snapshots.write_snapshot(rows, "main", "20240201", 9, 2300, roots)
     for root in roots:
-        assert snapshots.read_entries(spark, root, "main", "20240201").count() == 7
+        assert snapshots.read_entries(spark, root, "main", "20240201").count() == 8
         heads = snapshots.read_headers(spark, root).orderBy("snapshot").collect()
         assert [(h["snapshot"], h["expected_total"], h["done"], h["total_bytes"]) for h in heads] == [
-            ("20240101", 7, 7, 37), ("20240201", 8, 7, 37)]
-    snapshots.export_snapshot(rows, "main", "20240201", 7, 27, str(tmp_path / "out"))
+            ("20240101", 8, 8, 2334), ("20240201", 9, 8, 2334)]
+    snapshots.export_snapshot(rows, "main", "20240201", 8, 2300, str(tmp_path / "out"))
     documents = snapshots.read_documents(spark, str(tmp_path / "out" / "*" / "*" / "*.json"))
     good, bad = snapshots.document_entries(documents)
     assert bad.isEmpty() and sorted(map(tuple, good.select(*rows.columns).collect())) == sorted(map(tuple, rows.collect()))
     assert one(snapshots.document_headers(documents)) == {
-        "account": "main", "snapshot": "20240201", "expected_total": 7, "expected_bytes": 27, "count": 7, "done": 7,
-        "total_bytes": 37}
+        "account": "main", "snapshot": "20240201", "expected_total": 8, "expected_bytes": 2300, "count": 8, "done": 8,
+        "total_bytes": 2334}
 
 
-@pytest.mark.parametrize("size", [7, 3, 0])
+@pytest.mark.parametrize("size", [8, 3, 0])
 def test_snapshot_documents_are_bounded(spark, tmp_path, monkeypatch, size):
     monkeypatch.setattr(snapshots, "DOCUMENT_ENTRIES", 3, raising=False)
-    rows = entries(spark, SAMPLE).limit(size)
-    snapshots.export_snapshot(rows, "main", "20240201", 7, 27, str(tmp_path))
+    rows = entries(spark, SURVEY).limit(size)
+    snapshots.export_snapshot(rows, "main", "20240201", 8, 2300, str(tmp_path))
     files = list((tmp_path / "20240201" / "main").glob("*.json"))
     found = sorted((json.loads(file.read_text()) for file in files), key=lambda x: x["part"])
-    assert [len(x["entries"]) for x in found] == {7: [3, 3, 1], 3: [3], 0: [0]}[size]
+    assert [len(x["entries"]) for x in found] == {8: [3, 3, 2], 3: [3], 0: [0]}[size]
     assert [(x["part"], x["first_ordinal"]) for x in found] == [(i, 3 * i) for i in range(len(found))]
     documents = snapshots.read_documents(spark, str(tmp_path / "*" / "*" / "*.json"))
     good, bad = snapshots.document_entries(documents)
@@ -345,9 +348,9 @@ def test_plan_csv(spark, tmp_path):
     rows = plans.read_plan(spark, str(path)).orderBy("plan_ordinal").collect()
     assert [(r["plan_ordinal"], r["action"], r["src_rel"], r["dest_rel"], r["reason"]) for r in rows] == [
         (0, "keep", "a.jpg", 'X, "y"/a.jpg', ""), (1, "skip", "b\nc.jpg", "Z", "why")]
-    plan = proposal.default_plan(proposal.classify(entries(spark, SAMPLE)))
+    plan = proposal.default_plan(proposal.classify(entries(spark, SURVEY)))
     plans.write_plan(plan, str(tmp_path / "out"))
     back = plans.read_plan(spark, str(tmp_path / "out")).orderBy("plan_ordinal").collect()
-    assert [r["src_rel"] for r in back] == [s[1] for s in SAMPLE]
-    plans.write_report(duplicates.dedup_summary(duplicates.exact_duplicates(entries(spark, SAMPLE))), str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report" / "summary")).first()["duplicate_files"] == 1
+    assert [r["src_rel"] for r in back] == [s[1] for s in SURVEY]
+    plans.write_report(duplicates.dedup_summary(duplicates.exact_duplicates(entries(spark, SURVEY))), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report" / "summary")).first()["duplicate_files"] == 3

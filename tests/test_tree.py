@@ -10,7 +10,6 @@ from filecensus.operators import tree
 ITEM = ("source_ordinal int, drive_id string, drive_name string, shared_with_me boolean, position bigint, id string, "
         "name string, mime_type string, parents array<string>, size string, modified_time string, owners array<string>, "
         "shortcut_target string")
-DOC = "application/vnd.google-apps.document"
 
 pytestmark = pytest.mark.usefixtures("interpreted")
 
@@ -37,23 +36,22 @@ def expected_paths(rows):
     return {(r[0], r[4]): "/".join([r[2], *chain(r, {r[5]})]) for r in rows}
 
 
-def test_small_listing(spark):
+def test_sources_natives_and_shortcuts(spark):
+    """Folders of two levels, natives with and without an export, a shortcut, and one id listed by three sources."""
+    sheet, slides, form = (f"application/vnd.google-apps.{kind}" for kind in ("spreadsheet", "presentation", "form"))
     rows = [
-        item(0, 0, "k-trips", "Trips", mime=FOLDER_TYPE), item(0, 1, "k-alps", "alps.png", "k-trips"),
-        item(0, 2, "k-lake", "lake.png"), item(0, 3, "k-diary", "diary", mime=DOC, size=None),
-        item(0, 4, "k-same1", "same.csv"), item(0, 5, "k-same2", "same.csv"),
-        item(0, 6, "k-survey", "survey", mime="application/vnd.google-apps.form"),
-        item(0, 7, "k-short", "to alps", target="k-alps"),
-        item(1, 0, "k-plan", "plan.pdf", drive="Club"), item(1, 1, "k-survey", "survey.pdf", drive="Club"),
-        item(2, 0, "k-note", "note.md", drive="Shared with me", shared=True),
-        item(2, 1, "k-alps", "alps.png", drive="Shared with me", shared=True),
+        item(0, 0, "w", "Wells", mime=FOLDER_TYPE, drive="Field"), item(0, 1, "w2", "North: 2", "w", FOLDER_TYPE, drive="Field"),
+        item(0, 2, "log", "log?.txt", "w2", drive="Field"), item(0, 3, "tab", "table", "w2", sheet, drive="Field", size=None),
+        item(0, 4, "ask", "survey", "w", form, drive="Field", size=None),
+        item(0, 5, "link", "to the log", "w", drive="Field", target="log"),
+        item(1, 0, "talk", "talk", mime=slides, drive="Office", size=None), item(1, 1, "log", "log?.txt", drive="Office"),
+        item(1, 2, "stray", "stray.bin", "w2", drive="Office"),  # its folder is another source's
+        item(2, 0, "ask", "answers.csv", drive="Shared with me", shared=True),
+        item(2, 1, "link", "real.txt", drive="Shared with me", shared=True),
     ]
     assert walk_paths(spark, rows) == {
-        "k-alps": "My Drive/Trips/alps.png", "k-lake": "My Drive/lake.png", "k-diary": "My Drive/diary.docx",
-        "k-same1": "My Drive/same.csv", "k-same2": "My Drive/same.csv", "k-plan": "Club/plan.pdf",
-        "k-survey": "Club/survey.pdf",  # an unmapped native claims no id
-        "k-note": "Shared with me/note.md",
-    }
+        "log": "Field/Wells/North_ 2/log_.txt", "tab": "Field/Wells/North_ 2/table.xlsx", "talk": "Office/talk.pptx",
+        "stray": "Office/stray.bin", "ask": "Shared with me/answers.csv", "link": "Shared with me/real.txt"}
 
 
 def test_cycles_dangling_and_repeated_ids(spark):
