@@ -7,6 +7,8 @@ all stages; a row is only ever dropped by the rule of its stage.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,22 @@ from filecensus.llm import byte_bpe, decontaminate, jaccard_join, pii, quality
 from filecensus.operators.scale import cut_lineage
 
 
+# Rows of whole texts that pass between Spark and Python at a time; 10,000, the default, may be tens of megabytes.
+BATCH_ROWS = 1_000
+
+
+def _in_small_batches(stage):
+    """Let the session hand texts to Python in batches of BATCH_ROWS rows, or of fewer where it is set so."""
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+            spark.conf.set(name, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the weak-label classifier finds poor or toxic."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -39,13 +57,13 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.with_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [
+STAGES = [(name, _in_small_batches(stage)) for name, stage in (
     ("quality", good_quality),
     ("near_duplicates", without_near_duplicates),
     ("decontamination", without_benchmark),
     ("pii", without_personal_data),
     ("byte_bpe", token_ids),
-]
+)]
 # Models, signatures and tokenizers have no counterpart in SQL.
 ORACLE_SQL = None
 
