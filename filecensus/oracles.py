@@ -487,6 +487,16 @@ UNION ALL SELECT account, 'reorganize', CASE WHEN reorganized THEN 'done' WHEN v
     "live_throughput": _THROUGHPUT,
     "breaker_alerts": f"SELECT account, first_ordinal FROM ({_RUNS})",
     "live_catalog": _UPSERT,
+    "live_activity": """
+WITH beats AS (
+  SELECT account, ts FROM {heartbeats} UNION ALL
+  SELECT CAST(user_id AS VARCHAR), ts + INTERVAL 30 DAY FROM (SELECT * FROM {events} ORDER BY ts DESC, event_id DESC LIMIT 1)),
+spells AS (SELECT account, ts, lag(ts) OVER w AS before, lead(ts) OVER w AS behind FROM beats
+           WINDOW w AS (PARTITION BY account ORDER BY ts))
+SELECT account, 'live' AS state, ts FROM spells WHERE before IS NULL OR ts - before > INTERVAL 60 SECOND
+UNION ALL
+SELECT account, 'idle', ts FROM spells
+WHERE behind - ts > INTERVAL 60 SECOND OR (behind IS NULL AND ts < (SELECT max(ts) FROM beats))""",
 }
 
 ORACLES = {name: duckdb_sql(text) for name, text in _TEXTS.items()}

@@ -503,3 +503,8 @@ def breaker_alerts(spark, folder):
 @query
 def live_catalog(spark, folder):
     return replay.live_catalog(spark, folder)
+
+
+@query
+def live_activity(spark, folder):
+    return replay.live_activity(spark, folder)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from filecensus.bridge import spark_view
+from filecensus.operators.progress import RUNNING_SECONDS
 from filecensus.operators.scale import run_folder
 from filecensus.sources.heartbeats import read_heartbeats
 from filecensus.streaming import breaker, live, upserts
@@ -81,10 +83,32 @@ def live_throughput(spark: SparkSession, folder: str) -> DataFrame:
 def breaker_alerts(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     scratch = _scratch(spark)
     run(breaker.watch(_stream(spark, folder, "attempts", scratch), scratch, f"{scratch}/checkpoint", limit))
-    return spark.read.schema(breaker.ALERT).parquet(f"{scratch}/alerts")
+    return breaker.read_alerts(spark, scratch)
 
 
 def live_catalog(spark: SparkSession, folder: str) -> DataFrame:
     scratch = _scratch(spark)
     run(upserts.follow(_stream(spark, folder, "entry_log", scratch), f"{scratch}/catalog", f"{scratch}/checkpoint"))
     return upserts.current(spark, f"{scratch}/catalog")
+
+
+def live_activity(spark: SparkSession, folder: str, seconds: int = RUNNING_SECONDS) -> DataFrame:
+    """Changes between live and idle; the last event comes again 30 days later and closes all other accounts' spells."""
+    scratch = _scratch(spark)
+    beats = _stream(spark, folder, "heartbeats", scratch, "ts", "INTERVAL 30 DAYS")
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass",
+                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        run(live.activity(beats, seconds, "1 second").writeStream.format("parquet").outputMode("append").option(
+            "path", f"{scratch}/changes").option("checkpointLocation", f"{scratch}/checkpoint"))
+    rows = spark.read.schema(live.ACTIVITY).parquet(f"{scratch}/changes")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@contextlib.contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -2,30 +2,32 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_PLACES = ["ordinal", "last_ordinal"]
+from filecensus.operators.scale import newest
+from filecensus.streaming import store
 
 
 def merge(log: DataFrame, key: str = "file_id") -> DataFrame:
-    """Last value per key with its first and last place; merging merged logs gives the same."""
-    rows = log if "last_ordinal" in log.columns else log.withColumn("last_ordinal", F.col("ordinal"))
-    values = [c for c in rows.columns if c not in (key, *_PLACES)]
-    merged = rows.groupBy(key).agg(
-        F.min("ordinal").alias("ordinal"), F.max("last_ordinal").alias("last_ordinal"),
-        F.max_by(F.struct(*values), "last_ordinal").alias("_last"))
-    return merged.select("ordinal", "last_ordinal", key, *[F.col("_last")[v].alias(v) for v in values])
+    """Last value per key with its first and last place; merging merged logs gives the same.
 
+    No two rows of the log share an ordinal.
+    """
+    rows = log if "last_ordinal" in log.columns else log.withColumn("last_ordinal", F.col("ordinal"))
+    last = newest(rows, [key], "last_ordinal", _first=F.min("ordinal"))
+    return last.withColumn("ordinal", F.col("_first")).select(*rows.columns)
 
-def follow(log: DataFrame, folder: str, checkpoint: str):
-    """Write each micro-batch, merged, to its own folder. Nothing written before is rewritten."""
 
+def follow(log: DataFrame, folder: str, checkpoint: str, key: str = "file_id"):
+    """Merge each micro-batch into the catalog at `folder`; a batch that runs again changes nothing."""
     def step(batch: DataFrame, batch_id: int) -> None:
-        merge(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        store.commit(folder, batch_id, batch, functools.partial(merge, key=key))
 
     return log.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
 
 
-def current(spark: SparkSession, folder: str) -> DataFrame:
+def current(spark: SparkSession, folder: str, key: str = "file_id") -> DataFrame:
     """The catalog as of the last batch."""
-    return merge(spark.read.parquet(folder).drop("batch")).drop("last_ordinal")
+    return merge(store.read(spark, folder), key).drop("last_ordinal")
