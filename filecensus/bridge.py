@@ -147,6 +147,23 @@ SELECT 2, '', 'Shared with me', TRUE, CAST(NULL AS INT), o_orderkey * 4 + 3, con
        concat('ord:', CAST(o_orderkey AS STRING), '?.pdf'), 'application/pdf', NULL,
        CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING), '2021-01-01T00:00:00Z', NULL
 FROM {orders} WHERE o_totalprice > 400000 OR o_orderpriority = '2-HIGH'
+""",
+    # The files of the catalog with their texts.
+    "texts": """
+SELECT c.ordinal, c.rel_path, c.listed_path, coalesce(d.text, '') AS text
+FROM {catalog} c JOIN {documents} d ON d.doc_id = c.ordinal
+""",
+    # Folders of another account that are shared with this one: their roots, and some files that are listed besides.
+    "shared_listing": """
+SELECT * FROM {items} WHERE source_ordinal = 0
+UNION ALL
+SELECT 2 AS source_ordinal, '' AS drive_id, 'Shared with me' AS drive_name, TRUE AS shared_with_me, rk, position, id, name,
+       mime_type, CAST(NULL AS STRING) AS parent, size, modified_time, shortcut_target
+FROM {items} WHERE source_ordinal = 1 AND (id LIKE 'n%' OR (id LIKE 'o%' AND CAST(size AS BIGINT) > 250000))
+""",
+    "shared_children": """
+SELECT parent AS folder_id, position, id, name, mime_type, parent, size, modified_time, shortcut_target
+FROM {items} WHERE source_ordinal = 1 AND parent IS NOT NULL
 """,
     # Heartbeats and transfers: each user is an account.
     "heartbeats": """

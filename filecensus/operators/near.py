@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.operators.scale import HOT_ROWS, cut_lineage, drop, lookup, new_table
+from filecensus.sources import trees
 
 # Fixed value: default threshold.
 THRESHOLD = 0.95
@@ -36,6 +37,25 @@ def embed_texts(files: DataFrame, embed, max_chars: int | None = None) -> DataFr
     return embedded.filter("embedding IS NOT NULL AND size(embedding) > 0")
 
 
+def embed_parts(parts: DataFrame, embed, key: str = "ordinal") -> DataFrame:
+    """`embed_texts` of files that come in parts (`part`, `text`): the answers for a file's parts are added up.
+
+    The sum points where the mean does. Every other column is one value for each `key`.
+    """
+    others = [c for c in parts.columns if c not in (key, "part", "text")]
+    answered = embed_texts(parts, embed)
+    sums = answered.select(key, *others, F.posexplode("embedding").alias("at", "value")).groupBy(key, *others, "at").agg(
+        F.sum("value").alias("value"))
+    pooled = F.sort_array(F.collect_list(F.struct("at", "value")))
+    return sums.groupBy(key, *others).agg(F.transform(pooled, lambda x: x["value"]).alias("embedding"))
+
+
+def near_texts(candidates: DataFrame, root: str, embed, threshold: float = THRESHOLD, part_bytes: int = 1 << 20) -> DataFrame:
+    """Near-duplicate members among the text files below `root`: read in parts, embedded, pooled and grouped."""
+    parts = trees.read_text_parts(candidates.select("ordinal", "rel_path", "size"), root, part_bytes)
+    return near_members(embed_parts(parts, embed), threshold)
+
+
 def near_members(vectors: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS,
                  block: int = BLOCK, rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
     """Every row that repeats an earlier one: its anchor and their similarity.

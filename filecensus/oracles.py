@@ -5,8 +5,8 @@ from __future__ import annotations
 from filecensus.bridge import duckdb_sql
 from filecensus.functions import rules
 from filecensus.queries import (
-    ANSWER_CATEGORIES, AS_OF, DESTINATIONS, DRAFT_PLAN, EDITED_PLAN, LIVE_SECONDS, MARGIN_GB, MIRRORS, NEAR_THRESHOLD,
-    RUN_LIMIT)
+    ANSWER_CATEGORIES, AS_OF, DESTINATIONS, DRAFT_PLAN, EDITED_PLAN, LETTERS, LIVE_SECONDS, MARGIN_GB, MIRRORS, NEAR_THRESHOLD,
+    RUN_LIMIT, TEXT_THRESHOLD)
 
 
 def _quoted(values) -> str:
@@ -187,8 +187,8 @@ SELECT 'near' AS kind, a.rel_path AS key, a.rel_path AS "primary", count(*) AS n
 FROM members JOIN v a ON a.ordinal = anchor JOIN v m ON m.ordinal = members.ordinal GROUP BY a.rel_path"""
 
 
-def _near(rows: str) -> str:
-    return _NEAR.replace("{rows}", rows).replace("{threshold}", str(NEAR_THRESHOLD))
+def _near(rows: str, threshold: float = NEAR_THRESHOLD) -> str:
+    return _NEAR.replace("{rows}", rows).replace("{threshold}", str(threshold))
 
 
 _TEXT_ROWS = f"""
@@ -196,6 +196,16 @@ SELECT c.ordinal, c.rel_path, c.size, e.embedding FROM {{catalog}} c JOIN {{vect
 WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)})"""
 
 
+_LETTER_ROWS = f"""
+SELECT ordinal, rel_path, size, embedding FROM (
+  SELECT c.ordinal, c.rel_path, c.size,
+         list_transform(string_split({_quoted([" ".join(LETTERS)])}, ' '),
+                        lambda x: CAST(length(lower(t.text)) - length(replace(lower(t.text), x, '')) AS DOUBLE)) AS embedding
+  FROM {{catalog}} c JOIN {{texts}} t ON t.ordinal = c.ordinal
+  WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)}))
+WHERE list_sum(embedding) > 0"""
+
+
 def _described(states: str) -> str:
     return f"""
 SELECT account, done, expected, errors, bytes_written, expected_bytes, bytes_inflight,
@@ -345,6 +355,41 @@ files AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_ordinal,
 SELECT f.id AS file_id, concat(p.rel_path, {_EXPORT_EXT}) AS rel_path, drive_name, CAST(coalesce(f.size, '0') AS BIGINT) AS size,
        starts_with(mime_type, 'application/vnd.google-apps') AS is_native, {_EXPORT_MIME} AS exported_as
 FROM files f JOIN paths p ON f.source_ordinal = p.source_ordinal AND f.id = p.id WHERE rn = 1""",
+    "walk_shared": f"""
+WITH RECURSIVE listing AS (SELECT * FROM {{shared_listing}}), kids AS (SELECT * FROM {{shared_children}}),
+opened AS (
+  SELECT id FROM listing WHERE shared_with_me AND mime_type = 'application/vnd.google-apps.folder'
+  UNION SELECT k.id FROM opened o JOIN kids k ON k.folder_id = o.id WHERE k.mime_type = 'application/vnd.google-apps.folder'),
+every AS (
+  SELECT source_ordinal, drive_name, position, id, name, mime_type, parent, size, shortcut_target FROM listing
+  UNION ALL
+  SELECT 2, 'Shared with me', 1000000000 + k.position, k.id, k.name, k.mime_type, k.folder_id, k.size, k.shortcut_target
+  FROM kids k JOIN opened o ON k.folder_id = o.id WHERE k.id NOT IN (SELECT id FROM listing WHERE shared_with_me)),
+named AS (SELECT *, regexp_replace(name, '[<>:"/\\\\|?*]', '_', 'g') AS safe FROM every),
+paths AS (
+  SELECT source_ordinal, id, concat(replace(drive_name, ':', '_'), '/', safe) AS rel_path FROM named WHERE parent IS NULL
+  UNION ALL
+  SELECT n.source_ordinal, n.id, concat(p.rel_path, '/', n.safe)
+  FROM named n JOIN paths p ON n.source_ordinal = p.source_ordinal AND n.parent = p.id),
+files AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source_ordinal, position) AS rn FROM every
+          WHERE mime_type NOT IN ('application/vnd.google-apps.folder', 'application/vnd.google-apps.form')
+            AND shortcut_target IS NULL)
+SELECT f.id AS file_id, concat(p.rel_path, {_EXPORT_EXT}) AS rel_path, drive_name, CAST(coalesce(f.size, '0') AS BIGINT) AS size,
+       starts_with(mime_type, 'application/vnd.google-apps') AS is_native, {_EXPORT_MIME} AS exported_as
+FROM files f JOIN paths p ON f.source_ordinal = p.source_ordinal AND f.id = p.id WHERE rn = 1""",
+    "tree_roundtrip": "SELECT rel_path, CAST({len}(text) AS BIGINT) AS size FROM {texts}",
+    "hash_roundtrip": """
+SELECT rel_path, CAST({len}(text) AS BIGINT) AS size, {sha}text{sha_end} AS sha256, TRUE AS readable FROM {texts}""",
+    "copy_roundtrip": """
+SELECT ordinal, concat('copy/', rel_path) AS dest_rel, {sha}text{sha_end} AS sha256, {sha}text{sha_end} AS on_disk, FALSE AS failed
+FROM {texts} WHERE ordinal % 3 <> 0 UNION ALL
+SELECT -1 - ordinal, concat('lost/', rel_path), NULL, NULL, TRUE FROM {texts} WHERE ordinal % 3 = 0""",
+    "listing_roundtrip": """
+SELECT source_ordinal, drive_id, drive_name, shared_with_me, id, name, mime_type, parent, size, modified_time, shortcut_target
+FROM {items}""",
+    "report_roundtrip": f"""
+SELECT count(*) AS n_groups, CAST(sum(n_duplicates) AS BIGINT) AS duplicate_files, CAST(sum(reclaimable_bytes) AS BIGINT) AS reclaimable_bytes
+FROM ({_groups()})""",
     "exact_duplicates": _groups(),
     "duplicate_members": f"""
 SELECT 'exact' AS kind, sha256 AS key, "primary", ordinal, rel_path AS duplicate, size
@@ -360,6 +405,10 @@ HAVING count(*) FILTER (place = 1 AND junk IS NOT NULL) > 0 AND count(*) FILTER
     "near_members": _near("SELECT * FROM {vectors}") + """
 SELECT ordinal, anchor, round(similarity, 6) AS similarity FROM members""",
     "near_duplicates": _near("SELECT * FROM {vectors}") + _NEAR_GROUPS,
+    "near_similarity": _near("SELECT * FROM {vectors}") + """
+SELECT ordinal, anchor, round(similarity, 6) AS similarity FROM members""",
+    "near_duplicates_in_cells": _near("SELECT * FROM {vectors}", 0.95) + _NEAR_GROUPS,
+    "near_texts": _near(_LETTER_ROWS, TEXT_THRESHOLD) + _NEAR_GROUPS,
     "all_duplicate_groups": _near(_TEXT_ROWS) + _NEAR_GROUPS + " UNION ALL " + _groups(),
     "proposal_summary": _SUMMARY,
     "proposal_rollup": _ROLLUP,

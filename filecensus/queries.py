@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from filecensus.bridge import spark_view
 from filecensus.functions import rules, text
+from filecensus.functions.vectors import cosine
 from filecensus.operators.scale import cut_lineage, new_table
 from filecensus.operators import catalog, diff, duplicates, failures, naming, near, progress, tree, verify
 from filecensus.plans import funnel, layout, proposal, purge
 from filecensus.schemas import ENTRY_COLUMNS
-from filecensus.sources import plans, snapshots
+from filecensus.sources import listings, plans, snapshots, trees
 from filecensus.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +23,9 @@ QUERIES: dict[str, Query] = {}
 
 # Scenario settings shared with the SQL checks.
 NEAR_THRESHOLD = 0.40
+CELL_ROWS = 40
+TEXT_THRESHOLD = 0.998
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
 RUN_LIMIT = 8
 AS_OF = "2024-01-30 12:00:00"
 LIVE_SECONDS = 6 * 3600
@@ -64,9 +70,9 @@ def _edited_plan(spark, folder):
         spark_view(spark, folder, EDITED_PLAN, plan=proposal.default_plan(_classified(spark, folder))))
 
 
-def _items(spark, folder):
+def _items(spark, folder, view="items"):
     """A listing is a stored table by the time it is walked."""
-    rows = spark_view(spark, folder, "items")
+    rows = spark_view(spark, folder, view)
     parents = F.when(F.col("parent").isNotNull(), F.array("parent")).otherwise(F.array().cast("array<string>"))
     listed = rows.withColumn("parents", parents).withColumn("owners", F.array().cast("array<string>"))
     return cut_lineage(listed.drop("parent", "rk"))
@@ -194,6 +200,13 @@ def walk(spark, folder):
     return files.select("file_id", "rel_path", "drive_name", "size", "is_native", "exported_as")
 
 
+@query
+def walk_shared(spark, folder):
+    """A listing whose shared folders are walked into."""
+    files = tree.walk(_items(spark, folder, "shared_listing"), children=_items(spark, folder, "shared_children"))
+    return files.select("file_id", "rel_path", "drive_name", "size", "is_native", "exported_as")
+
+
 # --- duplicates --------------------------------------------------------------------------------
 
 @query
@@ -227,6 +240,31 @@ def near_duplicates(spark, folder):
     return near.near_duplicates(near.near_members(spark_view(spark, folder, "vectors"), NEAR_THRESHOLD))
 
 
+@query
+def near_similarity(spark, folder):
+    """Similarities of the members to their anchors, from the vectors themselves."""
+    vectors = spark_view(spark, folder, "vectors").select("ordinal", "embedding")
+    anchors = vectors.toDF("anchor", "_anchor")
+    members = near.near_members(spark_view(spark, folder, "vectors"), NEAR_THRESHOLD).select("ordinal", "anchor")
+    pairs = members.join(vectors, "ordinal").join(anchors, "anchor")
+    return pairs.select("ordinal", "anchor", F.round(cosine(F.col("embedding"), F.col("_anchor")), 6).alias("similarity"))
+
+
+@query
+def near_duplicates_in_cells(spark, folder):
+    """The default threshold, in many small cells."""
+    members = near.near_members(spark_view(spark, folder, "vectors"), near.THRESHOLD, rows_a_cell=CELL_ROWS)
+    return near.near_duplicates(members)
+
+
+@query
+def near_texts(spark, folder):
+    """Files in, groups out: texts are read in parts from the files written for them."""
+    root = _written(spark, folder)
+    candidates = catalog.text_candidates(spark_view(spark, folder, "catalog"))
+    return near.near_duplicates(near.near_texts(candidates, root, _letters, TEXT_THRESHOLD, part_bytes=4096))
+
+
 @query
 def all_duplicate_groups(spark, folder):
     files = catalog.text_candidates(spark_view(spark, folder, "catalog"))
@@ -420,6 +458,65 @@ def plan_roundtrip(spark, folder):
     return plans.read_plan(spark, root)
 
 
+def _written(spark, folder):
+    """The folder with the files of the catalog."""
+    root = trees.local_path(new_table(spark))
+    trees.write_texts(spark_view(spark, folder, "texts"), root)
+    return root
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def _letters(texts: pd.Series) -> pd.Series:
+    """A stand-in for a model: how often each letter from a to z occurs."""
+    return texts.str.lower().map(lambda text: [float(text.count(letter)) for letter in LETTERS])
+
+
+@query
+def tree_roundtrip(spark, folder):
+    return trees.list_tree(spark, _written(spark, folder)).select("rel_path", "size")
+
+
+@query
+def hash_roundtrip(spark, folder):
+    return trees.hash_tree(spark, _written(spark, folder))
+
+
+@query
+def copy_roundtrip(spark, folder):
+    """Hashes of the copies, and what the log of the copy says."""
+    source, target = _written(spark, folder), trees.local_path(new_table(spark))
+    routing = spark_view(spark, folder, """
+SELECT ordinal, rel_path AS src_rel, concat('copy/', rel_path) AS dest_rel, CAST({len}(text) AS BIGINT) AS size
+FROM {texts} WHERE ordinal % 3 <> 0 UNION ALL
+SELECT -1 - ordinal, concat('lost/', rel_path), concat('lost/', rel_path), 1 FROM {texts} WHERE ordinal % 3 = 0""")
+    log = trees.apply_copies(routing, source, target)
+    found = trees.hash_tree(spark, target).select(F.col("rel_path").alias("dest_rel"), F.col("sha256").alias("on_disk"))
+    return log.join(found, "dest_rel", "left").select(
+        "ordinal", "dest_rel", "sha256", "on_disk", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def listing_roundtrip(spark, folder):
+    items = _items(spark, folder)
+    root = trees.local_path(new_table(spark))
+    listings.dump_listing(items, f"{root}/pages", 100)
+    listings.dump_drives(items.select("source_ordinal", "drive_id", "drive_name").distinct(), f"{root}/drives")
+    sources = listings.read_sources(spark, f"{root}/drives")
+    # The account's own sources have fixed places; the shared items are listed by the third here.
+    sources = sources.withColumn("source_ordinal", F.when(F.col("shared_with_me"), 2).otherwise(F.col("source_ordinal")))
+    read = listings.read_listing(spark, f"{root}/pages", sources)
+    return read.select("source_ordinal", "drive_id", "drive_name", "shared_with_me", "id", "name", "mime_type",
+                       F.get("parents", F.lit(0)).alias("parent"), "size", "modified_time", "shortcut_target")
+
+
+@query
+def report_roundtrip(spark, folder):
+    path = new_table(spark)
+    report = dedup_summary(spark, folder)
+    plans.write_report(report, path, exact_duplicates(spark, folder))
+    return plans.read_report(spark, path, report._jdf.schema().toDDL())
+
+
 @query
 def heartbeat_roundtrip(spark, folder):
     return replay.heartbeat_table(spark, folder).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from filecensus.operators.scale import cut_lineage, ordinal_chunk, ranked
 from filecensus.schemas import DRIVES_PAGE, LISTING_PAGE
 
 # Names of the two sources every account has.
@@ -72,3 +79,46 @@ def read_listing(spark: SparkSession, folder: str, sources: DataFrame) -> DataFr
 def read_children(spark: SparkSession, folder: str) -> DataFrame:
     """Items of dumped folder listings, from folder/folder_id=<id>/page-<m>.json."""
     return _read_pages(spark, folder, "folder_id string")
+
+
+# Items of a page, as clients ask for them.
+PAGE_SIZE = 1000
+
+
+def dump_listing(items: DataFrame, folder: str, page_size: int = PAGE_SIZE) -> DataFrame:
+    """Write listing items as the pages that `read_listing` reads, in their order; the pages that were written.
+
+    `items` has source_ordinal, position and the item columns. `folder` is mounted on all machines; a page appears
+    under its name when it is complete.
+    """
+    place = ["source_ordinal", "page"]
+    owners = F.transform("owners", lambda o: F.struct(o.alias("emailAddress")))
+    item = F.struct(
+        "id", "name", F.col("mime_type").alias("mimeType"), "parents", "size", F.col("modified_time").alias("modifiedTime"),
+        owners.alias("owners"), F.when(F.col("shortcut_target").isNotNull(), F.struct(
+            F.col("shortcut_target").alias("targetId"))).alias("shortcutDetails"))
+    nth = ranked(items, ["source_ordinal"], ["position"], ordinal_chunk("position"), "nth")
+    paged = nth.withColumn("page", F.floor(F.col("nth") / page_size)).groupBy(*place).agg(
+        F.sort_array(F.collect_list(F.struct("nth", item.alias("item")))).alias("rows"))
+    pages = paged.select(*place, F.to_json(F.struct(F.transform("rows", lambda x: x["item"]).alias("files"))).alias("text"))
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for source, page, text in zip(frame["source_ordinal"], frame["page"], frame["text"]):
+                own = os.path.join(folder, f"source_ordinal={source}")
+                os.makedirs(own, exist_ok=True)
+                draft = os.path.join(own, f".draft-{uuid.uuid4().hex}")
+                with open(draft, "w", encoding="utf-8") as file:
+                    file.write(text)
+                os.replace(draft, os.path.join(own, f"page-{page}.json"))
+            yield frame[place]
+
+    return cut_lineage(pages.mapInPandas(write, "source_ordinal int, page bigint"))
+
+
+def dump_drives(sources: DataFrame, folder: str) -> None:
+    """Write the shared drives among listing sources (an account sees few) as the page that `read_sources` reads."""
+    drives = sources.filter("drive_id <> ''").orderBy("source_ordinal").select("drive_id", "drive_name").collect()
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "page-0.json"), "w", encoding="utf-8") as file:
+        json.dump({"drives": [{"id": row["drive_id"], "name": row["drive_name"]} for row in drives]}, file)

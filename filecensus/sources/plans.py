@@ -34,3 +34,8 @@ def write_report(row: DataFrame, path: str, details: DataFrame | None = None) ->
     row.write.mode("overwrite").json(f"{path}/summary")
     if details is not None:
         details.write.mode("overwrite").json(f"{path}/details")
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The row of a report."""
+    return spark.read.schema(schema).json(f"{path}/summary")
