@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.functions import rules, text
-from filecensus.operators.scale import HOT_ROWS, lookup
+from filecensus.operators.scale import HOT_ROWS, cut_lineage_counted, lookup
 
 
 def _hashed(entries: DataFrame) -> DataFrame:
@@ -27,10 +27,11 @@ def elections(entries: DataFrame, elect_among_clean: bool = False, hot_rows: int
         # Clutter is only elected when there is nothing else.
         place += F.when(junk, 1 << 62).otherwise(0)
     rows = _hashed(entries).select("sha256", "ordinal", "rel_path", "size", place.alias("_place"), junk.alias("_junk"))
-    counts = rows.groupBy("sha256").agg(
+    counts, seen = cut_lineage_counted(rows.groupBy("sha256").agg(
         F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.count_if(~F.col("_junk")).alias("n_clean"),
-        F.min("_place").alias("_least")).filter("n > 1")
-    tied = lookup(rows, counts, ["sha256"], "n", F.col("ordinal"), hot_rows).filter("_place = _least")
+        F.min("_place").alias("_least")).filter("n > 1"), heaviest=F.max("n"))
+    facts = counts.select("sha256", "n", "_least")
+    tied = lookup(rows, facts, ["sha256"], "n", F.col("ordinal"), hot_rows, seen["heaviest"] or 0).filter("_place = _least")
     first = tied.groupBy("sha256").agg(F.min(F.struct("rel_path", "ordinal", "size")).alias("primary"))
     return counts.drop("_least").join(first, "sha256")
 
@@ -52,10 +53,10 @@ def exact_duplicates(entries: DataFrame, elect_among_clean: bool = False) -> Dat
 def with_election(entries: DataFrame, elect_among_clean: bool = False, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Done entries with `primary` (null when the content is unique) and `is_duplicate`."""
     done = entries.filter(rules.is_done(F.col("status")))
-    chosen = elections(entries, elect_among_clean, hot_rows).select(
+    chosen, seen = cut_lineage_counted(elections(entries, elect_among_clean, hot_rows).select(
         "sha256", F.col("n").alias("_n"), F.col("primary.rel_path").alias("primary"),
-        F.col("primary.ordinal").alias("_primary_ordinal"))
-    joined = lookup(done, chosen, ["sha256"], "_n", F.col("ordinal"), hot_rows)
+        F.col("primary.ordinal").alias("_primary_ordinal")), heaviest=F.max("_n"))
+    joined = lookup(done, chosen, ["sha256"], "_n", F.col("ordinal"), hot_rows, seen["heaviest"] or 0)
     copy = F.coalesce(F.col("_primary_ordinal") != F.col("ordinal"), F.lit(False))
     return joined.withColumn("is_duplicate", copy).drop("_n", "_primary_ordinal")
 

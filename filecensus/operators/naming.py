@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.functions import text
 from filecensus.operators.scale import (
-    CHUNK_ROWS, HOT_ROWS, cut_lineage, lookup, lookup_unweighted, ordinal_chunk, ranked, running_totals)
+    CHUNK_ROWS, HOT_ROWS, cut_lineage, cut_lineage_counted, lookup, lookup_unweighted, ordinal_chunk, ranked,
+    running_totals)
 
 _GROUP = ["_base", "_tag"]
 
@@ -28,31 +31,59 @@ def unique_paths(rows: DataFrame, path: str, tag: str, taken: DataFrame | None =
 
     When no row loses and no block is lifted, each row holds a name of its own and every name it
     passed over is held by an earlier row or taken: exactly what choosing one by one gives.
+
+    The first round's names are written once. Later rounds work through a list of dirty groups, those
+    whose blocks have changed: only rows of groups that ever were dirty propose anew, and only the names
+    they propose are looked up among those held, so what a round writes grows with the contested
+    groups, not with the table.
     """
     used = blocks = None
     if taken is not None:
         used = cut_lineage(taken.select(text.fold_case(F.col(taken.columns[0])).alias("_key")).distinct())
     keyed = rows.withColumn("_base", text.fold_case(F.col(path))).withColumn("_tag", text.fold_case(F.col(tag)))
     keyed = cut_lineage(keyed)
-    state = cut_lineage(_place(keyed, used, hot_rows, chunk_rows))
+    state, seen = cut_lineage_counted(_place(keyed, used, hot_rows, chunk_rows), n=F.count(F.lit(1)))
+    count = seen["n"]
     if used is not None:
         blocks = _blocks_of_taken(used, state, hot_rows)
         blocks = None if blocks.isEmpty() else blocks
+    base = cut_lineage(_propose(state, blocks, path, tag, name, hot_rows, chunk_rows, count))
+    rest, touched, overlay = base, None, None
+    # Proposals that may have lost, and all that hold a name.
+    suspects, held = base, base
     while True:
-        proposals = _propose(state, blocks, path, tag, name, hot_rows, chunk_rows)
-        claims = proposals.select("_key", "ordinal")
+        wanted = suspects.select("_key", "ordinal")
         if used is not None:
-            claims = claims.unionByName(used.withColumn("ordinal", F.lit(-1).cast("bigint")))
-        lost = _lost(proposals, claims)
-        lifted = None if blocks is None else cut_lineage(_unjustified(blocks, state, claims, chunk_rows))
-        if lost is None and (lifted is None or lifted.isEmpty()):
-            return proposals.select(*rows.columns, name)
-        if blocks is None:
-            blocks = lost
-        else:
-            kept = blocks.join(lifted, [*_GROUP, "_index"], "left_anti")
-            grown = kept if lost is None else kept.unionByName(lost).dropDuplicates([*_GROUP, "_index"])
-            blocks = cut_lineage(grown)
+            wanted = wanted.unionByName(used.withColumn("ordinal", F.lit(-1).cast("bigint")))
+        lost = _lost(suspects, wanted)
+        lifted = None
+        if blocks is not None:
+            claims = held.select("_key", "ordinal")
+            if used is not None:
+                claims = claims.unionByName(used.withColumn("ordinal", F.lit(-1).cast("bigint")))
+            lifted = cut_lineage(_unjustified(blocks, state, claims, chunk_rows))
+            lifted = None if lifted.isEmpty() else lifted
+        if lost is None and lifted is None:
+            return held.select(*rows.columns, name)
+        dirty = [found.select(*_GROUP) for found in (lost, lifted, touched) if found is not None]
+        if lifted is not None:
+            blocks = blocks.join(lifted, [*_GROUP, "_index"], "left_anti")
+        if lost is not None:
+            blocks = lost if blocks is None else blocks.unionByName(lost)
+        blocks = cut_lineage(blocks.dropDuplicates([*_GROUP, "_index"]))
+        touched = cut_lineage(functools.reduce(DataFrame.union, dirty).distinct())
+        overlay = cut_lineage(_propose(
+            _of_groups(state, touched, True, hot_rows, count), blocks, path, tag, name, hot_rows, chunk_rows, count))
+        rest = _of_groups(base, touched, False, hot_rows, count)
+        held = overlay.unionByName(rest)
+        # Names of the others were settled before: only those that are proposed now can be contested.
+        suspects = cut_lineage(overlay.unionByName(rest.join(overlay.select("_key").distinct(), "_key", "left_semi")))
+
+
+def _of_groups(rows: DataFrame, groups: DataFrame, inside: bool, hot_rows: int, count: int) -> DataFrame:
+    """The rows whose group is among these, or the others."""
+    flagged = lookup_unweighted(rows, groups.withColumn("_inside", F.lit(True)), _GROUP, F.col("ordinal"), hot_rows, count)
+    return flagged.filter("_inside" if inside else "_inside IS NULL").drop("_inside")
 
 
 def _lost(proposals, claims):
@@ -111,13 +142,13 @@ def _free_before(blocks, chunk_rows):
     return numbered.withColumn("_before", F.col("_index") - F.col("_start") - F.col("_nth"))
 
 
-def _propose(state, blocks, path, tag, name, hot_rows, chunk_rows):
+def _propose(state, blocks, path, tag, name, hot_rows, chunk_rows, count):
     """Every row's current name: the free name of its group at the row's rank."""
     if blocks is None:
         indexed = state.withColumn("_index", F.col("_start") + F.col("_rank"))
     else:
         held = blocks.select(*_GROUP).distinct().withColumn("_held", F.lit(True))
-        flagged = lookup_unweighted(state, held, _GROUP, F.col("ordinal"), hot_rows)
+        flagged = lookup_unweighted(state, held, _GROUP, F.col("ordinal"), hot_rows, count)
         steps = (
             _free_before(blocks, chunk_rows)
             .groupBy(*_GROUP, F.col("_before").alias("_rank"))

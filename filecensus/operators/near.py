@@ -50,10 +50,11 @@ def embed_parts(parts: DataFrame, embed, key: str = "ordinal") -> DataFrame:
     return sums.groupBy(key, *others).agg(F.transform(pooled, lambda x: x["value"]).alias("embedding"))
 
 
-def near_texts(candidates: DataFrame, root: str, embed, threshold: float = THRESHOLD, part_bytes: int = 1 << 20) -> DataFrame:
+def near_texts(candidates: DataFrame, root: str, embed, threshold: float = THRESHOLD, part_bytes: int = 1 << 20,
+               rows_a_cell: int = ROWS_A_CELL) -> DataFrame:
     """Near-duplicate members among the text files below `root`: read in parts, embedded, pooled and grouped."""
     parts = trees.read_text_parts(candidates.select("ordinal", "rel_path", "size"), root, part_bytes)
-    return near_members(embed_parts(parts, embed), threshold)
+    return near_members(embed_parts(parts, embed), threshold, rows_a_cell=rows_a_cell)
 
 
 def near_members(vectors: DataFrame, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS,

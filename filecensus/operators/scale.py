@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window, functions as F
 
 # Rows of one key that go to one task of a lookup; a key with more is split.
 HOT_ROWS = 1_000_000
@@ -50,15 +50,24 @@ def cut_lineage(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(table)
 
 
+def cut_lineage_counted(frame: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """`cut_lineage`, and aggregates over the rows that were taken while they were written."""
+    seen = Observation()
+    table = cut_lineage(frame.observe(seen, *[value.alias(name) for name, value in measures.items()]))
+    return table, seen.get
+
+
 def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spread: Column,
-           hot_rows: int = HOT_ROWS) -> DataFrame:
+           hot_rows: int = HOT_ROWS, heaviest: int | None = None) -> DataFrame:
     """Left join `rows` to one-row-per-key `facts` without gathering a hot key's rows in one task.
 
     `weight` is the facts column that counts the key's rows. The fact of a key with `hot_rows` rows or
     more is repeated once for every `hot_rows` of them, and its rows pick one of the copies by a hash of
     `spread`. Which keys are hot is broadcast: the keys alone, of which there can be no more than
-    rows / hot_rows.
+    rows / hot_rows. Where the caller knows that the `heaviest` key has fewer, a plain join does.
     """
+    if heaviest is not None and heaviest < hot_rows:
+        return _plain_lookup(rows, facts, keys)
     values = [c for c in facts.columns if c not in keys]
     copies = F.ceil(F.col(weight) / hot_rows).cast("int")
     hot = facts.filter(F.col(weight) >= hot_rows).select(*keys, copies.alias("_copies"))
@@ -70,9 +79,20 @@ def lookup(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, spre
     return joined.select(*[F.col(c) for c in rows.columns], *[F.col("_fact")[v].alias(v) for v in values])
 
 
+def _plain_lookup(rows: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    values = [c for c in facts.columns if c not in keys]
+    joined = rows.join(facts.select(*keys, *[F.col(c).alias(f"_of_{c}") for c in values]), keys, "left")
+    return joined.select(*[F.col(c) for c in rows.columns], *[F.col(f"_of_{c}").alias(c) for c in values])
+
+
 def lookup_unweighted(rows: DataFrame, facts: DataFrame, keys: list[str], spread: Column,
-                      hot_rows: int = HOT_ROWS) -> DataFrame:
-    """`lookup` for facts that do not know how many rows will ask for them."""
+                      hot_rows: int = HOT_ROWS, at_most: int | None = None) -> DataFrame:
+    """`lookup` for facts that do not know how many rows will ask for them.
+
+    Where the caller knows that there are fewer than `hot_rows` rows in all, no key can be hot, and a plain join does.
+    """
+    if at_most is not None and at_most < hot_rows:
+        return _plain_lookup(rows, facts, keys)
     asked = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_asked"))
     return lookup(rows, facts.join(asked, keys), keys, "_asked", spread, hot_rows).drop("_asked")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.functions import rules, text
 from filecensus.operators.catalog import first_seen
-from filecensus.operators.scale import HOT_ROWS, cut_lineage, lookup, lookup_unweighted, new_table, newest, numbered
+from filecensus.operators.scale import (
+    HOT_ROWS, cut_lineage, cut_lineage_counted, lookup, lookup_unweighted, new_table, newest, numbered)
 
 def _component() -> Column:
     return text.safe_component(F.coalesce(F.col("name"), F.col("id")))
@@ -34,25 +36,28 @@ def _inner_nodes(items: DataFrame) -> DataFrame:
 def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(source_ordinal, id, segments, ids): every inner node's chain of names, root first.
 
-    Pointer doubling: a tree of depth d takes log2(d) rounds. A chain that runs into a cycle ends
-    before the first id it would pass again. Cycles are found by doubling too, cut open at their
-    smallest id, chained like trees, and completed by the rest of the ring.
+    Pointer doubling: a tree of depth d takes log2(d) rounds of one write each. A chain that runs into
+    a cycle ends before the first id it would pass again. Cycles are found by doubling too, cut open at
+    their smallest id, chained like trees, and completed by the rest of the ring.
     """
-    nodes = cut_lineage(_inner_nodes(items))
-    finished, looped = _chained(nodes, hot_rows)
+    nodes, seen = cut_lineage_counted(_inner_nodes(items), n=F.count(F.lit(1)), unfinished=F.count("up"))
+    finished, looped = _chained(nodes, seen, hot_rows)
     if looped is None:
         return finished
-    links = cut_lineage(nodes.join(looped, _NODE, "left_semi"))
-    ring = cut_lineage(_rings(links, hot_rows))
+    links, links_seen = cut_lineage_counted(nodes.join(looped, _NODE, "left_semi"), n=F.count(F.lit(1)))
+    ring = cut_lineage(_rings(links, links_seen["n"], hot_rows))
     opened = links.join(ring.withColumnRenamed("root", "_root"), _NODE, "left")
     is_root = F.coalesce(F.col("_root") == F.col("id"), F.lit(False))
-    chains, _ = _chained(opened.select(*_NODE, F.when(~is_root, F.col("up")).alias("up"), "name"), hot_rows)
+    cut_open, cut_seen = cut_lineage_counted(
+        opened.select(*_NODE, F.when(~is_root, F.col("up")).alias("up"), "name"),
+        n=F.count(F.lit(1)), unfinished=F.count("up"))
+    chains, _ = _chained(cut_open, cut_seen, hot_rows)
     # Above the root of a ring stands its last node, whose chain is the whole ring.
     last = opened.filter(is_root).select("source_ordinal", F.col("up").alias("id"), F.col("id").alias("root"))
     whole = chains.join(last, _NODE).select(
         "source_ordinal", "root", F.col("segments").alias("_segments"), F.col("ids").alias("_ids"))
     rooted = chains.withColumn("root", F.get("ids", F.lit(0)))
-    joined = lookup_unweighted(rooted, whole, ["source_ordinal", "root"], F.col("id"), hot_rows)
+    joined = lookup_unweighted(rooted, whole, ["source_ordinal", "root"], F.col("id"), hot_rows, links_seen["n"])
     passed = F.size(F.array_intersect("ids", "_ids"))
     rest = [F.slice(c, passed + 1, F.size("_ids") - passed) for c in ("_segments", "_ids")]
     return finished.unionByName(joined.select(
@@ -62,40 +67,45 @@ def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 _NODE = ["source_ordinal", "id"]
 
 
-def _chained(nodes: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+def _chained(nodes: DataFrame, seen: dict, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Chains of the nodes that lead to a root, and the nodes that lead into a cycle, if there are any.
 
-    Each round joins the unfinished nodes with the chains found so far. When a round finishes
+    Each round joins the unfinished nodes with the chains found so far; what is finished is not written
+    again. `seen` says how many nodes there are and how many have a parent. When a round finishes
     nothing, no unfinished node has a finished one ahead.
     """
     keys = ["source_ordinal", "up"]
-    state = cut_lineage(nodes.select(*_NODE, "up", F.array("name").alias("segments"), F.array("id").alias("ids")))
-    before = None
+    state = nodes.select(*_NODE, "up", F.array("name").alias("segments"), F.array("id").alias("ids"))
+    done, left, before = [], seen["unfinished"], None
     while True:
+        done.append(state.filter("up IS NULL").drop("up"))
         unfinished = state.filter("up IS NOT NULL")
-        left = unfinished.count()
         if not left or left == before:
-            return state.filter("up IS NULL").drop("up"), unfinished.select(*_NODE) if left else None
+            return functools.reduce(DataFrame.union, done), unfinished.select(*_NODE) if left else None
         before = left
-        ahead = state.select("source_ordinal", F.col("id").alias("up"), F.col("up").alias("_up"),
-                             F.col("segments").alias("_segments"), F.col("ids").alias("_ids"))
-        joined = lookup_unweighted(unfinished, ahead, keys, F.col("id"), hot_rows)
-        doubled = joined.select(*_NODE, F.col("_up").alias("up"), F.concat("_segments", "segments").alias("segments"),
-                                F.concat("_ids", "ids").alias("ids"))
-        state = cut_lineage(state.filter("up IS NULL").unionByName(doubled))
-
-
-def _rings(links: DataFrame, hot_rows: int) -> DataFrame:
+        # A chain that is as long as the round's step ends in a node of any earlier round, or is still open.
+        roots = functools.reduce(DataFrame.union, done).withColumn("up", F.lit(None).cast("string"))
+        ahead = unfinished.unionByName(roots).select(
+            "source_ordinal", F.col("id").alias("up"), F.col("up").alias("_up"),
+            F.col("segments").alias("_segments"), F.col("ids").alias("_ids"))
+        joined = lookup_unweighted(unfinished, ahead, keys, F.col("id"), hot_rows, left)
+        state, found = cut_lineage_counted(
+            joined.select(*_NODE, F.col("_up").alias("up"), F.concat("_segments", "segments").alias("segments"),
+                          F.concat("_ids", "ids").alias("ids")), unfinished=F.count("up"))
+        left = found["unfinished"]
+
+
+def _rings(links: DataFrame, count: int, hot_rows: int) -> DataFrame:
     """(source_ordinal, id, root) of the nodes on cycles; root is the cycle's smallest id.
 
     After as many steps as there are nodes every pointer stands on a cycle, and on every node of it.
     """
     keys = ["source_ordinal", "jump"]
     state = links.select(*_NODE, F.col("up").alias("jump"), F.least("id", "up").alias("least"))
-    for _ in range(links.count().bit_length()):
+    for _ in range(count.bit_length()):
         ahead = state.select("source_ordinal", F.col("id").alias("jump"), F.col("jump").alias("_jump"),
                              F.col("least").alias("_least"))
-        joined = lookup_unweighted(state, ahead, keys, F.col("id"), hot_rows)
+        joined = lookup_unweighted(state, ahead, keys, F.col("id"), hot_rows, count)
         state = cut_lineage(joined.select(
             *_NODE, F.col("_jump").alias("jump"), F.least("least", "_least").alias("least")))
     on_cycle = state.select("source_ordinal", F.col("jump").alias("id")).distinct()
@@ -106,14 +116,16 @@ def build_paths(rows: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) ->
     """Add `rel_path` to `rows` of the listing `items`: drive name and parent chain, resolved inside the
     same source.
 
-    Only inner nodes are chained; every other row is its parent's path plus its own name.
+    Only inner nodes are chained; every other row is its parent's path plus its own name. `rows` are rows of
+    `items`, which should be a stored table: it is counted.
     """
+    count = items.count()
     own = rows.withColumn("up", F.get("parents", F.lit(0))).withColumn("_own", _component())
     chains = folder_paths(items, hot_rows)
     keys = ["source_ordinal", "up"]
     above = chains.select("source_ordinal", F.col("id").alias("up"), F.col("segments").alias("_segments"),
                           F.col("ids").alias("_ids"))
-    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows)
+    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows, count)
     # A row that is met again on its parents' chain stops there: its chain ends below itself.
     again = F.coalesce(F.array_position("_ids", F.col("id")), F.lit(0)).cast("int")
     below = F.slice("_segments", again + 1, F.size("_segments"))

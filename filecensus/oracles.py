@@ -407,7 +407,6 @@ SELECT ordinal, anchor, round(similarity, 6) AS similarity FROM members""",
     "near_duplicates": _near("SELECT * FROM {vectors}") + _NEAR_GROUPS,
     "near_similarity": _near("SELECT * FROM {vectors}") + """
 SELECT ordinal, anchor, round(similarity, 6) AS similarity FROM members""",
-    "near_duplicates_in_cells": _near("SELECT * FROM {vectors}", 0.95) + _NEAR_GROUPS,
     "near_texts": _near(_LETTER_ROWS, TEXT_THRESHOLD) + _NEAR_GROUPS,
     "all_duplicate_groups": _near(_TEXT_ROWS) + _NEAR_GROUPS + " UNION ALL " + _groups(),
     "proposal_summary": _SUMMARY,

@@ -250,19 +250,12 @@ def near_similarity(spark, folder):
     return pairs.select("ordinal", "anchor", F.round(cosine(F.col("embedding"), F.col("_anchor")), 6).alias("similarity"))
 
 
-@query
-def near_duplicates_in_cells(spark, folder):
-    """The default threshold, in many small cells."""
-    members = near.near_members(spark_view(spark, folder, "vectors"), near.THRESHOLD, rows_a_cell=CELL_ROWS)
-    return near.near_duplicates(members)
-
-
 @query
 def near_texts(spark, folder):
-    """Files in, groups out: texts are read in parts from the files written for them."""
+    """Files in, groups out: texts are read in parts from the files written for them, and compared in many small cells."""
     root = _written(spark, folder)
     candidates = catalog.text_candidates(spark_view(spark, folder, "catalog"))
-    return near.near_duplicates(near.near_texts(candidates, root, _letters, TEXT_THRESHOLD, part_bytes=4096))
+    return near.near_duplicates(near.near_texts(candidates, root, _letters, TEXT_THRESHOLD, 4096, CELL_ROWS))
 
 
 @query

@@ -6,6 +6,7 @@ from pathlib import PurePosixPath
 
 import pytest
 
+from filecensus.operators import naming
 from filecensus.operators.naming import unique_paths
 
 
@@ -73,3 +74,25 @@ def test_hot_group_is_split(spark):
     rows[800] = (800, "q/copy__abc_9.bin", "z")
     assert in_rounds(spark, rows, ["q/copy__abc_2.bin"], chunk_rows=16, hot_rows=50) == first_free(
         rows, ["q/copy__abc_2.bin"])
+
+
+def test_later_rounds_write_contested_groups_only(spark, monkeypatch):
+    """A cascade among a few groups in a table of many: each derived name is the real name of the next."""
+    cascade = [(0, "c.t", "x"), (1, "c.t", "x"), (2, "c__x.t", "y"), (3, "c__x.t", "y"), (4, "c__x__y.t", "z"),
+               (5, "c__x__y.t", "z"), (6, "c__x__y__z.t", "w")]
+    written, plain = [], naming.cut_lineage
+
+    def counted(frame):
+        table = plain(frame)
+        written.append(table.count())
+        return table
+
+    monkeypatch.setattr(naming, "cut_lineage", counted)
+    sums = []
+    for others in (50, 2000):
+        written.clear()
+        rows = cascade + [(100 + i, f"o/{i}.t", "q") for i in range(others)]
+        assert in_rounds(spark, rows, []) == first_free(rows, [])
+        assert written[:2] == [len(rows)] * 2  # the keyed rows and the names of the first round
+        sums.append(sum(written[2:]))
+    assert sums[0] == sums[1] < 200
