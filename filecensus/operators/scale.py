@@ -13,11 +13,18 @@ CHUNK_ROWS = 1_000_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the session: its checkpoint folder, else one below its warehouse."""
+    """The shared folder of the session: its checkpoint folder, else one below its warehouse.
+
+    A warehouse on a machine's own disk is shared only where there is one machine.
+    """
     set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return (spark.conf.get("spark.checkpoint.dir", None)
-            or (set_by_call.get() if set_by_call.isDefined() else None)
-            or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    named = spark.conf.get("spark.checkpoint.dir", None) or (set_by_call.get() if set_by_call.isDefined() else None)
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{warehouse}/checkpoints"
 
 
 def run_folder(spark: SparkSession) -> str:
