@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from filecensus.llm.components import TILE, connected, tile_result
 from filecensus.llm.joins import smallest
-from filecensus.operators.scale import cut_lineage
+from filecensus.operators.scale import cut_lineage, cut_lineage_counted, lookup
 
 THRESHOLD = 0.93
 NEAREST = 8
@@ -135,9 +135,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
         described, f"node bigint, label {kinds['label']}, embedding {kinds['embedding']}, copies bigint, width int, "
                    "pivots array<int>, listed array<int>").withColumn("pivot", F.explode("listed")).drop("listed")
     postings = cut_lineage(postings)
-    sizes = postings.groupBy("label", "width", "pivot").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(
-        "blocks"))
-    cut = postings.join(sizes, ["label", "width", "pivot"]).withColumn(
+    lists = ["label", "width", "pivot"]
+    sizes, seen = cut_lineage_counted(postings.groupBy(*lists).agg(F.count(F.lit(1)).alias("n")), heaviest=F.max("n"))
+    cut = lookup(postings, sizes, lists, "n", F.col("node"), heaviest=seen["heaviest"] or 0).withColumn(
+        "blocks", F.ceil(F.col("n") / block).cast("int")).drop("n").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     tiles = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({
         "i": F.least("block", "with"), "j": F.greatest("block", "with")}).drop("with", "blocks")
@@ -152,10 +153,12 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
         "key", "copies", "least_id", F.coalesce("component", "node").alias("component"),
         F.coalesce("links", F.lit(0)).alias("links"))
     least = known.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    known = cut_lineage(known.join(least, "component").select("key", "copies", "links", "component_id"))
+    known, seen = cut_lineage_counted(
+        known.join(least, "component").select("key", "copies", "links", "component_id"), heaviest=F.max("copies"))
     alone = rows.filter("key IS NULL").select(
         "vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    found = rows.filter("key IS NOT NULL").select("vec_id", "key").join(known, "key").select(
+    keyed = rows.filter("key IS NOT NULL").select("vec_id", "key", "row")
+    found = lookup(keyed, known, ["key"], "copies", F.col("row"), heaviest=seen["heaviest"] or 0).select(
         "vec_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
     return found.union(alone).withColumn(
         "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from filecensus.llm.components import TILE, connected, tile_result
 from filecensus.llm.joins import fresh, row_key, small_side
 from filecensus.llm.words import Remembered, steps
-from filecensus.operators.scale import cut_lineage
+from filecensus.operators.scale import cut_lineage, cut_lineage_counted, lookup
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -260,8 +260,12 @@ def _solve(source: DataFrame, row: Column, threshold: float, gram: int, recall:
         "k1", "k2", "own", "copies", "head", F.coalesce("component", "node").alias("component"),
         F.coalesce("links", F.lit(0)).alias("links"))
     first = known.groupBy("component").agg(F.min("head").alias("first"))
-    known = cut_lineage(known.join(first, "component").select("k1", "k2", "own", "copies", "links", "first"))
-    return signed.select("doc_id", "row", "k1", "k2", own).join(known, ["k1", "k2", "own"]).select(
+    known, seen = cut_lineage_counted(
+        known.join(first, "component").select("k1", "k2", "own", "copies", "links", "first"), heaviest=F.max("copies"))
+    # A class may be a third of all rows.
+    every = lookup(signed.select("doc_id", "row", "k1", "k2", own), known, ["k1", "k2", "own"], "copies", F.col("row"),
+                   heaviest=seen["heaviest"] or 0)
+    return every.select(
         "doc_id", F.col("first.doc_id").alias("class_id"),
         F.when(F.col("own") == 0, F.col("copies") - 1 + F.col("links")).otherwise(0).alias("n_links"),
         (F.col("row") == F.col("first.row")).alias("kept"), "row")
