@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from filecensus.bridge import duckdb_sql
-from filecensus.functions import rules
 from filecensus.queries import (
     ANSWER_CATEGORIES, AS_OF, DESTINATIONS, DRAFT_PLAN, EDITED_PLAN, LETTERS, LIVE_SECONDS, MARGIN_GB, MIRRORS, NEAR_THRESHOLD,
     RUN_LIMIT, TEXT_THRESHOLD)
 
 
+# Fixed values, stated apart from the rules: what the names in the tables come under, and the texts of reasons.
+_CATEGORIES = {
+    "Images": [".jpg"], "Documents": [".txt", ".md", ".pdf", ".doc"], "Spreadsheets": [".csv"], "Code": [".json", ".html"],
+    "Data": [".db"],
+}
+_JUNK_NAMES, _JUNK_SUFFIXES = ["thumbs.db", "desktop.ini", ".ds_store"], [".tmp"]
+_REASONS = {"system": "fichier système", "temporary": "fichier temporaire", "empty": "fichier vide (0 octet)",
+            "duplicate": "doublon exact"}
+_TEXT_SUFFIXES = [".txt", ".md", ".csv", ".json", ".html"]
+_OFFICE = [("application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".docx"),
+           ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", ".xlsx")]
+
+
 def _quoted(values) -> str:
     return ", ".join("'" + str(v).replace("'", "''") + "'" for v in values)
 
@@ -27,17 +39,17 @@ def _suffix(name: str) -> str:
 
 def _category(path: str) -> str:
     ext = f"lower({_suffix(_name(path))})"
-    cases = " ".join(f"WHEN {ext} IN ({_quoted(exts)}) THEN '{cat}'" for cat, exts in rules.CATEGORIES.items())
+    cases = " ".join(f"WHEN {ext} IN ({_quoted(exts)}) THEN '{cat}'" for cat, exts in _CATEGORIES.items())
     return f"CASE {cases} ELSE 'Other' END"
 
 
 def _junk(path: str, size: str) -> str:
     n = _name(path)
-    names = [j for j in rules.JUNK_NAMES if j.isprintable()]
+    names = _JUNK_NAMES
     return (
         f"CASE WHEN lower({n}) IN ({_quoted(names)}) THEN 'system' "
         f"WHEN {n} LIKE '~$%' OR {n} LIKE '.~%' THEN 'temporary' "
-        f"WHEN lower({_suffix(n)}) IN ({_quoted(rules.JUNK_SUFFIXES)}) THEN 'temporary' "
+        f"WHEN lower({_suffix(n)}) IN ({_quoted(_JUNK_SUFFIXES)}) THEN 'temporary' "
         f"WHEN {size} = 0 THEN 'empty' END")
 
 
@@ -50,7 +62,7 @@ def _tidy(path: str) -> str:
 
 
 def _label(code: str) -> str:
-    cases = " ".join(f"WHEN '{key}' THEN '{label}'" for key, label in rules.REASON_LABELS.items())
+    cases = " ".join(f"WHEN '{key}' THEN '{label}'" for key, label in _REASONS.items())
     return f"CASE {code} {cases} ELSE '' END"
 
 
@@ -193,7 +205,7 @@ def _near(rows: str, threshold: float = NEAR_THRESHOLD) -> str:
 
 _TEXT_ROWS = f"""
 SELECT c.ordinal, c.rel_path, c.size, e.embedding FROM {{catalog}} c JOIN {{vectors}} e ON c.ordinal = e.ordinal
-WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)})"""
+WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(_TEXT_SUFFIXES)})"""
 
 
 _LETTER_ROWS = f"""
@@ -202,7 +214,7 @@ SELECT ordinal, rel_path, size, embedding FROM (
          list_transform(string_split({_quoted([" ".join(LETTERS)])}, ' '),
                         lambda x: CAST(length(lower(t.text)) - length(replace(lower(t.text), x, '')) AS DOUBLE)) AS embedding
   FROM {{catalog}} c JOIN {{texts}} t ON t.ordinal = c.ordinal
-  WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)}))
+  WHERE status = 'done' AND lower({_suffix(_name('c.rel_path'))}) IN ({_quoted(_TEXT_SUFFIXES)}))
 WHERE list_sum(embedding) > 0"""
 
 
@@ -286,7 +298,6 @@ SELECT count(*) FILTER (kind = 'copied') AS copied, count(*) FILTER (kind = 'dup
        CAST(coalesce(sum(size) FILTER (kind <> 'copied'), 0) AS BIGINT) AS bytes_quarantined FROM ({_routing()}))"""
 _PURGE = f"SELECT dest_rel AS rel_path, size FROM ({_routing('settled')}) WHERE starts_with(dest_rel, '_quarantine/')"
 _NATIVE = "WHEN 'application/vnd.google-apps.document' THEN '{0}' WHEN 'application/vnd.google-apps.spreadsheet' THEN '{1}'"
-_OFFICE = [rules.NATIVE_EXPORTS["office"][f"application/vnd.google-apps.{kind}"] for kind in ("document", "spreadsheet")]
 _EXPORT_MIME = "CASE mime_type " + _NATIVE.format(_OFFICE[0][0], _OFFICE[1][0]) + " ELSE '' END"
 _EXPORT_EXT = "CASE mime_type " + _NATIVE.format(_OFFICE[0][1], _OFFICE[1][1]) + " ELSE '' END"
 
@@ -321,7 +332,7 @@ SELECT rel_path, size, reason, {_label('reason')} AS label
 FROM (SELECT *, {_junk('rel_path', 'size')} AS reason FROM {{catalog}} WHERE status = 'done') WHERE reason IS NOT NULL""",
     "text_candidates": f"""
 SELECT ordinal, rel_path, size FROM {{catalog}} WHERE status = 'done' 
-AND lower({_suffix(_name('rel_path'))}) IN ({_quoted(rules.TEXT_SUFFIXES)})""",
+AND lower({_suffix(_name('rel_path'))}) IN ({_quoted(_TEXT_SUFFIXES)})""",
     "safe_names": rf"""
 SELECT origin, id, CASE WHEN safe = '' THEN 'unnamed' ELSE safe END AS safe
 FROM (SELECT origin, id, CASE WHEN length(clean) <= 180 THEN clean
