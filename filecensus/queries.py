@@ -23,7 +23,6 @@ QUERIES: dict[str, Query] = {}
 
 # Scenario settings shared with the SQL checks.
 NEAR_THRESHOLD = 0.40
-CELL_ROWS = 40
 TEXT_THRESHOLD = 0.998
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 RUN_LIMIT = 8
@@ -252,10 +251,10 @@ def near_similarity(spark, folder):
 
 @query
 def near_texts(spark, folder):
-    """Files in, groups out: texts are read in parts from the files written for them, and compared in many small cells."""
+    """Files in, groups out: texts are read in parts from the files written for them."""
     root = _written(spark, folder)
     candidates = catalog.text_candidates(spark_view(spark, folder, "catalog"))
-    return near.near_duplicates(near.near_texts(candidates, root, _letters, TEXT_THRESHOLD, 4096, CELL_ROWS))
+    return near.near_duplicates(near.near_texts(candidates, root, _letters, TEXT_THRESHOLD, 4096))
 
 
 @query

@@ -83,6 +83,7 @@ def test_tables_go_to_the_shared_folder():
 
         class sparkContext:
             applicationId = "app-1"
+            master = "yarn"
 
             class _jsc:
                 @staticmethod
@@ -103,6 +104,12 @@ def test_tables_go_to_the_shared_folder():
     assert scale.checkpoint_folder(Session) == "hdfs://shared/set-by-call"
     Session.settings["spark.checkpoint.dir"] = "hdfs://shared/checkpoints"
     assert scale.checkpoint_folder(Session) == "hdfs://shared/checkpoints"
+    Session.settings = {"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}
+    Session.called = None
+    with pytest.raises(ValueError):  # a machine's own disk
+        scale.run_folder(Session)
+    Session.sparkContext.master = "local[4]"
+    assert scale.run_folder(Session) == "file:/home/me/spark-warehouse/checkpoints/filecensus-app-1"
 
 
 def test_very_many_hot_keys_are_all_split(spark):
@@ -144,7 +151,8 @@ def test_elections_hash(spark, name):
     """Whole rows are never sorted for an election; what is still sorted was first joined with its group's best."""
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
     names = [node.nodeName() for node in nodes(plan)]
-    assert "HashAggregate" in names
+    if name not in ("exact_duplicates", "duplicate_members"):  # whose counts are a table by then
+        assert "HashAggregate" in names
     for node in nodes(plan):
         if node.nodeName() == "SortAggregate":
             assert any("Join" in below.nodeName() for below in nodes(node)), node.treeString()
