@@ -55,3 +55,49 @@ def test_copies(spark, estate):
     assert not [p for p in (root / "dst").rglob(".part-*")]
     again = {r["ordinal"]: r["error"] for r in trees.apply_copies(routing, str(root / "src"), str(root / "dst")).collect()}
     assert again[0] is None
+
+
+def test_texts_in_parts_are_the_texts(spark, tmp_path):
+    """Cuts fall into characters of several bytes, into line ends of two, and into bytes that are no text."""
+    texts = {"a.md": "naïve – 🙂\r\nend\r".encode() * 5, "b.txt": b"\xf0\x9f\x99" + "ü\r\n".encode() * 9 + b"\xc3", "c.txt": b""}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    rows = spark.createDataFrame([(name, len(data)) for name, data in texts.items()] + [("none.md", 1)],
+                                 "rel_path string, size bigint")
+    whole = {r["rel_path"]: r["text"] for r in trees.read_texts(rows, str(tmp_path)).collect()}
+    assert set(whole) == set(texts)
+    for part_bytes in (1, 2, 3, 7, 1000):
+        parts = trees.read_text_parts(rows, str(tmp_path), part_bytes).orderBy("rel_path", "part").collect()
+        joined = {}
+        for row in parts:
+            joined[row["rel_path"]] = joined.get(row["rel_path"], "") + row["text"]
+        assert joined == whole
+        assert max(len(row["text"].encode()) for row in parts) <= part_bytes + 4
+
+
+def test_a_flat_folder_is_spread(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"f{i}").write_bytes(b"x" * (i % 7))
+    listed = trees.list_tree(spark, str(tmp_path), files_per_task=20)
+    assert listed.rdd.getNumPartitions() >= 15
+    assert sorted((r["rel_path"], r["size"]) for r in listed.collect()) == sorted((f"f{i}", i % 7) for i in range(300))
+
+
+def test_a_copy_is_logged_once_and_leaves_no_parts(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "dst" / "out").mkdir(parents=True)
+    (tmp_path / "src" / "a").write_bytes(b"abc")
+    (tmp_path / "dst" / "out" / ".part-of-a-dead-attempt").write_bytes(b"ab")
+    routing = spark.createDataFrame([(0, "a", "out/a", 3)], "ordinal bigint, src_rel string, dest_rel string, size bigint")
+    log = trees.apply_copies(routing, str(tmp_path / "src"), str(tmp_path / "dst"))
+    (tmp_path / "src" / "a").unlink()  # reading the log copies nothing again
+    for _ in range(2):
+        assert [(r["ordinal"], r["sha256"], r["error"]) for r in log.collect()] == [
+            (0, hashlib.sha256(b"abc").hexdigest(), None)]
+    assert [p.name for p in (tmp_path / "dst" / "out").iterdir()] == ["a"]
+
+
+def test_only_mounted_folders_have_files():
+    assert trees.local_path("file:///mnt/x/y") == trees.local_path("file:/mnt/x/y") == trees.local_path("/mnt/x/y") == "/mnt/x/y"
+    with pytest.raises(ValueError):
+        trees.local_path("hdfs://host/x")
