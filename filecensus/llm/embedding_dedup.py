@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from filecensus.llm.components import TILE, connected, tile_result
@@ -44,7 +45,7 @@ def choose_pivots(sample: pa.Array, count: int) -> dict[int, np.ndarray]:
 
     Each next pivot is the vector whose largest cosine to the pivots before it is least.
     """
-    widths = pa.compute.list_value_length(sample).to_numpy(zero_copy_only=False)
+    widths = pc.list_value_length(sample).to_numpy(zero_copy_only=False)
     found = {}
     for width in np.unique(widths).tolist():
         units = np.unique(_units(sample.filter(pa.array(widths == width)), width), axis=0)
@@ -116,7 +117,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("embedding")
-            widths = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+            widths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
             own: list[list[int]] = [[] for _ in range(len(widths))]
             for width in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == width)
@@ -167,7 +168,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, nearest: int
 def _tile(threshold: float, shared: int, width: int, pivot: int, i: int, j: int, table: pa.Table) -> pa.Table:
     """Find and verify the links between two blocks of a pivot's list."""
     table = table.combine_chunks()
-    order = pa.compute.sort_indices(table["node"])
+    order = pc.sort_indices(table["node"])
     nodes, copies = table["node"].take(order).to_numpy(), table["copies"].take(order).to_numpy()
     block = table["block"].take(order).to_numpy()
     units = _units(table["embedding"].take(order).combine_chunks(), width)

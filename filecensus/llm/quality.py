@@ -18,6 +18,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.llm.joins import fresh, smallest
@@ -274,7 +275,7 @@ def _gathered(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Table]:
     """All `buckets` of some rows in order of `row`, the place of the row that each belongs to, and the rows."""
     table = seen.toArrow().sort_by("row")
     lists = table["buckets"].combine_chunks()
-    lengths = pa.compute.list_value_length(lists).to_numpy()
+    lengths = pc.list_value_length(lists).to_numpy()
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int32), lengths), table
 
 
@@ -284,7 +285,7 @@ def _signs(source: DataFrame, known: DataFrame, sample: int) -> np.ndarray | Non
     drawn = smallest(source.join(F.broadcast(chosen), "doc_id"), F.struct("doc_id", "text"), sample)
     drawn = cut_lineage(drawn.withColumn("row", F.monotonically_increasing_id()))
     buckets, texts, table = _gathered(drawn.select("row", "toxic", _features(F.col("text")).alias("buckets")))
-    return _mine(buckets, texts, pa.compute.fill_null(table["toxic"], 0).to_numpy()) if table.num_rows else None
+    return _mine(buckets, texts, pc.fill_null(table["toxic"], 0).to_numpy()) if table.num_rows else None
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

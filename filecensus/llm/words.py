@@ -10,6 +10,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 # Text that one step of a task holds as Python strings.
@@ -201,7 +202,7 @@ def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
 def steps(texts: pa.Array, step_bytes: int = STEP_BYTES) -> Iterator[list[str]]:
     """The texts in lists of bounded bytes, or one text alone if it is longer; null counts as empty."""
     pa.default_memory_pool().release_unused()
-    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     begin = total = 0
     for end, length in enumerate(lengths):
         if total and total + length > step_bytes:

@@ -5,7 +5,9 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from filecensus.functions.vectors import cosine
@@ -109,6 +111,26 @@ def test_cells_on_their_own_take_no_rounds(spark, monkeypatch):
     assert members(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], 0.95).collect() == []
 
 
+def test_tiles_import_what_they_use(monkeypatch):
+    """A worker that has run nothing else yet compares blocks, too."""
+    taken = []
+
+    class Tiles:
+        def groupBy(self, *_):
+            return self
+
+        def applyInArrow(self, function, _):
+            taken.append(function)
+
+    def judge(own, others, close, before):
+        return pa.table({"n": [own.num_rows + others.num_rows]})
+
+    judge.columns = [("n", pa.int64())]
+    monkeypatch.setattr(near, "_tiles", lambda *_: Tiles())
+    near._compared(None, 8, judge, "n bigint")
+    assert b"pyarrow.compute" in cloudpickle.dumps(taken[0])
+
+
 def test_cosine(spark):
     pairs = [([1.0, 0.0], [1.0, 1.0]), ([], [1.0]), ([1.0], [1.0, 2.0]), ([0.0], [0.0]), ([3.0, 4.0], [3.0, 4.0])]
     frame = spark.createDataFrame(pairs, "a array<double>, b array<double>")
