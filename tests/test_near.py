@@ -111,6 +111,29 @@ def test_cells_on_their_own_take_no_rounds(spark, monkeypatch):
     assert members(spark, [(i, v.tolist()) for i, v in enumerate(vectors)], 0.95).collect() == []
 
 
+def test_rows_that_cannot_be_parted_take_no_rounds(spark, monkeypatch):
+    """Directions at random under a low threshold: no split is worth it, but few anchors claim all other rows."""
+    def none(*_):
+        raise AssertionError("no rounds were needed")
+
+    monkeypatch.setattr(near, "_rounds", none)
+    vectors = np.random.default_rng(4).normal(size=(1200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    got = {r["ordinal"]: r["anchor"] for r in members(spark, rows, 0.6, block=64, rows_a_cell=300).collect()}
+    assert got == expected(rows, 0.6)
+
+
+def test_splits_are_weighed_before_rows_are_dealt(spark, monkeypatch):
+    dealt = []
+    deal = near._dealt
+    monkeypatch.setattr(near, "_dealt", lambda rows, pivots, reach, chunk, told: dealt.append((told, frame := deal(
+        rows, pivots, reach, chunk, told))) or frame)
+    vectors = np.random.default_rng(5).normal(size=(600, 8))
+    _, most = work(spark, vectors, 0.4, 100)
+    assert most == 600
+    assert sum(frame.count() for told, frame in dealt if told is near._visits) == 0
+
+
 def test_tiles_import_what_they_use(monkeypatch):
     """A worker that has run nothing else yet compares blocks, too."""
     taken = []
