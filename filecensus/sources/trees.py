@@ -172,16 +172,25 @@ def read_text_parts(candidates: DataFrame, root: str, part_bytes: int = CHUNK) -
     """`read_texts` in parts of so many bytes: each candidate once for every `part` of its text, from 0.
 
     A character, or a line end of two, that a cut falls into belongs to the part that completes it, so the parts of
-    a file are its text. No task holds more than one part of a file.
+    a file are its text. No task holds more than one part of a file besides CHUNK characters of others; parts are handed
+    on together, as many small ones would cost more than their bytes.
     """
     schema = StructType([*candidates.schema.fields, StructField("part", IntegerType()), StructField("text", StringType())])
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for i in range(len(frame)):
-                row = frame.iloc[i:i + 1]
-                for number, text in enumerate(_text_parts(os.path.join(root, row["rel_path"].iloc[0]), part_bytes)):
-                    yield row.assign(part=number, text=text)
+            rows, numbers, texts, held = [], [], [], 0
+            for i, path in enumerate(frame["rel_path"]):
+                for number, text in enumerate(_text_parts(os.path.join(root, path), part_bytes)):
+                    rows.append(i)
+                    numbers.append(number)
+                    texts.append(text)
+                    held += len(text)
+                    if held >= CHUNK:
+                        yield frame.iloc[rows].assign(part=numbers, text=texts)
+                        rows, numbers, texts, held = [], [], [], 0
+            if rows:
+                yield frame.iloc[rows].assign(part=numbers, text=texts)
 
     return _spread(candidates, "rel_path").mapInPandas(load, schema)
 

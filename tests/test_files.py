@@ -101,3 +101,18 @@ def test_only_mounted_folders_have_files():
     assert trees.local_path("file:///mnt/x/y") == trees.local_path("file:/mnt/x/y") == trees.local_path("/mnt/x/y") == "/mnt/x/y"
     with pytest.raises(ValueError):
         trees.local_path("hdfs://host/x")
+
+
+def test_small_parts_are_handed_on_together(spark, tmp_path, monkeypatch):
+    class Files:
+        def mapInPandas(self, function, _):
+            return function
+
+    for i in range(50):
+        (tmp_path / f"f{i}.txt").write_text("a few words " * 20)
+    rows = spark.createDataFrame([(f"f{i}.txt", 240) for i in range(50)], "rel_path string, size bigint")
+    monkeypatch.setattr(trees, "_spread", lambda *_: Files())
+    frames = list(trees.read_text_parts(rows, str(tmp_path), 100)(iter([rows.toPandas()])))
+    assert len(frames) == 1 and len(frames[0]) == 200
+    whole = frames[0].groupby("rel_path")["text"].agg("".join)
+    assert len(whole) == 50 and set(whole) == {"a few words " * 20}
