@@ -354,3 +354,21 @@ def test_plan_csv(spark, tmp_path):
     assert [r["src_rel"] for r in back] == [s[1] for s in SURVEY]
     plans.write_report(duplicates.dedup_summary(duplicates.exact_duplicates(entries(spark, SURVEY))), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report" / "summary")).first()["duplicate_files"] == 3
+
+
+def test_documents_are_read_once(spark, tmp_path):
+    """Numbers that are read as text cost no reads of their own, and keep the way they are written."""
+    place = tmp_path / "20240101" / "main"
+    place.mkdir(parents=True)
+    entries = [{"file_id": str(i), "size": i} for i in range(3000)]
+    text = json.dumps({"account": "main", "entries": entries}, indent=1).replace('"size": 7\n', '"size": 7.50\n')
+    (place / "1.json").write_bytes(b"\xef\xbb\xbf" + text.encode())
+
+    def seen():
+        return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics() if s.getScheme() == "file")
+
+    begin = seen()
+    rows = snapshots.read_documents(spark, str(place)).selectExpr("snapshot", "inline(entries)").collect()
+    assert seen() - begin < 4 * len(text)
+    assert len(rows) == 3000 and {r["snapshot"] for r in rows} == {"20240101"}
+    assert {r["file_id"]: r["size"] for r in rows}["7"] == "7.50"
