@@ -23,8 +23,8 @@ def _scratch(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, folder: str, view: str, scratch: str, order: str = "event_id",
-            closing: str | None = None) -> DataFrame:
-    """A view over the events, which arrive file by file in the given order.
+            closing: str | None = None, batches: int | None = None) -> DataFrame:
+    """A view over the events, which arrive file by file in the given order, or in about so many batches of files.
 
     With `closing`, one more event comes that much later, for windows to be closed by.
     """
@@ -43,7 +43,8 @@ def _stream(spark: SparkSession, folder: str, view: str, scratch: str, order: st
     if closing is not None:
         late = events.orderBy(F.desc("ts"), F.desc("event_id")).limit(1).withColumn("ts", F.col("ts") + F.expr(closing))
         late.coalesce(1).write.mode("append").parquet(f"{scratch}/events/file={files}")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).option(
+    at_once = 1 if batches is None else -(-files // batches)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", at_once).option(
         "recursiveFileLookup", True).parquet(f"{scratch}/events")
     rows = spark_view(spark, folder, view, events=stream)
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
@@ -93,9 +94,13 @@ def live_catalog(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def live_activity(spark: SparkSession, folder: str, seconds: int = RUNNING_SECONDS) -> DataFrame:
-    """Changes between live and idle; the last event comes again 30 days later and closes all other accounts' spells."""
+    """Changes between live and idle; the last event comes again 30 days later and closes all other accounts' spells.
+
+    Each batch costs a call for each account in it, so batches grow with the table: their number times that of the
+    accounts would grow with its square.
+    """
     scratch = _scratch(spark)
-    beats = _stream(spark, folder, "heartbeats", scratch, "ts", "INTERVAL 30 DAYS")
+    beats = _stream(spark, folder, "heartbeats", scratch, "ts", "INTERVAL 30 DAYS", FILES)
     with _setting(spark, "spark.sql.streaming.stateStore.providerClass",
                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
         run(live.activity(beats, seconds, "1 second").writeStream.format("parquet").outputMode("append").option(

@@ -200,3 +200,15 @@ def test_activity_timers(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert out.index(("a", "idle")) > out.index(("a", "live"))
     assert out.count(("a", "live")) == 2 and out.count(("b", "live")) == 2 and out.count(("b", "idle")) == 1
+
+
+def test_live_activity_takes_few_batches(spark, monkeypatch):
+    """Files are bounded by rows, so a large table is many of them; accounts are called once a batch."""
+    folder = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, replay.live_activity(spark, folder).collect()))
+    batches = []
+    run = replay.run
+    monkeypatch.setattr(replay, "run", lambda writer: batches.append(run(writer)))
+    monkeypatch.setattr(replay, "FILE_ROWS", -(-spark.read.parquet(f"{folder}/events.parquet").count() // 15))
+    assert sorted(map(tuple, replay.live_activity(spark, folder).collect())) == plain
+    assert batches[0] <= replay.FILES + 1
