@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from filecensus.llm.joins import fresh, smallest
-from filecensus.llm.words import Remembered, list_array, row_sums, steps
+from filecensus.llm.words import Remembered, give_back, list_array, row_sums, steps
 from filecensus.operators.scale import cut_lineage
 
 FAULTS = ("poor", "toxic")
@@ -37,6 +37,8 @@ CHANCE = 4.0
 INSULTS = frozenset("idiot idiots moron morons stupid worthless pathetic disgusting trash scum loser losers "
                     "clown imbecile dumbass bastard asshole bitch whore slut retard".split())
 _BAD, _GOOD, _NONE = 2, 1, 0
+# Features that a step of the fit on the driver looks at.
+_STEP = 1 << 18
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _STAT = ("symbols", "capitals", "shouts", "marks", "repeats", "variety", "lines", "width")
@@ -207,17 +209,17 @@ def _regress(buckets: np.ndarray, texts: np.ndarray, target: np.ndarray, rounds:
     words would but name the texts that they stand in.
     """
     found, n = np.zeros(BUCKETS + 2, dtype=np.float32), len(target)
-    place = buckets
-    seen = np.bincount(place, minlength=BUCKETS + 2)
-    seen_bad = np.bincount(place, weights=target[texts], minlength=BUCKETS + 2)
+    seen, seen_bad = _seen(buckets, texts, target)
     bad = min(max(target.sum(), 0.5), n - 0.5)
     rate, rate_bad, rate_good = seen / n, seen_bad / bad, (seen - seen_bad) / (n - bad)
     spread = np.sqrt(np.maximum(rate * (1 - rate), 1 / n) * (1 / bad + 1 / (n - bad)))
     chosen = (seen >= SIGN_DOCS) & (np.abs(rate_bad - rate_good) >= CHANCE * spread)
     chosen[BUCKETS], chosen[BUCKETS + 1] = False, True
     used = np.flatnonzero(chosen)
-    inside = chosen[place]
-    place, texts = np.searchsorted(used, place[inside]), texts[inside]
+    inside = chosen[buckets]
+    numbers = np.cumsum(chosen, dtype=np.int32) - 1
+    place, texts = numbers[buckets[inside]], texts[inside]
+    del inside
     # Rare features are scaled up, so that all take steps of like size.
     scale = 1 / np.sqrt(np.maximum(rate[used], 1e-3))
     each = scale[place]
@@ -246,10 +248,19 @@ def _largest(place: np.ndarray, texts: np.ndarray, each: np.ndarray, n: int, wid
     return 1.1 * float(value)
 
 
+def _seen(buckets: np.ndarray, texts: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many texts have each bucket, and the sum of their targets; worked out in steps, as the arrays are long."""
+    seen, seen_bad = np.zeros(BUCKETS + 2, dtype=np.int64), np.zeros(BUCKETS + 2)
+    for begin in range(0, len(buckets), _STEP):
+        some = buckets[begin:begin + _STEP]
+        seen += np.bincount(some, minlength=BUCKETS + 2)
+        np.add.at(seen_bad, some, target[texts[begin:begin + _STEP]].astype(np.float64))
+    return seen, seen_bad
+
+
 def _mine(buckets: np.ndarray, texts: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Buckets of words and beginnings that toxic sampled texts have far more often than the others."""
-    seen_bad = np.bincount(buckets, weights=toxic[texts], minlength=BUCKETS + 2)
-    seen = np.bincount(buckets, minlength=BUCKETS + 2)
+    seen, seen_bad = _seen(buckets, texts, toxic)
     n_bad, n = max(1.0, toxic.sum()), max(1, len(toxic))
     odds = (seen_bad + 0.5) / n_bad / ((seen - seen_bad + 0.5) / max(1.0, n - n_bad))
     signs = (seen_bad >= SIGN_DOCS) & (odds >= SIGN_ODDS)
@@ -272,11 +283,28 @@ def _label_votes(table: DataFrame, *others: str) -> DataFrame:
 
 
 def _gathered(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, pa.Table]:
-    """All `buckets` of some rows in order of `row`, the place of the row that each belongs to, and the rows."""
-    table = seen.toArrow().sort_by("row")
-    lists = table["buckets"].combine_chunks()
+    """All `buckets` of some rows in order of `row`, the place of the row that each belongs to, and the other columns.
+
+    The lists are the bulk: they are copied once, a row at a time, and what Arrow held is given back.
+    """
+    table = seen.toArrow()
+    order = pc.sort_indices(table["row"]).to_numpy()
+    lists, others = table["buckets"], table.drop_columns("buckets").take(pa.array(order))
+    del table
     lengths = pc.list_value_length(lists).to_numpy()
-    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lists), dtype=np.int32), lengths), table
+    ends = np.cumsum(lengths[order])
+    begins = np.empty(len(order), dtype=np.int64)
+    begins[order] = ends - lengths[order]
+    buckets, row = np.empty(int(lengths.sum()), dtype=np.int32), 0
+    for chunk in lists.chunks:
+        values, stops = chunk.values.to_numpy(), chunk.offsets.to_numpy()
+        for begin, end in zip(stops[:-1], stops[1:], strict=True):
+            buckets[begins[row]:begins[row] + end - begin] = values[begin:end]
+            row += 1
+    texts = np.repeat(np.arange(len(order), dtype=np.int32), lengths[order])
+    lists = chunk = values = stops = None
+    give_back()
+    return buckets, texts, others
 
 
 def _signs(source: DataFrame, known: DataFrame, sample: int) -> np.ndarray | None:
@@ -321,6 +349,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         chance, table = estimate(patterns, labellers)
         tables.append(table)
         weights.append(_regress(buckets, texts, np.array([chance[code] for code in codes])))
+    del buckets, texts
+    give_back()  # the driver goes on to other stages
     return Model(np.stack(weights), signs, tuple(tables))
 
 

@@ -176,9 +176,9 @@ class Remembered(dict):
 
 
 def give_back() -> None:
-    """Give memory that this worker has freed back to the system.
+    """Give memory that this process has freed back to the system.
 
-    Workers live on from stage to stage, and what one stage has freed would otherwise stay with them in the next.
+    Workers, and the driver, live on from stage to stage, and what one stage has freed would otherwise stay with them in the next.
     """
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -359,3 +360,25 @@ def test_unlabelled_documents_and_votes_reach_the_scorer(spark):
     judged = {row.doc_id: row.p_poor > 0.5 for row in quality.classify(docs, labels).collect()}
     assert np.mean([judged[i] for i, (text, _, _) in enumerate(rows) if shouts(text)]) > 0.9
     assert np.mean([judged[i] == (q == 0) for i, (_, q, _) in enumerate(rows)]) > 0.95
+
+
+def test_fit_holds_little_besides_the_features():
+    target = (np.arange(8000) % 10 == 0).astype(np.float64)
+    buckets = np.random.default_rng(3).integers(1000, quality.BUCKETS, (8000, 800), dtype=np.int32)
+    buckets[:, 0] = np.where(target, 300, 301)
+    buckets, texts = buckets.ravel(), np.repeat(np.arange(8000, dtype=np.int32), 800)
+    tracemalloc.start()
+    try:
+        assert quality._regress(buckets, texts, target, rounds=3)[300] > 0
+        assert quality._mine(buckets, texts, target)[300]
+        assert tracemalloc.get_traced_memory()[1] < 8 * len(buckets)
+    finally:
+        tracemalloc.stop()
+
+
+def test_features_are_gathered_by_row(spark):
+    rows = [(5, "b", [3]), (2, "a", []), (9, "c", [7, 8, 9]), (7, "d", [4, 1])]
+    seen = spark.createDataFrame(rows, "row bigint, name string, buckets array<int>").repartition(3)
+    buckets, texts, others = quality._gathered(seen)
+    assert (buckets.tolist(), texts.tolist(), others["name"].to_pylist()) == ([3, 4, 1, 7, 8, 9], [1, 2, 2, 3, 3, 3], list("abdc"))
+    assert [len(x) for x in quality._gathered(seen.limit(0))] == [0, 0, 0]
