@@ -4,15 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from filecensus.operators.scale import cut_lineage
+
 # A table of at most so many bytes is broadcast to the texts; beyond it, texts and table are shuffled together.
 BROADCAST_BYTES = 48 * 1024 * 1024
 
 
 def small_side(table: DataFrame, bytes_a_row: int, lists: str | None = None, bytes_a_value: int = 16) -> DataFrame:
     """A written table, marked for broadcast if its rows, with the values of a list column, are few enough."""
+    return F.broadcast(table) if is_small(table, bytes_a_row, lists, bytes_a_value) else table
+
+
+def is_small(table: DataFrame, bytes_a_row: int, lists: str | None = None, bytes_a_value: int = 16) -> bool:
     values = F.lit(0) if lists is None else F.size(lists)
     rows, listed = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(values), F.lit(0))).first()
-    return F.broadcast(table) if rows * bytes_a_row + listed * bytes_a_value <= BROADCAST_BYTES else table
+    return rows * bytes_a_row + listed * bytes_a_value <= BROADCAST_BYTES
+
+
+def join_listed(rows: DataFrame, listed: DataFrame, key: str, bytes_a_row: int) -> DataFrame:
+    """Wide rows joined with a written table that lists some of their keys, which are numbers that stand close together.
+
+    Where the table is too large to be broadcast, its keys alone are, as bits, so that only rows that are listed are
+    shuffled.
+    """
+    if is_small(listed, bytes_a_row):
+        return rows.join(F.broadcast(listed), key)
+    word, bit = F.shiftright(F.col(key), 6), (F.col(key) % 64).cast("int")
+    words = cut_lineage(listed.groupBy(word.alias("_word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("_bits")))
+    if is_small(words, 48):
+        held = rows.join(F.broadcast(words), word == F.col("_word"))
+        on = F.call_function("shiftrightunsigned", F.col("_bits"), bit).bitwiseAND(F.lit(1).cast("bigint"))
+        rows = held.filter(on == 1).select(*[F.col(c) for c in rows.columns])
+    return rows.join(listed, key)
 
 
 def fresh(docs: DataFrame, name: str) -> str:

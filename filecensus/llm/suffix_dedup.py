@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from filecensus.llm.joins import small_side
+from filecensus.llm.joins import join_listed, small_side
+from filecensus.llm.words import give_back
 from filecensus.operators.scale import cut_lineage, drop, new_table
 
 LENGTH = 200
@@ -146,6 +147,9 @@ def _cells(size: int, key: int, at: int, low: int, high: int, context: bytes, ra
         some_low, some_high = max(low, begin), min(high, end)
         # All windows of the cell share the text from offset `begin` to the end of the one at offset `end`.
         shared = context[high - begin if high > begin else 0:high - end + LENGTH] if high >= begin else b""
+        if size == 1:  # one window: what is named alike is alike, and nothing comes after
+            yield key, at, some_low, some_high, cell, _digest(shared), b"", b"", rank, open_
+            continue
         part = context[high - some_high:high - some_low + LENGTH]
         yield (key, at, some_low, some_high, cell, _digest(shared), _digest(b"%d %d " % (some_low, some_high) + part),
                part, rank, open_)
@@ -160,6 +164,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first rows of the marks that are left, with the text around them."""
     for batch in batches:
+        give_back()
         rows = []
         for key, text, packed in zip(*(batch.column(c) for c in ("read_key", "text", "marks")), strict=True):
             text = text.as_py()
@@ -174,16 +179,22 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _finer(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        give_back()
         columns = [batch.column(c).to_pylist() for c in ("read_key", "at", "low", "high", "context", "rank", "open")]
-        rows = [row for one in zip(*columns, strict=True) for row in _cells(size, *one)]
-        for begin in range(0, len(rows), 20_000):
-            yield _batch(rows[begin:begin + 20_000])
+        rows = []
+        for one in zip(*columns, strict=True):
+            rows += _cells(size, *one)
+            if len(rows) >= 20_000:
+                yield _batch(rows)
+                rows = []
+        yield _batch(rows)
 
 
-def _settle(rows: DataFrame) -> DataFrame:
+def _settle(rows: DataFrame, last: bool) -> DataFrame:
     """One round: rerank, drop unique ranks, and count the marks that are alike as a whole.
 
-    Only keys are moved, not the texts around the marks.
+    Only keys are moved, not the texts around the marks. In the last round a row is one window, and rows of one rank are
+    alike.
     """
     pair = ["rank", "cell", "name"]
     keys = rows.select("id", "read_key", "at", "low", "high", *pair, "alike", "open")
@@ -191,6 +202,9 @@ def _settle(rows: DataFrame) -> DataFrame:
         F.min("id").alias("fresh"), F.count(F.lit(1)).alias("n"), F.max("open").alias("some_open"))
     alike = keys.groupBy("alike").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("same"))
     shared = keys.join(ranks.filter("n > 1 AND some_open"), pair)
+    if last:
+        return cut_lineage(shared.select(
+            "id", "read_key", "at", "low", "high", "fresh", "open", F.col("fresh").alias("first"), F.col("n").alias("same")))
     return cut_lineage(shared.join(alike, "alike").select(
         "id", "read_key", "at", "low", "high", "fresh", "open", "first", "same"))
 
@@ -207,15 +221,17 @@ def _double(rows: DataFrame) -> DataFrame:
         if before is not None:
             drop(spark, before)
         rows, before = spark.read.parquet(folder), folder
-        told = _settle(rows)
-        # In the last round a row is one window, and rows of one rank are alike.
+        last = number == len(CELLS) - 1
+        told = _settle(rows, last)
         found.append(told.filter("open AND same > 1").select(
             "read_key", (F.col("at") - F.col("high")).cast("int").alias("start"),
             (F.col("at") - F.col("low") + LENGTH).cast("int").alias("end")))
+        if last:
+            break
         # Of rows alike as a whole one goes on, for others to be compared with.
         onward = cut_lineage(told.filter("same = 1 OR id = first").select(
             "id", F.col("fresh").alias("rank"), (F.col("open") & (F.col("same") == 1)).alias("open")))
-        rows = rows.drop("rank", "open").join(small_side(onward, 48), "id")
+        rows = join_listed(rows.drop("rank", "open"), onward, "id", 48)
     drop(spark, before)
     return functools.reduce(DataFrame.union, found)
 
@@ -228,7 +244,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """read_key and `spans` (start and end, in bytes, sorted) of the repeated bytes of every text that has some.
+    """read_key and `spans` (start and end, in bytes, sorted, apart) of the repeated bytes of every text that has some.
 
     read_key stands for a row's doc_id and text, as `_source` makes it.
     """
@@ -254,10 +270,32 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     every = _double(around.mapInArrow(_contexts, _ROW))
     several = cut_lineage(copied.select("read_key").distinct())
     spans = every.join(several, "read_key", "left_anti").groupBy("read_key").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+        _merged(F.sort_array(F.collect_set(F.struct("start", "end")))).alias("spans"))
     return spans.union(copied.dropDuplicates(["read_key"]))
 
 
+def _merged(spans: Column) -> Column:
+    """Spans sorted by start, with those that touch or overlap made one: a text has far more strings than runs."""
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def merge(lists: pa.Array) -> pa.Array:
+        begin, stop = (lists.flatten().field(i).to_numpy().astype(np.int64) for i in (0, 1))
+        lengths = np.diff(lists.offsets.to_numpy())
+        row = np.repeat(np.arange(len(lists)), lengths) << 32
+        # The furthest end so far; a row's are all beyond those of the rows before.
+        reach = np.maximum.accumulate(row + stop) if len(row) else row
+        fresh = np.ones(len(row), dtype=bool)
+        fresh[1:] = (row + begin)[1:] > reach[:-1]
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(row))[:len(first)] - 1
+        sizes = np.bincount(row[first] >> 32, minlength=len(lists))
+        flat = pa.StructArray.from_arrays(
+            [pa.array(begin[first].astype(np.int32)), pa.array((reach - row)[last].astype(np.int32))],
+            names=["start", "end"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), flat)
+
+    return merge(spans)
+
+
 def _cut(text: Column, spans: Column) -> Column:
     """struct<kept, n_removed, n_spans>: a text without some spans, sorted by start, which may overlap."""
     @F.arrow_udf("struct<kept:binary,n_removed:bigint,n_spans:bigint>")

@@ -7,8 +7,10 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from conftest_llm import CLASHING, as_docs, rows_of
+from pyspark.sql import functions as F
 
-from filecensus.llm import components, embedding_dedup, jaccard_join, suffix_dedup
+from filecensus.llm import components, embedding_dedup, jaccard_join, joins, suffix_dedup
+from filecensus.operators.scale import cut_lineage
 
 
 def reach(nodes, links):
@@ -233,6 +235,34 @@ def test_pieces_of_long_texts_hold_each_window_once(monkeypatch):
     assert seen == Counter((i, k) for i, text in enumerate(texts) for k in range(len(text) - 199))
 
 
+def test_only_listed_rows_are_shuffled(spark, monkeypatch):
+    rows = spark.range(0, 4000, numPartitions=3).select(F.monotonically_increasing_id().alias("id"), F.lit("x" * 50).alias("wide"))
+    listed = cut_lineage(rows.filter("id % 7 = 0 OR id % 64 = 63").select("id", (F.col("id") * 2).alias("rank")))
+    expected = sorted((row.id, "x" * 50, row.rank) for row in listed.collect())
+    assert len(expected) > 500
+    for limit in (1 << 30, 20_000, 0):  # all is broadcast, the bits are, nothing is
+        monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+        assert sorted(map(tuple, joins.join_listed(rows, listed, "id", 48).collect())) == expected
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 20_000)
+    monkeypatch.setattr(suffix_dedup, "join_listed", lambda *x: asked.append(x[2:]) or joins.join_listed(*x))
+    asked = []
+    check_cut(spark, ["ab" * 3000, "x" * 500, "a" * 300 + "b" * 300, "b" * 400 + "a" * 250] * 2 + [str(x) * 70 for x in range(100, 130)])
+    assert asked == [("id", 48)] * 3
+
+
+def test_spans_of_a_text_are_apart(spark):
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = prose(3000), prose(400)
+    texts = [prose(50) + passage + prose(70) + other, passage + prose(90), prose(20) + other + prose(40) + "yz" * 300]
+    spans = {tuple((x.start, x.end) for x in row.spans)
+             for row in suffix_dedup.repeated_spans(as_docs(spark, texts)).collect()}
+    # What is alike by chance beside a passage belongs to it.
+    runs = sorted((found[0][0], found[0][1] - found[0][0], len(found)) for found in spans)
+    assert [n for _, _, n in runs] == [1, 2, 2]
+    assert all(a[1] < b[0] for found in spans for a, b in zip(found, found[1:]))
+
+
 def test_repeats_of_odd_ids(docs, no_docs):
     found = suffix_dedup.remove_repeats(docs)
     assert found.count() == docs.count() and {row.n_bytes for row in found.collect() if row.doc_id == 900} == {8}
