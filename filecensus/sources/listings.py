@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import uuid
@@ -72,8 +73,8 @@ def read_listing(spark: SparkSession, folder: str, sources: DataFrame) -> DataFr
     Items in the bin are left out; `position` follows pages and places on them.
     """
     items = _read_pages(spark, folder, "source_ordinal int")
-    # One row per drive the account can see.
-    return items.join(sources, "source_ordinal")
+    # One row per drive the account can see, and all items in a few sources: joined by a shuffle, they would be few tasks.
+    return items.join(F.broadcast(sources), "source_ordinal")
 
 
 def read_children(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,20 +99,21 @@ def dump_listing(items: DataFrame, folder: str, page_size: int = PAGE_SIZE) -> D
         owners.alias("owners"), F.when(F.col("shortcut_target").isNotNull(), F.struct(
             F.col("shortcut_target").alias("targetId"))).alias("shortcutDetails"))
     nth = ranked(items, ["source_ordinal"], ["position"], ordinal_chunk("position"), "nth")
-    paged = nth.withColumn("page", F.floor(F.col("nth") / page_size)).groupBy(*place).agg(
-        F.sort_array(F.collect_list(F.struct("nth", item.alias("item")))).alias("rows"))
-    pages = paged.select(*place, F.to_json(F.struct(F.transform("rows", lambda x: x["item"]).alias("files"))).alias("text"))
+    paged = nth.withColumn("page", F.floor(F.col("nth") / page_size)).select(*place, "nth", F.to_json(item).alias("text"))
+    # Items come in order, so a task holds those of one page.
+    pages = paged.repartition(*place).sortWithinPartitions(*place, "nth").drop("nth")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for source, page, text in zip(frame["source_ordinal"], frame["page"], frame["text"]):
-                own = os.path.join(folder, f"source_ordinal={source}")
-                os.makedirs(own, exist_ok=True)
-                draft = os.path.join(own, f".draft-{uuid.uuid4().hex}")
-                with open(draft, "w", encoding="utf-8") as file:
-                    file.write(text)
-                os.replace(draft, os.path.join(own, f"page-{page}.json"))
-            yield frame[place]
+        items = itertools.chain.from_iterable(
+            zip(frame["source_ordinal"], frame["page"], frame["text"]) for frame in frames)
+        for (source, page), rows in itertools.groupby(items, key=lambda row: row[:2]):
+            own = os.path.join(folder, f"source_ordinal={source}")
+            os.makedirs(own, exist_ok=True)
+            draft = os.path.join(own, f".draft-{uuid.uuid4().hex}")
+            with open(draft, "w", encoding="utf-8") as file:
+                file.write('{"files":[' + ",".join(text for _, _, text in rows) + "]}")
+            os.replace(draft, os.path.join(own, f"page-{page}.json"))
+            yield pd.DataFrame([(source, page)], columns=place)
 
     return cut_lineage(pages.mapInPandas(write, "source_ordinal int, page bigint"))
 

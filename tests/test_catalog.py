@@ -372,3 +372,23 @@ def test_documents_are_read_once(spark, tmp_path):
     assert seen() - begin < 4 * len(text)
     assert len(rows) == 3000 and {r["snapshot"] for r in rows} == {"20240101"}
     assert {r["file_id"]: r["size"] for r in rows}["7"] == "7.50"
+
+
+def test_items_of_few_sources_are_not_shuffled(spark, tmp_path):
+    items = spark.range(0, 250, numPartitions=3).selectExpr(
+        "CAST(id % 2 AS INT) AS source_ordinal", "id AS position", "concat('i', id) AS id", "'a b' AS name", "'text/plain' AS mime_type",
+        "CAST(array() AS ARRAY<STRING>) AS parents", "'1' AS size", "'t' AS modified_time",
+        "CAST(array() AS ARRAY<STRING>) AS owners", "CAST(NULL AS STRING) AS shortcut_target")
+    written = listings.dump_listing(items, str(tmp_path / "pages"), 20)
+    assert sorted(map(tuple, written.collect())) == [(source, page) for source in (0, 1) for page in range(7)]
+    sources = spark.createDataFrame([(0, "", "a", False), (1, "t", "b", False)],
+                                    "source_ordinal int, drive_id string, drive_name string, shared_with_me boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as when the sizes are not known
+    try:
+        read = listings.read_listing(spark, str(tmp_path / "pages"), sources)
+        assert "hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+        rows = read.orderBy("source_ordinal", "position").select("source_ordinal", "id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [tuple(row) for row in rows] == [(source, f"i{i}") for source in (0, 1) for i in range(source, 250, 2)]
