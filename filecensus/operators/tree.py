@@ -12,38 +12,46 @@ from filecensus.operators.catalog import first_seen
 from filecensus.operators.scale import (
     HOT_ROWS, cut_lineage, cut_lineage_counted, lookup, lookup_unweighted, new_table, newest, numbered)
 
+# Sorts compare the first bytes of the first key, which tell ids apart and sources hardly.
+_NODE = ["id", "source_ordinal"]
+
+
 def _component() -> Column:
     return text.safe_component(F.coalesce(F.col("name"), F.col("id")))
 
 
-def _inner_nodes(items: DataFrame) -> DataFrame:
-    """(source_ordinal, id, up, name) of the ids that are somebody's parent.
+def _inner_nodes(items: DataFrame) -> tuple[DataFrame, int]:
+    """(source_ordinal, id, up, name) of the ids that are somebody's parent, and how many rows the one with the most has.
 
     An id listed twice in a source is what its last listing says; links that leave the source are
-    dropped.
+    dropped. The rows of inner nodes are written before they are joined with each other, so all rows are shuffled once.
     """
     links = items.select("source_ordinal", "id", F.get("parents", F.lit(0)).alias("up"), "name", "position")
-    used = links.filter("up IS NOT NULL").select("source_ordinal", F.col("up").alias("id")).distinct()
-    nodes = newest(links.join(used, ["source_ordinal", "id"], "left_semi"), ["source_ordinal", "id"], "position")
+    used = links.filter("up IS NOT NULL").groupBy("source_ordinal", F.col("up").alias("id")).agg(
+        F.count(F.lit(1)).alias("_below"))
+    listed, seen = cut_lineage_counted(links.join(used, _NODE), most=F.max("_below"))
+    nodes = newest(listed.drop("_below"), _NODE, "position")
     nodes = nodes.select("source_ordinal", "id", "up", F.coalesce("name", "id").alias("name"))
     known = nodes.select("source_ordinal", F.col("id").alias("up"), F.lit(True).alias("_known"))
-    linked = nodes.join(known, ["source_ordinal", "up"], "left")
+    linked = nodes.join(known, ["up", "source_ordinal"], "left")
     return linked.select(
         "source_ordinal", "id", F.when(F.col("_known"), F.col("up")).alias("up"),
-        text.safe_component(F.col("name")).alias("name"))
+        text.safe_component(F.col("name")).alias("name")), seen["most"] or 0
 
 
-def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(source_ordinal, id, segments, ids): every inner node's chain of names, root first.
+def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int]:
+    """(source_ordinal, id, segments, ids): every inner node's chain of names, root first. Besides, how many rows of
+    `items` the node with the most has for children.
 
     Pointer doubling: a tree of depth d takes log2(d) rounds of one write each. A chain that runs into
     a cycle ends before the first id it would pass again. Cycles are found by doubling too, cut open at
     their smallest id, chained like trees, and completed by the rest of the ring.
     """
-    nodes, seen = cut_lineage_counted(_inner_nodes(items), n=F.count(F.lit(1)), unfinished=F.count("up"))
+    inner, most = _inner_nodes(items)
+    nodes, seen = cut_lineage_counted(inner, n=F.count(F.lit(1)), unfinished=F.count("up"))
     finished, looped = _chained(nodes, seen, hot_rows)
     if looped is None:
-        return finished
+        return finished, most
     links, links_seen = cut_lineage_counted(nodes.join(looped, _NODE, "left_semi"), n=F.count(F.lit(1)))
     ring = cut_lineage(_rings(links, links_seen["n"], hot_rows))
     opened = links.join(ring.withColumnRenamed("root", "_root"), _NODE, "left")
@@ -61,10 +69,7 @@ def folder_paths(items: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     passed = F.size(F.array_intersect("ids", "_ids"))
     rest = [F.slice(c, passed + 1, F.size("_ids") - passed) for c in ("_segments", "_ids")]
     return finished.unionByName(joined.select(
-        *_NODE, F.concat(rest[0], "segments").alias("segments"), F.concat(rest[1], "ids").alias("ids")))
-
-
-_NODE = ["source_ordinal", "id"]
+        *_NODE, F.concat(rest[0], "segments").alias("segments"), F.concat(rest[1], "ids").alias("ids"))), most
 
 
 def _chained(nodes: DataFrame, seen: dict, hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
@@ -74,7 +79,7 @@ def _chained(nodes: DataFrame, seen: dict, hot_rows: int) -> tuple[DataFrame, Da
     again. `seen` says how many nodes there are and how many have a parent. When a round finishes
     nothing, no unfinished node has a finished one ahead.
     """
-    keys = ["source_ordinal", "up"]
+    keys = ["up", "source_ordinal"]
     state = nodes.select(*_NODE, "up", F.array("name").alias("segments"), F.array("id").alias("ids"))
     done, left, before = [], seen["unfinished"], None
     while True:
@@ -117,19 +122,23 @@ def build_paths(rows: DataFrame, items: DataFrame, hot_rows: int = HOT_ROWS) ->
     same source.
 
     Only inner nodes are chained; every other row is its parent's path plus its own name. `rows` are rows of
-    `items`, which should be a stored table: it is counted.
+    `items`, each at most once, so no parent is asked for more often than it has children there. `items` should be a
+    stored table: it is read twice.
     """
-    count = items.count()
-    own = rows.withColumn("up", F.get("parents", F.lit(0))).withColumn("_own", _component())
-    chains = folder_paths(items, hot_rows)
-    keys = ["source_ordinal", "up"]
-    above = chains.select("source_ordinal", F.col("id").alias("up"), F.col("segments").alias("_segments"),
+    up = F.get("parents", F.lit(0))
+    # Rows without a parent ask for their place, so that they do not meet in one task; what they find is not used.
+    own = rows.select(
+        "*", _component().alias("_own"), (up.isNull() | (up == F.col("id"))).alias("_top"),
+        F.coalesce(up, F.col("position").cast("string")).alias("_asks"))
+    chains, most = folder_paths(items, hot_rows)
+    keys = ["_asks", "source_ordinal"]
+    above = chains.select("source_ordinal", F.col("id").alias("_asks"), F.col("segments").alias("_segments"),
                           F.col("ids").alias("_ids"))
-    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows, count)
+    joined = lookup_unweighted(own, above, keys, F.col("id"), hot_rows, most)
     # A row that is met again on its parents' chain stops there: its chain ends below itself.
     again = F.coalesce(F.array_position("_ids", F.col("id")), F.lit(0)).cast("int")
     below = F.slice("_segments", again + 1, F.size("_segments"))
-    folders = F.when(F.col("up") == F.col("id"), F.array().cast("array<string>")).otherwise(
+    folders = F.when(F.col("_top"), F.array().cast("array<string>")).otherwise(
         F.coalesce(below, F.array().cast("array<string>")))
     drive = text.safe_component(F.col("drive_name"))
     path = F.concat(drive, F.lit("/"), F.array_join(F.concat(folders, F.array("_own")), "/"))
@@ -145,7 +154,10 @@ def expand_folders(roots: DataFrame, children: DataFrame, hot_rows: int = HOT_RO
     """
     is_folder = F.col("mime_type") == rules.FOLDER_TYPE
     edges = children.filter(is_folder).select("folder_id", "id", "position")
-    weights = cut_lineage(edges.groupBy("folder_id").agg(F.count(F.lit(1)).alias("_n")))
+    weights, held = cut_lineage_counted(
+        children.groupBy("folder_id").agg(F.count_if(is_folder).alias("_n"), F.count(F.lit(1)).alias("_all")),
+        folders=F.max("_n"), items=F.max("_all"))
+    weights = weights.filter("_n > 0").drop("_all")
     first = roots.filter(is_folder).select(F.col("id").alias("folder_id"), F.array(-F.col("position")).alias("visit"))
     frontier, spark, seen = first, roots.sparkSession, new_table(roots.sparkSession)
     for level in itertools.count():
@@ -159,9 +171,11 @@ def expand_folders(roots: DataFrame, children: DataFrame, hot_rows: int = HOT_RO
             break
         # Folders without folders end here; those of very many are split.
         weighted = latest.select("folder_id", "visit").join(weights, "folder_id")
-        found = lookup(edges, weighted, ["folder_id"], "_n", F.col("id"), hot_rows).filter("visit IS NOT NULL")
+        found = lookup(edges, weighted, ["folder_id"], "_n", F.col("id"), hot_rows, held["folders"])
+        found = found.filter("visit IS NOT NULL")
         frontier = found.select(F.col("id").alias("folder_id"), F.concat("visit", F.array(-F.col("position"))).alias("visit"))
-    found = lookup_unweighted(children, opened.select("folder_id", "visit"), ["folder_id"], F.col("id"), hot_rows)
+    found = lookup_unweighted(
+        children, opened.select("folder_id", "visit"), ["folder_id"], F.col("id"), hot_rows, held["items"])
     return found.filter("visit IS NOT NULL")
 
 
@@ -170,15 +184,18 @@ def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_RO
     """Catalog rows of a listing: one per downloadable file, the first time it is met.
 
     Folders, shortcuts and native types without an export are no files and claim no id. With
-    `children`, the dumped contents of folders, shared folders are walked into.
+    `children`, the dumped contents of folders, shared folders are walked into. Both should be stored
+    tables: they are read several times.
     """
     if children is not None:
-        items = cut_lineage(add_shared_children(items, children, hot_rows))
+        items = add_shared_children(items, children, hot_rows)
     export = rules.native_export(F.col("mime_type"), export_format)
     native = rules.is_native(F.col("mime_type"))
     shown = (F.col("mime_type") != rules.FOLDER_TYPE) & F.col("shortcut_target").isNull()
-    files = items.withColumn("_export", export).filter(shown & (~native | F.col("_export").isNotNull()))
+    files = items.filter(shown & (~native | export.isNotNull()))
+    # What follows from the type is found where rows end, so that it is not shuffled.
     emitted = build_paths(first_seen(files, "id", ["source_ordinal", "position"]), items, hot_rows)
+    emitted = emitted.withColumn("_export", export)
     extension = F.coalesce(F.col("_export.extension"), F.lit(""))
     return emitted.select(
         F.when((F.col("source_ordinal") < 1 << 20) & (F.col("position") < 1 << 42),
@@ -201,7 +218,7 @@ def walk(items: DataFrame, export_format: str = "office", hot_rows: int = HOT_RO
 def add_shared_children(items: DataFrame, children: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Listing items plus what lies below the folders of the shared source, minus what it lists itself.
 
-    The additions follow the source's own rows, in the order their folders are opened.
+    The additions follow the source's own rows, in the order their folders are opened. They alone are written.
     """
     shared = items.filter("shared_with_me")
     extra = expand_folders(shared, children, hot_rows)
@@ -216,4 +233,4 @@ def add_shared_children(items: DataFrame, children: DataFrame, hot_rows: int = H
     for name in ("source_ordinal", "drive_id", "drive_name", "shared_with_me"):
         added = added.withColumn(name, F.lit(source[name]))
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in items.schema.fields]
-    return items.unionByName(added.select(*typed))
+    return items.unionByName(cut_lineage(added.select(*typed)))

@@ -42,6 +42,15 @@ def test_safe_component(spark, name, safe):
     assert column(spark, [name], text.safe_component(F.col("v"))) == [(safe,)]
 
 
+@pytest.mark.parametrize("name, safe", [
+    (".", "unnamed"), (".a", ".a"), ("\u3000a:", "a_"), (":\u3000", "_"), ("a:b\n", "a_b_"), ("a?" * 90, "a_" * 90),
+    ("a?" * 91, "a_" * 90), (" a.b. .", "a.b"), (None, None),
+])
+def test_safe_component_ends(spark, name, safe):
+    """Only names that are too long or whose ends are cut take the long way."""
+    assert column(spark, [name, "x"], text.safe_component(F.col("v"))) == [(safe,), ("x",)]
+
+
 def test_strip_knows_unicode_space(spark):
     values = ["  a ", " a　", "\x1ca\x1f", "a​", "\ta b\n"]
     assert column(spark, values, text.strip(F.col("v"))) == [(v.strip(),) for v in values]
